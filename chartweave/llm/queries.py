@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import pieces, quality, sharding
+from . import packing, pieces, quality, sharding, tokens
 
 QUERIES = {
     "op2_histogram_shards": sharding.op2_histogram_shards,
+    "op3_linear_grouping": packing.op3_linear_grouping,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_piece_codec": pieces.op5_piece_codec,
+    "op7_section_tokens": tokens.op7_section_tokens,
 }
 
 ORACLE_SQL: dict[str, str] = {}
