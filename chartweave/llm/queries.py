@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import packing, pieces, quality, sharding, tokens
+from . import neardup, packing, passages, pieces, quality, sharding, tokens
 
 QUERIES = {
+    "op1_bag_minhash": neardup.op1_bag_minhash,
     "op2_histogram_shards": sharding.op2_histogram_shards,
     "op3_linear_grouping": packing.op3_linear_grouping,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_piece_codec": pieces.op5_piece_codec,
+    "op6_collinear_chains": passages.op6_collinear_chains,
     "op7_section_tokens": tokens.op7_section_tokens,
 }
 
