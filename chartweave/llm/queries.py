@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import neardup, packing, passages, pieces, quality, sharding, tokens
+from . import mainpage, neardup, packing, passages, pieces, pseudonyms, quality, sharding, tokens, vectors
 
 QUERIES = {
     "op1_bag_minhash": neardup.op1_bag_minhash,
@@ -12,6 +12,9 @@ QUERIES = {
     "op5_piece_codec": pieces.op5_piece_codec,
     "op6_collinear_chains": passages.op6_collinear_chains,
     "op7_section_tokens": tokens.op7_section_tokens,
+    "op8_subspace_pigeonhole": vectors.op8_subspace_pigeonhole,
+    "op9_tag_path_ratios": mainpage.op9_tag_path_ratios,
+    "op10_feistel_pseudonyms": pseudonyms.op10_feistel_pseudonyms,
 }
 
 ORACLE_SQL: dict[str, str] = {}
