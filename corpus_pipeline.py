@@ -8,12 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from chartweave.llm.common import shared_folder
+from chartweave.llm.neardup import neardup_stage
+from chartweave.llm.packing import packing_stage
+from chartweave.llm.passages import passage_stage
+from chartweave.llm.pseudonyms import pseudonym_stage
 from chartweave.llm.quality import quality_stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", quality_stage),
+    ("near-duplicates", neardup_stage),
+    ("repeated passages", passage_stage),
+    ("pseudonyms", pseudonym_stage),
+    ("packing", packing_stage),
 ]
 
 #: The learned rules of the first stage, near-duplicate classes and tokens have no SQL form.
