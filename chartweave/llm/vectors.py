@@ -78,6 +78,14 @@ def cells(point: np.ndarray, reach2: float, g: int) -> list[tuple[tuple[int, ...
     return out
 
 
+def cell_number(cell: tuple[int, ...]) -> int:
+    """A signed 64-bit number for a cell."""
+    n = 0
+    for x in cell:
+        n = (n * 0x9E3779B97F4A7C15 + x + 0x7FFFFFFF) % 2**64
+    return n - 2**63
+
+
 def dealt(classes: DataFrame, least: float, g: int) -> DataFrame:
     """A row for each block and cell in which a vector lies (``home``) or that its range reaches."""
     schema = T.StructType([
@@ -94,11 +102,12 @@ def dealt(classes: DataFrame, least: float, g: int) -> DataFrame:
                     v = np.array(v.as_py(), np.float64)
                     turned = units(v[None])[0] @ rotation(len(v))
                     for k, (a, b, reach2) in enumerate(budgets(len(v), least)):
-                        for c, own in cells(turned[a:b], reach2, g):
-                            of.append(at)
-                            block.append(k)
-                            cell.append(hash(c))  # of numbers, so alike in all processes; cells that meet only cost time
-                            home.append(own)
+                        # cells whose numbers meet only cost time, as long as a vector is in each once
+                        found = {cell_number(c): own for c, own in reversed(cells(turned[a:b], reach2, g))}
+                        of += [at] * len(found)
+                        block += [k] * len(found)
+                        cell += found.keys()
+                        home += found.values()
                 kept = batch.select(schema.names[:5]).take(pa.array(of, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(block, pa.int32()), pa.array(cell, pa.int64()), pa.array(home)], names=schema.names)
 
