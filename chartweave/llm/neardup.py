@@ -166,14 +166,15 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def joined_in_blocks(members: DataFrame, least: float, block: int = 256) -> DataFrame:
-    """Links (``a``, ``b``) that join components within a bucket.
+    """Pairs of components (``a``, ``b``) that a link between members of a bucket joins.
 
-    ``members``: ``bucket``, ``size`` (of the bucket), ``node``, ``component``, ``signature``, ``text``. Each
-    bucket is dealt into blocks of about ``block`` members, and every two blocks are compared by one task,
-    which gives a link for each two components it can join: fewer rows than members.
+    ``members``: ``bucket``, ``size`` (of the bucket), ``node``, ``component``, ``signature``, ``bands``, ``text``.
+    Each bucket is dealt into blocks of about ``block`` members, and every two blocks are compared by one task,
+    which gives a pair for each two components it can join: fewer rows than members. Two texts are compared in
+    the first bucket that they share.
     """
     dealt = members.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block)))
-    member = F.struct("node", "component", "signature", "text")
+    member = F.struct("node", "component", "signature", "bands", "text")
     blocks = dealt.groupBy("bucket", "block").agg(F.collect_list(member).alias("members"))
     left = blocks.select("bucket", F.col("block").alias("x"), F.col("members").alias("mx"))
     right = blocks.select("bucket", F.col("block").alias("y"), F.col("members").alias("my"))
@@ -186,13 +187,14 @@ def joined_in_blocks(members: DataFrame, least: float, block: int = 256) -> Data
                 row = batch.slice(at, 1)
                 mx = row.column("mx").to_pylist()[0]
                 my = mx if row.column("x")[0] == row.column("y")[0] else row.column("my").to_pylist()[0]
-                a, b = block_links(mx, my, hashes, least)
+                a, b = block_links(mx, my, row.column("bucket")[0].as_py(), hashes, least)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    return two.select("x", "y", "mx", "my").mapInArrow(run, "a binary, b binary")
+    return two.select("bucket", "x", "y", "mx", "my").mapInArrow(run, "a binary, b binary")
 
 
-def block_links(mx: list[dict], my: list[dict], hashes: WordHashes, least: float) -> tuple[list[bytes], list[bytes]]:
+def block_links(mx: list[dict], my: list[dict], bucket: int, hashes: WordHashes, least: float) -> tuple[list[bytes], list[bytes]]:
+    bx, by = (np.array([m["bands"] for m in ms], np.int64) for ms in (mx, my))
     sx, sy = (np.frombuffer(b"".join(m["signature"] for m in ms), np.uint8).reshape(-1, PLACES) for ms in (mx, my))
     parent: dict[bytes, bytes] = {}
 
@@ -210,14 +212,14 @@ def block_links(mx: list[dict], my: list[dict], hashes: WordHashes, least: float
 
     found: tuple[list[bytes], list[bytes]] = [], []
     for i, m in enumerate(mx):
-        share = (sx[i] == sy).mean(axis=1)
-        for j in np.flatnonzero(share >= LEAST_AGREEMENT):
+        maybe = np.flatnonzero((sx[i] == sy).mean(axis=1) >= LEAST_AGREEMENT)
+        for j in maybe[bx[i][(bx[i] == by[maybe]).argmax(axis=1)] == bucket]:
             n = my[j]
             p, q = root(m["component"]), root(n["component"])
             if p != q and overlap(bag(m), bag(n)) >= least:
                 parent[p] = q
-                found[0].append(m["node"])
-                found[1].append(n["node"])
+                found[0].append(m["component"])
+                found[1].append(n["component"])
     return found
 
 
@@ -252,11 +254,13 @@ def near_classes(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id", l
     member = members.where("size > 3").select("bucket", "size", "node").join(first, "node", "left")
     member = cut(member.withColumn("component", F.coalesce("component", "node")))
     mixed = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-    rest = cut(member.join(mixed, "bucket", "left_semi").join(signs, "node"))
+    rest = cut(member.join(mixed, "bucket", "left_semi").join(texts.select("node", "signature", "bands"), "node"))
     more = cut(joined_in_blocks(rest.join(bodies(docs, ids, rest.select("node")), "node"), least))
-    second = components(links.unionByName(more)) if more.head(1) else first
-
-    found = cut(texts.select("node", "id", "n").join(second, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    found = texts.select("node", "id", "n").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if more.head(1):
+        second = components(more).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+        found = found.join(second, "component", "left").withColumn("component", F.coalesce("joined", "component")).drop("joined")
+    found = cut(found)
     by_id = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "node")))
     classes = found.groupBy("component").agg(
         F.coalesce(by_id, F.min(F.struct("id", "node"))).alias("first"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("n_texts")

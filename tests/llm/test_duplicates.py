@@ -97,8 +97,9 @@ def test_blocks_join_components():
     texts = [" ".join(base[:i] + ["x"] + base[i + 1 :]) for i in range(0, 100, 10)] + [" ".join(prose(rng, 50))]
     hashes = WordHashes()
     short = short_form(signatures([shingle_bag(hashes(t.encode().split())) for t in texts]))
-    members = [{"node": bytes([i]), "component": bytes([i]), "signature": s.tobytes(), "text": t} for i, (t, s) in enumerate(zip(texts, short, strict=True))]
-    a, b = block_links(members, members, hashes, 0.8)
+    members = [{"node": bytes([i]), "component": bytes([i]), "signature": s.tobytes(), "bands": [7, 9], "text": t} for i, (t, s) in enumerate(zip(texts, short, strict=True))]
+    assert block_links(members, members, 9, hashes, 0.8) == ([], [])  # compared in bucket 7
+    a, b = block_links(members, members, 7, hashes, 0.8)
     assert len(a) == len(b) == 9 and bytes([10]) not in a + b and short.shape[1] == PLACES
 
 
