@@ -265,7 +265,7 @@ def token_pieces(df: DataFrame, path: str, capacity: int = 2048, *, text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = StretchEncoder(path)
         last = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):
             others = batch.select(kept)
             source, cells = [], [[] for _ in fields]
             for at, (_, row) in enumerate(encoder([t or "" for t in batch.column(text).to_pylist()])):

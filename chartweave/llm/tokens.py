@@ -6,6 +6,7 @@ around it, so the stretches between those places can be encoded one by one. Usua
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -25,7 +26,8 @@ class StretchEncoder:
     ``offsets``: remember where tokens start (in characters of the stretch) instead of their ids.
     """
 
-    def __init__(self, path: str, offsets: bool = False, remember: int = 250_000):
+    def __init__(self, path: str, offsets: bool = False, remember: int = 120_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -34,7 +36,9 @@ class StretchEncoder:
         self.spaced: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def raw(self, stretches: list[str]) -> list[bytes]:
+    def raw(self, stretches: list[str], at_once: int = 2048) -> list[bytes]:
+        if len(stretches) > at_once:  # the library's results are large while they last
+            return [b for k in range(0, len(stretches), at_once) for b in self.raw(stretches[k : k + at_once])]
         if self.offsets:
             found = self.tokenizer.encode_batch(stretches, add_special_tokens=False)
             return [np.array([o[0] for o in e.offsets], "<u4").tobytes() for e in found]
@@ -58,7 +62,7 @@ class StretchEncoder:
         for text in texts:
             held.append(self.stretches(text))
             size += len(text)
-            if size > 2_000_000:  # characters held at once
+            if size > 500_000:  # characters held at once
                 yield from self.several(held)
                 held, size = [], 0
         yield from self.several(held)
