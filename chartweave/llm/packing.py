@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .common import cut, fresh
-from .tokens import StretchEncoder
+from .tokens import WholeTextEncoder
 
 #: A run of sequences that are filled alike: their number, and (length, how often) from offset 0 on.
 Run = tuple[int, list[tuple[int, int]]]
@@ -263,13 +263,13 @@ def token_pieces(df: DataFrame, path: str, capacity: int = 2048, *, text: str =
     schema = T.StructType([*(df.schema[c] for c in kept), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = StretchEncoder(path)
+        encoder = WholeTextEncoder(path)
         last = np.array([end_id], "<u4").tobytes()
         for batch in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):
             others = batch.select(kept)
             source, cells = [], [[] for _ in fields]
-            for at, (_, row) in enumerate(encoder([t or "" for t in batch.column(text).to_pylist()])):
-                raw = b"".join(row) + last
+            for at, t in enumerate(batch.column(text).to_pylist()):
+                raw = encoder(t or "").tobytes() + last
                 n = len(raw) // 4
                 start, piece = 0, 0
                 while start < n:

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from chartweave.llm.packing import best_plan, pack, plan, token_pieces
 from chartweave.llm.pieces import codec, decode_ids, encode_texts, piece_digests, utf8
-from chartweave.llm.tokens import StretchEncoder, joined, line_starts, section_token_counts, section_tokens, token_starts, with_ids
+from chartweave.llm.tokens import StretchEncoder, WholeTextEncoder, merge_ranks, joined, line_starts, section_token_counts, section_tokens, token_starts, with_ids
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -87,6 +87,16 @@ def test_stretches_equal_whole_texts(tokenizer):
         assert token_starts(*y).tolist() == [o[0] for o in e.offsets]
 
 
+def test_whole_texts_equal_the_library(tokenizer):
+    texts = ODD + random_texts(2000, 8) + ["a <|endoftext|> b", "x" * 20000, " " * 20000, "\n" * 5000 + "é" * 5000]
+    fast, cautious = WholeTextEncoder(BPE), WholeTextEncoder(BPE, longest=10)
+    for t in texts:
+        ids = tokenizer.encode(t, add_special_tokens=False).ids
+        assert fast(t).tolist() == ids and cautious(t).tolist() == ids
+    ranks = merge_ranks(BPE)
+    assert len(ranks) == 50256 and ranks[b" the"] == tokenizer.token_to_id("Ġthe")
+
+
 def test_section_counts(spark, tokenizer):
     texts = [None, "", "\n", "one line", "two\nlines\n", "a\n\n\nb é日\n x"] + random_texts(60, 5)
     df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, Section_ long")
