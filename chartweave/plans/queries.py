@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.norm import canonical, canonical_sql, clean_unit, leading_number, like_any, safe_file_name
-from ..operators import facts, labs, meds, retrieval, timeline
+from ..operators import facts, labs, meds, reports, retrieval, timeline
 from ..sources.adapters import table, with_tables
 from ..streaming import admission
 
@@ -375,3 +375,81 @@ def admissions(r):
 @query("r3_latest_status", "jobs", "SELECT document_id, arg_max(status, ts) AS status, count(*) AS n_events FROM c_jobs GROUP BY 1")
 def latest_status(j):
     return admission.latest_status(j)
+
+
+def _classified_sql() -> str:
+    parts = []
+    for i, (name, (least, mandatory, words)) in enumerate(rules.SUBTYPES.items()):
+        words = words.split(", ")
+        n = " + ".join(f"(regexp_matches(t, '\\b{reports.escaped(w)}\\b'))::INT" if len(w) <= 4 else f"contains(t, '{w}')::INT" for w in words)
+        must = " + ".join("(" + " OR ".join(f"contains(t, '{v}')" for v in m.split("|")) + ")::INT" for m in mandatory)
+        parts.append(f"SELECT document_id, '{name}' AS name, {i} AS o, n, must * 0.65::DOUBLE + least(1.0::DOUBLE, n / {reports.target(least, len(words))}::DOUBLE) * 0.35::DOUBLE AS score FROM (SELECT document_id, {n} AS n, ({must}) / {len(mandatory)}::DOUBLE AS must FROM lo) WHERE n >= {least}")
+    return ", lo AS (SELECT document_id, lower(text) AS t FROM c_reports), sc AS (" + " UNION ALL ".join(parts) + """)
+, b AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, o) AS k FROM sc)
+, cl AS (SELECT l.document_id, CASE WHEN round(coalesce(score, 0), 3) >= 0.8 THEN name ELSE 'Other' END AS document_type, round(coalesce(score, 0), 3) AS confidence, coalesce(n, 0) AS n_matched FROM lo l LEFT JOIN (SELECT * FROM b WHERE k = 1) b ON l.document_id = b.document_id)"""
+
+
+CLASSIFIED = _classified_sql()
+
+
+@query("c1_document_types", "reports", CLASSIFIED + " SELECT * FROM cl")
+def document_types(r):
+    return reports.classified(r)
+
+
+@query("c4_patient_names", "reports", r"""
+, f AS (SELECT document_id, regexp_extract(trim(text), '(?:patient name|patient|name)\s*:\s*([^\n\r,;:\t]+)', 1, 'i') AS s FROM c_reports)
+SELECT document_id, nullif(trim(regexp_replace(trim(string_split_regex(trim(s), '(?i)\s{2,}|\b(?:age|gender|sex|dob|date|phone)\b')[1]), '^(mr\.|ms\.|mrs\.)', '', 'i')), '') AS patient_name FROM f""")
+def patient_names(r):
+    return reports.patient_names(r)
+
+
+def typed(r):
+    return r.join(reports.classified(r).select("document_id", "document_type"), "document_id")
+
+
+LINES = CLASSIFIED + """
+, ln AS (SELECT document_id, document_type, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM c_reports JOIN cl USING (document_id))"""
+_cell = lambda x: "NULL::DOUBLE" if x is None else f"'{x}'" if isinstance(x, str) else f"{x}::DOUBLE"
+VALUES = LINES + r"""
+, mk(document_type, marker, pattern, unit, low, high) AS (VALUES """ + ", ".join("(" + ", ".join(map(_cell, m)) + ")" for m in rules.REPORT_MARKERS) + r""")
+, hi AS (SELECT ln.*, marker, unit, low, high, CASE WHEN document_type = 'CBC' THEN replace(regexp_extract(line, '(\d{1,3}(?:,\d{3})*(?:\.\d+)?|\.\d+)', 1), ',', '') ELSE regexp_extract(line, '(\d+(?:\.\d+)?)', 1) END AS value
+  FROM ln JOIN mk USING (document_type) WHERE regexp_matches(line, pattern, 'i'))
+, fi AS (SELECT *, row_number() OVER (PARTITION BY document_id, marker ORDER BY line_no) AS k FROM hi WHERE value <> '')
+, va AS (SELECT document_id, marker, value, CASE WHEN document_type <> 'CBC' THEN unit WHEN contains(lower(line), 'g/dl') THEN 'g/dL' WHEN contains(lower(line), '10^3') OR contains(lower(line), '10-3') THEN '10^3/uL' WHEN contains(lower(line), '10^6') OR contains(lower(line), 'millions') THEN '10^6/uL' ELSE unit END AS unit,
+  coalesce(value::DOUBLE < low, false) OR coalesce(value::DOUBLE > high, false) AS abnormal_flag FROM fi WHERE k = 1)"""
+
+
+@query("e1_e3_marker_values", "reports", VALUES + " SELECT * FROM va")
+def marker_values(r):
+    return reports.marker_values(typed(r))
+
+
+@query("e4_long_term_sugar", "reports", LINES + r"""
+, s AS (SELECT document_id, line_no, regexp_extract(regexp_replace(regexp_replace(line, 'hba1c', '', 'gi'), '1c', '', 'gi'), '(\d+(?:\.\d+)?)', 1) AS value FROM ln WHERE document_type = 'HbA1c' AND regexp_matches(line, 'hba1c|glycated', 'i'))
+SELECT document_id, value, value::DOUBLE >= 5.7 AS abnormal_flag FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY line_no) AS k FROM s WHERE value <> '') WHERE k = 1""")
+def long_term_sugar(r):
+    return reports.long_term_sugar(typed(r))
+
+
+@query("e5_prescribed_medicines", "reports", LINES + r"""
+, p AS (SELECT document_id, line_no, lower(line) AS low, trim(regexp_extract(line, '(\d+\s*(?:mg|ml|mcg|g|ug|tablet|capsule|tab|cap)\b)', 1, 'i')) AS d,
+  trim(regexp_replace(regexp_replace(trim(string_split_regex(line, '\b\d| - ')[1]), '^rx\b', '', 'i'), '^[^\w\s]+', '')) AS medicine_name FROM ln WHERE document_type = 'Prescription' AND regexp_matches(line, '\d') AND regexp_matches(line, 'tab|cap|mg|tablet|capsule|syrup|ointment', 'i'))
+SELECT document_id, line_no, medicine_name, CASE WHEN d = '' THEN '1 tablet' ELSE d END AS dosage, CASE WHEN contains(low, 'twice') OR contains(low, ' bd ') THEN 'Twice Daily' WHEN contains(low, 'thrice') OR contains(low, ' tid ') OR contains(low, 'three times') THEN 'Three Times Daily' ELSE 'Once Daily' END AS frequency FROM p WHERE length(medicine_name) >= 3""")
+def prescribed_medicines(r):
+    return reports.prescribed(typed(r))
+
+
+@query("e6_bill_totals", "reports", LINES + r"""
+, x AS (SELECT *, regexp_extract(line, '(\d+(?:\.\d+)?)', 1) AS x, lower(line) AS low FROM ln WHERE document_type = 'OP Bill')
+SELECT document_id, coalesce(arg_max(x, line_no) FILTER (contains(low, 'total') OR contains(low, 'paid') OR contains(low, 'net amount')), '0.00') AS total, arg_max(x, line_no) FILTER (contains(low, 'gst') OR contains(low, 'tax')) AS tax FROM x WHERE x <> '' GROUP BY 1""")
+def bill_totals(r):
+    return reports.bill_totals(typed(r))
+
+
+@query("d1_missing_markers", "reports", VALUES + """
+SELECT cl.document_id, a.marker FROM cl JOIN (VALUES ('CBC', 'HEMOGLOBIN'), ('CBC', 'WBC'), ('CBC', 'PLATELETS'), ('Lipid Profile', 'Cholesterol Total'), ('Lipid Profile', 'Triglycerides')) a(document_type, marker) USING (document_type)
+WHERE NOT EXISTS (SELECT 1 FROM va WHERE va.document_id = cl.document_id AND va.marker = a.marker)""")
+def missing_markers(r):
+    t = typed(r)
+    return reports.missing_markers(t, reports.marker_values(t))

@@ -67,6 +67,28 @@ TABLES = {
     "chunks": "SELECT doc_id AS document_id, text AS chunk_text, source AS patient_id FROM documents_",
     "questions": "SELECT conv_id * 1000 + turn AS question_id, 'src' || CAST(conv_id % 20 AS STRING) AS patient_id, text AS question FROM conversations WHERE role = 'user'",
 }
+#: Lines of invented reports by kind; $ is the quantity.
+REPORT_LINES = [
+    ["Haemoglobin : $.5 g/dl", "WBC count 1$,500 /cumm", "RBC $.1 millions", "Platelet count $0 10^3/uL", "MCV $ fl", "PCV $ %", "Lymphocytes $"],
+    ["Total Cholesterol $0 mg/dL", "Triglycerides $5", "HDL Cholesterol $", "LDL - $9", "Lipid profile, fasting", "VLDL $", "Remarks none"],
+    ["Rx Metformin $0 mg twice daily after food", "- Aspirin 81 mg once daily", "Cap Amoxil $5 mg tid after food", "Syrup Cough $ ml thrice", "take rest", "2 tab od", "Tablet Pan 4$ mg bd before food"],
+    ["HbA1c $.3 %", "Glycated hemoglobin report", "Estimated average glucose 1$", "", "HbA1c again 9", "", ""],
+    ["Bill No 77$", "Consultation fee 2$0", "Receipt charges", "CGST $", "Total amount 7$8.00", "Paid amount 7$8", ""],
+]
+
+
+def report_line(n: int) -> str:
+    texts = []
+    for kind in REPORT_LINES:
+        a, _, b = kind[n - 1].partition("$")
+        texts.append(f"'{a}' || CAST(CAST(l_quantity AS INT) AS STRING) || '{b}'" if "$" in kind[n - 1] else f"'{a}'")
+    kinds = " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(texts))
+    return f"max(CASE WHEN l_linenumber = {n} THEN CASE l_orderkey % 5 {kinds} END END)"
+
+
+TABLES["reports"] = f"""SELECT 'd' || CAST(l_orderkey AS STRING) AS document_id, concat_ws(chr(10),
+    CASE l_orderkey % 3 WHEN 0 THEN 'Patient Name : Mr. John ' || CAST(l_orderkey AS STRING) || '  Age: 40' WHEN 1 THEN 'name: Jane Roe, F' ELSE 'City Lab' END,
+    {", ".join(report_line(n) for n in range(1, 8))}) AS text FROM lineitem GROUP BY l_orderkey"""
 TABLES["chunks"] = TABLES["chunks"].replace("documents_", "documents")
 BASE = ["customer", "orders", "lineitem", "events", "conversations", "documents"]
 
