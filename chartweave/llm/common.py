@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -87,27 +89,48 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes:
-    """Stable 64-bit hashes of words (UTF-8 bytes), remembered for up to ``most`` words per task."""
+#: The six ASCII characters that part words, and a random number for every byte.
+IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * MIX)
+STRETCH = 1 << 20
 
-    def __init__(self, most: int = 400_000):
-        import xxhash
 
-        self.most, self.known, self.of = most, {}, xxhash.xxh3_64_intdigest
+@lru_cache(4)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of an odd factor and of its inverse, modulo 2^64."""
+    factor = int(MIX)
+    with np.errstate(over="ignore"):
+        return tuple(np.cumprod(np.append(np.uint64(1), np.full(n - 1, x, np.uint64))) for x in (factor, pow(factor, -1, 2**64)))
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """Stable 64-bit hashes of a text's words (UTF-8, parted by ASCII white space), in order.
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            pass
-        of = self.of
-        if len(known) >= self.most:
-            return np.fromiter((known[w] if w in known else of(w) for w in words), np.uint64, len(words))
-        for w in words:
-            if w not in known:
-                known[w] = of(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    A word's hash is a difference of running sums over the bytes. Texts of over a megabyte are taken in
+    stretches that end at white space.
+    """
+    if len(raw) > STRETCH:
+        parts, at = [], 0
+        while at < len(raw):
+            space = re.compile(rb"[\t-\r ]").search(raw, at + STRETCH)
+            end = space.end() if space else len(raw)
+            parts.append(hashed_words(raw[at:end]))
+            at = end
+        return np.concatenate(parts)
+    return hashed_words(raw)
+
+
+def hashed_words(raw: bytes) -> np.ndarray:
+    b = np.frombuffer(raw, np.uint8)
+    space = np.ones(len(b) + 2, bool)
+    space[1:-1] = IS_SPACE[b]
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    up, down = powers(max(4096, 1 << (len(b) + 1).bit_length()))
+    sums = np.zeros(len(b) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(BYTE_VALUES[b] * up[: len(b)], out=sums[1:])
+        return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def windows(word_hashes: np.ndarray, k: int) -> np.ndarray:
@@ -116,12 +139,18 @@ def windows(word_hashes: np.ndarray, k: int) -> np.ndarray:
     if n == 0:
         return np.zeros(0, np.uint64)
     k = min(k, n)
-    out = np.zeros(n - k + 1, np.uint64)
+    # runs of 1, 2, 4, ... words, and those that add up to k
+    out, done, power, size, factor = None, 0, word_hashes, 1, int(MIX)
     with np.errstate(over="ignore"):
-        for i in range(k):
-            out *= MIX
-            out += word_hashes[i : n - k + 1 + i]
-    return mix64(out)
+        while True:
+            if k & size:
+                part = power[done : n - k + 1 + done]
+                out = part.copy() if out is None else out * np.uint64(factor) + part
+                done += size
+            if done == k:
+                return mix64(out)
+            power = power[: len(power) - size] * np.uint64(factor) + power[size:]
+            size, factor = 2 * size, factor * factor % 2**64
 
 
 def int_list(rows: Iterable[Iterable[int]], kind: pa.DataType) -> pa.Array:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import WordHashes, cut, fresh, int_list, mix64, windows
+from .common import cut, fresh, int_list, mix64, windows, word_hashes
 from .components import components
 
 BANDS, ROWS = 24, 4
@@ -121,11 +121,10 @@ def signed(texts: DataFrame, node: str, text: str, keep: list[str]) -> DataFrame
     schema = T.StructType([*(texts.schema[c] for c in keep), *T._parse_datatype_string(SIGNED).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 some = batch.slice(at, 200)
-                bags = [shingle_bag(hashes((t or "").encode().split())) for t in some.column(text).to_pylist()]
+                bags = [shingle_bag(word_hashes((t or "").encode())) for t in some.column(text).to_pylist()]
                 full = signatures(bags)
                 empty = pa.array([not len(h) for h, _ in bags])
                 short = pa.array([x.tobytes() for x in short_form(full)], pa.binary())
@@ -154,8 +153,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs whose texts (``node``, ``text``) overlap by ``least`` or more as bags of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        bag = lru_cache(256)(lambda t: shingle_bag(hashes(t.encode().split())))
+        bag = lru_cache(256)(lambda t: shingle_bag(word_hashes(t.encode())))
         for batch in batches:
             keep = [overlap(bag(x), bag(y)) >= least for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
@@ -181,19 +179,18 @@ def joined_in_blocks(members: DataFrame, least: float, block: int = 256) -> Data
     two = left.join(right, "bucket").where(F.col("x") <= F.col("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1)
                 mx = row.column("mx").to_pylist()[0]
                 my = mx if row.column("x")[0] == row.column("y")[0] else row.column("my").to_pylist()[0]
-                a, b = block_links(mx, my, row.column("bucket")[0].as_py(), hashes, least)
+                a, b = block_links(mx, my, row.column("bucket")[0].as_py(), least)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     return two.select("bucket", "x", "y", "mx", "my").mapInArrow(run, "a binary, b binary")
 
 
-def block_links(mx: list[dict], my: list[dict], bucket: int, hashes: WordHashes, least: float) -> tuple[list[bytes], list[bytes]]:
+def block_links(mx: list[dict], my: list[dict], bucket: int, least: float) -> tuple[list[bytes], list[bytes]]:
     bx, by = (np.array([m["bands"] for m in ms], np.int64) for ms in (mx, my))
     sx, sy = (np.frombuffer(b"".join(m["signature"] for m in ms), np.uint8).reshape(-1, PLACES) for ms in (mx, my))
     parent: dict[bytes, bytes] = {}
@@ -207,7 +204,7 @@ def block_links(mx: list[dict], my: list[dict], bucket: int, hashes: WordHashes,
 
     def bag(m: dict) -> tuple[np.ndarray, np.ndarray]:
         if m["node"] not in bags:
-            bags[m["node"]] = shingle_bag(hashes(m["text"].encode().split()))
+            bags[m["node"]] = shingle_bag(word_hashes(m["text"].encode()))
         return bags[m["node"]]
 
     found: tuple[list[bytes], list[bytes]] = [], []

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 from chartweave.llm.components import components
 from chartweave.llm.neardup import PLACES, block_links, near_classes, one_of_each, op1_bag_minhash, overlap, shingle_bag, short_form, signatures
-from chartweave.llm.common import WordHashes
+from chartweave.llm.common import word_hashes
 from chartweave.llm.passages import aligned, chains, cut_words, repeated_passages, without_passages
 from chartweave.llm.vectors import linked_vectors
 
@@ -54,18 +54,33 @@ def near_corpus(rng):
     return texts
 
 
+def test_word_hashes(monkeypatch):
+    from chartweave.llm import common
+
+    rng = random.Random(0)
+    for stretch in (1 << 20, 16):
+        monkeypatch.setattr(common, "STRETCH", stretch)
+        seen = {}
+        for _ in range(300):
+            raw = "".join(rng.choice(["a", "b", "ab", " ", "\n", "\t", "\x1c", "\x85", "é", "\x00"]) for _ in range(rng.randint(0, 60))).encode()
+            got = word_hashes(raw).tolist()
+            assert len(got) == len(raw.split())
+            for w, h in zip(raw.split(), got, strict=True):
+                assert seen.setdefault(w, h) == h
+        assert len(set(seen.values())) == len(seen) > 300
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = random.Random(1)
-    hashes = WordHashes()
     a = [w.encode() for w in prose(rng, 400)] + [b"again"] * 90
     b = a[:300] + [b"again"] * 40 + [w.encode() for w in prose(rng, 60)]
-    x, y = (shingle_bag(hashes(w)) for w in (a, b))
+    x, y = (shingle_bag(word_hashes(b" ".join(w))) for w in (a, b))
     assert x[1].max() > 50
     one, two = signatures([x, y], 4096)
     assert np.isfinite(one).all() and np.isfinite(two).all()
     assert abs((one == two).mean() - overlap(x, y)) < 4 * (0.25 / 4096) ** 0.5
     assert (signatures([x, x])[0] == signatures([y, x])[1]).all()
-    assert np.isinf(signatures([shingle_bag(hashes([]))])).all()
+    assert np.isinf(signatures([shingle_bag(word_hashes(b" "))])).all()
 
 
 def test_near_classes(spark):
@@ -95,11 +110,10 @@ def test_blocks_join_components():
     rng = random.Random(3)
     base = prose(rng, 100)
     texts = [" ".join(base[:i] + ["x"] + base[i + 1 :]) for i in range(0, 100, 10)] + [" ".join(prose(rng, 50))]
-    hashes = WordHashes()
-    short = short_form(signatures([shingle_bag(hashes(t.encode().split())) for t in texts]))
+    short = short_form(signatures([shingle_bag(word_hashes(t.encode())) for t in texts]))
     members = [{"node": bytes([i]), "component": bytes([i]), "signature": s.tobytes(), "bands": [7, 9], "text": t} for i, (t, s) in enumerate(zip(texts, short, strict=True))]
-    assert block_links(members, members, 9, hashes, 0.8) == ([], [])  # compared in bucket 7
-    a, b = block_links(members, members, 7, hashes, 0.8)
+    assert block_links(members, members, 9, 0.8) == ([], [])  # compared in bucket 7
+    a, b = block_links(members, members, 7, 0.8)
     assert len(a) == len(b) == 9 and bytes([10]) not in a + b and short.shape[1] == PLACES
 
 
