@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.norm import canonical, canonical_sql, clean_unit, leading_number, like_any, safe_file_name
-from ..operators import facts, labs, meds, reports, retrieval, timeline
+from ..operators import facts, intake, labs, meds, reports, retrieval, timeline
 from ..sources.adapters import table, with_tables
 from ..streaming import admission
 
@@ -453,3 +453,88 @@ WHERE NOT EXISTS (SELECT 1 FROM va WHERE va.document_id = cl.document_id AND va.
 def missing_markers(r):
     t = typed(r)
     return reports.missing_markers(t, reports.marker_values(t))
+
+
+@query("s1_s2_uploads", "uploads", """
+SELECT id, m AS mime_type, sha256(unhex(content_hex)) AS sha256, m IS NOT NULL AND length(content_hex) > 0 AND length(content_hex) <= 2 * 20971520 AS accepted FROM (SELECT *, CASE WHEN starts_with(content_hex, '25504446') THEN 'application/pdf'
+WHEN starts_with(content_hex, 'FFD8FF') THEN 'image/jpeg' WHEN starts_with(content_hex, '89504E47') THEN 'image/png' WHEN starts_with(content_hex, '52494646') AND substr(content_hex, 17, 8) = '57454250' THEN 'image/webp' END AS m FROM c_uploads)""")
+def uploads(u):
+    return intake.admitted_uploads(u.withColumn("content", F.unhex("content_hex"))).select("id", "mime_type", "sha256", "accepted")
+
+
+@query("f7_token_states", "tokens", "SELECT id, CASE WHEN revoked_at IS NOT NULL THEN 'revoked' WHEN expires_at < TIMESTAMP '2024-01-10' THEN 'expired' ELSE 'valid' END AS state FROM c_tokens")
+def token_states(t):
+    return intake.token_states(t, "2024-01-10").select("id", "state")
+
+
+@query("f8_disclosure", "patients config", "SELECT p.id, CASE WHEN coalesce(show_full_name, true) THEN full_name ELSE 'Redacted / Hidden' END AS full_name, CASE WHEN coalesce(show_blood_group, true) THEN blood_group ELSE 'Redacted / Hidden' END AS blood_group FROM c_patients p LEFT JOIN c_config c ON p.id = c.patient_id")
+def disclosure(p, c):
+    return intake.disclosed(p, c, ["full_name", "blood_group"])
+
+
+BLOCKS = """
+, bl AS (SELECT document_id, page, block, string_agg(text, ' ' ORDER BY word_no, text) AS text, min(x) AS x, min(y) AS y, max(x + w) AS "right", max(y + h) AS bottom, round(coalesce(avg(confidence) FILTER (confidence >= 0), 0.8), 6) AS confidence FROM c_words GROUP BY 1, 2, 3)"""
+
+
+@query("a9_scan_blocks", "words", BLOCKS + " SELECT * FROM bl")
+def scan_blocks(w):
+    return intake.blocks(w, 6)
+
+
+@query("a10_a18_document_texts", "words", BLOCKS + """
+, pg AS (SELECT document_id, page, string_agg(text, chr(10) ORDER BY block) AS text, sum(confidence) AS s, count(*) AS n FROM bl GROUP BY 1, 2)
+SELECT document_id, string_agg(text, chr(10) || chr(10) ORDER BY page) AS text, round(sum(s) / sum(n), 5) AS confidence FROM pg GROUP BY 1""")
+def document_texts(w):
+    return intake.document_texts(intake.blocks(w, 6), 5)
+
+
+@query("a11_split_states", "regions", "SELECT document_id, count(*) AS n, CASE WHEN min(coalesce(confidence, 1.0)) < 0.85 THEN 'awaiting_split_review' ELSE 'split' END AS state FROM c_regions GROUP BY 1 HAVING count(*) > 1")
+def split_states(r):
+    return intake.split_states(r)
+
+
+@query("x14_region_documents", "regions", "SELECT document_id, region_id, k AS document_index, 'region_' || k || '_' || file_name AS file_name FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY y, x, region_id) - 1 AS k FROM c_regions)")
+def region_documents(r):
+    return intake.region_documents(r).select("document_id", "region_id", "document_index", "file_name")
+
+
+@query("s4_n1_payload_facts", "payloads", """
+, ok AS (SELECT document_id, CASE WHEN json_valid(payload) THEN payload END AS p FROM c_payloads), x AS (SELECT document_id, json_extract_string(p, '$.documentType') AS document_type, unnest(range(json_array_length(p, '$.labResults')::BIGINT)) AS position, p FROM ok WHERE json_extract_string(p, '$.documentType') IS NOT NULL)
+SELECT document_id, document_type, position, json_extract_string(p, '$.labResults[' || position || '].testName') AS test_name, json_extract_string(p, '$.labResults[' || position || '].value') AS value, sha256(document_id || '|lab|' || position) AS record_id FROM x""")
+def payload_facts(p):
+    return intake.payload_facts(p)[0]
+
+
+@query("s4_payload_rejects", "payloads", "SELECT document_id FROM c_payloads WHERE CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.documentType') END IS NULL")
+def payload_rejects(p):
+    return intake.payload_facts(p)[1]
+
+
+@query("a8_coverage", "payloads chunks", """
+, s AS (SELECT document_id, CASE WHEN json_valid(payload) THEN list_distinct(list_transform(from_json(json_extract(payload, '$.labResults[*].sourceText'), '["VARCHAR"]'), lambda v: lower(trim(v)))) ELSE [] END AS sources FROM c_payloads)
+, b AS (SELECT document_id, list_filter(list_transform(string_split(chunk_text, chr(10)), lambda v: lower(trim(v))), lambda v: length(v) > 5) AS blocks FROM c_chunks)
+, m AS (SELECT document_id, len(blocks) AS total, len(list_filter(blocks, lambda k: len(list_filter(coalesce(sources, []), lambda v: contains(v, k) OR contains(k, v))) > 0)) AS mapped FROM b JOIN s USING (document_id))
+SELECT document_id, total, mapped, total - mapped AS unmapped FROM m""")
+def coverage(p, c):
+    return intake.coverage(p, c.select("document_id", F.col("chunk_text").alias("text")))
+
+
+@query("n3_corrections", "payloads")
+def corrections(p):
+    fixed = F.regexp_replace(F.regexp_replace("payload", '"value": "1"', '"value": "2"'), "LAB_REPORT", F.when(F.col("document_id") % 3 == 0, "OTHER").otherwise("LAB_REPORT"))
+    return intake.corrections(p.where(F.get_json_object("payload", "$.documentType").isNotNull()).select("document_id", F.col("payload").alias("old"), fixed.alias("new")))
+
+
+INTENTS = {"is_meds": ["medic", "drug", "de "], "is_labs": ["test", "lab", "the "], "is_hospital": ["hospital", "doctor", "un "]}
+
+
+@query("q2_question_intents", "questions", "SELECT question_id, " + ", ".join(f"({' OR '.join(f'contains(lower(question), {chr(39)}{w}{chr(39)})' for w in ws)}) AS {k}" for k, ws in INTENTS.items()) + " FROM c_questions")
+def question_intents(q):
+    return intake.question_intents(q, INTENTS)
+
+
+@query("x10_query_terms", "questions", r"SELECT question_id, array_to_string(list_filter(string_split_regex(regexp_replace(lower(question), '[^a-z0-9_\s]', '', 'g'), '\s+'), lambda t: length(t) > 3), ' ') AS terms FROM c_questions")
+def terms(q):
+    from ..functions.norm import query_terms
+
+    return q.select("question_id", F.array_join(query_terms(F.col("question")), " ").alias("terms"))

@@ -89,6 +89,16 @@ def report_line(n: int) -> str:
 TABLES["reports"] = f"""SELECT 'd' || CAST(l_orderkey AS STRING) AS document_id, concat_ws(chr(10),
     CASE l_orderkey % 3 WHEN 0 THEN 'Patient Name : Mr. John ' || CAST(l_orderkey AS STRING) || '  Age: 40' WHEN 1 THEN 'name: Jane Roe, F' ELSE 'City Lab' END,
     {", ".join(report_line(n) for n in range(1, 8))}) AS text FROM lineitem GROUP BY l_orderkey"""
+HEADS = ["25504446", "FFD8FF", "89504E47", "5249464600000000" + "57454250", "00"]
+TABLES |= {
+    "uploads": f"SELECT doc_id AS id, {pick('doc_id', HEADS)} || CASE WHEN doc_id % 23 = 0 THEN '' ELSE hex(text) END AS content_hex FROM documents",
+    "tokens": "SELECT event_id AS id, ts AS expires_at, CASE WHEN user_id % 6 = 0 THEN ts END AS revoked_at FROM events",
+    "config": "SELECT CAST(c_custkey AS STRING) AS patient_id, c_custkey % 2 = 0 AS show_full_name, c_custkey % 3 = 0 AS show_blood_group FROM customer WHERE c_custkey % 5 < 3",
+    "words": "SELECT 'd' || CAST(l_orderkey AS STRING) AS document_id, l_suppkey % 3 AS page, l_linenumber % 2 AS block, l_partkey * 1000 + l_suppkey AS word_no, 'w' || CAST(l_partkey AS STRING) AS text, l_partkey % 500 AS x, l_suppkey % 700 AS y, CAST(l_quantity AS INT) AS w, 12 AS h, CASE WHEN l_partkey % 10 = 0 THEN -1.0 ELSE l_discount END AS confidence FROM lineitem",
+    "regions": "SELECT 'd' || CAST(l_orderkey AS STRING) AS document_id, 'g' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS region_id, l_partkey % 500 AS x, l_suppkey % 7 AS y, CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE 0.8 + l_discount END AS confidence, 'scan.pdf' AS file_name FROM lineitem",
+    "payloads": """SELECT doc_id AS document_id, CASE WHEN doc_id % 19 = 0 THEN '{"labResults": [' WHEN doc_id % 17 = 0 THEN '{"labResults": []}' ELSE
+        '{"documentType": "LAB_REPORT", "labResults": [{"testName": "T' || CAST(doc_id % 5 AS STRING) || '", "value": "' || CAST(n_chars AS STRING) || '", "sourceText": "the"}, {"testName": "Hb", "value": "1", "sourceText": " ' || lang || 't"}]}' END AS payload FROM documents""",
+}
 TABLES["chunks"] = TABLES["chunks"].replace("documents_", "documents")
 BASE = ["customer", "orders", "lineitem", "events", "conversations", "documents"]
 
