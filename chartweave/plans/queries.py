@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.norm import canonical, canonical_sql, clean_unit, leading_number, like_any, safe_file_name
-from ..operators import facts, intake, labs, meds, reports, retrieval, timeline
+from ..operators import facts, intake, labs, meds, reports, retrieval, summaries, timeline
 from ..sources.adapters import table, with_tables
 from ..streaming import admission
 
@@ -538,3 +538,91 @@ def terms(q):
     from ..functions.norm import query_terms
 
     return q.select("question_id", F.array_join(query_terms(F.col("question")), " ").alias("terms"))
+
+
+@query("j11_citations", "diagnoses documents", "SELECT x.id, coalesce(d.file_name, 'Medical Document') AS title FROM c_diagnoses x LEFT JOIN (SELECT * FROM c_documents WHERE NOT is_deleted) d ON d.id = x.source_document_id")
+def citations(x, d):
+    return summaries.cited(x, d.where("not is_deleted")).select("id", "title")
+
+
+@query("j1_dated_facts", "labs records", "SELECT id, event_date FROM c_labs LEFT JOIN c_records USING (record_id)")
+def dated_facts(l, r):
+    return summaries.dated(l, r).select("id", "event_date")
+
+
+@query("j2_titled_timeline", TIMELINE_TABLES, TIMELINE + " SELECT t.id, coalesce(d.file_name, 'Medical Document') AS document_name FROM t LEFT JOIN c_documents d ON d.id = t.source_document_id")
+def titled_timeline(r, d, *kinds):
+    return summaries.cited(timeline.events(r, d, *kinds), d).select("id", F.col("title").alias("document_name"))
+
+
+@query("f17_review_queue", "documents", "SELECT patient_id, count(*) AS waiting, min(created_on) AS oldest FROM c_documents WHERE processing_status = 'awaiting_review' AND NOT is_deleted GROUP BY 1")
+def review_queue(d):
+    return summaries.review_queue(d)
+
+
+_dash = lambda col: f"coalesce('- ' || {col}, 'None')"
+
+
+@query("a14_memory_texts", "patients diagnoses medications", f"""
+, dx AS (SELECT patient_id, string_agg(n, chr(10) || '- ' ORDER BY n) AS s FROM (SELECT DISTINCT patient_id, {canonical_sql("name", "diagnosis")} AS n FROM c_diagnoses WHERE {SURE} AND is_chronic) GROUP BY 1)
+, rx AS (SELECT patient_id, string_agg(n, chr(10) || '- ' ORDER BY n) AS s FROM (SELECT DISTINCT patient_id, {canonical_sql("medicine_name", "medication")} || ' (' || coalesce(strength, 'N/A') || ')' AS n FROM c_medications WHERE {SURE} AND (end_date IS NULL OR contains(lower(duration), 'ongoing') OR contains(lower(duration), 'chronic'))) GROUP BY 1)
+, al AS (SELECT id, string_agg(a, chr(10) || '- ' ORDER BY k) AS s FROM (SELECT id, trim(unnest(string_split(allergies, '|'))) AS a, generate_subscripts(string_split(allergies, '|'), 1) AS k FROM c_patients) WHERE a <> '' GROUP BY 1)
+SELECT p.id AS patient_id, '[PATIENT COMPACT CLINICAL MEMORY]' || chr(10) || 'Patient Name: ' || full_name || chr(10) || 'Blood Group: ' || coalesce(blood_group, 'N/A') || chr(10) || chr(10) || 'Active Chronic Conditions:' || chr(10) || {_dash("dx.s")} || chr(10) || chr(10)
+ || 'Active Long-term Medications:' || chr(10) || {_dash("rx.s")} || chr(10) || chr(10) || 'Known Allergies:' || chr(10) || {_dash("al.s")} AS memory FROM c_patients p LEFT JOIN dx ON dx.patient_id = p.id LEFT JOIN rx ON rx.patient_id = p.id LEFT JOIN al ON al.id = p.id""")
+def memory_texts(p, d, m):
+    return summaries.memories(p, facts.verified(d), facts.verified(m))
+
+
+@query("j12_emergency_conditions", "patients diagnoses", """
+SELECT id AS patient_id, manual_condition AS name, 'patient-entered' AS provenance FROM c_patients WHERE manual_condition IS NOT NULL UNION ALL
+SELECT patient_id, name, 'document-verified' FROM (SELECT DISTINCT patient_id, name FROM c_diagnoses WHERE is_chronic AND verification_status = 'verified') x WHERE NOT EXISTS (SELECT 1 FROM c_patients p WHERE p.id = x.patient_id AND lower(p.manual_condition) = lower(x.name))""")
+def emergency_conditions(p, d):
+    return summaries.emergency_conditions(p, d)
+
+
+@query("w7_version_ends", "versions", "SELECT document_id, arg_min(event_id, ts) AS first_id, arg_max(event_id, ts) AS latest_id, count(*) AS n FROM c_versions GROUP BY 1")
+def version_ends(v):
+    return summaries.version_ends(v)
+
+
+@query("j20_session_context", "requests sessions", """
+SELECT 's' || event_id AS session_id, coalesce(reason_category, 'General Consultation') AS reason, coalesce(problem_location, 'Not specified') AS place, coalesce(description, '') AS description FROM c_requests r LEFT JOIN c_sessions s ON s.session_id = 's' || r.event_id""")
+def session_context(r, s):
+    return summaries.session_context(r.select(F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("session_id")), s)
+
+
+@query("d3_lab_errors", "labs records", r"""
+SELECT id, 'value' AS field, 'warning' AS severity FROM c_labs WHERE NOT regexp_matches(value, '\d') UNION ALL SELECT id, 'test_date', 'error' FROM c_labs JOIN c_records USING (record_id) WHERE test_date > event_date""")
+def lab_errors(l, r):
+    return summaries.lab_errors(summaries.dated(l, r))
+
+
+TERMS_SQL = r", q AS (SELECT question_id, patient_id, list_filter(string_split_regex(regexp_replace(lower(question), '[^a-z0-9_\s]', '', 'g'), '\s+'), lambda t: length(t) > 3) AS terms FROM c_questions)"
+
+
+@query("t5_first_mentions", "questions chunks", TERMS_SQL + " SELECT question_id, min(document_id) AS document_id FROM q JOIN c_chunks USING (patient_id) WHERE len(list_filter(terms, lambda t: contains(lower(chunk_text), t))) > 0 GROUP BY 1")
+def first_mentions(q, c):
+    return summaries.searched(c, with_terms(q))
+
+
+@query("q1_absent_topics", "questions chunks", TERMS_SQL + " SELECT question_id, NOT EXISTS (SELECT 1 FROM c_chunks c WHERE c.patient_id = q.patient_id AND len(list_filter(q.terms, lambda t: contains(lower(c.chunk_text), t))) > 0) AS is_absent FROM q")
+def absent_topics(q, c):
+    return summaries.absent(with_terms(q), c)
+
+
+def with_terms(questions: DataFrame) -> DataFrame:
+    from ..functions.norm import query_terms
+
+    return questions.select("question_id", "patient_id", query_terms(F.col("question")).alias("terms"))
+
+
+@query("j15_feedback_rows", "chunks payloads", """
+SELECT document_id, chunk_text AS original_ocr, payload AS original, replace(payload, '"value": "1"', '"value": "2"') AS corrected, 1 AS version, 1.0::DOUBLE AS confidence FROM c_chunks JOIN c_payloads USING (document_id) WHERE contains(payload, '"value": "1"')""")
+def feedback_rows(c, p):
+    fixed = p.withColumn("payload", F.replace("payload", F.lit('"value": "1"'), F.lit('"value": "2"')))
+    return summaries.feedback(c, p, fixed)
+
+
+@query("t4_newest_sessions", "requests", "SELECT user_id, event_id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM c_requests) WHERE place <= 3")
+def newest_sessions(r):
+    return summaries.newest(r, "user_id", "ts", "event_id", 3).select("user_id", "event_id", "place")
