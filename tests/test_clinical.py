@@ -178,3 +178,33 @@ def test_registered_queries_have_unique_columns(spark):
     for name in ["a3_lab_panels", "g6_safety_alerts", "j14_relevant_history"]:
         df = QUERIES[name](spark, "/root/testdata/sf0.001")
         assert len(set(df.columns)) == len(df.columns) and df.count() > 0
+
+
+def test_rebuild_replaces_touched_buckets_only(spark, tmp_path):
+    from chartweave.operators import summaries
+
+    path = str(tmp_path / "t")
+    all_rows = spark.createDataFrame([(str(i), "old") for i in range(50)], "patient_id string, v string")
+    summaries.rebuild(all_rows, path, 8)
+    of = spark.createDataFrame([(str(i), f"k{i}") for i in range(50)], "patient_id string, record_id string")
+    again = summaries.touched(spark.createDataFrame([("k7",)], "record_id string"), of)
+    ids = {r.patient_id for r in again.collect()}
+    assert "7" in ids and len(ids) < 50
+    buckets = {r.patient_bucket for r in summaries.bucketed(again).select("patient_bucket").distinct().collect()}
+    assert len(buckets) == 1
+    summaries.rebuild(again.withColumn("v", F.lit("new")), path, summaries.BUCKETS)
+    summaries.appended(all_rows.limit(1), str(tmp_path / "log"))
+    summaries.appended(all_rows.limit(1), str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+
+
+def test_payloads(spark):
+    from chartweave.operators import intake
+
+    assert intake.changes({"a": {"b": 1, "c": [1]}, "d": 2}, {"a": {"b": 2, "c": [1]}, "e": "x"}) == [("a.b", "1", "2"), ("d", "2", None), ("e", None, '"x"')]
+    df = spark.createDataFrame([("1", '{"documentType": "LAB", "labResults": [{"testName": "Hb", "value": "9"}]}'), ("2", "{"), ("3", None), ("4", '{"labResults": []}')], "document_id string, payload string")
+    good, bad = intake.payload_facts(df)
+    assert [(r.document_id, r.test_name, r.value) for r in good.collect()] == [("1", "Hb", "9")]
+    assert sorted(r.document_id for r in bad.collect()) == ["2", "3", "4"]
+    files = spark.createDataFrame([(bytes.fromhex("255044462d"),), (bytes.fromhex("89504e47"),), (b"other",), (b"",)], "content binary")
+    assert [(r.mime_type, r.accepted) for r in intake.admitted_uploads(files).collect()] == [("application/pdf", True), ("image/png", True), (None, False), (None, False)]
