@@ -180,22 +180,36 @@ def test_registered_queries_have_unique_columns(spark):
         assert len(set(df.columns)) == len(df.columns) and df.count() > 0
 
 
-def test_rebuild_replaces_touched_buckets_only(spark, tmp_path):
+def test_review_stream_rebuilds_touched_buckets(spark, tmp_path):
     from chartweave.operators import summaries
-
-    path = str(tmp_path / "t")
-    all_rows = spark.createDataFrame([(str(i), "old") for i in range(50)], "patient_id string, v string")
-    summaries.rebuild(all_rows, path, 8)
-    of = spark.createDataFrame([(str(i), f"k{i}") for i in range(50)], "patient_id string, record_id string")
-    again = summaries.touched(spark.createDataFrame([("k7",)], "record_id string"), of)
-    ids = {r.patient_id for r in again.collect()}
-    assert "7" in ids and len(ids) < 50
-    buckets = {r.patient_bucket for r in summaries.bucketed(again).select("patient_bucket").distinct().collect()}
-    assert len(buckets) == 1
-    summaries.rebuild(again.withColumn("v", F.lit("new")), path, summaries.BUCKETS)
-    summaries.appended(all_rows.limit(1), str(tmp_path / "log"))
-    summaries.appended(all_rows.limit(1), str(tmp_path / "log"))
-    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+    from chartweave.streaming import refresh
+
+    path, reviews = str(tmp_path / "t"), str(tmp_path / "reviews")
+    people = spark.createDataFrame([(str(i), f"k{i}") for i in range(40)], "patient_id string, record_id string")
+    summaries.rebuild(people.select("patient_id").withColumn("v", F.lit("old")), path)
+    spark.createDataFrame([("k7",), (None,)], "record_id string").write.parquet(reviews)
+    stream = spark.readStream.schema("record_id string").parquet(reviews)
+    writer = refresh.refreshed(stream, people, lambda p: p.withColumn("v", F.lit("new")), path)
+    writer.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
+    rows = spark.read.parquet(path).collect()
+    assert len(rows) == 40
+    new = {r.patient_id for r in rows if r.v == "new"}
+    assert "7" in new and len({r.patient_bucket for r in rows if r.v == "new"}) == 1
+    assert all(r.v == "old" for r in rows if r.patient_id not in new)
+
+
+def test_document_stream_keeps_first_of_each_content(spark, tmp_path):
+    from chartweave.streaming import refresh
+
+    source, table = str(tmp_path / "in"), str(tmp_path / "documents")
+    schema = "id string, patient_id string, sha256_hash string, created_at timestamp"
+    t = dt.datetime(2026, 1, 1)
+    for rows in ([("a", "p", "h", t), ("b", "p", "h", t), ("c", "q", "h", t)], [("d", "p", "h", t + dt.timedelta(days=9)), ("e", "p", "i", t + dt.timedelta(days=9))]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        writer = refresh.new_documents(spark.readStream.schema(schema).parquet(source), table)
+        writer.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
+    got = [(r.patient_id, r.sha256_hash) for r in spark.read.parquet(table).collect()]
+    assert sorted(got) == [("p", "h"), ("p", "i"), ("q", "h")]
 
 
 def test_payloads(spark):
