@@ -626,3 +626,62 @@ def feedback_rows(c, p):
 @query("t4_newest_sessions", "requests", "SELECT user_id, event_id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM c_requests) WHERE place <= 3")
 def newest_sessions(r):
     return summaries.newest(r, "user_id", "ts", "event_id", 3).select("user_id", "event_id", "place")
+
+
+@query("x6_same_identity", "patients", "SELECT a.id, contains(x, y) OR contains(y, x) AS same FROM (SELECT id, regexp_replace(lower(full_name), '[^a-z0-9]', '', 'g') AS x, regexp_replace(lower('customer ' || id), '[^a-z0-9]', '', 'g') AS y FROM c_patients) a")
+def same_identity(p):
+    from ..functions import norm
+
+    return p.select("id", norm.same_identity(F.col("full_name"), F.concat(F.lit("Customer "), "id")).alias("same"))
+
+
+@query("x8_shown_dates", "documents", "SELECT id, strftime(created_on, '%b %-d, %Y') AS shown FROM c_documents")
+def shown_dates(d):
+    from ..functions import norm
+
+    return d.select("id", norm.shown_date(F.col("created_on").cast("string")).alias("shown"))
+
+
+@query("f14_hospital_documents", "documents", "SELECT id FROM c_documents WHERE processing_status IN ('completed', 'awaiting_review') AND (lower(category) = 'discharge summary' OR contains(lower(file_name), 'discharge'))")
+def hospital_documents(d):
+    stay = (F.lower("category") == "discharge summary") | F.lower("file_name").contains("discharge")
+    return d.where(F.col("processing_status").isin("completed", "awaiting_review") & stay).select("id")
+
+
+@query("f6_document_vault", "documents", "SELECT id FROM c_documents WHERE contains(lower(file_name), 'rx') AND category = 'op_bill_receipt' AND processing_status NOT IN ('completed', 'awaiting_review', 'failed') AND NOT is_deleted")
+def document_vault(d):
+    open_ = ~F.col("processing_status").isin("completed", "awaiting_review", "failed")
+    return d.where(F.lower("file_name").contains("rx") & (F.col("category") == "op_bill_receipt") & open_ & ~F.col("is_deleted")).select("id")
+
+
+@query("f15_restricted_texts", "questions", f"SELECT question_id, {like_any('lower(question)', intake.RESTRICTED + ['cause '])} AS is_restricted FROM c_questions")
+def restricted_texts(q):
+    return q.select("question_id", (intake.restricted(F.col("question")) | F.lower("question").contains("cause ")).alias("is_restricted"))
+
+
+@query("a15_memory_lists", "diagnoses medications", f"""
+SELECT patient_id, 'condition' AS kind, {canonical_sql("name", "diagnosis")} AS name FROM c_diagnoses WHERE {SURE} AND is_chronic GROUP BY ALL UNION ALL
+SELECT patient_id, 'medication', {canonical_sql("medicine_name", "medication")} FROM c_medications WHERE {SURE} AND (end_date IS NULL OR contains(lower(coalesce(duration, '')), 'ongoing') OR contains(lower(coalesce(duration, '')), 'chronic')) GROUP BY ALL""")
+def memory_lists(d, m):
+    dx = facts.verified(d).where("is_chronic").select("patient_id", F.lit("condition").alias("kind"), canonical(F.col("name"), "diagnosis").alias("name")).distinct()
+    duration = F.lower(F.coalesce("duration", F.lit("")))
+    lasting = F.col("end_date").isNull() | duration.contains("ongoing") | duration.contains("chronic")
+    rx = facts.verified(m).where(lasting).select("patient_id", F.lit("medication").alias("kind"), canonical(F.col("medicine_name"), "medication").alias("name")).distinct()
+    return dx.unionByName(rx)
+
+
+@query("a17_document_summaries", "payloads", """
+, ok AS (SELECT document_id, CASE WHEN json_valid(payload) THEN payload END AS p FROM c_payloads)
+SELECT document_id, json_extract_string(p, '$.documentType') AS event_type, 'Contains ' || coalesce(json_array_length(p, '$.labResults'), 0) || ' lab results.' AS summary FROM ok WHERE json_extract_string(p, '$.documentType') IS NOT NULL""")
+def document_summaries(p):
+    read = p.withColumn("p", F.from_json("payload", intake.PAYLOAD)).where("p.documentType is not null")
+    n = F.coalesce(F.size("p.labResults"), F.lit(0))
+    return read.select("document_id", F.col("p.documentType").alias("event_type"), F.concat(F.lit("Contains "), n.cast("string"), F.lit(" lab results.")).alias("summary"))
+
+
+@query("j18_question_records", "sessions diagnoses", """
+, q AS (SELECT session_id AS question_id, patient_id, lower(coalesce(description, '') || ' ' || coalesce(problem_location, '') || ' gout asthma and htn') AS q FROM c_sessions)
+SELECT DISTINCT question_id, name FROM q JOIN c_diagnoses d USING (patient_id) WHERE contains(q, lower(name)) OR len(list_filter(string_split_regex(lower(name), '\\s+'), lambda w: length(w) > 3 AND contains(q, w))) > 0""")
+def question_records(s, d):
+    text = F.concat(F.coalesce("description", F.lit("")), F.lit(" "), F.coalesce("problem_location", F.lit("")), F.lit(" gout asthma and htn"))
+    return intake.question_records(s.select(F.col("session_id").alias("question_id"), "patient_id", text.alias("question")), d)
