@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -120,3 +122,45 @@ def missing_markers(reports: DataFrame, values: DataFrame) -> DataFrame:
     table = reports.sparkSession.createDataFrame(asked, "document_type string, marker string")
     want = reports.select("document_id", "document_type").join(F.broadcast(table), "document_type").select("document_id", "marker")
     return want.join(values.select("document_id", "marker"), ["document_id", "marker"], "left_anti")
+
+
+UNITS = "|".join([*rules.UNIT_FORMS, *(re.escape(u) for u in dict.fromkeys(u.lower() for u in rules.PLAIN_UNITS))])
+MEASURED = re.compile(rf"(\d+(?:[.,]\d+)?)\s*[.\-\s]*({UNITS})(?![a-zA-Z0-9])", re.I)
+BEFORE = re.compile(r"([^\n|;()]+?)[|*\-–—\s]*\Z")
+VALUES = "document_id string, position int, test_name string, value string, unit string, status string"
+
+
+def clean_lab_unit(unit: str) -> bool:
+    return unit in rules.PLAIN_UNITS or bool(re.fullmatch(r"(?:x|10\^)?10\^\d+/(?:ul|cumm)", unit, re.I))
+
+
+def named_values(text: str) -> list[tuple[str, str, str, str]]:
+    """(name, value, unit, status) of numbers with units: the name stands before, up to a line end, bar, semicolon or bracket.
+
+    Of equal names the first counts; names of over 60 characters keep their last four words.
+    """
+    out, seen, start = [], set(), 0
+    for m in MEASURED.finditer(text):
+        # the nearest stretch before the number, at most what is left since the value before
+        head = BEFORE.search(text, max(start, m.start() - 400), m.start())
+        start = m.end()
+        if not head:
+            continue
+        name = re.sub(r"[:\-\s*+/()]+\Z", "", re.sub(r"\A[*\-–—+\s:/()]+", "", head[1].strip()))
+        if len(name) > 60:
+            name = " ".join(name.split()[-4:])
+        key = " ".join(name.lower().split())
+        if len(name) >= 3 and key not in seen:
+            seen.add(key)
+            out.append((name, m[1].replace(",", "."), m[2], "normalized" if clean_lab_unit(m[2]) else "needs_review"))
+    return out
+
+
+def lab_values(reports: DataFrame) -> DataFrame:
+    """Lab values anywhere in the texts, in order."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = [(i, k, *v) for i, t in zip(pdf["document_id"], pdf["text"], strict=True) if t for k, v in enumerate(named_values(t))]
+            yield pd.DataFrame(rows, columns=["document_id", "position", "test_name", "value", "unit", "status"])
+
+    return reports.select("document_id", "text").mapInPandas(run, VALUES)

@@ -685,3 +685,8 @@ SELECT DISTINCT question_id, name FROM q JOIN c_diagnoses d USING (patient_id) W
 def question_records(s, d):
     text = F.concat(F.coalesce("description", F.lit("")), F.lit(" "), F.coalesce("problem_location", F.lit("")), F.lit(" gout asthma and htn"))
     return intake.question_records(s.select(F.col("session_id").alias("question_id"), "patient_id", text.alias("question")), d)
+
+
+@query("e8_lab_values", "reports")
+def lab_values(r):
+    return reports.lab_values(r)
