@@ -222,3 +222,13 @@ def test_payloads(spark):
     assert sorted(r.document_id for r in bad.collect()) == ["2", "3", "4"]
     files = spark.createDataFrame([(bytes.fromhex("255044462d"),), (bytes.fromhex("89504e47"),), (b"other",), (b"",)], "content binary")
     assert [(r.mime_type, r.accepted) for r in intake.admitted_uploads(files).collect()] == [("application/pdf", True), ("image/png", True), (None, False), (None, False)]
+
+
+def test_lab_values_in_free_text():
+    text = "Complete report\nHaemoglobin 15.6 gm%\nTotal WBC Count | 7,5 x10^3/uL\nPacked Cell Volume 40.2 %\nSGOT (AST) : 41 U/L; SGPT - 38 W/L\nHaemoglobin 12 gm%\nPlatelets\n250 10^3/uL\n14 %"
+    got = {n: (v, u, s) for n, v, u, s in reports.named_values(text)}
+    assert got["Haemoglobin"] == ("15.6", "gm%", "normalized")
+    assert got["Total WBC Count"] == ("7.5", "x10^3/uL", "normalized")
+    assert got["Packed Cell Volume"] == ("40.2", "%", "normalized")
+    assert got["SGPT"] == ("38", "W/L", "needs_review")
+    assert got["Platelets"] == ("250", "10^3/uL", "normalized")
