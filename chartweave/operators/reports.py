@@ -164,3 +164,48 @@ def lab_values(reports: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["document_id", "position", "test_name", "value", "unit", "status"])
 
     return reports.select("document_id", "text").mapInPandas(run, VALUES)
+
+
+#: Vital signs: name, words of its line, pattern of the value, unit behind it.
+VITALS = [
+    ("bp", ["bp:", "blood pressure"], r"\b\d{2,3}/\d{2,3}\b", " mmHg"), ("hr", ["hr:", "pulse", "heart rate"], r"\b\d{2,3}\b", " bpm"), ("temp", ["temp"], r"\b\d{2,3}(?:\.\d+)?\b", ""),
+    ("rr", ["rr:", "respiratory rate"], r"\b\d{1,2}\b", " /min"), ("spo2", ["spo2", "oxygen saturation"], r"\b\d{2,3}\b", "%"),
+]
+DIAGNOSIS_PREFIXES = ["diagnosis:", "diagnoses:", "impression:", "final diagnosis:"]
+INVOICE_WORDS = ["batch", "expiry", "quantity", "tablet", "capsule", "price"]
+
+
+def note_lines(notes: DataFrame) -> DataFrame:
+    return notes.select("document_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("low", F.lower("line"))
+
+
+def vitals(notes: DataFrame) -> DataFrame:
+    """Vital signs by line; the last line with a value counts. A temperature is in C if its line has any letter c."""
+    found = []
+    for kind, words, pattern, unit in VITALS:
+        value = F.regexp_extract("line", f"({pattern})", 1)
+        shown = F.concat(value, F.when(F.col("low").contains("c"), " °C").otherwise(" °F")) if kind == "temp" else F.concat(value, F.lit(unit))
+        found.append(F.when(any_of(F.col("low"), words) & (value != ""), F.struct(F.lit(kind).alias("vital"), shown.alias("value"))))
+    rows = note_lines(notes).select("document_id", "line_no", F.explode(F.array_compact(F.array(*found))).alias("v"))
+    return rows.groupBy("document_id", F.col("v.vital").alias("vital")).agg(F.max_by("v.value", "line_no").alias("value"))
+
+
+def stated_diagnoses(notes: DataFrame) -> DataFrame:
+    """What stands behind a diagnosis prefix at the start of a line, if longer than two characters."""
+    chain = F
+    for p in DIAGNOSIS_PREFIXES:
+        chain = chain.when(F.col("low").startswith(p), F.trim(F.substring("line", len(p) + 1, 1_000_000)))
+    rows = note_lines(notes).withColumn("name", chain).where(F.length("name") > 2)
+    return rows.select("document_id", "line_no", "name")
+
+
+def invoiced(notes: DataFrame) -> DataFrame:
+    """Medicines of invoice lines (with a batch, an expiry, or a quantity and a digit): name, batch, expiry."""
+    rows = note_lines(notes)
+    quantity = F.col("low").rlike(r"\bqty\b") | F.col("low").contains(" quantity ") | F.col("low").contains(" x ")
+    rows = rows.where(F.col("low").rlike("batch|exp") | (quantity & F.col("line").rlike(r"\d")))
+    words = F.filter(F.split(F.trim("line"), r"\s+"), lambda w: w.rlike("^[a-zA-Z]{4,}$") & ~F.lower(w).isin(INVOICE_WORDS))
+    batch = F.nullif(F.regexp_extract("line", r"(?i)(?:batch|b\.?no|lot)\s*:?\s*([a-zA-Z0-9]+)", 1), F.lit(""))
+    expiry = F.nullif(F.regexp_extract("line", r"(?i)(?:exp|expiry|exp\.?dt)\s*:?\s*(\d{2}/\d{2,4})", 1), F.lit(""))
+    out = rows.select("document_id", "line_no", F.array_join(words, " ").alias("medicine_name"), F.coalesce(batch, F.lit("N/A")).alias("batch"), F.coalesce(expiry, F.lit("N/A")).alias("expiry"))
+    return out.where(F.length("medicine_name") >= 3)

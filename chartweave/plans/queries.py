@@ -690,3 +690,33 @@ def question_records(s, d):
 @query("e8_lab_values", "reports")
 def lab_values(r):
     return reports.lab_values(r)
+
+
+NOTE_LINES = """, ln AS (SELECT *, lower(line) AS low FROM (SELECT document_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM c_notes))"""
+
+
+def _vital_sql(kind: str, words: list[str], pattern: str, unit: str) -> str:
+    shown = "regexp_extract(line, '(" + pattern + ")', 1)"
+    tail = "CASE WHEN contains(low, 'c') THEN ' °C' ELSE ' °F' END" if kind == "temp" else f"'{unit}'"
+    return f"SELECT document_id, '{kind}' AS vital, line_no, {shown} || {tail} AS value FROM ln WHERE ({' OR '.join(f'contains(low, {chr(39)}{w}{chr(39)})' for w in words)}) AND {shown} <> ''"
+
+
+@query("e11_vitals", "notes", NOTE_LINES + " SELECT document_id, vital, arg_max(value, line_no) AS value FROM (" + " UNION ALL ".join(_vital_sql(*v) for v in reports.VITALS) + ") GROUP BY 1, 2")
+def vitals(n):
+    return reports.vitals(n)
+
+
+_prefixes = " ".join(f"WHEN starts_with(low, '{p}') THEN trim(substr(line, {len(p) + 1}))" for p in reports.DIAGNOSIS_PREFIXES)
+
+
+@query("e12_stated_diagnoses", "notes", NOTE_LINES + f" SELECT document_id, line_no, name FROM (SELECT *, CASE {_prefixes} END AS name FROM ln) WHERE length(name) > 2")
+def stated_diagnoses(n):
+    return reports.stated_diagnoses(n)
+
+
+@query("e7_invoiced_medicines", "notes", NOTE_LINES + r"""
+, w AS (SELECT *, array_to_string(list_filter(string_split_regex(trim(line), '\s+'), lambda x: regexp_matches(x, '^[a-zA-Z]{4,}$') AND lower(x) NOT IN ('batch', 'expiry', 'quantity', 'tablet', 'capsule', 'price')), ' ') AS medicine_name FROM ln
+ WHERE regexp_matches(low, 'batch|exp') OR ((regexp_matches(low, '\bqty\b') OR contains(low, ' quantity ') OR contains(low, ' x ')) AND regexp_matches(line, '\d')))
+SELECT document_id, line_no, medicine_name, coalesce(nullif(regexp_extract(line, '(?:batch|b\.?no|lot)\s*:?\s*([a-zA-Z0-9]+)', 1, 'i'), ''), 'N/A') AS batch, coalesce(nullif(regexp_extract(line, '(?:exp|expiry|exp\.?dt)\s*:?\s*(\d{2}/\d{2,4})', 1, 'i'), ''), 'N/A') AS expiry FROM w WHERE length(medicine_name) >= 3""")
+def invoiced_medicines(n):
+    return reports.invoiced(n)

@@ -99,6 +99,11 @@ TABLES |= {
     "payloads": """SELECT doc_id AS document_id, CASE WHEN doc_id % 19 = 0 THEN '{"labResults": [' WHEN doc_id % 17 = 0 THEN '{"labResults": []}' ELSE
         '{"documentType": "LAB_REPORT", "labResults": [{"testName": "T' || CAST(doc_id % 5 AS STRING) || '", "value": "' || CAST(n_chars AS STRING) || '", "sourceText": "the"}, {"testName": "Hb", "value": "1", "sourceText": " ' || lang || 't"}]}' END AS payload FROM documents""",
 }
+_n = lambda base, mod: f"CAST({base} + o_orderkey % {mod} AS STRING)"
+TABLES["notes"] = f"""SELECT 'd' || CAST(o_orderkey AS STRING) AS document_id, concat_ws(chr(10), 'BP: ' || {_n(110, 60)} || '/' || {_n(60, 40)},
+    CASE WHEN o_orderkey % 2 = 0 THEN 'Pulse ' || {_n(60, 50)} END, CASE WHEN o_orderkey % 3 = 0 THEN 'Temp ' || {_n(97, 5)} || '.4 F' ELSE 'Temp: ' || {_n(36, 4)} || ' C' END,
+    {pick("o_orderkey", ["Diagnosis: Acute Gastritis", "Impression:  Viral fever ", None, "final diagnosis: ok", "Diagnoses: Gout"])},
+    'Paracetamol strips batch: AB' || {_n(0, 90)} || ' exp: 12/2' || {_n(0, 9)} || ' price', CASE WHEN o_orderkey % 4 = 0 THEN 'Cough Syrup qty 2' END, 'BP: ' || {_n(90, 9)} || '/70', 'thank you') AS text FROM orders"""
 TABLES["chunks"] = TABLES["chunks"].replace("documents_", "documents")
 BASE = ["customer", "orders", "lineitem", "events", "conversations", "documents"]
 
