@@ -3,7 +3,7 @@
 Every text gives seeds: the minimal hashes of its runs of K words in windows of W runs. A seed's
 occurrences are linked to the first document that has it and to the document before (within bounded
 salts of common seeds), never to all others, so links grow with the occurrences. For two linked documents
-the matches are chained in order, with a cost for the gaps, by a Fenwick tree over positions; the words
+the matches are chained in order, with a cost for the gaps, each to the best of those near before it; the words
 around each chain are then aligned, and aligned stretches that are long enough are passages. The document
 with the smallest id keeps a passage, later ones have it marked.
 """
@@ -113,50 +113,22 @@ def links(found: DataFrame) -> DataFrame:
     return met.select("d", "p", F.explode(both).alias("x")).select("d", F.col("x.e").alias("e"), "p", F.col("x.q").alias("q")).where(F.col("e") < F.col("d"))
 
 
-class Fenwick:
-    """Largest (value, index) over prefixes."""
-
-    def __init__(self, n: int):
-        self.best = [(0.0, -1)] * (n + 1)
-
-    def put(self, i: int, item: tuple[float, int]) -> None:
-        i += 1
-        best = self.best
-        while i < len(best):
-            if item > best[i]:
-                best[i] = item
-            i += i & -i
-
-    def top(self, i: int) -> tuple[float, int]:
-        """Over positions below ``i``."""
-        out = (float("-inf"), -1)
-        best = self.best
-        while i > 0:
-            if best[i] > out and best[i][1] >= 0:
-                out = best[i]
-            i -= i & -i
-        return out
-
-
 def chains(p: list[int], q: list[int]) -> list[list[int]]:
     """Indices of the matches of each chain of two or more, best chains first; a match is in one chain at most."""
     order = sorted(range(len(p)), key=lambda i: (p[i], q[i]))
-    ranks = {x: r for r, x in enumerate(sorted(set(q)))}
-    tree = Fenwick(len(ranks))
-    score, parent = [0.0] * len(p), [-1] * len(p)
-    waiting: list[int] = []  # matches of the same p do not follow one another
-    for i in order:
-        if waiting and p[waiting[0]] != p[i]:
-            for j in waiting:
-                tree.put(ranks[q[j]], (score[j] + GAP_COST * (p[j] + q[j]), j))
-            waiting = []
-        value, j = tree.top(ranks[q[i]])
-        score[i] = float(K)
-        if j >= 0 and p[i] - p[j] <= K + MOST_GAP and q[i] - q[j] <= K + MOST_GAP:
-            through = value - GAP_COST * (p[i] + q[i])
-            if through > 0:
-                score[i], parent[i] = K + through, j
-        waiting.append(i)
+    score, parent = [float(K)] * len(p), [-1] * len(p)
+    first = 0  # of the matches that are near enough before; a position has few matches, so these are few
+    for at, i in enumerate(order):
+        x, y = p[i], q[i]
+        while p[order[first]] < x - K - MOST_GAP:
+            first += 1
+        most = 0.0
+        for j in reversed(order[first:at]):
+            if p[j] < x and y - K - MOST_GAP <= q[j] < y:
+                through = score[j] - GAP_COST * (x - p[j] + y - q[j])
+                if through > most:
+                    most, parent[i] = through, j
+        score[i] = K + most
     out, used = [], [False] * len(p)
     for i in sorted(order, key=lambda i: -score[i]):
         chain = []

@@ -7,7 +7,7 @@ import numpy as np
 from chartweave.llm.components import components
 from chartweave.llm.neardup import PLACES, block_links, near_classes, one_of_each, op1_bag_minhash, overlap, shingle_bag, short_form, signatures
 from chartweave.llm.common import word_hashes
-from chartweave.llm.passages import aligned, chains, cut_words, repeated_passages, without_passages
+from chartweave.llm.passages import GAP_COST, K, MOST_GAP, aligned, chains, cut_words, repeated_passages, without_passages
 from chartweave.llm.vectors import linked_vectors
 
 WORDS = [f"w{i}" for i in range(4000)]
@@ -158,6 +158,39 @@ def test_chains_equal_the_quadratic_recurrence():
     assert chains(diagonal, [x + 40 for x in diagonal]) == [list(range(len(diagonal)))]
 
 
+def quadratic_scores(p, q):
+    """Best scores that end in each match, by all earlier matches within the gap."""
+    score = [0.0] * len(p)
+    for i in sorted(range(len(p)), key=lambda i: (p[i], q[i])):
+        near = [j for j in range(len(p)) if 0 < p[i] - p[j] <= K + MOST_GAP and 0 < q[i] - q[j] <= K + MOST_GAP]
+        score[i] = K + max([0.0, *(score[j] - GAP_COST * (p[i] - p[j] + q[i] - q[j]) for j in near)])
+    return score
+
+
+def test_best_chains_score_as_the_quadratic_recurrence():
+    rng = random.Random(41)
+    for _ in range(100):
+        n = rng.randint(2, 60)
+        p, q = ([rng.randrange(400) for _ in range(n)] for _ in range(2))
+        found = chains(p, q)
+        best = max(quadratic_scores(p, q))
+        cost = lambda c: K * len(c) - GAP_COST * sum(p[i] - p[j] + q[i] - q[j] for j, i in zip(c, c[1:], strict=False))
+        assert abs(max([K, *map(cost, found)]) - best) < 1e-9
+
+
+def test_a_second_passage_of_two_documents_is_chained(spark):
+    for n, between, m in ((150, 80, 60), (300, 150, 100), (1000, 300, 300)):
+        p = [int(6.5 * k) for k in range(int(n / 6.5))] + [n + between + int(6.5 * k) for k in range(int(m / 6.5))]
+        assert sorted(len(c) for c in chains(p, p)) == sorted([int(n / 6.5), int(m / 6.5)])
+    rng = random.Random(42)
+    a, b = prose(rng, 200), prose(rng, 70)
+    texts = [" ".join(prose(rng, 30) + a + prose(rng, gap) + b + prose(rng, 30)) for gap in (90, 120)]
+    got = repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.first_id) for r in got] == [(1, 0)] * 2
+    for (start, end), r in zip(((30, 230), (350, 420)), sorted(got, key=lambda r: r.start), strict=True):
+        assert abs(r.start - start) <= 3 and abs(r.end - end) <= 3
+
+
 def test_alignment_follows_edits():
     rng = random.Random(6)
     a = np.array([rng.randrange(60000) for _ in range(200)], np.uint16)
