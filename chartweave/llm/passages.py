@@ -1,8 +1,8 @@
 """Repeated passages by collinear chaining of shared word k-mers.
 
 Every text gives seeds: the minimal hashes of its runs of K words in windows of W runs. A seed's
-occurrences are linked to the first document that has it and to the document before (within bounded
-salts of common seeds), never to all others, so links grow with the occurrences. For two linked documents
+occurrences are linked to the first document that has it and to the document before, never to all others, so
+links grow with the occurrences; pairs of seeds that lie nearly a passage apart are linked in the same way. For two linked documents
 the matches are chained in order, with a cost for the gaps, each to the best of those near before it; the words
 around each chain are then aligned, and aligned stretches that are long enough are passages. The document
 with the smallest id keeps a passage, later ones have it marked.
@@ -24,12 +24,10 @@ from .common import MIX, cut, fresh, mix64, windows, with_arrow, word_hashes
 
 K, WINDOW = 8, 12
 #: Cost of each word between two matches of a chain, and the most words that one gap may have.
-GAP_COST, MOST_GAP = 0.3, 60
+GAP_COST, MOST_GAP = 0.03, 60
 #: Words around a chain that the alignment may reach at first; a passage that goes on is reached by its other seeds.
 REACH = 64
 LEAST_WORDS, LEAST_IDENTITY = 50, 0.8
-#: Occurrences of a seed that are ordered together.
-SALTED = 512
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -96,21 +94,41 @@ def short_words(docs: DataFrame) -> DataFrame:
     return docs.select("d", "text").mapInArrow(run, schema)
 
 
+def earlier(keyed: DataFrame, key: str, at: list[str]) -> DataFrame:
+    """``keyed`` with ``one`` and ``other``: the first document of the key and the one before, each with its ``d`` and ``at``.
+
+    Keys of one document only are left out. Documents stand in order within a key, so one pass over each key does.
+    """
+    order = W.partitionBy(key).orderBy("d", *at)
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    here = F.struct("d", *at)
+    out = keyed.withColumn("one", F.first(here).over(upto)).withColumn("step", F.lag(here).over(order)).withColumn("next", F.lead("d").over(order))
+    out = out.where((F.col("one.d") != F.col("d")) | F.col("next").isNotNull())
+    out = out.withColumn("other", F.last(F.when(F.col("step.d") != F.col("d"), F.col("step")), ignorenulls=True).over(upto))
+    return out.drop("step", "next")
+
+
+def partners(met: DataFrame, at: list[str]) -> DataFrame:
+    """One row for each earlier document ``x`` of a row of ``earlier``."""
+    both = F.when(F.col("other").isNull() | (F.col("other") == F.col("one")), F.array("one")).otherwise(F.array("one", "other"))
+    return met.select("d", *at, F.explode(both).alias("x")).where(F.col("x.d") < F.col("d"))
+
+
 def links(found: DataFrame) -> DataFrame:
-    """(``d``, ``e``, ``p``, ``q``): seed occurrences of ``d`` at ``p`` met in an earlier document ``e`` at ``q``."""
-    first = found.groupBy("seed").agg(F.min(F.struct("d", "p")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = first.select("seed", "n", F.col("f.d").alias("fd"), F.col("f.p").alias("fp"))
-    met = found.join(first, "seed")
-    met = met.withColumn("salt", F.pmod(F.xxhash64("d"), F.ceil(F.col("n") / SALTED)))
-    met = met.repartition("seed", "salt")  # else all salts of a common seed would stay together
-    order = W.partitionBy("seed", "salt").orderBy("d", "p")
-    before = F.lag(F.struct("d", "p")).over(order)
-    met = met.withColumn("step", before)
-    met = met.withColumn("b", F.last(F.when(F.col("step.d") != F.col("d"), F.col("step")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    one = F.struct(F.col("fd").alias("e"), F.col("fp").alias("q"))
-    other = F.struct(F.col("b.d").alias("e"), F.col("b.p").alias("q"))
-    both = F.when(F.col("b").isNull() | (other == one), F.array(one)).otherwise(F.array(one, other))
-    return met.select("d", "p", F.explode(both).alias("x")).select("d", F.col("x.e").alias("e"), "p", F.col("x.q").alias("q")).where(F.col("e") < F.col("d"))
+    """(``d``, ``e``, ``p``, ``q``): seed occurrences of ``d`` at ``p`` met in an earlier document ``e`` at ``q``.
+
+    First by single seeds, then by pairs of a shared seed and the last shared one that ends within LEAST_WORDS
+    words of its start: documents that share only part of a passage have its seeds, but not its pairs.
+    """
+    met = cut(earlier(found, "seed", ["p"]))
+    single = partners(met, ["p"]).select("d", F.col("x.d").alias("e"), "p", F.col("x.p").alias("q"))
+    within = W.partitionBy("d").orderBy("p").rangeBetween(0, LEAST_WORDS - K)
+    pairs = met.select("seed", "d", "p").withColumn("far", F.max(F.struct("p", "seed")).over(within)).where("far.p > p")
+    pairs = pairs.select(F.xxhash64("seed", "far.seed").alias("pair"), "d", "p", F.col("far.p").alias("r"))
+    double = partners(earlier(pairs, "pair", ["p", "r"]), ["p", "r"])
+    ends = F.explode(F.array(*(F.struct(F.col(c).alias("p"), F.col(f"x.{c}").alias("q")) for c in ("p", "r"))))
+    double = double.select("d", F.col("x.d").alias("e"), ends.alias("y")).select("d", "e", "y.p", "y.q")
+    return single.unionByName(double)
 
 
 def chains(p: list[int], q: list[int]) -> list[list[int]]:

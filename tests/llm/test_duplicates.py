@@ -191,6 +191,17 @@ def test_a_second_passage_of_two_documents_is_chained(spark):
         assert abs(r.start - start) <= 3 and abs(r.end - end) <= 3
 
 
+def test_partners_share_a_whole_passage(spark):
+    rng = random.Random(43)
+    passage = prose(rng, 60)
+    parts = [passage[:37], passage[24:], passage, passage[:37], passage[24:], passage]
+    parts[3:3] = [passage[:37], passage[24:]] * 20
+    texts = [" ".join(prose(rng, 20) + x + prose(rng, 20)) for x in parts]
+    got = repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.first_id) for r in got] == [(len(parts) - 1, 2)]
+    assert abs(got[0].start - 20) <= 3 and abs(got[0].end - 80) <= 3
+
+
 def test_alignment_follows_edits():
     rng = random.Random(6)
     a = np.array([rng.randrange(60000) for _ in range(200)], np.uint16)
