@@ -263,7 +263,7 @@ def token_pieces(df: DataFrame, path: str, capacity: int = 2048, *, text: str =
     schema = T.StructType([*(df.schema[c] for c in kept), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WholeTextEncoder(path)
+        encoder = WholeTextEncoder(path, added=True)
         last = np.array([end_id], "<u4").tobytes()
         for batch in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):
             others = batch.select(kept)

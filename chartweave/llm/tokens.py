@@ -22,17 +22,21 @@ STRETCHES = re.compile(r"(?= \S)")
 
 
 class StretchEncoder:
-    """Encodes by a tokenizer file of byte-level BPE without a prefix space; special tokens' strings are plain text.
+    """Encodes by a tokenizer file of byte-level BPE without a prefix space.
 
-    ``offsets``: remember where tokens start (in characters of the stretch) instead of their ids.
+    ``offsets``: remember where tokens start (in characters of the stretch) instead of their ids. ``added``: the
+    strings of the file's added tokens give their ids, as in the library; else they are plain text.
     """
 
-    def __init__(self, path: str, offsets: bool = False, remember: int = 120_000):
+    def __init__(self, path: str, offsets: bool = False, remember: int = 120_000, added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        self.added, self.parting = None, STRETCHES
+        if added and (tokens := "|".join(map(re.escape, added_tokens(path)))):
+            self.added, self.parting = re.compile(tokens), re.compile(rf"(?= (?!{tokens})\S)")
         self.offsets, self.remember = offsets, remember
         self.spaced: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -49,8 +53,9 @@ class StretchEncoder:
     def stretches(self, text: str) -> list[str]:
         """The stretches without their leading space; the first stands as it is, so that it is ' '-free or whole."""
         parts = text.split(" ")
-        if any(not p or p[0].isspace() for p in parts[1:]):
-            parts = STRETCHES.split(text)
+        # white space before an added token is a text's end for the library, so it is not parted
+        if any(not p or p[0].isspace() for p in parts[1:]) or (self.added and self.added.search(text)):
+            parts = self.parting.split(text)
             parts[1:] = [p[1:] for p in parts[1:]]
             if text[:1] == " " and parts[0] == "":
                 return parts
@@ -96,6 +101,15 @@ class StretchEncoder:
             yield parts, row
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The strings and ids of a tokenizer file's added tokens."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or re.search(r"\s", t["content"]) for t in tokens):
+        raise ValueError("added tokens that depend on what stands around them")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 #: Fixed value: how byte-level BPE parts texts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -120,19 +134,23 @@ def merge_ranks(path: str) -> dict[bytes, int]:
 class WholeTextEncoder:
     """The ids that the tokenizer file gives, by a second engine that is faster on whole texts.
 
-    Texts of over 200,000 characters go to the file's own library, which keeps to linear memory.
+    Texts of over 200,000 characters go to the file's own library, which keeps to linear memory. ``added`` as in
+    StretchEncoder.
     """
 
-    def __init__(self, path: str, longest: int = 200_000):
+    def __init__(self, path: str, longest: int = 200_000, added: bool = False):
         import tiktoken
 
-        self.engine = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=merge_ranks(path), special_tokens={})
+        self.special = added_tokens(path) if added else {}
+        self.engine = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=merge_ranks(path), special_tokens=self.special)
         self.path, self.longest, self.slow = path, longest, None
 
     def __call__(self, text: str) -> np.ndarray:
         if len(text) <= self.longest:
+            if any(t in text for t in self.special):
+                return np.array(self.engine.encode(text, allowed_special="all"), "<u4")
             return np.array(self.engine.encode_ordinary(text), "<u4")
-        self.slow = self.slow or StretchEncoder(self.path)
+        self.slow = self.slow or StretchEncoder(self.path, added=bool(self.special))
         return joined(next(self.slow([text]))[1])
 
 
@@ -177,7 +195,7 @@ def section_token_counts(df: DataFrame, path: str, *, text: str = "text") -> Dat
     schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(n, T.LongType()) for n in ("section", "start", "end", "n_tokens", "text_tokens"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = StretchEncoder(path, offsets=True)
+        encoder = StretchEncoder(path, offsets=True, added=True)
         for batch in batches:
             texts = [t or "" for t in batch.column(text).to_pylist()]
             others = batch.select(kept)
@@ -198,7 +216,7 @@ def with_ids(df: DataFrame, path: str, *, text: str = "text") -> DataFrame:
     """All columns with ``ids`` (array of long) of every whole text; a null text counts as empty."""
 
     def make():
-        encoder = WholeTextEncoder(path)
+        encoder = WholeTextEncoder(path, added=True)
 
         def work(texts):
             return [pa.array([encoder(t or "").astype(np.int64) for t in texts], pa.list_(pa.int64()))]

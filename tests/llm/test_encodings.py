@@ -97,6 +97,30 @@ def test_whole_texts_equal_the_library(tokenizer):
     assert len(ranks) == 50256 and ranks[b" the"] == tokenizer.token_to_id("Ġthe")
 
 
+def test_added_tokens_equal_the_untouched_library(spark):
+    from tokenizers import Tokenizer
+
+    untouched = Tokenizer.from_file(BPE)
+    rng = random.Random(9)
+    some = ["<|endoftext|>", " ", "  ", "\n", "\n ", "a", "the", " b", "é", "<|", "|>", "\t", "\xa0"]
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x  <|endoftext|>", " <|endoftext|> b"] + ["".join(rng.choice(some) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    fast, cautious = WholeTextEncoder(BPE, added=True), WholeTextEncoder(BPE, longest=0, added=True)
+    starts = StretchEncoder(BPE, offsets=True, added=True)
+    for t, y in zip(texts, starts(texts), strict=True):
+        e = untouched.encode(t, add_special_tokens=False)
+        assert fast(t).tolist() == cautious(t).tolist() == e.ids
+        assert token_starts(*y).tolist() == [o[0] for o in e.offsets]
+    assert fast("a<|endoftext|>b").tolist() == [64, 50256, 65]
+    df = spark.createDataFrame(list(enumerate(texts[:300])), "doc_id long, text string")
+    assert {r.doc_id: r.ids for r in with_ids(df, BPE).collect()} == {i: untouched.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts[:300])}
+    pieces = {r.doc_id: r for r in token_pieces(df, BPE, 512).collect()}
+    counts = {r.doc_id: r.text_tokens for r in section_token_counts(df, BPE).collect()}
+    for i, t in enumerate(texts[:300]):
+        ids = untouched.encode(t, add_special_tokens=False).ids
+        assert counts[i] == len(ids)
+        assert pieces[i].ids_crc32 == zlib.crc32(np.array([*ids, 0], "<u4").tobytes())
+
+
 def test_section_counts(spark, tokenizer):
     texts = [None, "", "\n", "one line", "two\nlines\n", "a\n\n\nb é日\n x"] + random_texts(60, 5)
     df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, Section_ long")
