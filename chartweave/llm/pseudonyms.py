@@ -2,7 +2,8 @@
 
 Numbers are validated first (check digits, octets, calendar), so look-alikes stay as they are. A value's
 pseudonym depends on its kind, its canonical form and the key alone, so equal values stay linked across
-documents whatever their separators, and who has the key can go back.
+documents whatever their separators, and who has the key can go back. Only a card or IBAN that has digits or
+capitals behind it goes through the permutation again while the two together would pass as a longer value.
 """
 
 from __future__ import annotations
@@ -33,6 +34,17 @@ FORMS = {
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}[.-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])",
     "card": r"(?<![\w.,-])\d(?:[ -]?\d){12,18}(?![\w-]|[.,]\d)",
 }
+#: Lengths of IBANs by country.
+IBAN_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 KINDS = list(FORMS)
 FOUND = re.compile("|".join(f"(?P<{k}>{v})" for k, v in FORMS.items()))
 MAYBE = re.compile(r"[0-9@]|[0-9a-fA-F]{32}")
@@ -190,20 +202,46 @@ class Pseudonyms:
         own = f"{turn('card', 10 ** (len(digits) - 1), int(digits[:-1])):0{len(digits) - 1}d}"
         return filled(s, own + str(luhn(own)))
 
+    def accepted(self, kind: str, s: str) -> str | None:
+        """The part of a match from its start that is valid: cards and IBANs may have other digits or capitals behind them.
+
+        Parts end at separators. An IBAN has its country's length, if there is such a part; else the longest counts.
+        """
+        if kind not in ("card", "iban"):
+            return s
+        parts = [s[:k] for k in range(len(s), 0, -1) if k == len(s) or s[k] in " -"]
+        if kind == "iban":
+            size = IBAN_LENGTHS.get(s[:2])
+            parts.sort(key=lambda x: len(x.replace(" ", "")) != size)  # stable
+            return next((x for x in parts if 15 <= len(x.replace(" ", "")) <= 34 and iban_number(x.replace(" ", "")) % 97 == 1), None)
+        return next((x for x in parts if len(d := only_digits(x)) >= 13 and luhn(d[:-1]) == int(d[-1]) and len(set(d)) > 1), None)
+
     def text(self, text: str | None, back: bool = False) -> tuple[str | None, list[int]]:
         """The text with its values replaced, and how many of each kind."""
         counts = [0] * len(KINDS)
         if text is None or not MAYBE.search(text):
             return text, counts
 
-        def put(m: re.Match) -> str:
-            new = self.known(m.lastgroup, m[0], back)
-            if new is None:
-                return m[0]
-            counts[KINDS.index(m.lastgroup)] += 1
-            return new
-
-        return FOUND.sub(put, text), counts
+        out: list[str] = []
+
+        def put(m: re.Match, at: int) -> int:
+            """Add the text from ``at`` on with the match's value replaced; where to go on."""
+            out.append(text[at : m.start()])
+            kind, value = m.lastgroup, self.accepted(m.lastgroup, m[0])
+            new, rest = self.known(kind, value, back) if value else None, m[0][len(value or "") :]
+            while rest and new and self.accepted(kind, new + rest) != new:  # else it would come back as a longer value
+                new = self.known(kind, new, back)
+            if not new:
+                out.append(m[0])
+                return m.end()
+            counts[KINDS.index(kind)] += 1
+            out.append(new)
+            return m.start() + len(value)
+
+        at = 0
+        while m := FOUND.search(text, at):
+            at = put(m, at)
+        return "".join([*out, text[at:]]), counts
 
 
 def with_pseudonyms(df: DataFrame, key: bytes, *, text: str = "text", back: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from chartweave.llm.mainpage import main_text, main_texts
-from chartweave.llm.pseudonyms import KINDS, Feistel, Pseudonyms, with_pseudonyms
+from chartweave.llm.pseudonyms import KINDS, Feistel, Pseudonyms, luhn, with_pseudonyms
 from chartweave.llm.quality import apply_rules, fit_rules, learn, text_statistics
 from chartweave.llm.sharding import histogram_shards, op2_histogram_shards
 
@@ -150,6 +150,24 @@ def test_pseudonyms():
         assert p.text(decoy) == (decoy, [0] * len(KINDS))
 
 
+def test_values_before_more_digits_or_capitals():
+    p = Pseudonyms(b"k")
+    card, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    for value, kind, rest in ((card, "card", " 12/26"), (card, "card", " 123"), (card, "card", " 12 26"), (card.replace(" ", "-"), "card", " 12/26 x"), (card.replace(" ", ""), "card", " 123"), (iban, "iban", " BIC CAIXESBB"), (iban, "iban", " A1"), ("GB82 WEST 1234 5698 7654 32", "iban", " X")):
+        new, counts = p.text(f"pay {value}{rest}")
+        assert new.startswith("pay ") and new.endswith(rest) and value not in new and len(new) == len(value + rest) + 4
+        assert counts[KINDS.index(kind)] == sum(counts) == 1
+        assert p.text(new, back=True)[0] == f"pay {value}{rest}"
+    rng = random.Random(45)
+    for _ in range(300):
+        own = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        said = f"{own}{luhn(own)} {rng.randrange(10, 100)}/28"
+        assert p.text(p.text(said)[0], back=True)[0] == said
+    two = f"{iban} a@b.example.com {card} 12/26"
+    assert sum(p.text(two)[1]) == 3
+    assert p.text("1234 5678 9012 3456 78")[0] == "1234 5678 9012 3456 78"
+
+
 def test_pseudonym_table(spark):
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "a@b.example.com", 0), (3, "a@b.example.com", 0)], "doc_id long, text string, N_card_ int")
     out = with_pseudonyms(df, b"k")
