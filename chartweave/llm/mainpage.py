@@ -50,6 +50,9 @@ NAMES = frozenset(
 P_ENDERS = BLOCK - frozenset("option optgroup body html head caption tbody td tfoot th thead tr".split())
 SIBLINGS = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 SIBLINGS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in SIBLINGS.items()}
+#: Lists and tables, whose parts are judged with what stands around the whole, and what it may stand in.
+LISTS = frozenset("ul ol dl dir table".split())
+CONTAINERS = frozenset("article main section div".split())
 #: The share of the page's level that a path must reach.
 SHARE = 0.15
 
@@ -165,6 +168,15 @@ def nodes(page: str) -> list[Node]:
             close(len(stack) - 1)
 
 
+def container(path: tuple[str, ...]) -> tuple[str, ...] | None:
+    """The path of the nearest container around the lists and tables that hold ``path``; None if it is in none."""
+    bounds = [k for k, t in enumerate(path) if t in ("article", "main", "section")]
+    inside = [k for k, t in enumerate(path) if t in LISTS and k > max(bounds, default=-1)]
+    if not inside:
+        return None
+    return next((path[: k + 1] for k in range(inside[0] - 1, -1, -1) if path[k] in CONTAINERS), None)
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, each with single spaces, joined by empty lines."""
     found = []
@@ -196,7 +208,22 @@ def main_text(page: str | None) -> str:
         score[path] = (smooth[0] * smooth[1]) ** 0.5
     total = sum(length[p] for p in count)
     level = sum(score[p] * length[p] for p in count) / total if total else max(score.values())
-    return "\n\n".join(text for path, text, linked in found if score[path] >= SHARE * level and linked < 1)
+    good = {p for p in count if length[p] and score[p] >= SHARE * level}
+    with_links = set()  # paths whose blocks stay even if they are links only
+    for path in count:
+        # parts of lists and tables, and links among paragraphs, belong to an article whose own blocks are content
+        around_it = container(path)
+        own = around_it or path[:-1]
+        if not any(p in good for p in around[own] if container(p) is None):
+            continue
+        if around_it:
+            beside = around[around_it]
+            smooth = [(ratio(of, [path]) + ratio(of, beside)) / 2 for of in (length, marks)]
+            if "article" in path or "main" in path or (smooth[0] * smooth[1]) ** 0.5 >= SHARE * level:
+                good.add(path)
+        if ("article" in path or "main" in path) and (around_it or path in good):
+            with_links.add(path)
+    return "\n\n".join(text for path, text, linked in found if (path in good and linked < 1) or path in with_links)
 
 
 def main_texts(df: DataFrame, *, page: str = "html") -> DataFrame:

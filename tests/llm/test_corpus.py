@@ -120,6 +120,24 @@ def test_page_text():
     )
 
 
+def test_short_items_and_cells_of_an_article_stay():
+    sentence = "A sentence of the article says something, at some length and to the end. "
+    paragraphs = "".join(f"<p>{(sentence * 7)[:499]}{i}</p>" for i in range(5))
+    items = [f"item number {i:03d}" for i in range(300)]
+    kinds = {
+        "list": ("<ul>", "<li>{}</li>", "</ul>"), "paragraphs in a list": ("<ul>", "<li><p>{}</p></li>", "</ul>"), "table": ("<table><tr>", "<td>{}</td>", "</tr></table>"),
+        "terms": ("<dl>", "<dd>{}</dd>", "</dl>"), "links": ("<ul>", "<li><a href=x>{}</a></li>", "</ul>"),
+    }
+    for n in (10, 300):
+        for name, (begin, item, end) in kinds.items():
+            inner = begin + "".join(item.format(x) for x in items[:n]) + end
+            got = main_text(f"<body><div><ul><li><a href=y>Start page</a></li></ul></div><article>{paragraphs}{inner}</article></body>").split("\n\n")
+            assert len(got) == 5 + n and got[5:] == items[:n], (name, n)
+    for tag in ("section", "div"):
+        got = main_text(f"<body><{tag}>{paragraphs}<ul>" + "".join(f"<li>{x}</li>" for x in items[:10]) + f"</ul></{tag}></body>")
+        assert got.split("\n\n")[5:] == items[:10]
+
+
 def test_pages_table(spark):
     df = spark.createDataFrame([(1, "u", None), (2, "u", "<p>é, a</p>"), (2, "u", "<p>é, a</p>"), (None, None, "<p>" + "x, " * 50000)], "page_id long, url string, html string")
     got = main_texts(df).collect()
