@@ -194,7 +194,7 @@ def stated_diagnoses(notes: DataFrame) -> DataFrame:
     """What stands behind a diagnosis prefix at the start of a line, if longer than two characters."""
     chain = F
     for p in DIAGNOSIS_PREFIXES:
-        chain = chain.when(F.col("low").startswith(p), F.trim(F.substring("line", len(p) + 1, 1_000_000)))
+        chain = chain.when(F.col("low").startswith(p), F.trim(F.expr(f"substring(line, {len(p) + 1})")))
     rows = note_lines(notes).withColumn("name", chain).where(F.length("name") > 2)
     return rows.select("document_id", "line_no", "name")
 

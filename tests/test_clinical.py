@@ -232,3 +232,10 @@ def test_lab_values_in_free_text():
     assert got["Packed Cell Volume"] == ("40.2", "%", "normalized")
     assert got["SGPT"] == ("38", "W/L", "needs_review")
     assert got["Platelets"] == ("250", "10^3/uL", "normalized")
+
+
+def test_stated_diagnoses_of_any_length(spark):
+    name = "x" * 1_000_005
+    notes = spark.createDataFrame([("d1", f"Diagnosis: {name}\nImpression: Gout")], "document_id string, text string")
+    got = {r.line_no: r.name for r in reports.stated_diagnoses(notes).collect()}
+    assert got == {0: name, 1: "Gout"}
