@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -38,6 +39,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As ``cut``, by a compressed table in the shared folder: for large results that are read several times."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def common_keys(rows: DataFrame, key: str, share: int = 1024) -> DataFrame:
+    """(``key``, ``salts``): keys with over a ``share``-th of the rows, so fewer than ``share`` of them, which may be broadcast.
+
+    Rows of such a key are dealt to ``salts`` tasks, so that none has more than about a ``share``-th of all. ``rows``
+    may be a sample: the keys only say where rows go, not what becomes of them.
+    """
+    total = rows.count()
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(16, total // share))
+    return cut(counts.select(key, F.ceil(F.col("n") * share / max(total, 1)).cast("int").alias("salts")))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Each name, lengthened by underscores until ``df`` has no such column (whatever the case)."""
     taken = {c.lower() for c in df.columns}
