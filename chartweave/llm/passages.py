@@ -2,7 +2,7 @@
 
 Every text gives seeds: runs of K words with a small hash, and the least of every SPARSE runs, so that no
 stretch is bare. Seeds of one document only go first. Each other seed makes a pair with the last one in the same text that
-ends within a passage's length, and one with the last within half of it; an occurrence of a pair is linked to the first document that has the
+ends within SPAN words; an occurrence of a pair is linked to the first document that has the
 pair. Links thus grow with the occurrences, never with their squares, and lead to documents that have a whole
 stretch, whatever parts of it others have. For two linked documents the matches are chained in order, with a cost for
 the gaps, through Fenwick trees of best scores; the words around each chain are then aligned, and aligned
@@ -28,10 +28,12 @@ from .common import MIX, common_keys, cut, fresh, mix64, stored, windows, with_a
 K = 5
 #: One run in DENSE is a seed by its hash; of every SPARSE runs the least is one in any case.
 DENSE, SPARSE = 4, 24
+#: Words that a pair of seeds may span, two thirds of the shortest passage.
+SPAN = 34
 #: Cost of each word between two matches of a chain, and the most words that one gap may have.
 GAP_COST, MOST_GAP = 0.03, 60
 #: Words around a chain that are aligned at first; stretches that come near this end are aligned again with more.
-REACH, NEAR_END = 64, 32
+REACH, NEAR_END = 512, 32
 LEAST_WORDS, LEAST_IDENTITY = 50, 0.8
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -117,18 +119,17 @@ def shared(docs: DataFrame) -> DataFrame:
 
 
 def pairs(found: DataFrame) -> DataFrame:
-    """(``pair``, ``d``, ``p``, ``r``): shared seeds of a text at ``p`` and ``r``, the last within LEAST_WORDS words and within half of them."""
-    far = [F.max(F.struct("p", "seed")).over(W.partitionBy("d").orderBy("p").rangeBetween(1, n - K)) for n in (LEAST_WORDS, LEAST_WORDS // 2)]
-    both = found.select("seed", "d", "p", F.array_distinct(F.array(*far)).alias("far"))
-    ends = both.select("seed", "d", "p", F.explode("far").alias("far")).where("far is not null")
-    return ends.select(F.xxhash64("seed", "far.seed").alias("pair"), "d", "p", F.col("far.p").alias("r"))
+    """(``pair``, ``d``, ``p``, ``r``): shared seeds of a text at ``p`` and ``r``, the last that ends within SPAN words."""
+    far = F.max(F.struct("p", "seed")).over(W.partitionBy("d").orderBy("p").rangeBetween(1, SPAN - K))
+    both = found.withColumn("far", far).where("far is not null")
+    return both.select(F.xxhash64("seed", "far.seed").alias("pair"), "d", "p", F.col("far.p").alias("r"))
 
 
 def links(found: DataFrame) -> DataFrame:
     """(``d``, ``e``, ``p``, ``q``, ``r``, ``s``): pairs of ``d`` at ``p`` and ``r`` that the first document ``e`` with them has at ``q`` and ``s``."""
     first = F.min(F.struct("d", "p", "r"))
     common = common_keys(found, "pair")
-    common = cut(found.join(F.broadcast(common), "pair").groupBy("pair", "salts").agg(first.alias("top")))
+    common = cut(dealt(found, common, "pair").where("salts is not null").groupBy("pair", "salts").agg(first.alias("top")))
     rows = dealt(found, common, "pair")
     rows = rows.withColumn("one", F.coalesce("top", first.over(W.partitionBy("pair", "salt")))).where("one.d < d")
     return rows.select("d", F.col("one.d").alias("e"), "p", F.col("one.p").alias("q"), "r", F.col("one.r").alias("s"))
@@ -365,6 +366,9 @@ def repeated_passages(df: DataFrame, *, text: str = "text", doc_id: str = "doc_i
         found, around = spans.where("ps is not null").select("d", "e", "ps", "qs"), 16 * around
         if not found.head(1):
             break
+        ids = cut(found.select(F.explode(F.array("d", "e")).alias("d")).distinct())
+        few = ids.count() <= 100_000
+        words = short_words(docs.join(F.broadcast(ids), "d", "left_semi")) if few else words
     return merged_spans(done.distinct()).withColumnRenamed("d", doc_id)
 
 
