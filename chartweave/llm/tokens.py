@@ -118,8 +118,9 @@ def merge_ranks(path: str) -> dict[bytes, int]:
     """The vocabulary of a byte-level BPE tokenizer file as bytes and ids; ids must be in the order of merges."""
     with open(path, encoding="utf-8") as f:
         said = json.load(f)
-    if said["pre_tokenizer"]["type"] != "ByteLevel" or said["pre_tokenizer"].get("add_prefix_space"):
-        raise ValueError("not byte-level BPE without a prefix space")
+    parted = said["pre_tokenizer"] or {}
+    if parted.get("type") != "ByteLevel" or parted.get("add_prefix_space") or not parted.get("use_regex", True) or said.get("normalizer"):
+        raise ValueError("not byte-level BPE as PATTERN parts it, without a prefix space or a normalizer")
     # visible bytes stand for themselves, the others for characters from 256 on
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in visible]
@@ -134,24 +135,41 @@ def merge_ranks(path: str) -> dict[bytes, int]:
 class WholeTextEncoder:
     """The ids that the tokenizer file gives, by a second engine that is faster on whole texts.
 
-    Texts of over 200,000 characters go to the file's own library, which keeps to linear memory. ``added`` as in
-    StretchEncoder.
+    Texts are given to the engine in parts of about ``longest`` characters, which end where the tokenizer parts a
+    text in any case, so that results do not depend on it. ``added`` as in StretchEncoder.
     """
 
-    def __init__(self, path: str, longest: int = 200_000, added: bool = False):
+    def __init__(self, path: str, longest: int = 100_000, added: bool = False):
         import tiktoken
 
         self.special = added_tokens(path) if added else {}
-        self.engine = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=merge_ranks(path), special_tokens=self.special)
-        self.path, self.longest, self.slow = path, longest, None
+        ranks = merge_ranks(path)
+        self.engine = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
+        # not before an added token, where white space is a text's end for the library
+        self.safe = re.compile(rf"(?= (?!{'|'.join(map(re.escape, self.special))})\S)" if self.special else r"(?= \S)")
+        self.longest = longest
+        #: Bytes of the text that each id stands for.
+        self.sizes = np.zeros(max([*ranks.values(), *self.special.values()]) + 1, np.int64)
+        for token, i in ranks.items():
+            self.sizes[i] = len(token)
+        for token, i in self.special.items():
+            self.sizes[i] = len(token.encode())
 
     def __call__(self, text: str) -> np.ndarray:
         if len(text) <= self.longest:
-            if any(t in text for t in self.special):
-                return np.array(self.engine.encode(text, allowed_special="all"), "<u4")
-            return np.array(self.engine.encode_ordinary(text), "<u4")
-        self.slow = self.slow or StretchEncoder(self.path, added=bool(self.special))
-        return joined(next(self.slow([text]))[1])
+            return self.part(text)
+        parts, at = [], 0
+        while at < len(text):
+            m = self.safe.search(text, at + max(1, self.longest))
+            end = m.start() if m else len(text)
+            parts.append(self.part(text[at:end]))
+            at = end
+        return np.concatenate(parts)
+
+    def part(self, text: str) -> np.ndarray:
+        if any(t in text for t in self.special):
+            return np.array(self.engine.encode(text, allowed_special="all"), "<u4")
+        return np.array(self.engine.encode_ordinary(text), "<u4")
 
 
 def joined(row: list[bytes]) -> np.ndarray:
@@ -185,35 +203,49 @@ def line_starts(text: str) -> np.ndarray:
     return np.array(at, np.int64)
 
 
+def byte_lines(raw: np.ndarray) -> np.ndarray:
+    """As ``line_starts``, in bytes of the UTF-8 text."""
+    at = np.flatnonzero(raw == 10) + 1
+    return np.concatenate([[0], at[at < len(raw)]])
+
+
 def section_token_counts(df: DataFrame, path: str, *, text: str = "text") -> DataFrame:
     """All columns but the text, one row for each line of it: ``section`` (from 0), ``start``, ``end``, ``n_tokens``, ``text_tokens``.
 
-    Each whole text is encoded once; its tokens' character offsets are joined to the sections' intervals. The
-    sections' counts add up to ``text_tokens``. Null and empty texts give one empty section without tokens.
+    Each whole text is encoded once. The tokens' lengths in bytes add up to their places in the text, which are
+    joined to the sections' intervals; a token over a boundary belongs to the section of its first byte. Sections start
+    and end at characters, so the character that holds this byte says the same. The
+    sections' counts add up to ``text_tokens``. Null and empty texts give one empty section without tokens; equal rows
+    give equal rows, an empty table gives an empty one; texts may have any length. Other columns with the names of the new ones are left out.
     """
-    kept = [c for c in df.columns if c != text]
-    schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(n, T.LongType()) for n in ("section", "start", "end", "n_tokens", "text_tokens"))])
+    new = ["section", "start", "end", "n_tokens", "text_tokens"]
+    kept = [c for c in df.columns if c != text and c.lower() not in new]
+    schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(n, T.LongType()) for n in new)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = StretchEncoder(path, offsets=True, added=True)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            others = batch.select(kept)
-            for at in range(0, len(texts), 500):  # many lines come of few texts
-                some = texts[at : at + 500]
-                begins = [line_starts(t) for t in some]
-                counts = [section_tokens(token_starts(*x), b) for x, b in zip(encoder(some), begins, strict=True)]
-                n = np.array([len(b) for b in begins])
-                ends = [np.append(b[1:], len(t)) for b, t in zip(begins, some, strict=True)]
-                repeat = pa.array(np.repeat(np.arange(at, at + len(some)), n))
-                cells = [np.concatenate([np.arange(k) for k in n]), *(np.concatenate(x).astype(np.int64) for x in (begins, ends, counts)), np.repeat([c.sum() for c in counts], n)]
-                yield pa.RecordBatch.from_arrays([*others.take(repeat).columns, *map(pa.array, cells)], names=schema.names)
+        encoder = WholeTextEncoder(path, added=True)
+        for batch in (whole.slice(k, 500) for whole in batches for k in range(0, whole.num_rows, 500)):  # many lines come of few texts
+            begins, ends, counts = [], [], []
+            for t in batch.column(len(kept)).to_pylist():
+                raw = np.frombuffer((t or "").encode(), np.uint8)
+                sizes = encoder.sizes[encoder(t or "")]
+                lines = byte_lines(raw)
+                counts.append(section_tokens(np.cumsum(sizes) - sizes, lines))
+                if len(raw) != len(t or ""):  # bytes to characters
+                    lines = np.cumsum((raw & 0xC0) != 0x80)[lines] - 1
+                begins.append(lines)
+                ends.append(np.append(lines[1:], len(t or "")))
+            n = np.array([len(b) for b in begins])
+            cells = [np.concatenate([np.arange(k) for k in n]), *(np.concatenate(x).astype(np.int64) for x in (begins, ends, counts)), np.repeat([c.sum() for c in counts], n)]
+            others = batch.select(range(len(kept))).take(pa.array(np.repeat(np.arange(len(n)), n)))
+            yield pa.RecordBatch.from_arrays([*others.columns, *map(pa.array, cells)], names=schema.names)
 
     return df.select(*kept, text).mapInArrow(run, schema)
 
 
 def with_ids(df: DataFrame, path: str, *, text: str = "text") -> DataFrame:
-    """All columns with ``ids`` (array of long) of every whole text; a null text counts as empty."""
+    """All other columns with ``ids`` (array of long) of every whole text; a null text counts as empty. A column of that name is left out."""
+    df = df.drop(*(c for c in df.columns if c.lower() == "ids"))
 
     def make():
         encoder = WholeTextEncoder(path, added=True)
