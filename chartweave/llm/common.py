@@ -73,9 +73,11 @@ def with_arrow(df: DataFrame, of: list[str], fields: list[T.StructField], make:
     """Add columns computed batch by batch in Python.
 
     ``make()`` runs once per task and returns a function from the columns ``of`` (as lists) to the
-    new columns (Arrow arrays). All columns of ``df`` pass through untouched.
+    new columns (Arrow arrays). All columns of ``df`` pass through untouched; a new column whose name is taken gets
+    underscores behind it (``fresh``).
     """
     at = [df.columns.index(c) for c in of]
+    fields = [T.StructField(n, f.dataType) for n, f in zip(fresh(df, *(f.name for f in fields)), fields, strict=True)]
     schema = T.StructType([*df.schema.fields, *fields])
     names = [f.name for f in schema.fields]
 
@@ -94,6 +96,17 @@ def text_key(text: Column | str) -> list[Column]:
     return [F.xxhash64(text), F.xxhash64(F.lit(0x5DEECE66D), text, F.length(text))]
 
 
+def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``table`` (few rows for each key), with the rows of common keys, and of null, dealt by ``by`` to several tasks."""
+    salt, salts = fresh(rows.join(table.limit(0), key), "salt__", "salts__")
+    common = common_keys(rows.select(key), key).withColumnRenamed("salts", salts)
+    dealt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(by), F.lit(4096))).otherwise(F.coalesce(F.pmod(F.xxhash64(by), F.col(salts)), F.lit(0)))
+    left = rows.join(F.broadcast(common), key, "left").withColumn(salt, dealt).drop(salts)
+    turns = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(salts) - 1, F.lit(0)).cast("long"))
+    right = table.join(F.broadcast(common), key, "left").withColumn(salt, F.explode(turns)).drop(salts)
+    return left.join(right, [key, salt], how).drop(salt)
+
+
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spread_join
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -23,7 +23,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         # large star: every larger neighbour of a node, to the smallest of the node and its neighbours
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = cut(both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        large = cut(spread_join(both.where(F.col("b") > F.col("a")), least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")))
         # small star: a node and its smaller neighbours, to the smallest of them
         joined = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b")))

@@ -292,7 +292,7 @@ def main_texts(df: DataFrame, *, page: str = "html") -> DataFrame:
 
     Null or empty pages, and pages without words, give an empty text; equal rows give equal texts; an empty table
     gives an empty one. Pages may have any length and depth: time and memory are linear in a page. Other
-    columns named ``text`` or ``n_chars`` are left out, as the new ones take their names.
+    columns keep their names; a new one whose name is taken gets underscores behind it.
     """
 
     def make():
@@ -302,10 +302,10 @@ def main_texts(df: DataFrame, *, page: str = "html") -> DataFrame:
 
         return work
 
-    kept = [c for c in df.columns if c != page and c.lower() not in ("text", "n_chars")]
-    df = df.select(*kept, F.col(page).alias(fresh(df.select(*kept), "page__")[0]))
-    out = with_arrow(df, df.columns[-1:], [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())], make)
-    return out.select(*kept, "text", "n_chars")
+    kept = [c for c in df.columns if c != page]
+    out = with_arrow(df, [page], [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())], make)
+    named = zip(out.columns[-2:], fresh(df.select(*kept), "text", "n_chars"), strict=True)
+    return out.select(*kept, *(F.col(c).alias(n) for c, n in named))
 
 
 def op9_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import cut, fresh, int_list, mix64, windows, word_hashes
+from .common import cut, fresh, int_list, mix64, spread_join, windows, word_hashes
 from .components import components
 
 BANDS, ROWS = 24, 4
@@ -163,20 +163,24 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
-def joined_in_blocks(members: DataFrame, least: float, block: int = 256) -> DataFrame:
+def joined_in_blocks(members: DataFrame, least: float, block: int = 256, block_bytes: int = 4 << 20) -> DataFrame:
     """Pairs of components (``a``, ``b``) that a link between members of a bucket joins.
 
-    ``members``: ``bucket``, ``size`` (of the bucket), ``node``, ``component``, ``signature``, ``bands``, ``text``.
-    Each bucket is dealt into blocks of about ``block`` members, and every two blocks are compared by one task,
-    which gives a pair for each two components it can join: fewer rows than members. Two texts are compared in
+    ``members``: ``bucket``, ``node``, ``component``, ``signature``, ``bands``, ``text``.
+    Each bucket is dealt into blocks of about ``block`` members or ``block_bytes`` of text, whatever is less, and every two blocks are compared by themselves:
+    rows are dealt by the bucket and the second block, so that no task gets a whole bucket. A comparison
+    gives a pair for each two components it can join: fewer rows than members. Two texts are compared in
     the first bucket that they share.
     """
-    dealt = members.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block)))
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    parts = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / block_bytes)).cast("long")
+    dealt = spread_join(members, sizes.select("bucket", parts.alias("parts")), "bucket", "node")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")))
     member = F.struct("node", "component", "signature", "bands", "text")
-    blocks = dealt.groupBy("bucket", "block").agg(F.collect_list(member).alias("members"))
-    left = blocks.select("bucket", F.col("block").alias("x"), F.col("members").alias("mx"))
+    blocks = dealt.groupBy("bucket", "block", "parts").agg(F.collect_list(member).alias("members"))
+    left = blocks.select("bucket", F.col("block").alias("x"), F.explode(F.sequence(F.col("block"), F.col("parts") - 1)).alias("y"), F.col("members").alias("mx"))
     right = blocks.select("bucket", F.col("block").alias("y"), F.col("members").alias("my"))
-    two = left.join(right, "bucket").where(F.col("x") <= F.col("y"))
+    two = left.join(right, ["bucket", "y"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,7 +232,8 @@ def near_classes(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id", l
 
     Texts belong to one class if links of similarity ``least`` or more join them; ``class_id`` is the smallest
     id of the class (null if all are null) and ``class_node`` its text. Null texts and texts without words have
-    no row: they are like nothing. Texts of fewer than five words are one shingle.
+    no row: they are like nothing. Texts of fewer than five words are one shingle; longer ones may have any length and count
+    whole. Repeated rows count in ``class_size``; an empty table gives an empty one.
     """
     docs = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.unhex(F.md5(text)).alias("node")).where(F.col("text").rlike(WORDS))
     rows = signed(docs, "node", "text", ["id"])
@@ -248,7 +253,7 @@ def near_classes(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id", l
     first = cut(components(links))
 
     # two leaders know all pairs of three; larger buckets may hold members of several components
-    member = members.where("size > 3").select("bucket", "size", "node").join(first, "node", "left")
+    member = members.where("size > 3").select("bucket", "node").join(first, "node", "left")
     member = cut(member.withColumn("component", F.coalesce("component", "node")))
     mixed = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
     rest = cut(member.join(mixed, "bucket", "left_semi").join(texts.select("node", "signature", "bands"), "node"))
@@ -263,7 +268,7 @@ def near_classes(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id", l
         F.coalesce(by_id, F.min(F.struct("id", "node"))).alias("first"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("n_texts")
     )
     classes = classes.select("component", F.col("first.id").alias("class_id"), F.col("first.node").alias("class_node"), "class_size", "n_texts")
-    return found.select("node", "component").join(classes, "component").drop("component")
+    return spread_join(found.select("node", "component"), classes, "component", "node").drop("component")
 
 
 def bodies(docs: DataFrame, ids: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -289,18 +294,19 @@ def one_of_each(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id", le
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates; documents with a null text or without words stay, equal rows go but for one."""
     return one_of_each(docs)
 
 
 def op1_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = docs.select("doc_id", F.unhex(F.md5("text")).alias("node")).join(near_classes(docs), "node", "left")
+    nodes = docs.select("doc_id", F.unhex(F.md5("text")).alias("node"))
+    out = spread_join(nodes, near_classes(docs), "node", "doc_id", "left")
     return out.select(
         "doc_id",
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
         F.coalesce("n_texts", F.lit(1)).alias("n_texts"),
-        (F.coalesce("class_id", "doc_id") == F.col("doc_id")).alias("kept"),
+        F.coalesce("class_id", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"),
     )

@@ -218,8 +218,10 @@ def pack(pieces: DataFrame, capacity: int, *, length: str = "length", identity:
 
     ``pieces`` is read several times, so it should be cut (checkpointed or a table). ``identity``: columns
     that tell rows apart (all by default); rows that agree in them are interchangeable. An empty table gives
-    an empty result. Common lengths are salted: no task orders more than about one row in 65,536.
+    an empty result. Common lengths are salted: no task orders more than about one row in 65,536. A new column whose
+    name is taken gets underscores behind it.
     """
+    new_id, new_offset = fresh(pieces, "sequence_id", "offset")
     spark = pieces.sparkSession
     identity = identity or pieces.columns
     salt, base, rank, lots, lot = fresh(pieces, "salt__", "base__", "rank__", "lots__", "lot__")
@@ -245,8 +247,8 @@ def pack(pieces: DataFrame, capacity: int, *, length: str = "length", identity:
     times = F.col(lot)["times"]
     return ranked.select(
         *pieces.columns,
-        (F.col(lot)["sequence"] + F.floor(inside / times)).cast("long").alias("sequence_id"),
-        (F.col(lot)["offset"] + F.pmod(inside, times) * F.col("len__")).cast("long").alias("offset"),
+        (F.col(lot)["sequence"] + F.floor(inside / times)).cast("long").alias(new_id),
+        (F.col(lot)["offset"] + F.pmod(inside, times) * F.col("len__")).cast("long").alias(new_offset),
     )
 
 
@@ -254,21 +256,23 @@ def token_pieces(df: DataFrame, path: str, capacity: int = 2048, *, text: str =
     """The other columns with a row for each piece: ``piece``, ``start``, ``length``, ``ids_crc32`` and, if asked, ``ids``.
 
     A document is its ids and then ``end_id``. Only longer ones than ``capacity`` are cut, so that all pieces
-    but the first are full. A null text counts as empty: one piece with the end id alone.
+    but the first are full. A null text counts as empty: one piece with the end id alone. Equal rows give equal
+    pieces, an empty table gives none; texts may have any length. A new column whose name is taken gets underscores behind it.
     """
     kept = [c for c in df.columns if c != text]
-    fields = [T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
+    kinds = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())]
     if keep_ids:
-        fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
+        kinds.append(("ids", T.ArrayType(T.IntegerType())))
+    fields = [T.StructField(n, t) for n, (_, t) in zip(fresh(df.select(*kept), *(n for n, _ in kinds)), kinds, strict=True)]
     schema = T.StructType([*(df.schema[c] for c in kept), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WholeTextEncoder(path, added=True)
         last = np.array([end_id], "<u4").tobytes()
         for batch in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):
-            others = batch.select(kept)
+            others = batch.select(range(len(kept)))
             source, cells = [], [[] for _ in fields]
-            for at, t in enumerate(batch.column(text).to_pylist()):
+            for at, t in enumerate(batch.column(len(kept)).to_pylist()):
                 raw = encoder(t or "").tobytes() + last
                 n = len(raw) // 4
                 start, piece = 0, 0

@@ -304,7 +304,11 @@ def decode_ids(df: DataFrame, path: str, *, ids: str = "ids") -> DataFrame:
 
 
 def piece_digests(df: DataFrame, path: str, *, text: str = "text") -> DataFrame:
-    """All columns with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every whole text (null: empty)."""
+    """All columns with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every whole text (null: empty).
+
+    Equal rows give equal rows, an empty table an empty one; texts may have any length. A new column whose name is taken gets
+    underscores behind it.
+    """
 
     def make():
         c = codec(path)

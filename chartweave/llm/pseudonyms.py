@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_arrow
+from .common import fresh, with_arrow
 
 ROUNDS = 10
 #: The forms that are looked for, in order of precedence.
@@ -159,7 +159,12 @@ class Pseudonyms:
         return str(ipaddress.ip_address(turn("ip", 2**32, number)))
 
     def date(self, s: str, turn) -> str | None:
-        """ISO dates, and day or month first with dots or slashes; what only fits one order has that order."""
+        """ISO dates, and day or month first with dots or slashes; what only fits one order has that order.
+
+        Days up to the 12th and later ones are permuted among themselves (cycle walking), so that a pseudonym is
+        read in the order of its value: different texts get different pseudonyms and all come back, and a date has the same pseudonym
+        in every form.
+        """
         iso = s[4] == "-"
         orders = [(0, 1, 2)] if iso else [(2, 1, 0), (2, 0, 1)] if s[2] == "." else [(2, 0, 1), (2, 1, 0)]
         parts = [int(x) for x in re.split(r"[./-]", s)]
@@ -170,7 +175,12 @@ class Pseudonyms:
                 continue
             if not FIRST_DAY <= day <= LAST_DAY:
                 return None
-            new = datetime.date.fromordinal(FIRST_DAY + turn("date", LAST_DAY - FIRST_DAY + 1, day - FIRST_DAY))
+            early = parts[order[2]] <= 12
+            while True:
+                day = FIRST_DAY + turn("date", LAST_DAY - FIRST_DAY + 1, day - FIRST_DAY)
+                new = datetime.date.fromordinal(day)
+                if (new.day <= 12) == early:
+                    break
             shown = {order[0]: f"{new.year:04d}", order[1]: f"{new.month:02d}", order[2]: f"{new.day:02d}"}
             digits = "".join(shown[i] for i in range(3))
             return filled(s, digits)
@@ -244,42 +254,56 @@ class Pseudonyms:
         return "".join([*out, text[at:]]), counts
 
 
+def count_names(df: DataFrame) -> list[str]:
+    """The names that ``with_pseudonyms`` gives its counts: ``n_<kind>``, with underscores behind where ``df`` has that name."""
+    return fresh(df, *(f"n_{k}" for k in KINDS))
+
+
 def with_pseudonyms(df: DataFrame, key: bytes, *, text: str = "text", back: bool = False) -> DataFrame:
-    """All columns of ``df`` with the text replaced, and a count ``n_<kind>`` for each of KINDS.
+    """All columns of ``df`` with the text replaced, and a count for each of KINDS (``count_names``).
 
-    Null texts stay null; texts without private values stay as they are. ``back`` restores values with the key.
+    Null and empty texts, and texts without private values, stay as they are; equal rows give equal rows; an empty
+    table gives an empty one; texts may have any length. ``back`` restores values with the key.
     """
-    names = [f"n_{k}" for k in KINDS]
+    names = count_names(df)
 
     def make():
         pseudonyms = Pseudonyms(key)
 
         def work(texts):
             rows = [pseudonyms.text(t, back) for t in texts]
-            return [pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[1][k] for r in rows], pa.int32()) for k in range(len(KINDS)))]
+            return [*(pa.array([r[1][k] for r in rows], pa.int32()) for k in range(len(KINDS))), pa.array([r[0] for r in rows], pa.string())]
 
         return work
 
-    fields = [T.StructField("replaced__", T.StringType()), *(T.StructField(n, T.IntegerType()) for n in names)]
-    out = with_arrow(df, [text], fields, make)
-    return out.select(*(F.col("replaced__").alias(c) if c == text else F.col(c) for c in df.columns), *names)
+    out = with_arrow(df, [text], [*(T.StructField(n, T.IntegerType()) for n in names), T.StructField("replaced__", T.StringType())], make)
+    return out.select(*(F.col(out.columns[-1]).alias(c) if c == text else F.col(c) for c in df.columns), *names)
 
 
-#: For demonstration; in production the key comes from a secret store.
+#: For demonstration and tests only: who has it can undo the pseudonyms.
 DEMONSTRATION_KEY = b"chartweave demonstration key"
 
 
-def pseudonym_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with pseudonyms in the place of private values; ``n_chars``, if there, follows."""
-    out = with_pseudonyms(docs, DEMONSTRATION_KEY)
+def session_key(spark: SparkSession) -> bytes:
+    """The key in hexadecimal digits from the session's ``spark.chartweave.pseudonymKey``; the demonstration key if that is unset."""
+    said = spark.conf.get("spark.chartweave.pseudonymKey", None)
+    return bytes.fromhex(said) if said else DEMONSTRATION_KEY
+
+
+def pseudonym_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, key: bytes | None = None) -> DataFrame:
+    """Documents with pseudonyms in the place of private values; ``n_chars``, if there, follows. No row goes.
+
+    Null, empty, repeated and very long texts as in ``with_pseudonyms``. ``key``: ``session_key`` by default.
+    """
+    out = with_pseudonyms(docs, key or session_key(spark))
     if "n_chars" in docs.columns:
-        changed = sum((F.col(f"n_{k}") for k in KINDS), F.lit(0)) > 0
+        changed = sum((F.col(n) for n in count_names(docs)), F.lit(0)) > 0
         out = out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
-def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str, key: bytes | None = None) -> DataFrame:
     """Every document's text with pseudonyms, and what was found."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = with_pseudonyms(docs, DEMONSTRATION_KEY)
-    return out.withColumn("n_found", sum((F.col(f"n_{k}") for k in KINDS), F.lit(0)))
+    out = with_pseudonyms(docs, key or session_key(spark))
+    return out.withColumn("n_found", sum((F.col(n) for n in count_names(docs)), F.lit(0)))

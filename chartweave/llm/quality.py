@@ -228,27 +228,32 @@ def fit_rules(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id:
     return learn(table, frame[mark].to_numpy() == 0, **how)
 
 
+VERDICT = ["base_failed", "rule", "kept"]
+
+
 def apply_rules(docs: DataFrame, rules: list[Rule], *, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with the five base numbers, ``base_failed``, ``rule`` (0: none) and ``kept``.
 
-    Null and empty texts fail the base test. Each row is judged by itself, so repeated rows get equal verdicts.
+    Null and empty texts fail the base test. Each row is judged by itself, so repeated rows get equal verdicts; an empty
+    table gives an empty one; texts may have any length. A new column whose name is taken gets underscores behind
+    it; the last column is the verdict in any case.
     """
-    names = fresh(docs, *BASE, *MORE)
-    at = dict(zip([*BASE, *MORE], [F.col(n) for n in names], strict=True))
-    out = with_statistics(docs, text, names)
-    return out.select(
-        *docs.columns,
-        *(F.col(n) for n in names[: len(BASE)]),
-        base_failed(at).alias("base_failed"),
-        verdict(rules, features(at)).alias("rule"),
-        (~base_failed(at) & (verdict(rules, features(at)) == 0)).alias("kept"),
-    )
+    names = fresh(docs, *BASE, *MORE, *VERDICT)
+    at = dict(zip([*BASE, *MORE], [F.col(n) for n in names], strict=False))
+    out = with_statistics(docs, text, names[: -len(VERDICT)])
+    failed, found = base_failed(at), verdict(rules, features(at))
+    said = [c.alias(n) for c, n in zip((failed, found, ~failed & (found == 0)), names[-len(VERDICT) :], strict=True)]
+    return out.select(*docs.columns, *(F.col(n) for n in names[: len(BASE)]), *said)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that pass the base test and that no learned rule rejects."""
+    """The documents that pass the base test and that no learned rule rejects.
+
+    Documents with a null or empty text go; repeated rows stay or go together; without labels only the base test counts.
+    """
     rules = fit_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return apply_rules(docs, rules).where("kept").select(*docs.columns)
+    judged = apply_rules(docs, rules)
+    return judged.where(F.col(judged.columns[-1])).select(*docs.columns)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

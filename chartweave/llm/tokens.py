@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import with_arrow
+from .common import fresh, with_arrow
 
 STRETCHES = re.compile(r"(?= \S)")
 
@@ -216,10 +216,10 @@ def section_token_counts(df: DataFrame, path: str, *, text: str = "text") -> Dat
     joined to the sections' intervals; a token over a boundary belongs to the section of its first byte. Sections start
     and end at characters, so the character that holds this byte says the same. The
     sections' counts add up to ``text_tokens``. Null and empty texts give one empty section without tokens; equal rows
-    give equal rows, an empty table gives an empty one; texts may have any length. Other columns with the names of the new ones are left out.
+    give equal rows, an empty table gives an empty one; texts may have any length. A new column whose name is taken gets underscores behind it.
     """
-    new = ["section", "start", "end", "n_tokens", "text_tokens"]
-    kept = [c for c in df.columns if c != text and c.lower() not in new]
+    kept = [c for c in df.columns if c != text]
+    new = fresh(df.select(*kept), "section", "start", "end", "n_tokens", "text_tokens")
     schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(n, T.LongType()) for n in new)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,8 +244,10 @@ def section_token_counts(df: DataFrame, path: str, *, text: str = "text") -> Dat
 
 
 def with_ids(df: DataFrame, path: str, *, text: str = "text") -> DataFrame:
-    """All other columns with ``ids`` (array of long) of every whole text; a null text counts as empty. A column of that name is left out."""
-    df = df.drop(*(c for c in df.columns if c.lower() == "ids"))
+    """All columns with ``ids`` (array of long) of every whole text; a null text counts as empty.
+
+    Equal rows give equal rows, an empty table an empty one; texts may have any length. If there is a column ``ids``, the new one gets underscores behind it.
+    """
 
     def make():
         encoder = WholeTextEncoder(path, added=True)

@@ -3,7 +3,8 @@
 Two unit vectors of cosine c or more are at most a squared distance of 2 - 2c apart. After a fixed random
 rotation the dimensions are dealt into blocks; that budget is dealt to the blocks in proportion to their
 dimensions, and at least one block must keep to its own. Each block is range-joined on a grid: a vector
-lies in the cell of its leading coordinates and visits the neighbouring cells that its range reaches.
+lies in the cell of its leading coordinates and visits those later ones of the neighbouring cells that its range reaches, so that
+each two vectors meet once.
 The union of the candidates is verified with the cosine of the vectors as they are; a pair counts in the
 first block that finds it.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, spread_join
 from .components import components
 
 #: Dimensions of a block; the last block may have fewer.
@@ -60,7 +61,7 @@ def grid_dims(rows: int) -> int:
 
 
 def cells(point: np.ndarray, reach2: float, g: int) -> list[tuple[tuple[int, ...], bool]]:
-    """The cell of a block's coordinates (True) and the others within range (False); cells are twice the range wide."""
+    """The cell of a block's coordinates (True) and the later ones (in order) within range (False); cells are twice the range wide."""
     g = min(g, len(point))
     width = 2 * reach2**0.5
     scaled = point[:g] / width
@@ -74,7 +75,8 @@ def cells(point: np.ndarray, reach2: float, g: int) -> list[tuple[tuple[int, ...
             if gap2[list(some)].sum() <= reach2:
                 to = own.copy()
                 to[list(some)] += side[list(some)]
-                out.append((tuple(to.tolist()), False))
+                if tuple(to) > tuple(own):
+                    out.append((tuple(to.tolist()), False))
     return out
 
 
@@ -87,10 +89,10 @@ def cell_number(cell: tuple[int, ...]) -> int:
 
 
 def dealt(classes: DataFrame, least: float, g: int) -> DataFrame:
-    """A row for each block and cell in which a vector lies (``home``) or that its range reaches."""
+    """A row for each block and cell in which a vector lies (``own``) or that its range reaches."""
     schema = T.StructType([
         *(classes.schema[c] for c in ("label", "dims", "id", "n", "embedding")),
-        T.StructField("block", T.IntegerType()), T.StructField("cell", T.LongType()), T.StructField("home", T.BooleanType()),
+        T.StructField("block", T.IntegerType()), T.StructField("cell", T.LongType()), T.StructField("own", T.BooleanType()),
     ])
 
     def run(batches):
@@ -115,10 +117,13 @@ def dealt(classes: DataFrame, least: float, g: int) -> DataFrame:
 
 
 def in_cell(table: pa.Table, least: float) -> pa.Table:
-    """Links within one part of a cell: (``id``, ``other``, ``add``). ``add``: linked vectors; ``other``: a linked id that joins components, or null."""
+    """Links within one part of a cell: (``id``, ``other``, ``add``). ``add``: linked vectors; ``other``: a linked id that joins components, or null.
+
+    Rows that are ``home`` are held against those that are ``mover``; ``own``: the vector lies in this cell.
+    """
     ids = np.array(table.column("id").to_pylist())
     n = table.column("n").to_numpy()
-    home = table.column("home").to_numpy(zero_copy_only=False)
+    home, mover, own = (table.column(c).to_numpy(zero_copy_only=False) for c in ("home", "mover", "own"))
     raw = np.array(table.column("embedding").to_pylist(), np.float64)
     block = table.column("block")[0].as_py()
     unit = units(raw)
@@ -127,7 +132,7 @@ def in_cell(table: pa.Table, least: float) -> pa.Table:
     a, b, reach2 = blocks[block]
     part = turned[:, a:b]
     square = (part * part).sum(axis=1)
-    homes, guests = np.flatnonzero(home), np.flatnonzero(table.column("guest").to_numpy(zero_copy_only=False))
+    homes, guests = np.flatnonzero(home), np.flatnonzero(mover)
     add = np.zeros(len(ids), np.int64)
     parent = list(range(len(ids)))
 
@@ -143,7 +148,8 @@ def in_cell(table: pa.Table, least: float) -> pa.Table:
         for h0 in range(0, len(homes), 512):
             hs = homes[h0 : h0 + 512]
             near = square[gs][:, None] + square[hs][None, :] - 2 * part[gs] @ part[hs].T <= reach2 + SLACK
-            i, j = np.nonzero(near & (ids[gs][:, None] < ids[hs][None, :]))
+            # two of one cell meet as the smaller id's mover
+            i, j = np.nonzero(near & (~own[gs][:, None] | (ids[gs][:, None] < ids[hs][None, :])))
             i, j = gs[i], hs[j]
             for p, q, r2 in blocks[:block]:  # found in an earlier block, so counted there
                 if len(i):
@@ -175,6 +181,7 @@ def linked_vectors(df: DataFrame, *, vec_id: str = "vec_id", embedding: str = "e
     Vectors of one label are linked if their cosine, in double precision, is ``least`` or more. Null labels,
     null ids, and vectors that are null, empty, zero or hold null or non-finite numbers link with nothing; vectors of
     different lengths do not link with each other. Rows with equal label and vector are compared once; each of them is linked with the others.
+    An empty table gives an empty one.
     """
     spark = df.sparkSession
     e = F.col(embedding).cast("array<double>")
@@ -188,17 +195,18 @@ def linked_vectors(df: DataFrame, *, vec_id: str = "vec_id", embedding: str = "e
     out = dealt(classes, least, grid_dims(largest))
 
     key = ["label", "dims", "block", "cell"]
-    full = out.where("home").groupBy(*key).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > PART)
-    full = cut(full)
-    full = F.broadcast(full) if full.count() <= 100_000 else full
-    out = out.join(full, key, "left").withColumn("parts", F.coalesce(F.ceil(F.col("size") / PART), F.lit(1)).cast("int"))
-    # in full cells homes (part y) and guests (part x) are dealt into parts, and every two parts meet once
-    mine = F.pmod(F.hash("id"), F.col("parts"))
-    parts = F.sequence(F.lit(0), F.col("parts") - 1)
-    as_home = out.where("home").withColumn("y", mine).withColumn("x", F.explode(parts)).withColumn("guest", F.col("x") == F.col("y"))
-    as_guest = out.withColumn("x", mine).withColumn("y", F.explode(parts)).where(~F.col("home") | (F.col("x") != F.col("y")))
-    as_guest = as_guest.withColumns({"home": F.lit(False), "guest": F.lit(True)})
-    met = as_home.unionByName(as_guest).select(*key, "x", "y", "id", "n", "embedding", "home", "guest")
+    # cells in which two vectors meet, one of them at home, and how many parts they are dealt into
+    sizes = out.groupBy(*key).agg(F.count(F.lit(1)).alias("all"), F.count_if("own").alias("homes")).where((F.col("all") > 1) & (F.col("homes") > 0))
+    sizes = sizes.select(*key, F.ceil(F.col("all") / PART).cast("int").alias("xs"), F.ceil(F.col("homes") / PART).cast("int").alias("ys"))
+    sizes = cut(sizes)
+    out = out.join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, key)
+    # every part x of the movers meets every part y of those at home once
+    x, y = F.pmod(F.hash("id"), F.col("xs")), F.pmod(F.xxhash64("id"), F.col("ys")).cast("int")
+    place = lambda a, b, home, mover: F.struct(a.alias("x"), b.alias("y"), F.lit(home).alias("home"), mover.alias("mover"))
+    at_home = F.transform(F.sequence(F.lit(0), F.col("xs") - 1), lambda k: place(k, y, True, k == x))
+    moving = F.transform(F.sequence(F.lit(0), F.col("ys") - 1), lambda k: place(x, k, False, F.lit(True)))
+    places = F.when(F.col("own"), F.concat(at_home, F.filter(moving, lambda p: p["y"] != y))).otherwise(moving)
+    met = out.withColumn("place", F.explode(places)).select(*key, "place.*", "id", "n", "embedding", "own")
 
     schema = T.StructType([T.StructField("id", classes.schema["id"].dataType), T.StructField("other", classes.schema["id"].dataType), T.StructField("add", T.LongType())])
     found = cut(met.groupBy(*key, "x", "y").applyInArrow(lambda t: in_cell(t, least), schema))
@@ -208,7 +216,9 @@ def linked_vectors(df: DataFrame, *, vec_id: str = "vec_id", embedding: str = "e
     known = known.select(
         "label", "h", "i", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")
     )
-    done = rows.where("good").join(known, ["label", "h", "i"]).select("id", "n_links", "component_id")
+    # hashes of equal vectors are equal, and a common vector is dealt to several tasks
+    one = F.struct("label", "h", "i").alias("same")
+    done = spread_join(rows.where("good").select("id", one), known.select(one, "n_links", "component_id"), "same", "id").select("id", "n_links", "component_id")
     rest = rows.where("not good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     done = done.unionByName(rest)
     return done.select(F.col("id").alias(vec_id), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
