@@ -129,8 +129,9 @@ def links(found: DataFrame) -> DataFrame:
     """(``d``, ``e``, ``p``, ``q``, ``r``, ``s``): pairs of ``d`` at ``p`` and ``r`` that the first document ``e`` with them has at ``q`` and ``s``."""
     first = F.min(F.struct("d", "p", "r"))
     common = common_keys(found, "pair")
-    common = cut(dealt(found, common, "pair").where("salts is not null").groupBy("pair", "salts").agg(first.alias("top")))
-    rows = dealt(found, common, "pair")
+    keys = [r["pair"] for r in common.collect()]  # fewer than 1024
+    tops = found.where(F.col("pair").isin(keys)).groupBy("pair").agg(first.alias("top"))
+    rows = dealt(found, cut(common.join(F.broadcast(tops), "pair", "left")), "pair")
     rows = rows.withColumn("one", F.coalesce("top", first.over(W.partitionBy("pair", "salt")))).where("one.d < d")
     return rows.select("d", F.col("one.d").alias("e"), "p", F.col("one.p").alias("q"), "r", F.col("one.r").alias("s"))
 
@@ -219,26 +220,28 @@ def chains(p: list[int], q: list[int]) -> list[list[int]]:
     return out
 
 
+LISTS, ARROW_LISTS = T.ArrayType(T.ArrayType(T.IntegerType())), pa.list_(pa.list_(pa.int32()))
+
+
 def chained(matched: DataFrame) -> DataFrame:
-    """(``d``, ``e``, ``ps``, ``qs``): the chains of each two documents."""
+    """(``d``, ``e``, ``ps``, ``qs``): the chains of each two documents, each an array of its matches."""
     lists = matched.groupBy("d", "e").agg(F.collect_list(F.struct("p", "q", "r", "s")).alias("m"))
-    ints = T.ArrayType(T.IntegerType())
-    schema = T.StructType([matched.schema["d"], matched.schema["e"], T.StructField("ps", ints), T.StructField("qs", ints)])
+    schema = T.StructType([matched.schema["d"], matched.schema["e"], T.StructField("ps", LISTS), T.StructField("qs", LISTS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):
             of, ps, qs = [], [], []
             for at, m in enumerate(batch.column("m")):
                 p, q, r, s = (m.values.field(x).to_numpy().astype(np.int64) for x in range(4))
                 both = np.unique(np.concatenate([p << 32 | q, r << 32 | s]))
                 p, q = (both >> 32).tolist(), (both & 0xFFFFFFFF).tolist()
-                for chain in chains(p, q):
+                found = chains(p, q)
+                if found:
                     of.append(at)
-                    ps.append([p[i] for i in chain])
-                    qs.append([q[i] for i in chain])
+                    ps.append([[p[i] for i in chain] for chain in found])
+                    qs.append([[q[i] for i in chain] for chain in found])
             take = pa.array(of, pa.int64())
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("d").take(take), batch.column("e").take(take), pa.array(ps, kind), pa.array(qs, kind)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("d").take(take), batch.column("e").take(take), pa.array(ps, ARROW_LISTS), pa.array(qs, ARROW_LISTS)], names=schema.names)
 
     return lists.select("d", "e", "m").mapInArrow(run, schema)
 
@@ -301,8 +304,8 @@ def aligned(a: np.ndarray, b: np.ndarray, ps: list[int], qs: list[int]) -> list[
 def alignments(found: DataFrame, words: DataFrame, common: DataFrame, around: int) -> DataFrame:
     """(``d``, ``e``, ``start``, ``end``, ``other``, ``equal``) of passages in words; ``other``: start in ``e``.
 
-    ``around``: words on either side of a chain that are looked at. A chain whose stretch comes near the end of
-    these, while the texts go on, comes back with its ``ps`` and ``qs`` instead. ``common``: documents ``id`` that
+    ``around``: words on either side of the chains that are looked at. Chains whose stretches come near the end of
+    these, while the texts go on, come back as ``ps`` and ``qs`` instead. ``common``: documents ``id`` that
     many chains meet, with ``salts``.
     """
     salted = words.join(F.broadcast(common), "id", "left")
@@ -311,33 +314,33 @@ def alignments(found: DataFrame, words: DataFrame, common: DataFrame, around: in
     window = found.join(F.broadcast(salts), "e", "left")
     window = window.withColumn("salt_e", F.coalesce(F.pmod(F.xxhash64("d"), F.col("salts")), F.lit(0)).cast("int")).withColumn("salt_d", F.lit(0))
     for side, p in (("d", "ps"), ("e", "qs")):
-        window = window.withColumn(f"from_{side}", F.greatest(F.element_at(p, 1) - around, F.lit(0)))
-        window = window.withColumn(f"size_{side}", F.element_at(p, -1) + K + around - F.col(f"from_{side}"))
+        window = window.withColumn(f"from_{side}", F.greatest(F.array_min(F.flatten(p)) - around, F.lit(0)))
+        window = window.withColumn(f"size_{side}", F.array_max(F.flatten(p)) + K + around - F.col(f"from_{side}"))
     for side in ("d", "e"):
         these = salted.select(F.col("id").alias(side), F.col("salt").alias(f"salt_{side}"), F.col("words").alias("w"))
         window = window.join(these, [side, f"salt_{side}"]).withColumn(f"w_{side}", F.col("w").substr(2 * F.col(f"from_{side}") + 1, 2 * F.col(f"size_{side}"))).drop("w")
-    ints = T.ArrayType(T.IntegerType())
-    schema = T.StructType([found.schema["d"], found.schema["e"], *(T.StructField(n, T.IntegerType()) for n in ("start", "end", "other", "equal")), T.StructField("ps", ints), T.StructField("qs", ints)])
+    schema = T.StructType([found.schema["d"], found.schema["e"], *(T.StructField(n, T.IntegerType()) for n in ("start", "end", "other", "equal")), T.StructField("ps", LISTS), T.StructField("qs", LISTS)])
     columns = ("w_d", "w_e", "from_d", "from_e", "size_d", "size_e", "ps", "qs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):
             of, rows = [], []
-            for at, (x, y, fx, fy, nx, ny, ps, qs) in enumerate(zip(*(batch.column(c).to_pylist() for c in columns), strict=True)):
+            for at, (x, y, fx, fy, nx, ny, *both) in enumerate(zip(*(batch.column(c).to_pylist() for c in columns), strict=True)):
                 a, b = np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")
-                spans = aligned(a, b, [i - fx for i in ps], [i - fy for i in qs])
-                # how far from the text's own ends a stretch may stop; the looked-at words end inside the text otherwise
-                ends = [(fx, len(a) == nx), (fy, len(b) == ny)]
-                if any((s < NEAR_END and f) or (t > n - NEAR_END and on) for s0, t0, u0, v0, _ in spans for s, t, n, (f, on) in ((s0, t0, len(a), ends[0]), (u0, v0, len(b), ends[1]))):
-                    of.append(at)
-                    rows.append((None, None, None, None, ps, qs))
-                    continue
-                for s, t, u, v, n in spans:
-                    if t - s >= LEAST_WORDS and n >= LEAST_IDENTITY * max(t - s, v - u):
-                        of.append(at)
-                        rows.append((s + fx, t + fx, u + fy, n, None, None))
+                # the looked-at words may end inside the texts, and a stretch that comes near such an end may go on
+                low, high = ([NEAR_END if f else 0 for f in (fx, fy)], [len(t) - NEAR_END if len(t) == n else len(t) for t, n in ((a, nx), (b, ny))])
+                later, seen = ([], []), set()
+                for ps, qs in zip(*both, strict=True):
+                    spans = aligned(a, b, [i - fx for i in ps], [i - fy for i in qs])
+                    if any(s < low[0] or u < low[1] or t > high[0] or v > high[1] for s, t, u, v, _ in spans):
+                        later[0].append(ps)
+                        later[1].append(qs)
+                        continue
+                    seen |= {(s + fx, t + fx, u + fy, n) for s, t, u, v, n in spans if t - s >= LEAST_WORDS and n >= LEAST_IDENTITY * max(t - s, v - u)}
+                rows += [(*x, None, None) for x in sorted(seen)] + [(None, None, None, None, *later)] * bool(later[0])
+                of += [at] * (len(seen) + bool(later[0]))
             take = pa.array(of, pa.int64())
-            cells = [pa.array([r[k] for r in rows], pa.int32() if k < 4 else pa.list_(pa.int32())) for k in range(6)]
+            cells = [pa.array([r[k] for r in rows], pa.int32() if k < 4 else ARROW_LISTS) for k in range(6)]
             yield pa.RecordBatch.from_arrays([batch.column("d").take(take), batch.column("e").take(take), *cells], names=schema.names)
 
     return window.select("d", "e", *columns).mapInArrow(run, schema)
