@@ -87,6 +87,11 @@ def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return rows.join(gone.select(key).distinct(), key, "left_anti")
 
 
+def cascade(tables: list[tuple[str, DataFrame]], gone: DataFrame, key: str) -> list[tuple[str, DataFrame]]:
+    """What is left of several tables when the keys of ``gone`` are deleted."""
+    return [(name, without(df, gone, key)) for name, df in tables]
+
+
 def fact_union(**kinds: DataFrame) -> DataFrame:
     """Facts of several kinds in one table with ``kind``."""
     tables = [df.withColumn("kind", F.lit(kind)) for kind, df in kinds.items()]

@@ -55,17 +55,19 @@ def restricted(text: Column) -> Column:
 def blocks(words: DataFrame, digits: int = 3) -> DataFrame:
     """Scanned words as blocks: text in word order, bounding box, mean confidence (negative ones left out, else 0.8)."""
     in_order = F.sort_array(F.collect_list(F.struct("word_no", "text")))
+    sure = F.when(F.col("confidence") >= 0, F.col("confidence"))  # summed as decimals, so in any order
     return words.groupBy("document_id", "page", "block").agg(
         F.array_join(in_order["text"], " ").alias("text"), F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("right"), F.max(F.col("y") + F.col("h")).alias("bottom"),
-        F.round(F.coalesce(F.avg(F.when(F.col("confidence") >= 0, F.col("confidence"))), F.lit(0.8)), digits).alias("confidence"),
+        F.round(F.coalesce(F.sum(sure.cast("decimal(20, 6)")).cast("double") / F.count(sure), F.lit(0.8)), digits).alias("confidence"),
     )
 
 
 def document_texts(found: DataFrame, digits: int = 3) -> DataFrame:
     """Blocks as documents: pages in order, parted by empty lines, blocks by line ends, and the mean confidence."""
-    pages = found.groupBy("document_id", "page").agg(F.array_join(F.sort_array(F.collect_list(F.struct("block", "text")))["text"], "\n").alias("text"), F.sum("confidence").alias("s"), F.count(F.lit(1)).alias("n"))
+    pages = found.groupBy("document_id", "page").agg(F.array_join(F.sort_array(F.collect_list(F.struct("block", "text")))["text"], "\n").alias("text"), F.sum(F.col("confidence").cast("decimal(20, 6)")).alias("s"), F.count(F.lit(1)).alias("n"))
+    scale = 10**digits
     return pages.groupBy("document_id").agg(
-        F.array_join(F.sort_array(F.collect_list(F.struct("page", "text")))["text"], "\n\n").alias("text"), F.round(F.sum("s") / F.sum("n"), digits).alias("confidence")
+        F.array_join(F.sort_array(F.collect_list(F.struct("page", "text")))["text"], "\n\n").alias("text"), (F.floor(F.sum("s").cast("double") * scale / F.sum("n") + 0.5) / scale).alias("confidence")
     )
 
 

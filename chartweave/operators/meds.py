@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .. import rules
 from ..functions.norm import any_of, canonical, stripped
+from .folds import folded
 from .labs import high_pressure
 
 
@@ -52,44 +53,49 @@ def frequent_antibiotics(medications: DataFrame, least: int = 3) -> DataFrame:
 SWITCHES = "patient_id string, seq int, type string, medicine string, from_value string, to_value string, date date, reason string"
 
 
-def switch_rows(rows: list[dict]) -> list[tuple]:
-    """A patient's switches from medications in order (``name``, ``strength``, ``dosage``, ``date``, ``pressure``)."""
-    out: list[tuple] = []
-    taken: dict[str, dict] = {}
-    for r in rows:
-        name = r["name"]
-        old = taken.get(name)
-        if old is not None:
-            if (old["strength"], old["dosage"]) != (r["strength"], r["dosage"]):
-                out.append(("Dose changed", name, old["strength"] or old["dosage"] or "Previous Dose", r["strength"] or r["dosage"] or "New Dose", r["date"], None))
-            taken[name] = r
-            continue
+class Switches:
+    """A patient's medications so far (``name``, ``strength``, ``dosage``), in the order in which they came; says what each new one changes."""
+
+    def __init__(self, patient: object):
+        self.patient, self.seq, self.taken = patient, 0, {}
+
+    def said(self, *event) -> tuple:
+        self.seq += 1
+        return (self.patient, self.seq, *event)
+
+    def row(self, patient, id_, name, strength, dosage, date, pressure) -> list[tuple]:
+        out = []
+        if name in self.taken:
+            old = self.taken[name]
+            if old != (strength, dosage):
+                out.append(self.said("Dose changed", name, old[0] or old[1] or "Previous Dose", strength or dosage or "New Dose", date, None))
+            self.taken[name] = (strength, dosage)
+            return out
         if name.lower() in rules.ANTIHYPERTENSIVES:
-            other = next((k for k in taken if k.lower() in rules.ANTIHYPERTENSIVES), None)
+            other = next((k for k in self.taken if k.lower() in rules.ANTIHYPERTENSIVES), None)
             if other is not None:
-                out.append(("Replacement", name, other, name, r["date"], "Blood pressure uncontrolled" if r["pressure"] else "Treatment optimization"))
-                del taken[other]
-        taken[name] = r
-        out.append(("Started", name, None, None, r["date"], None))
-    return out
+                out.append(self.said("Replacement", name, other, name, date, "Blood pressure uncontrolled" if pressure else "Treatment optimization"))
+                del self.taken[other]
+        self.taken[name] = (strength, dosage)
+        return [*out, self.said("Started", name, None, None, date, None)]
 
+    def end(self) -> list[tuple]:
+        return []
 
-def switches(medications: DataFrame, labs: DataFrame) -> DataFrame:
-    """Starts, dose changes and replacements of each patient, in order of start (else creation) date, then id.
 
-    A patient's medications go to one call; patients are dealt by a shuffle.
-    """
+def switches(medications: DataFrame, labs: DataFrame) -> DataFrame:
+    """Starts, dose changes and replacements of each patient, in order of start (else creation) date, then id."""
     pressed = high_pressure(labs).withColumn("pressure", F.lit(True))
     date = F.coalesce("start_date", "created_on")
     slim = medications.select("patient_id", "id", canonical(F.col("medicine_name"), "medication").alias("name"), "strength", "dosage", date.alias("date"))
     slim = slim.join(pressed, "patient_id", "left").withColumn("pressure", F.coalesce("pressure", F.lit(False)))
+    return folded(slim, "patient_id", ["date", "id"], Switches, SWITCHES)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["date", "id"]).astype(object).where(lambda d: d.notna(), None)
-        rows = switch_rows(pdf.to_dict("records"))
-        frame = pd.DataFrame(rows, columns=["type", "medicine", "from_value", "to_value", "date", "reason"])
-        frame.insert(0, "seq", range(1, len(rows) + 1))
-        frame.insert(0, "patient_id", pdf["patient_id"].iloc[0])
-        return frame
 
-    return slim.groupBy("patient_id").applyInPandas(run, SWITCHES)
+def dose_changes(medications: DataFrame) -> DataFrame:
+    """Rows of a canonical drug whose strength or dosage differs from those of the patient's row before."""
+    name = canonical(F.col("medicine_name"), "medication")
+    order = W.partitionBy("patient_id", "name").orderBy(F.coalesce("start_date", "created_on"), "id")
+    rows = medications.withColumn("name", name).withColumns({"old": F.lag(F.struct("strength", "dosage")).over(order)})
+    changed = F.col("old").isNotNull() & ~(F.col("old.strength").eqNullSafe(F.col("strength")) & F.col("old.dosage").eqNullSafe(F.col("dosage")))
+    return rows.where(changed).select("patient_id", "id", "name", F.coalesce("old.strength", "old.dosage").alias("from_value"), F.coalesce("strength", "dosage").alias("to_value"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,25 +32,30 @@ def classified(reports: DataFrame) -> DataFrame:
     Two thirds of a score (0.65) are the share of mandatory words, the rest the keywords against a target. A
     subtype competes with enough keywords; below 0.80 the type is Other.
     """
-    text = F.lower("text")
     words = lambda ws: F.array(*(F.lit(w) for w in ws)) if ws else F.array().cast("array<string>")
     lexicon = []
     for i, (name, (least, mandatory, listed)) in enumerate(rules.SUBTYPES.items()):
-        listed = listed.split(", ")
         # words of up to four characters stand alone, longer ones anywhere
+        short = [w for w in listed if len(w) <= 4]
         lexicon.append(F.struct(
             F.lit(name).alias("name"), F.lit(-i).alias("order"), F.lit(least).alias("least"), F.lit(float(target(least, len(listed)))).alias("target"),
-            words([rf"\b{escaped(w)}\b" for w in listed if len(w) <= 4]).alias("alone"), words([w for w in listed if len(w) > 4]).alias("within"),
-            F.array(*(words(m.split("|")) for m in mandatory)).alias("mandatory"),
+            words([w for w in short if re.fullmatch(r"\w+", w)]).alias("alone"), words([rf"\b{escaped(w)}\b" for w in short if not re.fullmatch(r"\w+", w)]).alias("odd"),
+            words([w for w in listed if len(w) > 4]).alias("within"), F.array(*(words(m.split("|")) for m in mandatory)).alias("mandatory"),
         ))
+    text, tokens = F.col("low"), F.col("tokens")
 
     def scored(s: Column) -> Column:
-        n = F.size(F.filter(s["alone"], lambda w: F.regexp_like(text, w))) + F.size(F.filter(s["within"], lambda w: text.contains(w)))
-        must = F.size(F.filter(s["mandatory"], lambda m: F.exists(m, lambda w: text.contains(w)))) / F.size(s["mandatory"])
-        score = must * 0.65 + F.least(F.lit(1.0), n / s["target"]) * 0.35
-        return F.when((n >= s["least"]) & (score > 0), F.struct(score.alias("score"), s["order"].alias("order"), s["name"].alias("name"), n.alias("n")))
+        n = F.size(F.array_intersect(tokens, s["alone"])) + F.size(F.filter(s["odd"], lambda w: F.regexp_like(text, w))) + F.size(F.filter(s["within"], lambda w: text.contains(w)))
+        must = F.size(F.filter(s["mandatory"], lambda m: F.exists(m, lambda w: text.contains(w))))
+        return F.struct(s["name"].alias("name"), s["order"].alias("order"), s["least"].alias("least"), s["target"].alias("target"), n.alias("n"), (must / F.size(s["mandatory"])).alias("must"))
 
-    best = reports.select("document_id", F.array_max(F.transform(F.array(*lexicon), scored)).alias("b"))
+    def judged(c: Column) -> Column:
+        score = c["must"] * 0.65 + F.least(F.lit(1.0), c["n"] / c["target"]) * 0.35
+        return F.when((c["n"] >= c["least"]) & (score > 0), F.struct(score.alias("score"), c["order"].alias("order"), c["name"].alias("name"), c["n"].alias("n")))
+
+    low = reports.select("document_id", F.lower("text").alias("low"))
+    low = low.withColumn("tokens", F.array_distinct(F.split("low", r"\W+")))
+    best = low.select("document_id", F.array_max(F.transform(F.transform(F.array(*lexicon), scored), judged)).alias("b"))
     confidence = F.round(F.coalesce("b.score", F.lit(0.0)), 3)
     return best.select(
         "document_id", F.when(confidence >= rules.CLASSIFIED_FROM, F.col("b.name")).otherwise("Other").alias("document_type"), confidence.alias("confidence"),
@@ -73,8 +79,12 @@ def marker_values(reports: DataFrame) -> DataFrame:
 
     ``reports``: ``document_id``, ``document_type``, ``text``.
     """
-    table = reports.sparkSession.createDataFrame(rules.REPORT_MARKERS, "document_type string, marker string, pattern string, unit string, low double, high double")
-    hits = lines(reports).join(F.broadcast(table), "document_type").where(F.expr("regexp_like(line, concat('(?i)', pattern))"))
+    found = [
+        F.when((F.col("document_type") == kind) & F.col("line").rlike(f"(?i){pattern}"), F.struct(F.lit(marker).alias("marker"), F.lit(unit).alias("unit"), F.lit(low).cast("double").alias("low"), F.lit(high).cast("double").alias("high")))
+        for kind, marker, pattern, unit, low, high in rules.REPORT_MARKERS
+    ]
+    asked = F.col("document_type").isin(list(dict.fromkeys(m[0] for m in rules.REPORT_MARKERS)))
+    hits = lines(reports.where(asked)).select("document_id", "document_type", "line_no", "line", F.explode(F.array_compact(F.array(*found))).alias("m")).select("*", "m.*")
     number = F.when(F.col("document_type") == "CBC", F.regexp_replace(F.regexp_extract("line", GROUPED_NUMBER, 1), ",", "")).otherwise(F.regexp_extract("line", NUMBER, 1))
     hits = hits.withColumn("value", number).where("value <> ''")
     first = hits.withColumn("k", F.row_number().over(W.partitionBy("document_id", "marker").orderBy("line_no"))).where("k = 1")

@@ -76,18 +76,6 @@ def lab_errors(labs: DataFrame) -> DataFrame:
     return labs.select("id", F.explode(errors).alias("e")).select("id", "e.field", "e.severity")
 
 
-def searched(chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """The first document of the patient with any term of the question (terms of over three characters)."""
-    hit = questions.join(chunks, "patient_id").where(F.exists("terms", lambda t: F.lower("chunk_text").contains(t)))
-    return hit.groupBy("question_id").agg(F.min("document_id").alias("document_id"))
-
-
-def absent(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Whether no text of the patient holds any term of a question."""
-    found = searched(chunks, questions)
-    return questions.join(found, "question_id", "left").select("question_id", F.col("document_id").isNull().alias("is_absent"))
-
-
 def feedback(documents: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """Training rows of corrections: text, both payloads, version and confidence."""
     pair = old.withColumnRenamed("payload", "original").join(new.withColumnRenamed("payload", "corrected"), "document_id").where("original <> corrected")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.norm import canonical, stripped
+from .. import rules
+from ..functions.norm import any_of, canonical, leading_number
 from .facts import not_billing
+from .folds import folded
 
 
 def or_empty(name: str):
@@ -76,63 +79,154 @@ def journeys(diagnoses: DataFrame) -> DataFrame:
 
 
 ENCOUNTERS = "document_id string, patient_id string, encounter int, title string, hospital string, doctor string"
+#: Days from an encounter's first document within which another may belong to it.
+ENCOUNTER_DAYS = 3
+
+
+class Encounters:
+    """A patient's encounters that may still take documents, which come in order of their dates.
+
+    A document belongs to the first encounter that began at most three days before and has the same hospital or doctor, or
+    if all four are unknown; it fills what the encounter lacks. Those that began earlier are told and forgotten.
+    """
 
+    def __init__(self, patient: object):
+        self.patient, self.number, self.open = patient, 0, []
 
-def encounter_rows(docs: list[dict]) -> list[dict]:
-    """Encounters of documents in order: within three days of the first document, same hospital or doctor, or all four unknown."""
-    found: list[dict] = []
-    same = lambda a, b: a is not None and b is not None and a.lower().strip() == b.lower().strip()
-    for d in docs:
-        hospital, doctor = d["hospital"] or None, d["doctor"] or None
-        for e in found:
-            if abs((d["created_on"] - e["date"]).days) <= 3 and (
-                same(hospital, e["hospital"]) or same(doctor, e["doctor"]) or not (hospital or e["hospital"] or doctor or e["doctor"])
-            ):
-                e["docs"].append(d["id"])
+    def told(self, e: dict) -> list[tuple]:
+        return [(i, self.patient, e["number"], e["title"], e["hospital"], e["doctor"]) for i in e["docs"]]
+
+    def row(self, id_, patient, date, hospital, doctor) -> list[tuple]:
+        past = [e for e in self.open if (date - e["date"]).days > ENCOUNTER_DAYS]
+        self.open = [e for e in self.open if (date - e["date"]).days <= ENCOUNTER_DAYS]
+        hospital, doctor = hospital or None, doctor or None
+        same = lambda a, b: a is not None and b is not None and a.lower().strip() == b.lower().strip()
+        for e in self.open:
+            if same(hospital, e["hospital"]) or same(doctor, e["doctor"]) or not (hospital or e["hospital"] or doctor or e["doctor"]):
+                e["docs"].append(id_)
                 e["hospital"], e["doctor"] = e["hospital"] or hospital, e["doctor"] or doctor
                 break
         else:
-            title = f"Admission at {hospital}" if hospital else f"Doctor Visit on {d['created_on']:%b} {d['created_on'].day}, {d['created_on'].year}"
-            found.append({"date": d["created_on"], "hospital": hospital, "doctor": doctor, "docs": [d["id"]], "title": title})
-    return found
+            self.number += 1
+            title = f"Admission at {hospital}" if hospital else f"Doctor Visit on {date:%b} {date.day}, {date.year}"
+            self.open.append({"number": self.number, "date": date, "hospital": hospital, "doctor": doctor, "docs": [id_], "title": title})
+        return [row for e in past for row in self.told(e)]
+
+    def end(self) -> list[tuple]:
+        return [row for e in self.open for row in self.told(e)]
 
 
 def encounters(documents: DataFrame) -> DataFrame:
     """The encounter of every document, numbered from 1 per patient."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        docs = pdf.sort_values(["created_on", "id"]).astype(object).where(lambda d: d.notna(), None).to_dict("records")
-        rows = [(i, pdf["patient_id"].iloc[0], k, e["title"], e["hospital"], e["doctor"]) for k, e in enumerate(encounter_rows(docs), 1) for i in e["docs"]]
-        return pd.DataFrame(rows, columns=["document_id", "patient_id", "encounter", "title", "hospital", "doctor"])
+    return folded(documents.select("id", "patient_id", "created_on", "hospital", "doctor"), "patient_id", ["created_on", "id"], Encounters, ENCOUNTERS)
 
-    return documents.select("id", "patient_id", "created_on", "hospital", "doctor").groupBy("patient_id").applyInPandas(run, ENCOUNTERS)
 
-
-def node_id(patient, kind, name):
-    return F.sha2(F.concat_ws("|", patient, kind, F.lower(name)), 256)
+def with_encounters(facts: DataFrame, found: DataFrame, date) -> DataFrame:
+    """Facts with the title of their document's encounter (``encounter_title``), else one named by ``date``."""
+    titles = found.select(F.col("document_id").alias("source_document_id"), F.col("title").alias("met"))
+    made = F.concat(F.lit("Encounter on "), F.date_format(date, "MMM d, yyyy"))
+    return facts.join(titles, "source_document_id", "left").withColumn("encounter_title", F.coalesce("met", made)).drop("met")
 
 
-def graph_nodes(patients: DataFrame, diagnoses: DataFrame, medications: DataFrame, labs: DataFrame, procedures: DataFrame) -> DataFrame:
-    """One node for each patient, entity type and canonical name; the smallest id gives its source."""
-    def take(df, kind, name):
-        return df.select("patient_id", "id", F.lit(kind).alias("entity_type"), name.alias("canonical_name"))
-
-    people = patients.select(F.col("id").alias("patient_id"), "id", F.lit("Patient").alias("entity_type"), F.col("full_name").alias("canonical_name"))
-    rows = people.unionByName(take(diagnoses, "Diagnosis", canonical(F.col("name"), "diagnosis"))).unionByName(take(medications, "Medication", canonical(F.col("medicine_name"), "medication")))
-    rows = rows.unionByName(take(labs, "Lab Test", stripped(F.col("test_name")))).unionByName(take(procedures, "Procedure", stripped(F.col("name"))))
-    out = rows.groupBy("patient_id", "entity_type", "canonical_name").agg(F.min("id").alias("first_id"))
+def node_id(patient, kind, name):
+    return F.sha2(F.concat_ws("|", patient, kind, name), 256)
+
+
+def fact_nodes(diagnoses: DataFrame, medications: DataFrame, labs: DataFrame, procedures: DataFrame, found: DataFrame) -> DataFrame:
+    """(``patient_id``, ``id``, ``entity_type``, ``canonical_name``, ``encounter_title``) of all facts."""
+    result = F.concat("test_name", F.lit(": "), "value", F.lit(" "), F.coalesce("unit", F.lit("")))
+    kinds = [
+        (diagnoses, "Diagnosis", canonical(F.col("name"), "diagnosis"), F.col("created_on")), (medications, "Medication", canonical(F.col("medicine_name"), "medication"), F.col("created_on")),
+        (labs, "Lab Test", F.col("test_name"), F.col("test_date")), (labs, "Lab Result", result, F.col("test_date")), (procedures, "Procedure", F.col("name"), F.col("done_on")),
+    ]
+    rows = [df.select("patient_id", "id", "source_document_id", F.lit(kind).alias("entity_type"), name.alias("canonical_name"), date.alias("date")) for df, kind, name, date in kinds]
+    every = reduce(DataFrame.unionByName, rows)
+    return with_encounters(every, found, F.col("date")).drop("source_document_id", "date")
+
+
+def graph_nodes(patients: DataFrame, found: DataFrame, facts: DataFrame) -> DataFrame:
+    """One node for each patient, entity type and name; the smallest id gives its source.
+
+    ``found``: of ``encounters``; ``facts``: of ``fact_nodes``.
+    """
+    take = lambda df, id_, kind, name: df.select("patient_id", F.col(id_).alias("id"), F.lit(kind).alias("entity_type"), F.col(name).alias("canonical_name"))
+    people = patients.select(F.col("id").alias("patient_id"), "id", F.lit("Patient").alias("entity_type"), F.lit("Patient Profile").alias("canonical_name"))
+    rows = [people, take(found, "document_id", "Encounter", "title"), take(found, "document_id", "Hospital", "hospital"), take(found, "document_id", "Doctor", "doctor")]
+    rows += [facts.select("patient_id", "id", "entity_type", "canonical_name"), take(facts.where("entity_type <> 'Lab Test'"), "id", "Encounter", "encounter_title")]
+    every = reduce(DataFrame.unionByName, rows).where("canonical_name is not null")
+    out = every.groupBy("patient_id", "entity_type", "canonical_name").agg(F.min("id").alias("first_id"))
     return out.withColumn("node_id", node_id(F.col("patient_id"), F.col("entity_type"), F.col("canonical_name")))
 
 
-def graph_edges(patients: DataFrame, diagnoses: DataFrame, medications: DataFrame) -> DataFrame:
-    """Edges from patients to diagnoses and medications, one for each fact, by node keys alone."""
-    def edge(df, name, kind, relation):
-        joined = df.join(patients.select(F.col("id").alias("patient_id"), "full_name"), "patient_id")
-        return joined.select("patient_id", node_id(F.col("patient_id"), F.lit("Patient"), F.col("full_name")).alias("source"), node_id(F.col("patient_id"), F.lit(kind), name).alias("target"), F.lit(relation).alias("relationship_type"))
-
-    return edge(diagnoses, canonical(F.col("name"), "diagnosis"), "Diagnosis", "diagnosed_with").unionByName(edge(medications, canonical(F.col("medicine_name"), "medication"), "Medication", "prescribed"))
+def graph_edges(found: DataFrame, facts: DataFrame) -> DataFrame:
+    """Edges (``patient_id``, ``source``, ``target``, ``relationship_type``) by node keys alone; repeated ones stay."""
+    at = lambda kind, name: node_id(F.col("patient_id"), kind, name)
+    end = lambda kind, name: at(F.lit(kind), F.col(name) if kind != "Patient" else F.lit("Patient Profile"))
+    edge = lambda source, target, relation: F.struct(source.alias("source"), target.alias("target"), relation.alias("relationship_type"))
+    met = F.array(
+        edge(end("Patient", ""), end("Encounter", "title"), F.lit("belongs_to_encounter")),
+        F.when(F.col("hospital").isNotNull(), edge(end("Encounter", "title"), end("Hospital", "hospital"), F.lit("performed_at"))),
+        F.when(F.col("doctor").isNotNull(), edge(end("Encounter", "title"), end("Doctor", "doctor"), F.lit("ordered_by"))),
+    )
+    own = at(F.col("entity_type"), F.col("canonical_name"))
+    kind = F.col("entity_type")
+    relation = F.when(kind == "Diagnosis", "diagnosed_with").when(kind == "Medication", "prescribed").when(kind == "Lab Result", "ordered_by").otherwise("belongs_to_encounter")
+    seen = F.array(
+        F.when(kind != "Lab Test", edge(end("Encounter", "encounter_title"), own, relation)),
+        F.when(kind.isin("Diagnosis", "Medication"), edge(end("Patient", ""), own, relation)),
+        # a result's name starts with its test's
+        F.when(kind == "Lab Result", edge(at(F.lit("Lab Test"), F.expr("substring(canonical_name, 1, locate(': ', canonical_name) - 1)")), own, F.lit("caused"))),
+    )
+    rows = [df.select("patient_id", F.explode(F.array_compact(edges)).alias("e")).select("patient_id", "e.*") for df, edges in ((found, met), (facts, seen))]
+    return rows[0].unionByName(rows[1])
 
 
 def graph_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes and edges of each patient."""
     a, b = nodes.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n_nodes")), edges.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n_edges"))
     return a.join(b, "patient_id", "full").select("patient_id", F.coalesce("n_nodes", F.lit(0)).alias("n_nodes"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
+
+
+def plain_number(x):
+    """A double without a fraction of zero."""
+    return F.regexp_replace(x.cast("string"), r"\.0$", "")
+
+
+def insights(labs: DataFrame, medications: DataFrame, documents: DataFrame) -> DataFrame:
+    """(``patient_id``, ``title``, ``description``, ``severity``, ``citations``) of rising HbA1c, falling haemoglobin, frequent antibiotics and stays.
+
+    ``citations``: structs of document, its title, date and snippet, by date and id.
+    """
+    names = documents.select(F.col("id").alias("source_document_id"), "file_name")
+    titled = lambda df: df.join(names, "source_document_id", "left").withColumn("document_title", F.coalesce("file_name", F.lit("Medical Document")))
+    cited = lambda date, snippet: F.sort_array(F.collect_list(F.struct(date.alias("date"), "id", F.col("source_document_id").alias("document_id"), "document_title", snippet.alias("snippet"))))
+    day = lambda c: F.date_format(c, "MMM d, yyyy")
+
+    def pair(kind, hit, unit, risen, title, said, critical):
+        rows = titled(labs.where(hit)).withColumn("x", leading_number(F.col("value")))
+        order = F.struct("test_date", "id")
+        g = rows.groupBy("patient_id").agg(
+            F.min_by(F.struct("x", "test_date"), order).alias("a"), F.max_by(F.struct("x", "test_date"), order).alias("z"), F.count(F.lit(1)).alias("n"),
+            cited(F.col("test_date"), F.concat("test_name", F.lit(": "), "value", F.lit(unit))).alias("citations"),
+        ).where("n >= 2").where(risen(F.col("a.x"), F.col("z.x")))
+        text = F.format_string(said, plain_number(F.col("a.x")), day("a.test_date"), plain_number(F.col("z.x")), day("z.test_date"))
+        return g.select("patient_id", F.lit(title).alias("title"), text.alias("description"), F.when(critical(F.col("z.x")), "critical").otherwise("warning").alias("severity"), "citations")
+
+    low = F.lower("test_name")
+    sugar = pair("hba1c", low.contains("hba1c"), "%", lambda a, z: z > a, "Diabetes Progression Risk (Rising HbA1c)",
+        "Your HbA1c has increased from %s%% on %s to %s%% on %s, indicating worsening glycemic control and potential diabetes progression risk.", lambda z: z >= 6.5)
+    blood = pair("hemoglobin", low.isin("hemoglobin", "hb"), " g/dL", lambda a, z: (z < a) & (z < 12), "Anemia Alert (Falling Hemoglobin)",
+        "Your Hemoglobin level has fallen from %s g/dL on %s to %s g/dL on %s, indicating potential development or worsening of anemia.", lambda z: z < 10)
+
+    def often(rows, least, date, snippet, title, said, severity):
+        g = rows.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n"), cited(date, snippet).alias("citations")).where(F.col("n") >= least)
+        return g.select("patient_id", F.lit(title).alias("title"), F.format_string(said, "n").alias("description"), F.lit(severity).alias("severity"), "citations")
+
+    taken = titled(medications.where(any_of(F.lower("medicine_name"), rules.ANTIBIOTICS)))
+    drugs = often(taken, 3, F.coalesce("start_date", "created_on"), F.concat(F.lit("Prescribed: "), "medicine_name", F.lit(" ("), F.coalesce("duration", F.lit("Short course")), F.lit(")")), "Frequent Antibiotic Use Warning",
+        "You have been prescribed antibiotic courses %d times recently. Frequent antibiotic usage can increase the risk of gut microbiome disruption and antibiotic resistance.", "warning")
+    left = (F.lower("category") == "discharge summary") | F.lower("file_name").contains("discharge")
+    stays = documents.where(F.col("processing_status").isin("completed", "awaiting_review") & left).withColumns({"source_document_id": F.col("id"), "document_title": F.coalesce("file_name", F.lit("Discharge Summary"))})
+    stays = often(stays, 2, F.col("created_on"), F.concat(F.lit("Hospitalization Record: "), "file_name"), "Frequent Hospitalizations / Readmission Alert",
+        "The medical timeline records %d hospital discharge events, suggesting a high rate of hospitalization. Closer physician monitoring is recommended to prevent readmission.", "critical")
+    return reduce(DataFrame.unionByName, (sugar, blood, drugs, stays))

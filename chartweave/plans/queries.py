@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.norm import canonical, canonical_sql, clean_unit, leading_number, like_any, safe_file_name
-from ..operators import facts, intake, labs, meds, reports, retrieval, summaries, timeline
+from ..operators import facts, intake, labs, meds, questions, reports, retrieval, summaries, timeline
 from ..sources.adapters import table, with_tables
 from ..streaming import admission
 
@@ -153,16 +153,6 @@ def hospitalisations(d):
     return d.where(F.col("processing_status").isin("completed", "awaiting_review") & stay).groupBy("patient_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
 
 
-@query("u1_medication_switches", "medications labs")
-def medication_switches(m, l):
-    return meds.switches(facts.verified(m), l)
-
-
-@query("u2_encounters", "documents")
-def encounters(d):
-    return timeline.encounters(d)
-
-
 @query("f11_chronic_diagnoses", "diagnoses", f"SELECT id, name FROM c_diagnoses WHERE is_chronic OR {like_any('lower(name)', rules.CHRONIC_WORDS)}")
 def chronic_diagnoses(d):
     return d.where(facts.chronic(F.col("name"), F.col("is_chronic"))).select("id", "name")
@@ -297,34 +287,6 @@ def disease_journeys(d):
     return timeline.journeys(facts.verified(d))
 
 
-NODES = f"""
-, r AS (SELECT id AS patient_id, id, 'Patient' AS entity_type, full_name AS canonical_name FROM c_patients UNION ALL SELECT patient_id, id, 'Diagnosis', {canonical_sql("name", "diagnosis")} FROM c_diagnoses WHERE {SURE} UNION ALL
-  SELECT patient_id, id, 'Medication', {canonical_sql("medicine_name", "medication")} FROM c_medications WHERE {SURE} UNION ALL SELECT patient_id, id, 'Lab Test', trim(test_name) FROM c_labs WHERE {SURE} UNION ALL SELECT patient_id, id, 'Procedure', trim(name) FROM c_procedures WHERE {SURE})
-, n AS (SELECT patient_id, entity_type, canonical_name, min(id) AS first_id, sha256(patient_id || '|' || entity_type || '|' || lower(canonical_name)) AS node_id FROM r GROUP BY 1, 2, 3)"""
-NODE_TABLES = "patients diagnoses medications labs procedures"
-
-
-@query("g3_graph_nodes", NODE_TABLES, NODES + " SELECT * FROM n")
-def graph_nodes(p, *kinds):
-    return timeline.graph_nodes(p, *(facts.verified(k) for k in kinds))
-
-
-EDGES = f"""
-, ed AS (SELECT f.patient_id, sha256(f.patient_id || '|Patient|' || lower(p.full_name)) AS source, sha256(f.patient_id || '|' || f.kind || '|' || lower(f.name)) AS target, f.relation AS relationship_type FROM
-  (SELECT patient_id, 'Diagnosis' AS kind, {canonical_sql("name", "diagnosis")} AS name, 'diagnosed_with' AS relation FROM c_diagnoses WHERE {SURE} UNION ALL SELECT patient_id, 'Medication', {canonical_sql("medicine_name", "medication")}, 'prescribed' FROM c_medications WHERE {SURE}) f JOIN c_patients p ON p.id = f.patient_id)"""
-
-
-@query("g4_graph_edges", "patients diagnoses medications", EDGES + " SELECT * FROM ed")
-def graph_edges(p, d, m):
-    return timeline.graph_edges(p, facts.verified(d), facts.verified(m))
-
-
-@query("a5_graph_sizes", NODE_TABLES, NODES + EDGES + " SELECT coalesce(a.patient_id, b.patient_id) AS patient_id, coalesce(n_nodes, 0) AS n_nodes, coalesce(n_edges, 0) AS n_edges FROM (SELECT patient_id, count(*) AS n_nodes FROM n GROUP BY 1) a FULL JOIN (SELECT patient_id, count(*) AS n_edges FROM ed GROUP BY 1) b ON a.patient_id = b.patient_id")
-def graph_sizes(p, d, m, l, o):
-    d, m, l, o = (facts.verified(k) for k in (d, m, l, o))
-    return timeline.graph_sizes(timeline.graph_nodes(p, d, m, l, o), timeline.graph_edges(p, d, m))
-
-
 def _history_sql() -> str:
     text = "lower(reason_category || ' ' || coalesce(problem_location, '') || ' ' || coalesce(description, ''))"
     flags = ", ".join(f"{like_any(text, w[0])}{' OR reason_category = $Accident / Injury$' if a == 'accident' else ''} AS is_{a}".replace("$", "'") for a, w in rules.AREAS.items())
@@ -349,7 +311,7 @@ def relevant_history(s, *kinds):
 , s AS (SELECT question_id, document_id, len(list_filter(terms, lambda t: contains(lower(chunk_text), t))) AS score FROM q JOIN c_chunks USING (patient_id))
 SELECT question_id, document_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, document_id) AS place FROM s) WHERE place <= 15""")
 def ranked_chunks(q, c):
-    return retrieval.ranked_chunks(q, c)
+    return questions.ranked(q, c)
 
 
 @query("x12_text_chunks", "chunks")
@@ -380,7 +342,6 @@ def latest_status(j):
 def _classified_sql() -> str:
     parts = []
     for i, (name, (least, mandatory, words)) in enumerate(rules.SUBTYPES.items()):
-        words = words.split(", ")
         n = " + ".join(f"(regexp_matches(t, '\\b{reports.escaped(w)}\\b'))::INT" if len(w) <= 4 else f"contains(t, '{w}')::INT" for w in words)
         must = " + ".join("(" + " OR ".join(f"contains(t, '{v}')" for v in m.split("|")) + ")::INT" for m in mandatory)
         parts.append(f"SELECT document_id, '{name}' AS name, {i} AS o, n, must * 0.65::DOUBLE + least(1.0::DOUBLE, n / {reports.target(least, len(words))}::DOUBLE) * 0.35::DOUBLE AS score FROM (SELECT document_id, {n} AS n, ({must}) / {len(mandatory)}::DOUBLE AS must FROM lo) WHERE n >= {least}")
@@ -425,17 +386,23 @@ def marker_values(r):
     return reports.marker_values(typed(r))
 
 
-@query("e4_long_term_sugar", "reports", LINES + r"""
+SUGAR = r"""
 , s AS (SELECT document_id, line_no, regexp_extract(regexp_replace(regexp_replace(line, 'hba1c', '', 'gi'), '1c', '', 'gi'), '(\d+(?:\.\d+)?)', 1) AS value FROM ln WHERE document_type = 'HbA1c' AND regexp_matches(line, 'hba1c|glycated', 'i'))
-SELECT document_id, value, value::DOUBLE >= 5.7 AS abnormal_flag FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY line_no) AS k FROM s WHERE value <> '') WHERE k = 1""")
+, su AS (SELECT document_id, value, value::DOUBLE >= 5.7 AS abnormal_flag FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY line_no) AS k FROM s WHERE value <> '') WHERE k = 1)"""
+
+
+@query("e4_long_term_sugar", "reports", LINES + SUGAR + " SELECT * FROM su")
 def long_term_sugar(r):
     return reports.long_term_sugar(typed(r))
 
 
-@query("e5_prescribed_medicines", "reports", LINES + r"""
+PRESCRIBED = r"""
 , p AS (SELECT document_id, line_no, lower(line) AS low, trim(regexp_extract(line, '(\d+\s*(?:mg|ml|mcg|g|ug|tablet|capsule|tab|cap)\b)', 1, 'i')) AS d,
   trim(regexp_replace(regexp_replace(trim(string_split_regex(line, '\b\d| - ')[1]), '^rx\b', '', 'i'), '^[^\w\s]+', '')) AS medicine_name FROM ln WHERE document_type = 'Prescription' AND regexp_matches(line, '\d') AND regexp_matches(line, 'tab|cap|mg|tablet|capsule|syrup|ointment', 'i'))
-SELECT document_id, line_no, medicine_name, CASE WHEN d = '' THEN '1 tablet' ELSE d END AS dosage, CASE WHEN contains(low, 'twice') OR contains(low, ' bd ') THEN 'Twice Daily' WHEN contains(low, 'thrice') OR contains(low, ' tid ') OR contains(low, 'three times') THEN 'Three Times Daily' ELSE 'Once Daily' END AS frequency FROM p WHERE length(medicine_name) >= 3""")
+, pr AS (SELECT document_id, line_no, medicine_name, CASE WHEN d = '' THEN '1 tablet' ELSE d END AS dosage, CASE WHEN contains(low, 'twice') OR contains(low, ' bd ') THEN 'Twice Daily' WHEN contains(low, 'thrice') OR contains(low, ' tid ') OR contains(low, 'three times') THEN 'Three Times Daily' ELSE 'Once Daily' END AS frequency FROM p WHERE length(medicine_name) >= 3)"""
+
+
+@query("e5_prescribed_medicines", "reports", LINES + PRESCRIBED + " SELECT * FROM pr")
 def prescribed_medicines(r):
     return reports.prescribed(typed(r))
 
@@ -473,7 +440,7 @@ def disclosure(p, c):
 
 
 BLOCKS = """
-, bl AS (SELECT document_id, page, block, string_agg(text, ' ' ORDER BY word_no, text) AS text, min(x) AS x, min(y) AS y, max(x + w) AS "right", max(y + h) AS bottom, round(coalesce(avg(confidence) FILTER (confidence >= 0), 0.8), 6) AS confidence FROM c_words GROUP BY 1, 2, 3)"""
+, bl AS (SELECT document_id, page, block, string_agg(text, ' ' ORDER BY word_no, text) AS text, min(x) AS x, min(y) AS y, max(x + w) AS "right", max(y + h) AS bottom, round(coalesce(sum(confidence::DECIMAL(20, 6)) FILTER (confidence >= 0) / count(*) FILTER (confidence >= 0), 0.8), 6) AS confidence FROM c_words GROUP BY 1, 2, 3)"""
 
 
 @query("a9_scan_blocks", "words", BLOCKS + " SELECT * FROM bl")
@@ -482,8 +449,8 @@ def scan_blocks(w):
 
 
 @query("a10_a18_document_texts", "words", BLOCKS + """
-, pg AS (SELECT document_id, page, string_agg(text, chr(10) ORDER BY block) AS text, sum(confidence) AS s, count(*) AS n FROM bl GROUP BY 1, 2)
-SELECT document_id, string_agg(text, chr(10) || chr(10) ORDER BY page) AS text, round(sum(s) / sum(n), 5) AS confidence FROM pg GROUP BY 1""")
+, pg AS (SELECT document_id, page, string_agg(text, chr(10) ORDER BY block) AS text, sum(confidence::DECIMAL(20, 6)) AS s, count(*) AS n FROM bl GROUP BY 1, 2)
+SELECT document_id, string_agg(text, chr(10) || chr(10) ORDER BY page) AS text, floor(sum(s) * 100000 / sum(n) + 0.5) / 100000 AS confidence FROM pg GROUP BY 1""")
 def document_texts(w):
     return intake.document_texts(intake.blocks(w, 6), 5)
 
@@ -525,12 +492,9 @@ def corrections(p):
     return intake.corrections(p.where(F.get_json_object("payload", "$.documentType").isNotNull()).select("document_id", F.col("payload").alias("old"), fixed.alias("new")))
 
 
-INTENTS = {"is_meds": ["medic", "drug", "de "], "is_labs": ["test", "lab", "the "], "is_hospital": ["hospital", "doctor", "un "]}
-
-
-@query("q2_question_intents", "questions", "SELECT question_id, " + ", ".join(f"({' OR '.join(f'contains(lower(question), {chr(39)}{w}{chr(39)})' for w in ws)}) AS {k}" for k, ws in INTENTS.items()) + " FROM c_questions")
+@query("q2_question_intents", "asked", "SELECT question_id, " + ", ".join(f"{like_any('lower(question)', ws)} AS is_{k}" for k, ws in rules.INTENTS.items()) + " FROM c_asked")
 def question_intents(q):
-    return intake.question_intents(q, INTENTS)
+    return intake.question_intents(q, {f"is_{k}": ws for k, ws in rules.INTENTS.items()})
 
 
 @query("x10_query_terms", "questions", r"SELECT question_id, array_to_string(list_filter(string_split_regex(regexp_replace(lower(question), '[^a-z0-9_\s]', '', 'g'), '\s+'), lambda t: length(t) > 3), ' ') AS terms FROM c_questions")
@@ -602,18 +566,7 @@ TERMS_SQL = r", q AS (SELECT question_id, patient_id, list_filter(string_split_r
 
 @query("t5_first_mentions", "questions chunks", TERMS_SQL + " SELECT question_id, min(document_id) AS document_id FROM q JOIN c_chunks USING (patient_id) WHERE len(list_filter(terms, lambda t: contains(lower(chunk_text), t))) > 0 GROUP BY 1")
 def first_mentions(q, c):
-    return summaries.searched(c, with_terms(q))
-
-
-@query("q1_absent_topics", "questions chunks", TERMS_SQL + " SELECT question_id, NOT EXISTS (SELECT 1 FROM c_chunks c WHERE c.patient_id = q.patient_id AND len(list_filter(q.terms, lambda t: contains(lower(c.chunk_text), t))) > 0) AS is_absent FROM q")
-def absent_topics(q, c):
-    return summaries.absent(with_terms(q), c)
-
-
-def with_terms(questions: DataFrame) -> DataFrame:
-    from ..functions.norm import query_terms
-
-    return questions.select("question_id", "patient_id", query_terms(F.col("question")).alias("terms"))
+    return questions.first_mentions(q, c)
 
 
 @query("j15_feedback_rows", "chunks payloads", """
@@ -654,9 +607,9 @@ def document_vault(d):
     return d.where(F.lower("file_name").contains("rx") & (F.col("category") == "op_bill_receipt") & open_ & ~F.col("is_deleted")).select("id")
 
 
-@query("f15_restricted_texts", "questions", f"SELECT question_id, {like_any('lower(question)', intake.RESTRICTED + ['cause '])} AS is_restricted FROM c_questions")
+@query("f15_restricted_texts", "asked", f"SELECT question_id, {like_any('lower(question)', intake.RESTRICTED)} AS is_restricted FROM c_asked")
 def restricted_texts(q):
-    return q.select("question_id", (intake.restricted(F.col("question")) | F.lower("question").contains("cause ")).alias("is_restricted"))
+    return q.select("question_id", intake.restricted(F.col("question")).alias("is_restricted"))
 
 
 @query("a15_memory_lists", "diagnoses medications", f"""
@@ -679,12 +632,11 @@ def document_summaries(p):
     return read.select("document_id", F.col("p.documentType").alias("event_type"), F.concat(F.lit("Contains "), n.cast("string"), F.lit(" lab results.")).alias("summary"))
 
 
-@query("j18_question_records", "sessions diagnoses", """
-, q AS (SELECT session_id AS question_id, patient_id, lower(coalesce(description, '') || ' ' || coalesce(problem_location, '') || ' gout asthma and htn') AS q FROM c_sessions)
+@query("j18_question_records", "asked diagnoses", """
+, q AS (SELECT question_id, patient_id, lower(question) AS q FROM c_asked)
 SELECT DISTINCT question_id, name FROM q JOIN c_diagnoses d USING (patient_id) WHERE contains(q, lower(name)) OR len(list_filter(string_split_regex(lower(name), '\\s+'), lambda w: length(w) > 3 AND contains(q, w))) > 0""")
-def question_records(s, d):
-    text = F.concat(F.coalesce("description", F.lit("")), F.lit(" "), F.coalesce("problem_location", F.lit("")), F.lit(" gout asthma and htn"))
-    return intake.question_records(s.select(F.col("session_id").alias("question_id"), "patient_id", text.alias("question")), d)
+def question_records(q, d):
+    return intake.question_records(q, d)
 
 
 @query("e8_lab_values", "reports")

@@ -74,6 +74,10 @@ REPORT_LINES = [
     ["Rx Metformin $0 mg twice daily after food", "- Aspirin 81 mg once daily", "Cap Amoxil $5 mg tid after food", "Syrup Cough $ ml thrice", "take rest", "2 tab od", "Tablet Pan 4$ mg bd before food"],
     ["HbA1c $.3 %", "Glycated hemoglobin report", "Estimated average glucose 1$", "", "HbA1c again 9", "", ""],
     ["Bill No 77$", "Consultation fee 2$0", "Receipt charges", "CGST $", "Total amount 7$8.00", "Paid amount 7$8", ""],
+    ["Total Bilirubin : $.4 mg/dL", "SGOT (AST) $ U/L", "SGPT (ALT) 3$ U/L", "Alkaline Phosphatase 9$", "Albumin 4.1", "Liver function", "Total protein 7"],
+    ["Serum Creatinine $.1 mg/dL", "Blood Urea $ mg/dL", "Uric acid 5", "Sodium 14$", "Potassium 4", "Chloride 10$", "Kidney function"],
+    ["City Pharmacy Tax Invoice expiry date", "Batch No AB$ Exp dt 12/26", "Paracetamol tablets qty $", "Rate $.00", "Total amount 4$0", "Expiry 11/25", "Disc amt 0"],
+    ["Discharge Summary", "Date of admission 12/03/2021", "Date of discharge 1$/03/2021", "Final diagnosis: Acute Gastritis", "Hospital course stable", "Condition on discharge good", "Treatment given IV fluids"],
 ]
 
 
@@ -83,7 +87,7 @@ def report_line(n: int) -> str:
         a, _, b = kind[n - 1].partition("$")
         texts.append(f"'{a}' || CAST(CAST(l_quantity AS INT) AS STRING) || '{b}'" if "$" in kind[n - 1] else f"'{a}'")
     kinds = " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(texts))
-    return f"max(CASE WHEN l_linenumber = {n} THEN CASE l_orderkey % 5 {kinds} END END)"
+    return f"max(CASE WHEN l_linenumber = {n} THEN CASE l_orderkey % {len(REPORT_LINES)} {kinds} END END)"
 
 
 TABLES["reports"] = f"""SELECT 'd' || CAST(l_orderkey AS STRING) AS document_id, concat_ws(chr(10),
@@ -104,11 +108,35 @@ TABLES["notes"] = f"""SELECT 'd' || CAST(o_orderkey AS STRING) AS document_id, c
     CASE WHEN o_orderkey % 2 = 0 THEN 'Pulse ' || {_n(60, 50)} END, CASE WHEN o_orderkey % 3 = 0 THEN 'Temp ' || {_n(97, 5)} || '.4 F' ELSE 'Temp: ' || {_n(36, 4)} || ' C' END,
     {pick("o_orderkey", ["Diagnosis: Acute Gastritis", "Impression:  Viral fever ", None, "final diagnosis: ok", "Diagnoses: Gout"])},
     'Paracetamol strips batch: AB' || {_n(0, 90)} || ' exp: 12/2' || {_n(0, 9)} || ' price', CASE WHEN o_orderkey % 4 = 0 THEN 'Cough Syrup qty 2' END, 'BP: ' || {_n(90, 9)} || '/70', 'thank you') AS text FROM orders"""
+BODIES = ["'Haemoglobin 13.5 g/dl reference range 12-16' || chr(10) || 'Serum Creatinine Level 1.1 mg/dl'", "'Tax Invoice No 5' || chr(10) || 'Total amount 90' || chr(10) || 'Pan tablet, batch no 3'", "'Bill No 7 total 500 consultation fee'", "'Rx Tab Metformin 500 mg twice daily' || chr(10) || 'medication: Cap. Amoxil 250mg once'", "'Discharge summary' || chr(10) || 'Admitted 1/2/2020 left 5/2/2020'", "'Medical certificate, fit to work'", "'Imaging of the brain'", "'vaccination card'", "'plain words'", "'Glucose Fasting 99 mg/dl normal' || chr(10) || 'phone 12345 urea 44'", "'take 1 tab bd'"]
+_case = lambda expr, texts: f"CASE ({expr}) % {len(texts)} " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(texts)) + " END"
+TABLES["letters"] = f"""SELECT 'd' || CAST(o_orderkey AS STRING) AS document_id, CAST(o_custkey AS STRING) AS patient_id,
+    {pick("o_custkey", [None, "Auto Detect", "Lab Report", None, "Imaging  Report", None, "Holiday"])} AS category, concat_ws(chr(10),
+    {pick("o_orderkey", ["Report Title: Annual check", None, "Title: X: Y", None, "title:"])}, {pick("o_custkey", ["Patient Name: Ann Lee", "Name: customer ", None, "name:"])},
+    CASE o_orderkey % 3 WHEN 0 THEN 'Age: ' || CAST(20 + o_orderkey % 110 AS STRING) || ' Years' WHEN 1 THEN 'Age ' || CAST(o_orderkey % 90 AS STRING) END,
+    {pick("o_orderkey", ["Sex: F", "Gender: male", "gender: other", None])}, {pick("o_custkey", ["MRN: 77 A", "Patient ID: P9", None, "MRN Number: 5"])},
+    {pick("o_orderkey", ["City Hospital", "Lake Clinic Date: 1/2", "  Green Medical Center ", None, "Ward"])},
+    {pick("o_custkey", ["Ref By: Dr. Anil Kumar, MD", "Consultant: Jane Roe", "seen by dr.Mehta today", "Doctor: X", None])},
+    {pick("o_orderkey", ["Dated 12/03/2021", "On 2021-05-07", "On 07-Jan-2031", "On 45/99/2020", "On 2 weeks", "On 31.12.2019", None])},
+    {_case("o_orderkey", BODIES)}) AS text FROM orders"""
+#: Questions with words of every intent, of records, and of none.
+ASKED = ["What is my HbA1c level?", "Which medicine should be taken", "Do you know any condition of mine", "Show my blood test results", "Any surgery in the past", "Which hospital or clinic was it", "zebra stripes", "haemoglobin?", "Is the gout better", "pulse and temp", "Metformin dose", "paracetamol strips", "is it", "can you recommend, or diagnose, the cause of your pain"]
+TABLES |= {
+    "asked": f"SELECT event_id AS question_id, CAST(user_id AS STRING) AS patient_id, {pick('event_id', ASKED)} AS question FROM events WHERE event_type <> 'error'",
+    "pages": f"""SELECT document_id, patient_id, file_name, 1 AS page_number, text FROM ({TABLES["notes"].replace("SELECT ", "SELECT CAST(o_custkey AS STRING) AS patient_id, " + pick("o_orderkey", ["scan.pdf", None, "rx.jpg"]) + " AS file_name, ", 1)}) n""",
+    "triage": f"""SELECT event_id AS session_id, CAST(user_id AS STRING) AS patient_id, {pick("event_id", ["Pain", None, "Fever", ""])} AS reason_category, {pick("event_id", ["today", "2 days", None])} AS onset,
+        {pick("event_id", ["mild", "strong", "severe", None, "mild"])} AS severity, {pick("event_id", ["cough|fever", None])} AS symptoms, {pick("event_id", [None, "hi", "en"])} AS language FROM events WHERE event_type = 'signup'""",
+    "full_payloads": """SELECT doc_id AS document_id, source AS patient_id, CASE WHEN doc_id % 19 = 0 THEN '{"labResults": [' WHEN doc_id % 17 = 0 THEN '{"diagnoses": []}' ELSE '{"documentType": "' || CASE doc_id % 3 WHEN 0 THEN 'LAB_REPORT' WHEN 1 THEN 'DISCHARGE_SUMMARY' ELSE 'PRESCRIPTION' END ||
+        '", "documentDate": {"value": ' || CASE WHEN doc_id % 2 = 0 THEN '"2021-03-0' || CAST(1 + doc_id % 9 AS STRING) || '"' ELSE 'null' END || ', "sourceText": "Dated"}, "diagnoses": [{"name": "Gout", "isChronic": ' || CASE WHEN doc_id % 5 = 0 THEN 'true' ELSE 'false' END || ', "sourceText": " Gout since "}],' ||
+        ' "medications": [{"medicineName": "Metformin ' || CAST(doc_id % 7 AS STRING) || '", "strength": "5mg", "batch": "B' || CAST(doc_id % 11 AS STRING) || '", "expiry": "12/26", "quantity": "10", "sourceText": "gout since"}, {"medicineName": "Aspirin", "page": 3}],' ||
+        ' "labResults": [{"testName": "Hb", "value": "' || CAST(doc_id % 20 AS STRING) || '", "date": ' || CASE WHEN doc_id % 4 = 0 THEN '"2020-01-01"' ELSE 'null' END || ', "sourceText": "Hb"}], "procedures": [' || CASE WHEN doc_id % 6 = 0 THEN '{"name": "Endoscopy", "sourceText": ""}' ELSE '' END || ']}' END AS payload FROM documents""",
+}
 TABLES["chunks"] = TABLES["chunks"].replace("documents_", "documents")
 BASE = ["customer", "orders", "lineitem", "events", "conversations", "documents"]
 
 
 def needs(name: str) -> list[str]:
+    """The driver's tables that a clinical table reads."""
     return [t for t in BASE if re.search(rf"(FROM|JOIN) {t}\b", TABLES[name])]
 
 
@@ -126,4 +154,4 @@ def with_tables(names: str, sql: str) -> str:
 
     The clinical tables get a ``c_`` before their names, as some share a name with the driver's.
     """
-    return "WITH " + ",\n".join(f"c_{n} AS ({TABLES[n]})" for n in names.split()) + "\n" + sql
+    return "WITH RECURSIVE " + ",\n".join(f"c_{n} AS ({TABLES[n]})" for n in names.split()) + "\n" + sql
