@@ -136,7 +136,8 @@ def missing_markers(reports: DataFrame, values: DataFrame) -> DataFrame:
 
 UNITS = "|".join([*rules.UNIT_FORMS, *(re.escape(u) for u in dict.fromkeys(u.lower() for u in rules.PLAIN_UNITS))])
 MEASURED = re.compile(rf"(\d+(?:[.,]\d+)?)\s*[.\-\s]*({UNITS})(?![a-zA-Z0-9])", re.I)
-BEFORE = re.compile(r"([^\n|;()]+?)[|*\-–—\s]*\Z")
+#: Characters between a name and its number, and those that end a name.
+BETWEEN, ENDS = "|*-–—", "\n|;()"
 VALUES = "document_id string, position int, test_name string, value string, unit string, status string"
 
 
@@ -144,6 +145,16 @@ def clean_lab_unit(unit: str) -> bool:
     return unit in rules.PLAIN_UNITS or bool(re.fullmatch(r"(?:x|10\^)?10\^\d+/(?:ul|cumm)", unit, re.I))
 
 
+def stretch_before(text: str, start: int, end: int) -> str:
+    """The nearest stretch before ``end`` without a character of ENDS, not before ``start``; what stands between may be of BETWEEN or white space."""
+    while end > start and (text[end - 1] in BETWEEN or text[end - 1].isspace()):
+        end -= 1
+    begin = end
+    while begin > start and text[begin - 1] not in ENDS:
+        begin -= 1
+    return text[begin:end].strip()
+
+
 def named_values(text: str) -> list[tuple[str, str, str, str]]:
     """(name, value, unit, status) of numbers with units: the name stands before, up to a line end, bar, semicolon or bracket.
 
@@ -151,12 +162,8 @@ def named_values(text: str) -> list[tuple[str, str, str, str]]:
     """
     out, seen, start = [], set(), 0
     for m in MEASURED.finditer(text):
-        # the nearest stretch before the number, at most what is left since the value before
-        head = BEFORE.search(text, max(start, m.start() - 400), m.start())
+        name = re.sub(r"[:\-\s*+/()]+\Z", "", re.sub(r"\A[*\-–—+\s:/()]+", "", stretch_before(text, start, m.start())))
         start = m.end()
-        if not head:
-            continue
-        name = re.sub(r"[:\-\s*+/()]+\Z", "", re.sub(r"\A[*\-–—+\s:/()]+", "", head[1].strip()))
         if len(name) > 60:
             name = " ".join(name.split()[-4:])
         key = " ".join(name.lower().split())

@@ -46,8 +46,9 @@ def by_year(timeline: DataFrame) -> DataFrame:
 
 
 def search(timeline: DataFrame, words: str, facet: str = "All") -> DataFrame:
-    """Events whose title or summary contains the words, of a facet."""
-    text = F.lower(F.concat_ws(" ", "title", "summary")).contains(words.lower())
+    """Events whose title, summary, hospital or doctor (if there are such columns) contains the words, of a facet."""
+    searched = [c for c in ("title", "summary", "hospital", "doctor") if c in timeline.columns]
+    text = reduce(lambda a, b: a | b, (F.coalesce(F.lower(c).contains(words.lower()), F.lit(False)) for c in searched))
     kinds = {
         "All": F.lit(True), "Diagnoses": F.col("event_type") == "Diagnosis", "Medications": F.col("event_type").startswith("Medication"), "Labs": F.col("event_type") == "Lab Test",
         "Hospitalizations": F.col("event_type") == "Hospitalization", "Procedures": F.col("event_type").isin("Procedure", "Surgery"),

@@ -274,11 +274,17 @@ def timeline_by_year(*tables):
     return timeline.by_year(timeline.events(*tables))
 
 
-@query("f5_timeline_search", TIMELINE_TABLES, TIMELINE + " SELECT id, title FROM t WHERE contains(lower(title || ' ' || summary), 'metformin') AND starts_with(event_type, 'Medication')")
+@query("f5_timeline_search", TIMELINE_TABLES, TIMELINE + " SELECT id, title FROM t WHERE (contains(lower(title), 'metformin') OR contains(lower(summary), 'metformin')) AND starts_with(event_type, 'Medication')")
 def timeline_search(*tables):
     return timeline.search(timeline.events(*tables), "Metformin", "Medications").select("id", "title")
 
 
+@query("f5_place_search", TIMELINE_TABLES, TIMELINE + " SELECT t.id, hospital FROM t JOIN c_documents d ON d.id = t.source_document_id WHERE contains(lower(title), 'lake') OR contains(lower(summary), 'lake') OR contains(lower(hospital), 'lake') OR contains(lower(doctor), 'lake')")
+def place_search(r, d, *kinds):
+    places = d.select(F.col("id").alias("source_document_id"), "hospital", "doctor")
+    return timeline.search(timeline.events(r, d, *kinds).join(places, "source_document_id"), "Lake").select("id", "hospital")
+
+
 @query("w8_disease_journeys", "diagnoses", f"""
 , s AS (SELECT patient_id, id, created_on, {canonical_sql("name", "diagnosis")} AS canonical, CASE WHEN contains(lower(coalesce(notes, '')), 'worsening') OR contains(lower(coalesce(notes, '')), 'progression') THEN 'Progressing'
   WHEN contains(lower(coalesce(notes, '')), 'improving') OR contains(lower(coalesce(notes, '')), 'resolved') THEN 'Resolved' WHEN is_chronic THEN 'Chronic (Stable)' WHEN verification_status = 'verified' THEN 'Confirmed' ELSE 'Confirmed (Corrected)' END AS status FROM c_diagnoses WHERE {SURE})
@@ -314,7 +320,12 @@ def ranked_chunks(q, c):
     return questions.ranked(q, c)
 
 
-@query("x12_text_chunks", "chunks")
+@query("x12_text_chunks", "chunks", r"""
+, lc AS (SELECT document_id, string_split(chunk_text, chr(10)) AS ls FROM c_chunks WHERE chunk_text <> '')
+, pk AS (SELECT document_id, 0::BIGINT AS k, '' AS held, '' AS done FROM lc UNION ALL SELECT document_id, k + 1, CASE WHEN length(held) + length(line) + 1 > 1000 THEN line WHEN held <> '' THEN held || chr(10) || line ELSE line END, CASE WHEN length(held) + length(line) + 1 > 1000 THEN held ELSE '' END
+  FROM (SELECT pk.document_id, k, held, ls[k + 1] AS line FROM pk JOIN lc ON lc.document_id = pk.document_id WHERE k < len(ls)))
+, ch AS (SELECT document_id, k, regexp_replace(done, '^\s+|\s+$', '', 'g') AS c FROM pk UNION ALL SELECT document_id, max(k) + 1, regexp_replace(arg_max(held, k), '^\s+|\s+$', '', 'g') FROM pk GROUP BY 1)
+SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY k) - 1 AS chunk, c AS chunk_text FROM ch WHERE c <> ''""")
 def text_chunks(c):
     return retrieval.text_chunks(c)
 
@@ -329,7 +340,14 @@ def page_texts(c):
     return retrieval.page_texts(c)
 
 
-@query("r1_admissions", "requests")
+_limit = "CASE action " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in rules.RATE_LIMITS.items()) + " END::DOUBLE"
+
+
+@query("r1_admissions", "requests", f"""
+, rq AS (SELECT event_id, user_id, action, epoch_us(ts::TIMESTAMP)::DOUBLE / 1000 AS now, {_limit} AS lim, row_number() OVER (PARTITION BY action, user_id ORDER BY ts, event_id) AS k FROM c_requests)
+, bu AS (SELECT action, user_id, 0::BIGINT AS k, NULL::BIGINT AS event_id, NULL::DOUBLE AS tokens, NULL::DOUBLE AS had, NULL::DOUBLE AS last FROM (SELECT DISTINCT action, user_id FROM rq)
+  UNION ALL SELECT action, user_id, k, event_id, CASE WHEN t >= 1 THEN t - 1 ELSE t END, t, now FROM (SELECT rq.action, rq.user_id, rq.k, rq.event_id, rq.now, least(lim, coalesce(tokens, lim) + (rq.now - coalesce(last, rq.now)) * (lim / {rules.RATE_INTERVAL_MS})) AS t FROM bu JOIN rq ON rq.action = bu.action AND rq.user_id = bu.user_id AND rq.k = bu.k + 1))
+SELECT event_id, user_id, action, had >= 1 AS allowed, CASE WHEN had >= 1 THEN 0 ELSE greatest(1, ceil((1 - had) / ({_limit} / {rules.RATE_INTERVAL_MS}) / 1000))::INT END AS retry_after FROM bu WHERE k > 0""")
 def admissions(r):
     return admission.admissions(r)
 

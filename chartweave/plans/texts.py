@@ -167,3 +167,13 @@ def lab_sanity(l):
 @query("d3_ambiguous_dosages", "medications", f"SELECT id, frequency AS dosage FROM c_medications WHERE frequency <> '' AND NOT regexp_matches(frequency, '[0-9]') AND NOT {like_any('lower(frequency)', rules.DOSAGE_WORDS)}")
 def ambiguous_dosages(m):
     return letters.ambiguous_dosages(m.select("id", F.col("frequency").alias("dosage")))
+
+
+def lines_with_units(text: str) -> list[dict]:
+    """An extractor as a caller may plug in: lines that state milligrams a decilitre."""
+    return [{"line": line} for line in text.split("\n") if "mg/dl" in line.lower()]
+
+
+@query("u0_plugged_extractor", "reports", "SELECT * FROM (SELECT document_id, unnest(string_split(text, chr(10))) AS line FROM c_reports) WHERE contains(lower(line), 'mg/dl')")
+def plugged_extractor(r):
+    return letters.plugged(r, lines_with_units, "line string")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import rules
+from ..operators.folds import folded
 
 DECISIONS = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("user_id", T.StringType()), T.StructField("action", T.StringType()),
@@ -30,21 +31,43 @@ def admit(tokens: float, last_ms: float, now_ms: float, limit: int, interval_ms:
 def decided(pdf: pd.DataFrame, state: tuple[float, float] | None) -> tuple[pd.DataFrame, tuple[float, float]]:
     """Decisions on requests of one key in time order, and the bucket (tokens, last refill) after them."""
     pdf = pdf.sort_values(["ts", "event_id"])
-    limit = rules.RATE_LIMITS[pdf["action"].iloc[0]]
+    limit = rules.RATE_LIMITS.get(pdf["action"].iloc[0])
     allowed, wait = [], []
     for now in pdf["ts"].astype("datetime64[us]").astype("int64") / 1000:
-        tokens, last = state or (float(limit), now)
-        tokens, ok, seconds = admit(tokens, last, now, limit)
-        state = (tokens, now)
+        state, ok, seconds = next_state(state, now, limit)
         allowed.append(ok)
         wait.append(seconds)
     out = pdf[["event_id", "user_id", "action"]].assign(allowed=allowed, retry_after=wait)
     return out.astype({"retry_after": "int32"}), state
 
 
+def next_state(state: tuple[float, float] | None, now: float, limit: int | None) -> tuple[tuple[float, float], bool, int]:
+    """A bucket after a request, and its decision; actions without a limit are always allowed."""
+    if limit is None:
+        return (0.0, now), True, 0
+    tokens, last = state or (float(limit), now)
+    tokens, ok, seconds = admit(tokens, last, now, limit)
+    return (tokens, now), ok, seconds
+
+
+class Bucket:
+    """Decisions on the requests of one user and action, one after the other."""
+
+    def __init__(self, key: object):
+        self.held = None
+
+    def row(self, key, event_id, user_id, action, at_us) -> list[tuple]:
+        self.held, ok, seconds = next_state(self.held, at_us / 1000, rules.RATE_LIMITS.get(action))
+        return [(event_id, user_id, action, ok, seconds)]
+
+    def end(self) -> list[tuple]:
+        return []
+
+
 def admissions(requests: DataFrame) -> DataFrame:
     """Every request with its decision; each user and action has a bucket of its own."""
-    return requests.groupBy("action", "user_id").applyInPandas(lambda pdf: decided(pdf, None)[0], DECISIONS)
+    rows = requests.select(F.concat_ws("\x1f", "action", "user_id").alias("key"), "event_id", "user_id", "action", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
+    return folded(rows, "key", ["at_us", "event_id"], Bucket, "event_id long, user_id string, action string, allowed boolean, retry_after int")
 
 
 def admission_stream(requests: DataFrame) -> DataFrame:

@@ -4,25 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators import summaries
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path, on whatever file system it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def new_documents(arrivals: DataFrame, table: str, within: str = "1 day", at: str = "created_at") -> DataStreamWriter:
     """Arriving documents whose patient and content are new go to ``table``: duplicates within the stream's watermark go first, then those that the table has."""
     unique = arrivals.withWatermark(at, within).dropDuplicatesWithinWatermark(["patient_id", "sha256_hash"])
 
     def keep(batch: DataFrame, _: int) -> None:
         key = ["patient_id", "sha256_hash"]
-        try:
-            known = batch.sparkSession.read.parquet(table).select(*key)
-            batch = batch.join(known, key, "left_anti")
-        except AnalysisException:  # no table yet
-            pass
+        if exists(batch.sparkSession, table):
+            batch = batch.join(batch.sparkSession.read.parquet(table).select(*key), key, "left_anti")
         batch.write.mode("append").parquet(table)
 
     return unique.writeStream.foreachBatch(keep)
