@@ -69,6 +69,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that Python objects of few rows are held at once."""
+    return (whole.slice(k, rows) for whole in batches for k in range(0, whole.num_rows, rows))
+
+
 def with_arrow(df: DataFrame, of: list[str], fields: list[T.StructField], make: Callable[[], Callable]) -> DataFrame:
     """Add columns computed batch by batch in Python.
 
@@ -83,7 +88,7 @@ def with_arrow(df: DataFrame, of: list[str], fields: list[T.StructField], make:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in sliced(batches):
             new = work(*(batch.column(i).to_pylist() for i in at))
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=names)
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import cut, fresh, int_list, mix64, spread_join, windows, word_hashes
+from .common import cut, fresh, int_list, mix64, sliced, spread_join, windows, word_hashes
 from .components import components
 
 BANDS, ROWS = 24, 4
@@ -121,17 +121,15 @@ def signed(texts: DataFrame, node: str, text: str, keep: list[str]) -> DataFrame
     schema = T.StructType([*(texts.schema[c] for c in keep), *T._parse_datatype_string(SIGNED).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                some = batch.slice(at, 200)
-                bags = [shingle_bag(word_hashes((t or "").encode())) for t in some.column(text).to_pylist()]
-                full = signatures(bags)
-                empty = pa.array([not len(h) for h, _ in bags])
-                short = pa.array([x.tobytes() for x in short_form(full)], pa.binary())
-                bands = int_list(bands_of(full), pa.int64())
-                none = pa.scalar(None, pa.binary()), pa.scalar(None, bands.type)
-                new = [some.column(node), pc.if_else(empty, none[0], short), pc.if_else(empty, none[1], bands)]
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in keep), *new], names=schema.names)
+        for some in sliced(batches, 200):
+            bags = [shingle_bag(word_hashes((t or "").encode())) for t in some.column(text).to_pylist()]
+            full = signatures(bags)
+            empty = pa.array([not len(h) for h, _ in bags])
+            short = pa.array([x.tobytes() for x in short_form(full)], pa.binary())
+            bands = int_list(bands_of(full), pa.int64())
+            none = pa.scalar(None, pa.binary()), pa.scalar(None, bands.type)
+            new = [some.column(node), pc.if_else(empty, none[0], short), pc.if_else(empty, none[1], bands)]
+            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in keep), *new], names=schema.names)
 
     return texts.select(*keep, node, text).mapInArrow(run, schema)
 
@@ -153,8 +151,8 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs whose texts (``node``, ``text``) overlap by ``least`` or more as bags of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bag = lru_cache(256)(lambda t: shingle_bag(word_hashes(t.encode())))
-        for batch in batches:
+        bag = lru_cache(64)(lambda t: shingle_bag(word_hashes(t.encode())))
+        for batch in sliced(batches, 100):
             keep = [overlap(bag(x), bag(y)) >= least for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
@@ -163,7 +161,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
-def joined_in_blocks(members: DataFrame, least: float, block: int = 256, block_bytes: int = 4 << 20) -> DataFrame:
+def joined_in_blocks(members: DataFrame, least: float, block: int = 256, block_bytes: int = 1 << 20) -> DataFrame:
     """Pairs of components (``a``, ``b``) that a link between members of a bucket joins.
 
     ``members``: ``bucket``, ``node``, ``component``, ``signature``, ``bands``, ``text``.

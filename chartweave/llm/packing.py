@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import cut, fresh
+from .common import cut, fresh, sliced
 from .tokens import WholeTextEncoder
 
 #: A run of sequences that are filled alike: their number, and (length, how often) from offset 0 on.
@@ -269,7 +269,7 @@ def token_pieces(df: DataFrame, path: str, capacity: int = 2048, *, text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WholeTextEncoder(path, added=True)
         last = np.array([end_id], "<u4").tobytes()
-        for batch in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):
+        for batch in sliced(batches):
             others = batch.select(range(len(kept)))
             source, cells = [], [[] for _ in fields]
             for at, t in enumerate(batch.column(len(kept)).to_pylist()):
@@ -296,8 +296,18 @@ def packed_documents(docs: DataFrame, path: str) -> DataFrame:
     return pack(pieces, 2048)
 
 
+def packed_sequences(packed: DataFrame) -> DataFrame:
+    """(``sequence_id``, ``ids``): the ids of every sequence, from pieces with ``ids`` and their places."""
+    parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))
+    return packed.groupBy("sequence_id").agg(F.flatten(parts["ids"]).alias("ids"))
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of 2048 tokens."""
+    """The pieces of all documents with their places in sequences of 2048 tokens; a null or empty text is a piece of one token.
+
+    Ids are not kept: a document's piece is its ids from ``start`` on, and ``token_pieces`` with ``keep_ids``, ``pack`` and
+    ``packed_sequences`` make whole sequences.
+    """
     import public_tokenizers
 
     return packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import MIX, common_keys, cut, fresh, mix64, stored, windows, with_arrow, word_hashes
+from .common import MIX, common_keys, cut, fresh, mix64, sliced, stored, windows, with_arrow, word_hashes
 
 K = 5
 #: One run in DENSE is a seed by its hash; of every SPARSE runs the least is one in any case.
@@ -82,7 +82,7 @@ def seeds(docs: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("seed", T.LongType()), docs.schema["d"], T.StructField("p", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(k, 500) for whole in batches for k in range(0, whole.num_rows, 500)):
+        for batch in sliced(batches):
             found = [seeds_of(word_hashes(t.encode())) for t in batch.column("text").to_pylist()]
             of = pa.array(np.repeat(np.arange(len(found)), [len(h) for h, _ in found]))
             hash_, at = (np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(zip(*found, strict=True) if found else ((), ()), (np.uint64, np.int64), strict=True))
@@ -96,7 +96,7 @@ def short_words(docs: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("id", docs.schema["d"].dataType), T.StructField("words", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(k, 500) for whole in batches for k in range(0, whole.num_rows, 500)):
+        for batch in sliced(batches):
             words = [(word_hashes(t.encode()) & np.uint64(0xFFFF)).astype("<u2").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(words, pa.binary())], names=schema.names)
 
@@ -229,7 +229,7 @@ def chained(matched: DataFrame) -> DataFrame:
     schema = T.StructType([matched.schema["d"], matched.schema["e"], T.StructField("ps", LISTS), T.StructField("qs", LISTS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(k, 500) for whole in batches for k in range(0, whole.num_rows, 500)):
+        for batch in sliced(batches):
             of, ps, qs = [], [], []
             for at, m in enumerate(batch.column("m")):
                 p, q, r, s = (m.values.field(x).to_numpy().astype(np.int64) for x in range(4))
@@ -323,7 +323,7 @@ def alignments(found: DataFrame, words: DataFrame, common: DataFrame, around: in
     columns = ("w_d", "w_e", "from_d", "from_e", "size_d", "size_e", "ps", "qs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(k, 500) for whole in batches for k in range(0, whole.num_rows, 500)):
+        for batch in sliced(batches):
             of, rows = [], []
             for at, (x, y, fx, fy, nx, ny, *both) in enumerate(zip(*(batch.column(c).to_pylist() for c in columns), strict=True)):
                 a, b = np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import fresh, with_arrow
+from .common import fresh, sliced, with_arrow
 
 STRETCHES = re.compile(r"(?= \S)")
 
@@ -224,7 +224,7 @@ def section_token_counts(df: DataFrame, path: str, *, text: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WholeTextEncoder(path, added=True)
-        for batch in (whole.slice(k, 500) for whole in batches for k in range(0, whole.num_rows, 500)):  # many lines come of few texts
+        for batch in sliced(batches):  # many lines come of few texts
             begins, ends, counts = [], [], []
             for t in batch.column(len(kept)).to_pylist():
                 raw = np.frombuffer((t or "").encode(), np.uint8)
