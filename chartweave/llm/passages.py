@@ -35,6 +35,8 @@ GAP_COST, MOST_GAP = 0.03, 60
 #: Words around a chain that are aligned at first; stretches that come near this end are aligned again with more.
 REACH, NEAR_END = 512, 32
 LEAST_WORDS, LEAST_IDENTITY = 50, 0.8
+#: A gap of a chain with more different words than these, and mostly different ones, parts it.
+MOST_DIFFERENT = 12
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -220,6 +222,11 @@ def chains(p: list[int], q: list[int]) -> list[list[int]]:
     return out
 
 
+def on_diagonal(p: np.ndarray) -> list[np.ndarray]:
+    """What ``chains`` gives for ascending matches on one diagonal: each follows the one before, as no gap within SLAB costs what a match is worth."""
+    return [x for x in np.split(p, np.flatnonzero(np.diff(p) > SLAB) + 1) if len(x) > 1]
+
+
 LISTS, ARROW_LISTS = T.ArrayType(T.ArrayType(T.IntegerType())), pa.list_(pa.list_(pa.int32()))
 
 
@@ -234,12 +241,16 @@ def chained(matched: DataFrame) -> DataFrame:
             for at, m in enumerate(batch.column("m")):
                 p, q, r, s = (m.values.field(x).to_numpy().astype(np.int64) for x in range(4))
                 both = np.unique(np.concatenate([p << 32 | q, r << 32 | s]))
-                p, q = (both >> 32).tolist(), (both & 0xFFFFFFFF).tolist()
-                found = chains(p, q)
+                p, q = both >> 32, both & 0xFFFFFFFF
+                if (p - q == p[0] - q[0]).all():
+                    found = [(x.tolist(), (x + (q[0] - p[0])).tolist()) for x in on_diagonal(p)]
+                else:
+                    p, q = p.tolist(), q.tolist()
+                    found = [([p[i] for i in chain], [q[i] for i in chain]) for chain in chains(p, q)]
                 if found:
                     of.append(at)
-                    ps.append([[p[i] for i in chain] for chain in found])
-                    qs.append([[q[i] for i in chain] for chain in found])
+                    ps.append([x for x, _ in found])
+                    qs.append([y for _, y in found])
             take = pa.array(of, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("d").take(take), batch.column("e").take(take), pa.array(ps, ARROW_LISTS), pa.array(qs, ARROW_LISTS)], names=schema.names)
 
@@ -278,6 +289,11 @@ def aligned(a: np.ndarray, b: np.ndarray, ps: list[int], qs: list[int]) -> list[
     out = []
     start = (ps[0], qs[0])
     end, same = (ps[0] + K, qs[0] + K), K
+    x, y = np.array(ps), np.array(qs)
+    if (x - y == ps[0] - qs[0]).all() and np.diff(x).max(initial=0) <= K + MOST_DIFFERENT:  # no gap that could part it
+        end = (ps[-1] + K, qs[-1] + K)
+        same = int((a[ps[0] : end[0]] == b[qs[0] : end[1]]).sum())
+        ps, qs = ps[:1], qs[:1]
     for p, q in zip(ps[1:], qs[1:], strict=True):
         if p - q == end[0] - end[1] and p <= end[0]:  # overlaps the stretch so far, on its diagonal
             same += p + K - end[0]
@@ -285,7 +301,7 @@ def aligned(a: np.ndarray, b: np.ndarray, ps: list[int], qs: list[int]) -> list[
             skip = max(0, end[0] - p, end[1] - q)
             ga, gb = a[end[0] : max(p, end[0])], b[end[1] : max(q, end[1])]
             equal = int((ga == gb).sum()) if len(ga) == len(gb) else common(ga, gb)
-            if max(len(ga), len(gb)) - equal > 12 and equal < 0.6 * max(len(ga), len(gb)):
+            if max(len(ga), len(gb)) - equal > MOST_DIFFERENT and equal < 0.6 * max(len(ga), len(gb)):
                 out.append((*start, *end, same))
                 start, same = (p, q), K
             else:

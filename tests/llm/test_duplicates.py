@@ -320,3 +320,13 @@ def test_full_cells_are_parted(spark, monkeypatch):
     near = unit @ unit.T >= 0.98
     got = {r.vec_id: r.n_links for r in linked_vectors(df).collect()}
     assert got == {i: int(near[i].sum()) - 1 for i in range(120)}
+
+
+def test_matches_on_one_diagonal_chain_as_others():
+    from chartweave.llm.passages import on_diagonal
+
+    rng = random.Random(46)
+    for _ in range(200):
+        p = np.unique([rng.randrange(900) for _ in range(rng.randint(1, 60))])
+        want = sorted(([int(p[i]) for i in c] for c in chains(p.tolist(), (p + 7).tolist())))
+        assert sorted(x.tolist() for x in on_diagonal(p)) == want

@@ -135,7 +135,7 @@ def test_page_scores_by_brute_force():
 def article_and_advert(page):
     parts = page[page.index("<article>") : page.index("</article>")].replace("<br>", " ").replace("<b>", "").replace("</b>", "")
     texts = [" ".join(mainpage.html.unescape(x).split()) for x in mainpage.re.split(r"</?(?:p|h1|article)>", parts)]
-    advert = mainpage.re.search(r'<div class="ad">(.*?)</div>', page)[1]
+    advert = mainpage.re.search(r'<div class="ad">(.*?)</div>', page, mainpage.re.S)[1]
     return [t for t in texts if t], " ".join(mainpage.html.unescape(advert).split())
 
 
