@@ -161,7 +161,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
-def joined_in_blocks(members: DataFrame, least: float, block: int = 256, block_bytes: int = 1 << 20) -> DataFrame:
+def joined_in_blocks(members: DataFrame, least: float, block: int = 1024, block_bytes: int = 4 << 20) -> DataFrame:
     """Pairs of components (``a``, ``b``) that a link between members of a bucket joins.
 
     ``members``: ``bucket``, ``node``, ``component``, ``signature``, ``bands``, ``text``.
