@@ -13,9 +13,8 @@ from pyspark.sql import Window as W
 
 from .. import rules
 from ..functions.norm import any_of
+from ..rules import DIAGNOSIS_PREFIXES, GROUPED_NUMBER, INVOICE_WORDS, NUMBER, VITALS
 
-NUMBER = r"(\d+(?:\.\d+)?)"
-GROUPED_NUMBER = r"(\d{1,3}(?:,\d{3})*(?:\.\d+)?|\.\d+)"
 
 
 def escaped(word: str) -> str:
@@ -109,8 +108,8 @@ def prescribed(reports: DataFrame) -> DataFrame:
     """Medicines of prescriptions: lines with a dosage form and a digit give a name (three characters or more), dosage, frequency."""
     rows = lines(reports).where((F.col("document_type") == "Prescription") & any_of(F.lower("line"), rules.DOSAGE_FORMS) & F.col("line").rlike(r"\d"))
     low = F.lower("line")
-    dosage = F.trim(F.regexp_extract("line", r"(?i)(\d+\s*(?:mg|ml|mcg|g|ug|tablet|capsule|tab|cap)\b)", 1))
-    name = F.trim(F.get(F.split("line", r"\b\d| - "), F.lit(0)))
+    dosage = F.trim(F.regexp_extract("line", rules.DOSE, 1))
+    name = F.trim(F.get(F.split("line", rules.NAME_END), F.lit(0)))
     name = F.trim(F.regexp_replace(F.regexp_replace(name, r"(?i)^rx\b", ""), r"^[^\w\s]+", ""))
     often = F.when(low.contains("twice") | low.contains(" bd "), "Twice Daily").when(low.contains("thrice") | low.contains(" tid ") | low.contains("three times"), "Three Times Daily").otherwise("Once Daily")
     out = rows.select("document_id", "line_no", name.alias("medicine_name"), F.when(dosage == "", "1 tablet").otherwise(dosage).alias("dosage"), often.alias("frequency"))
@@ -183,15 +182,6 @@ def lab_values(reports: DataFrame) -> DataFrame:
     return reports.select("document_id", "text").mapInPandas(run, VALUES)
 
 
-#: Vital signs: name, words of its line, pattern of the value, unit behind it.
-VITALS = [
-    ("bp", ["bp:", "blood pressure"], r"\b\d{2,3}/\d{2,3}\b", " mmHg"), ("hr", ["hr:", "pulse", "heart rate"], r"\b\d{2,3}\b", " bpm"), ("temp", ["temp"], r"\b\d{2,3}(?:\.\d+)?\b", ""),
-    ("rr", ["rr:", "respiratory rate"], r"\b\d{1,2}\b", " /min"), ("spo2", ["spo2", "oxygen saturation"], r"\b\d{2,3}\b", "%"),
-]
-DIAGNOSIS_PREFIXES = ["diagnosis:", "diagnoses:", "impression:", "final diagnosis:"]
-INVOICE_WORDS = ["batch", "expiry", "quantity", "tablet", "capsule", "price"]
-
-
 def note_lines(notes: DataFrame) -> DataFrame:
     return notes.select("document_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("low", F.lower("line"))
 
@@ -222,7 +212,7 @@ def invoiced(notes: DataFrame) -> DataFrame:
     quantity = F.col("low").rlike(r"\bqty\b") | F.col("low").contains(" quantity ") | F.col("low").contains(" x ")
     rows = rows.where(F.col("low").rlike("batch|exp") | (quantity & F.col("line").rlike(r"\d")))
     words = F.filter(F.split(F.trim("line"), r"\s+"), lambda w: w.rlike("^[a-zA-Z]{4,}$") & ~F.lower(w).isin(INVOICE_WORDS))
-    batch = F.nullif(F.regexp_extract("line", r"(?i)(?:batch|b\.?no|lot)\s*:?\s*([a-zA-Z0-9]+)", 1), F.lit(""))
-    expiry = F.nullif(F.regexp_extract("line", r"(?i)(?:exp|expiry|exp\.?dt)\s*:?\s*(\d{2}/\d{2,4})", 1), F.lit(""))
+    batch = F.nullif(F.regexp_extract("line", rules.BATCH, 1), F.lit(""))
+    expiry = F.nullif(F.regexp_extract("line", rules.EXPIRY, 1), F.lit(""))
     out = rows.select("document_id", "line_no", F.array_join(words, " ").alias("medicine_name"), F.coalesce(batch, F.lit("N/A")).alias("batch"), F.coalesce(expiry, F.lit("N/A")).alias("expiry"))
     return out.where(F.length("medicine_name") >= 3)
