@@ -46,6 +46,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that holds tables of no further use."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def common_keys(rows: DataFrame, key: str, share: int = 1024) -> DataFrame:
     """(``key``, ``salts``): keys with over a ``share``-th of the rows, so fewer than ``share`` of them, which may be broadcast.
 

@@ -104,3 +104,76 @@ def test_many_documents_as_the_library(spark, tokenizer):
     rows = duckdb.sql("select doc_id, text from '/root/testdata/sf0.001/documents.parquet' order by doc_id").fetchall()
     got = [tuple(r) for r in op13_patched_blocks(spark, "/root/testdata/sf0.001").collect()]
     assert sorted(got) == expected(rows, tokenizer)
+
+
+# ---- filter audit
+
+
+def brute_audit(docs, labels):
+    """Every order applied document by document."""
+    import re
+    from collections import defaultdict
+    from itertools import permutations
+
+    said = defaultdict(lambda: [0, 0])
+    for i, quality, toxic in labels:
+        if i is not None:
+            said[i] = [max(said[i][0], int(quality == 1)), max(said[i][1], int(toxic == 1))]
+    rows = []
+    for i, text, source in docs:
+        text = text or ""
+        words = re.findall("[^\x20\x09-\x0d]+", text)
+        fails = {
+            "A": len(words) < 50,
+            "B": 100 * len(set(words)) < 65 * len(words),
+            "C": 100 * len(re.findall("[A-Z]", text)) > 5 * len(text),
+            "D": bool(re.search(r"[#$%&*|]", text)),
+            "E": i is not None and any(j is not None and j < i and (t or "") == text for j, t, _ in docs),
+        }
+        rows.append((source or "", {x for x in fails if fails[x]}, *(said[i] if i is not None else (0, 0))))
+    out = {}
+    for part in {r[0] for r in rows}:
+        of, shapley = [r for r in rows if r[0] == part], defaultdict(int)
+        for order in map("".join, permutations("ABCDE")):
+            left = of
+            for step, x in enumerate(order, 1):
+                gone = [r for r in left if x in r[1]]
+                left = [r for r in left if x not in r[1]]
+                failing = [r for r in of if x in r[1]]
+                shapley[x] += len(gone)
+                out[part, order, step] = (len(left), len(gone), len(failing) - len(gone), sum(r[1] == {x} for r in of), sum(r[2] for r in gone), sum(r[3] for r in gone))
+        for key in [k for k in out if k[0] == part]:
+            out[key] += (shapley[key[1][key[2] - 1]],)
+    return out
+
+
+def test_audit_equals_every_order(spark):
+    import random
+    from chartweave.llm.audit import COUNTS, filter_audit
+
+    rng = random.Random(5)
+    long = " ".join(f"word{k}" for k in range(60))
+    texts = [None, "", "  \t", long, long + " $", long.upper(), "the " * 80, "THE # " * 60, "a b", "é\x0bx\x0cy " * 30, long + " and\xa0so", "| " * 3 + long]
+    docs = [(rng.choice([None, *range(40)]), rng.choice(texts), rng.choice(["x", "x", "x", "", None, "y"])) for _ in range(150)]
+    docs += [(3, long, "x")] * 3 + [(100, long, "zero"), (1000 + 1, " ".join(f"w{k}" for k in range(50)), "clean")]
+    labels = [(rng.choice([None, *range(45)]), rng.choice([None, 0, 1]), rng.choice([None, 0, 1])) for _ in range(60)]
+    df = spark.createDataFrame([(*d, 1, "n") for d in docs], "doc_id long, text string, source string, part int, fails string")
+    said = spark.createDataFrame(labels, "doc_id long, quality long, toxic long")
+    got = {(r.part, r.filter_order, r.step): tuple(r[c] for c in COUNTS) for r in filter_audit(df, said).collect()}
+    want = brute_audit(docs, labels)
+    assert got == want and len(got) == 600 * len({s or "" for _, _, s in docs})
+    assert all(got["clean", o, 1][1] == 0 for _, o, _ in got if _ == "clean")
+    assert filter_audit(df.limit(0), said).count() == 0
+    assert {tuple(r) for r in filter_audit(df, said.limit(0)).select("good_lost", "toxic_lost").collect()} == {(0, 0)}
+
+
+def test_removals_name_the_first_filter(spark):
+    from chartweave.llm.audit import failing_parts, removals
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (3, "c"), (None, "d"), (4, "e")], "id long, removed_by string")
+    failing = {x: spark.createDataFrame([(i,) for i in ids], "id long") for x, ids in {"A": [1, 3, 3], "B": [3, 2, None], "C": [9]}.items()}
+    by = lambda order: sorted((r.id or 0, r.removed_by_) for r in removals(rows, failing, order, ["id"]).collect())
+    assert by("ABC") == [(0, None), (1, "A"), (2, "B"), (3, "A"), (3, "A"), (4, None)]
+    assert by("CBA") == [(0, None), (1, "A"), (2, "B"), (3, "B"), (3, "B"), (4, None)]
+    parts = failing_parts(rows, failing, ["id"])
+    assert sorted((r.id, r.fails) for r in parts.collect()) == [(1, 1), (2, 2), (3, 3), (3, 3)]
