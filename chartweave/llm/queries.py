@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, idfiles, mainpage, neardup, packing, passages, pieces, pseudonyms, quality, sharding, tokens, vectors
+from . import audit, idfiles, mainpage, neardup, packing, passages, phrases, pieces, pseudonyms, quality, sharding, tokens, vectors
 
 QUERIES = {
     "op1_bag_minhash": neardup.op1_bag_minhash,
@@ -15,8 +15,9 @@ QUERIES = {
     "op8_subspace_pigeonhole": vectors.op8_subspace_pigeonhole,
     "op9_tag_path_ratios": mainpage.op9_tag_path_ratios,
     "op10_feistel_pseudonyms": pseudonyms.op10_feistel_pseudonyms,
+    "op11_phrase_stripes": phrases.op11_phrase_stripes,
     "op12_filter_audit": audit.op12_filter_audit,
     "op13_patched_blocks": idfiles.op13_patched_blocks,
 }
 
-ORACLE_SQL: dict[str, str] = {"op12_filter_audit": audit.OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_phrase_stripes": phrases.OP11_SQL, "op12_filter_audit": audit.OP12_SQL}

@@ -177,3 +177,78 @@ def test_removals_name_the_first_filter(spark):
     assert by("CBA") == [(0, None), (1, "A"), (2, "B"), (3, "B"), (3, "B"), (4, None)]
     parts = failing_parts(rows, failing, ["id"])
     assert sorted((r.id, r.fails) for r in parts.collect()) == [(1, 1), (2, 2), (3, 3), (3, 3)]
+
+
+# ---- phrases
+
+
+def brute_phrases(docs, least=10, percent=50, top=2000):
+    import re
+    from collections import Counter, defaultdict
+
+    f, n = defaultdict(Counter), Counter()
+    for text, lang in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\n-\r]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
+            w = re.findall("[^ \t]+", piece)
+            n[lang] += len(w)
+            for m in (1, 2, 3):
+                f[lang].update(tuple(w[i : i + m]) for i in range(len(w) - m + 1))
+    out = []
+    for lang, counts in f.items():
+        found = []
+        candidates = {p: a for p, a in counts.items() if len(p) > 1 and a >= least}
+        for p, a in candidates.items():
+            if any(100 * b >= percent * a and any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1)) for q, b in candidates.items() if len(q) > len(p)):
+                continue
+            cuts = [(1_000_000 * a * a // (counts[p[:k]] * counts[p[k:]]), k, counts[p[:k]], counts[p[k:]]) for k in range(1, len(p))]
+            score, _, left, right = min(cuts)
+            found.append((-score, -a, " ".join(p).encode(), left, right))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(found)[:top], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, n[lang], -score))
+    return sorted(out)
+
+
+def phrase_documents():
+    import random
+
+    rng = random.Random(6)
+    words = ["the", "the", "of", "A", "Été", "straße", "\x00", "\xa0", "x|y", "İ", "q"]
+    docs = []
+    for _ in range(120):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", " ", "\t", "  ", ", ", ".", "\n", "\x0b", "\r\n", "! "]) for _ in range(rng.randint(0, 40)))
+        docs.append((text, rng.choice(["en", "en", "und", None, "de", ""])))
+    return docs + [(None, "en"), ("", None), ("the of " * 500, "en"), ("a B c d, " * 12, "fr"), ("a b e " * 3, "fr"), ("one two", "it")] + [("same old words here", "en")] * 15
+
+
+@pytest.mark.parametrize(("at_once", "sample", "top"), [(2_000_000, 0.02, 2000), (60, 1.0, 2000), (7, 1.0, 9)])
+def test_phrases_equal_brute_force(spark, at_once, sample, top):
+    from chartweave.llm.phrases import collocations, common_prefixes
+
+    docs = phrase_documents()
+    df = spark.createDataFrame([(*d, 1, "x", "y") for d in docs], "text string, lang string, rank int, prefix string, key string")
+    if sample == 1.0:
+        assert common_prefixes(df, 1.0, at_once)[("en", "the")] > 1
+    got = collocations(df.repartition(3), at_once=at_once, sample=sample, top=top)
+    assert sorted(map(tuple, got.collect())) == brute_phrases(docs, top=top)
+    assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+
+
+def test_phrases_of_nothing_and_large_counts(spark):
+    from chartweave.llm.phrases import collocations, exact_score
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(None, None), ("a b", "en")], "text string, lang string")
+    assert collocations(df).count() == 0 and collocations(df.limit(0)).count() == 0
+    rows = [(10**15 + 7, 10**15 + 9, 3 * 10**15 + 1), (10, 10, 10), (3, 7, 11), (2**40, 2**50, 2**41)]
+    table = spark.createDataFrame(rows, "a long, l long, r long").select("a", "l", "r", exact_score(F.col("a"), F.col("l"), F.col("r")).alias("s"))
+    assert all(r.s == 10**6 * r.a**2 // (r.l * r.r) for r in table.collect())
+
+
+def test_a_long_text_in_parts(spark):
+    from chartweave.llm.common import STRETCH
+    from chartweave.llm.phrases import collocations
+
+    docs = [("north star shines " * (STRETCH // 9), "en"), ("x" * (STRETCH + 5) + " tail end", "en")]
+    df = spark.createDataFrame(docs, "text string, lang string")
+    assert sorted(map(tuple, collocations(df, at_once=100_000).collect())) == brute_phrases(docs)
