@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.norm import canonical, stripped
+from .ranges import numbered
 
 
 def cited(facts: DataFrame, documents: DataFrame, default: str = "Medical Document") -> DataFrame:
@@ -106,6 +107,6 @@ def appended(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def newest(rows: DataFrame, by: str, order: str, tie: str, n: int) -> DataFrame:
-    """The ``n`` newest rows of each key."""
-    return rows.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy(F.desc(order), F.desc(tie)))).where(F.col("place") <= n)
+def newest(rows: DataFrame, by: str, order: str, tie: str) -> DataFrame:
+    """All rows with their ``place`` among those of their key, the newest first; keys may have any number of rows."""
+    return numbered(rows, by, [order, tie], "place", descending=True)

@@ -12,6 +12,7 @@ from .. import rules
 from ..functions.norm import any_of, canonical, leading_number
 from .facts import not_billing
 from .folds import folded
+from .ranges import cut, same_key, segments, summed
 
 
 def or_empty(name: str):
@@ -79,7 +80,7 @@ def journeys(diagnoses: DataFrame) -> DataFrame:
     )
 
 
-ENCOUNTERS = "document_id string, patient_id string, encounter int, title string, hospital string, doctor string"
+ENCOUNTERS = "document_id string, patient_id string, segment long, encounter int, title string, hospital string, doctor string"
 #: Days from an encounter's first document within which another may belong to it.
 ENCOUNTER_DAYS = 3
 
@@ -91,13 +92,13 @@ class Encounters:
     if all four are unknown; it fills what the encounter lacks. Those that began earlier are told and forgotten.
     """
 
-    def __init__(self, patient: object):
-        self.patient, self.number, self.open = patient, 0, []
+    def __init__(self, segment: object):
+        self.number, self.open = 0, []
 
     def told(self, e: dict) -> list[tuple]:
-        return [(i, self.patient, e["number"], e["title"], e["hospital"], e["doctor"]) for i in e["docs"]]
+        return [(i, *e["of"], e["number"], e["title"], e["hospital"], e["doctor"]) for i in e["docs"]]
 
-    def row(self, id_, patient, date, hospital, doctor) -> list[tuple]:
+    def row(self, key, patient, segment, id_, date, hospital, doctor) -> list[tuple]:
         past = [e for e in self.open if (date - e["date"]).days > ENCOUNTER_DAYS]
         self.open = [e for e in self.open if (date - e["date"]).days <= ENCOUNTER_DAYS]
         hospital, doctor = hospital or None, doctor or None
@@ -110,7 +111,7 @@ class Encounters:
         else:
             self.number += 1
             title = f"Admission at {hospital}" if hospital else f"Doctor Visit on {date:%b} {date.day}, {date.year}"
-            self.open.append({"number": self.number, "date": date, "hospital": hospital, "doctor": doctor, "docs": [id_], "title": title})
+            self.open.append({"of": (patient, segment), "number": self.number, "date": date, "hospital": hospital, "doctor": doctor, "docs": [id_], "title": title})
         return [row for e in past for row in self.told(e)]
 
     def end(self) -> list[tuple]:
@@ -118,8 +119,20 @@ class Encounters:
 
 
 def encounters(documents: DataFrame) -> DataFrame:
-    """The encounter of every document, numbered from 1 per patient."""
-    return folded(documents.select("id", "patient_id", "created_on", "hospital", "doctor"), "patient_id", ["created_on", "id"], Encounters, ENCOUNTERS)
+    """The encounter of every document, numbered from 1 per patient.
+
+    No encounter outlives three days, so documents before and after a longer pause are told apart by themselves; running sums over
+    the pauses then number a patient's encounters.
+    """
+    rows = documents.select("patient_id", "id", "created_on", "hospital", "doctor")
+    rows = segments(rows, "patient_id", ["created_on", "id"], lambda before, now: F.datediff(now["created_on"], before["created_on"]) > ENCOUNTER_DAYS)
+    rows = rows.select(F.concat_ws("\x1f", "segment", "patient_id").alias("key"), "patient_id", "segment", "id", "created_on", "hospital", "doctor")
+    found = cut(folded(rows, "key", ["created_on", "id"], Encounters, ENCOUNTERS))
+    group = [same_key("patient_id").alias("of"), "segment"]
+    sizes = found.groupBy(*group).agg(F.max("encounter").cast("long").alias("n"))
+    sizes = summed(sizes, "of", ["segment"], F.col("n"), "until").select("of", "segment", (F.col("until") - F.col("n")).cast("int").alias("earlier"))
+    found = found.withColumn("of", group[0]).join(sizes, ["of", "segment"])
+    return found.select("document_id", "patient_id", (F.col("encounter") + F.col("earlier")).alias("encounter"), "title", "hospital", "doctor")
 
 
 def with_encounters(facts: DataFrame, found: DataFrame, date) -> DataFrame:

@@ -151,7 +151,7 @@ def shown_facts(d, x, m, l):
   UNION ALL SELECT id, patient_id, record_id, source_document_id FROM c_labs WHERE verification_status = 'verified' UNION ALL SELECT id, patient_id, record_id, source_document_id FROM c_procedures WHERE verification_status = 'verified')
 SELECT e.patient_id, e.id, row_number() OVER (PARTITION BY e.patient_id ORDER BY event_date DESC, e.id DESC) AS place FROM e JOIN c_records r USING (record_id) JOIN c_documents d ON d.id = e.source_document_id WHERE upper(coalesce(document_type, category)) NOT IN ('PHARMACY_INVOICE', 'OP_BILL_RECEIPT')""")
 def newest_first(*tables):
-    return summaries.newest(timeline.events(*tables), "patient_id", "event_date", "id", 2**31 - 1).select("patient_id", "id", "place")
+    return summaries.newest(timeline.events(*tables), "patient_id", "event_date", "id").select("patient_id", "id", "place")
 
 
 @query("o4_events_of_rejected", "diagnoses records", "SELECT id FROM c_diagnoses WHERE verification_status = 'pending_review' AND source_document_id NOT IN (SELECT source_document_id FROM c_diagnoses WHERE verification_status = 'rejected')")

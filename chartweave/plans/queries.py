@@ -594,9 +594,9 @@ def feedback_rows(c, p):
     return summaries.feedback(c, p, fixed)
 
 
-@query("t4_newest_sessions", "requests", "SELECT user_id, event_id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM c_requests) WHERE place <= 3")
+@query("t4_newest_sessions", "requests", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM c_requests")
 def newest_sessions(r):
-    return summaries.newest(r, "user_id", "ts", "event_id", 3).select("user_id", "event_id", "place")
+    return summaries.newest(r, "user_id", "ts", "event_id").select("user_id", "event_id", "place")
 
 
 @query("x6_same_identity", "patients", "SELECT a.id, contains(x, y) OR contains(y, x) AS same FROM (SELECT id, regexp_replace(lower(full_name), '[^a-z0-9]', '', 'g') AS x, regexp_replace(lower('customer ' || id), '[^a-z0-9]', '', 'g') AS y FROM c_patients) a")

@@ -59,13 +59,13 @@ TABLES = {
         {pick("event_id", ["Pain", "Accident / Injury", "Fever", "Other"])} AS reason_category,
         {pick("event_id", ["stomach", "chest", None, "head", "left arm"])} AS problem_location,
         {pick("event_id", ["vomiting and cough", "fell down", None])} AS description FROM events WHERE event_type = 'signup'""",
-    "requests": f"""SELECT event_id, CAST(user_id % 20 AS STRING) AS user_id, {pick("event_id", ["upload", "ask", "process"])} AS action, ts FROM events""",
+    "requests": f"""SELECT event_id, CAST(user_id AS STRING) AS user_id, {pick("event_id", ["upload", "ask", "process"])} AS action, ts FROM events""",
     "jobs": f"""SELECT event_id AS id, 'd' || CAST(user_id AS STRING) AS document_id, {pick("event_id", ["queued", "preprocessing", "extracting", "completed", "failed"])} AS status, ts FROM events""",
     "reviews": f"""SELECT event_id AS id, 'k' || CAST(user_id AS STRING) AS record_id, {pick("event_id", ["name", "value"])} AS field_name,
         {pick("event_id", ["confirm", "reject", "unreadable", "edit"])} AS action, ts FROM events""",
     "versions": "SELECT 'd' || CAST(user_id AS STRING) AS document_id, event_id, ts FROM events WHERE event_type <> 'error'",
-    "chunks": "SELECT doc_id AS document_id, text AS chunk_text, source AS patient_id FROM documents_",
-    "questions": "SELECT conv_id * 1000 + turn AS question_id, 'src' || CAST(conv_id % 20 AS STRING) AS patient_id, text AS question FROM conversations WHERE role = 'user'",
+    "chunks": "SELECT doc_id AS document_id, text AS chunk_text, 'p' || CAST(CAST(floor(doc_id / 10) AS BIGINT) AS STRING) AS patient_id FROM documents_",
+    "questions": "SELECT conv_id * 1000 + turn AS question_id, 'p' || CAST(conv_id AS STRING) AS patient_id, text AS question FROM conversations WHERE role = 'user'",
 }
 #: Lines of invented reports by kind; $ is the quantity.
 REPORT_LINES = [

@@ -6,12 +6,13 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import rules
 from ..operators.folds import folded
+from ..operators.ranges import segments
 
 DECISIONS = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("user_id", T.StringType()), T.StructField("action", T.StringType()),
@@ -64,9 +65,20 @@ class Bucket:
         return []
 
 
+def full_again(before: Column, now: Column) -> Column:
+    """Whether a bucket has filled up since the request before (a millisecond over the interval, so that rounding can't tell it from a new one)."""
+    return now["at_us"] - before["at_us"] >= (rules.RATE_INTERVAL_MS + 1) * 1000
+
+
 def admissions(requests: DataFrame) -> DataFrame:
-    """Every request with its decision; each user and action has a bucket of its own."""
+    """Every request with its decision; each user and action has a bucket of its own.
+
+    A bucket is full, as a new one is, after 15 idle minutes, so the requests between two such pauses are decided by themselves: a user's work
+    is dealt to as many tasks as there are pauses.
+    """
     rows = requests.select(F.concat_ws("\x1f", "action", "user_id").alias("key"), "event_id", "user_id", "action", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
+    rows = segments(rows, "key", ["at_us", "event_id"], full_again)
+    rows = rows.select(F.concat_ws("\x1f", "key", "segment").alias("key"), "event_id", "user_id", "action", "at_us")
     return folded(rows, "key", ["at_us", "event_id"], Bucket, "event_id long, user_id string, action string, allowed boolean, retry_after int")
 
 

@@ -140,3 +140,69 @@ def test_emergency_medications_and_cascades(spark):
     left = dict(facts.cascade([("t", rows), ("u", rows)], rows.where("id = 'a'"), "document_id"))
     assert {k: sorted(r.id for r in df.collect()) for k, df in left.items()} == {"t": ["b", "c"], "u": ["b", "c"]}
     assert labs and meds
+
+
+def gapped(rng, users, n):
+    """Requests in bursts with pauses, some shorter and some longer than a bucket takes to fill."""
+    rows, at = [], {u: 0 for u in users}
+    for i in range(n):
+        user = rng.choice(users)
+        at[user] += rng.choice([0, 1000, 40_000_000, 300_000_000, 899_999_000, 900_000_000, 900_001_000, 2_000_000_000])
+        rows.append((i, user, rng.choice(["upload", "process", "other"]), dt.datetime(2024, 1, 1) + dt.timedelta(microseconds=at[user])))
+    return rows
+
+
+def plain_decisions(rows):
+    from chartweave.streaming.admission import next_state, rules
+
+    states, out = {}, {}
+    for i, user, action, ts in sorted(rows, key=lambda r: (r[3], r[0])):
+        now = (ts - dt.datetime(1970, 1, 1)) / dt.timedelta(milliseconds=1)
+        states[user, action], ok, wait = next_state(states.get((user, action)), now, rules.RATE_LIMITS.get(action))
+        out[i] = (ok, wait)
+    return out
+
+
+def test_admissions_between_pauses_equal_the_plain_fold(spark):
+    from chartweave.streaming import admission
+
+    rows = gapped(random.Random(3), ["a", "b", None], 3000)
+    got = admission.admissions(spark.createDataFrame(rows, "event_id long, user_id string, action string, ts timestamp").repartition(5))
+    assert {r.event_id: (r.allowed, r.retry_after) for r in got.collect()} == plain_decisions(rows) and got.count() == 3000
+
+
+def test_one_user_of_a_million_requests(spark):
+    import numpy as np
+    import pandas as pd
+    from chartweave.operators.ranges import segments
+    from chartweave.streaming import admission
+
+    rng = np.random.default_rng(4)
+    at = np.cumsum(rng.choice([0, 1_000_000, 60_000_000, 1_000_000_000], 1_000_000, p=[0.2, 0.5, 0.29, 0.01])).astype("int64")
+    rows = spark.createDataFrame(pd.DataFrame({"event_id": np.arange(1_000_000), "us": at})).selectExpr("event_id", "'hot' user_id", "'ask' action", "timestamp_micros(us) ts")
+    keyed = rows.selectExpr("'hot' key", "event_id", "unix_micros(ts) at_us")
+    parts = segments(keyed, "key", ["at_us", "event_id"], admission.full_again).groupBy("segment").count().selectExpr("count(*) n", "max(count) most", "max(segment) last").first()
+    assert parts.n == parts.last == 1 + int((np.diff(at) >= 900_001_000).sum()) and parts.most < 5000  # so no task folds the user alone
+    got = admission.admissions(rows).toPandas().sort_values("event_id")
+    bucket, want = admission.Bucket("hot"), []
+    for i, us in enumerate(at.tolist()):
+        want += [x[3:] for x in bucket.row("hot", i, "hot", "ask", us)]
+    assert list(zip(got.allowed, got.retry_after, strict=True)) == want
+
+
+def test_running_numbers_of_large_and_small_keys(spark):
+    from chartweave.operators.ranges import numbered, summed
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["x"] * 8 + ["y", "z", None]), rng.randint(0, 50), i, rng.randint(-3, 9)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, t int, i int, part__ int").repartition(6)
+    places, sums, at, total = {}, {}, {}, {}
+    for k, t, i, v in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
+        total[k] = total.get(k, 0) + v
+        sums[i] = total[k]
+    for k, t, i, v in sorted(rows, key=lambda r: (r[1], r[2]), reverse=True):
+        at[k] = places[i] = at.get(k, 0) + 1
+    got = numbered(df, "k", ["t", "i"], "place", descending=True)
+    assert {r.i: r.place for r in got.collect()} == places and got.columns == ["k", "t", "i", "part__", "place"]
+    assert {r.i: r.s for r in summed(df, "k", ["t", "i"], payloads.F.col("part__"), "s").collect()} == sums
+    assert numbered(df.limit(0), "k", ["t"], "place").count() == 0
