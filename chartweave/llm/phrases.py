@@ -1,10 +1,14 @@
 """Phrases of two and three words that occur together, mined with stripes.
 
-Every prefix of one or two words keys a counter of the words that come next (the end of a piece is one of them). Tasks count runs of words of some
-millions at once, so that a prefix is one stripe a run; stripes of a prefix meet in one exchange and are added up word by word.
+Every prefix keys a counter of the words that come next (the end of a piece is one of them). Tasks count runs of some
+millions of words at once, so that a prefix is one stripe a run; stripes of a prefix meet in one exchange and are added up word by word.
 A merged stripe holds the counts of the prefix's extensions, the count of the prefix itself as their sum, and the
 largest extension, which decides whether the prefix stands by itself. Prefixes that a sample shows to be common are
 dealt to several tasks by the next word, so that no task merges more than a small share of all stripes.
+
+Prefixes of one word come first. A phrase of three words is a candidate only if both pairs in it are, so the second pass keeps stripes of pairs that a
+bitmap of the first pass's candidates may hold, and counts next words that make no such pair together. The bitmap has a fixed size; where
+it is too small, more stripes are made and nothing else changes.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import STRETCH, spread_join, stored
+from .common import MIX, STRETCH, mix64, spread_join, stored, word_hashes
 
 #: What ends a piece (and what then stands for it), capitals, and what parts words.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 10 + b" ")
@@ -58,8 +62,8 @@ class Run:
     def end(self) -> None:
         self.held.append(np.zeros(1, np.int64))
 
-    def stripes(self, dealt: Dealt, ended: bool) -> Iterator[pa.RecordBatch]:
-        """The stripes of the run, which starts anew; with the last two words if its text has not ended."""
+    def stripes(self, dealt: Dealt, bits: np.ndarray | None, levels: tuple[int, ...], ended: bool) -> Iterator[pa.RecordBatch]:
+        """The stripes of prefixes of ``levels`` words; the run starts anew, with the last two words if its text has not ended."""
         ids = np.concatenate(self.held)
         if ended:
             ids = np.append(ids, [0, 0])
@@ -74,13 +78,26 @@ class Run:
             return
         n = len(words)
         pairs, at, counts = np.unique(first[there] * n + second[there], return_inverse=True, return_counts=True)
-        inner = second[there] > 0
-        triples, more = np.unique(at[inner] * n + third[there][inner], return_counts=True)
         one, two = pairs // n, pairs % n
-        yield pa.record_batch([[self.lang], [""], [0], [int(there.sum())], [""], [b""]], schema=STRIPES)
-        yield from self.rows(words, names, one, [one], two, counts, dealt)
-        both = triples // n
-        yield from self.rows(words, names, both, [one[both], two[both]], triples % n, more, dealt)
+        if 1 in levels:
+            yield pa.record_batch([[self.lang], [""], [0], [int(there.sum())], [""], [b""]], schema=STRIPES)
+            yield from self.rows(words, names, one, [one], two, counts, dealt)
+        if 2 in levels:
+            some, after = two[at] > 0, third[there]
+            if bits is not None:
+                hashes = np.concatenate([np.zeros(2, np.uint64), word_hashes(b" ".join(words[2:]))])
+                held = maybe(bits, pair_hashes(hashes[one], hashes[two], self.lang)) & (two > 0)
+                # the pair of the second and the third word is the next one, unless the text or the run ends there
+                next_held = np.append(held[at][1:], False)
+                adjoining = np.append(np.diff(np.flatnonzero(there)) == 1, False)
+                some = held[at]
+                last = some & ~adjoining & (after > 0)
+                kept = next_held & adjoining
+                kept[last] = maybe(bits, pair_hashes(hashes[second[there][last]], hashes[after[last]], self.lang))
+                after = np.where(kept, after, 0)
+            triples, more = np.unique(at[some] * n + after[some], return_counts=True)
+            both = triples // n
+            yield from self.rows(words, names, both, [one[both], two[both]], triples % n, more, dealt)
 
     def rows(self, words: list[bytes], names: pa.Array, group: np.ndarray, prefix: list[np.ndarray], after: np.ndarray, counts: np.ndarray, dealt: Dealt) -> Iterator[pa.RecordBatch]:
         """A row for each number in ``group`` (ascending), and for each deal of common ones."""
@@ -120,12 +137,45 @@ def stretches(raw: bytes) -> Iterator[bytes]:
         at = end
 
 
-def stripes(docs: DataFrame, dealt: Dealt, at_once: int) -> DataFrame:
-    """The stripes of ``docs`` (``lang``, ``text``), counted over runs of about ``at_once`` words."""
+def pair_hashes(first: np.ndarray, second: np.ndarray, lang: str) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix64(first * MIX + second + np.uint64(zlib.crc32(lang.encode())))
+
+
+def maybe(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bitmap (64-bit words, a power of two of them) has the hashes' bits."""
+    at = hashes % np.uint64(64 * len(bits))
+    return bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) > 0
+
+
+def bitmap(pairs: DataFrame, size: int) -> np.ndarray:
+    """A bitmap of ``size`` bits that has those of all ``pairs`` (``lang``, ``prefix``, ``next``). The driver gets a row for each 64 bits at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, *words = (c.to_pylist() for c in batch.columns)
+            first, second = (word_hashes(" ".join(w).encode()) for w in words)
+            seeds = np.array([zlib.crc32(x.encode()) for x in langs], np.uint64)
+            with np.errstate(over="ignore"):
+                at = mix64(first * MIX + second + seeds) % np.uint64(size)
+            yield pa.record_batch([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bit"])
+
+    rows = pairs.select("lang", "prefix", "next").mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.uint64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def stripes(docs: DataFrame, dealt: Dealt, at_once: int, levels: tuple[int, ...], bits: np.ndarray | None = None) -> DataFrame:
+    """The stripes of ``docs`` (``lang``, ``text``) for prefixes of ``levels`` words, counted over runs of about ``at_once`` words.
+
+    ``bits``: the pairs that are kept as prefixes and as ends of their extensions; all without it.
+    """
+    shared = None if bits is None else docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs: dict[str, Run] = {}
-        size = 0
+        size, held = 0, shared and shared.value
         for batch in batches:
             for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 if (now := runs.get(lang)) is None:
@@ -136,11 +186,11 @@ def stripes(docs: DataFrame, dealt: Dealt, at_once: int) -> DataFrame:
                     size += now.size - before
                     if size >= at_once:
                         for r in runs.values():
-                            yield from r.stripes(dealt, ended=r is not now)
+                            yield from r.stripes(dealt, held, levels, ended=r is not now)
                         size, runs = 0, {lang: now}
                 now.end()
         for r in runs.values():
-            yield from r.stripes(dealt, ended=True)
+            yield from r.stripes(dealt, held, levels, ended=True)
 
     return docs.select("lang", "text").mapInArrow(run, "lang string, prefix string, deal int, total long, nexts string, counts binary")
 
@@ -150,7 +200,7 @@ def common_prefixes(docs: DataFrame, sample: float, at_once: int) -> Dealt:
 
     They decide where stripes go, not what becomes of them.
     """
-    found = stripes(docs.sample(sample, seed=11), {}, at_once).groupBy("lang", "prefix").agg(F.sum("total").alias("total"))
+    found = stripes(docs.sample(sample, seed=11), {}, at_once, (1, 2)).groupBy("lang", "prefix").agg(F.sum("total").alias("total"))
     every = found.where("prefix = ''").agg(F.sum("total")).first()[0] or 0
     rows = found.where((F.col("prefix") != "") & (F.col("total") > max(64, every // SHARE))).collect()
     return {(r["lang"], r["prefix"]): -(-r["total"] * SHARE // every) for r in rows}
@@ -247,6 +297,7 @@ def collocations(
     top: int = 2000,
     sample: float = 0.02,
     at_once: int = 2_000_000,
+    bits: int = 1 << 26,
 ) -> DataFrame:
     """For each language its first ``top`` phrases: (``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n``, ``score``).
 
@@ -256,12 +307,15 @@ def collocations(
 
     Null texts count as empty and null languages as ``und``; repeated rows count as often as they stand; ties go by occurrences, then by
     the phrase's bytes; texts may have any length. A language without candidates, and an empty table, give no rows. Other columns are left out.
-    ``sample`` only decides how common prefixes are dealt, ``at_once`` how many words a task counts together.
+    ``sample`` only decides how common prefixes are dealt, ``at_once`` how many words a task counts together, ``bits`` (a power of two, from 64) how
+    many stripes of rare pairs are spared.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text"))
     dealt = common_prefixes(rows, sample, at_once)
-    found = stored(merged(stripes(rows, dealt, at_once), dealt, least))
+    ones = stored(merged(stripes(rows, dealt, at_once, (1,)), dealt, least))
+    held = bitmap(ones.where("next IS NOT NULL"), bits)
+    found = ones.unionByName(stored(merged(stripes(rows, dealt, at_once, (2,), held), dealt, least)))
 
     key = lambda *c: F.concat_ws("\n", *c)  # noqa: E731  no word holds a line end
     prefixes = found.where("next IS NULL").groupBy("lang", "prefix").agg(F.sum("f").alias("f"), F.max("largest").alias("largest"))
