@@ -29,19 +29,6 @@ def admit(tokens: float, last_ms: float, now_ms: float, limit: int, interval_ms:
     return tokens, False, max(1, math.ceil((1 - tokens) / rate / 1000))
 
 
-def decided(pdf: pd.DataFrame, state: tuple[float, float] | None) -> tuple[pd.DataFrame, tuple[float, float]]:
-    """Decisions on requests of one key in time order, and the bucket (tokens, last refill) after them."""
-    pdf = pdf.sort_values(["ts", "event_id"])
-    limit = rules.RATE_LIMITS.get(pdf["action"].iloc[0])
-    allowed, wait = [], []
-    for now in pdf["ts"].astype("datetime64[us]").astype("int64") / 1000:
-        state, ok, seconds = next_state(state, now, limit)
-        allowed.append(ok)
-        wait.append(seconds)
-    out = pdf[["event_id", "user_id", "action"]].assign(allowed=allowed, retry_after=wait)
-    return out.astype({"retry_after": "int32"}), state
-
-
 def next_state(state: tuple[float, float] | None, now: float, limit: int | None) -> tuple[tuple[float, float], bool, int]:
     """A bucket after a request, and its decision; actions without a limit are always allowed."""
     if limit is None:
@@ -82,20 +69,32 @@ def admissions(requests: DataFrame) -> DataFrame:
     return folded(rows, "key", ["at_us", "event_id"], Bucket, "event_id long, user_id string, action string, allowed boolean, retry_after int")
 
 
-def admission_stream(requests: DataFrame) -> DataFrame:
-    """The same over a stream; a key's bucket is forgotten when it must be full again."""
+def admission_stream(requests: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """The same over a stream; a key's bucket is forgotten when it must be full again by the time of the events, however long a batch waits.
+
+    Requests of a batch are decided in order of time, and batches as they come: a request from before the last one of its key finds
+    the bucket as that one left it. Those older than the watermark (``delay`` behind the latest request) are not decided.
+    """
+    rows = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+
     def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        pdf = pd.concat(list(frames))
-        out, now = decided(pdf, state.get if state.exists else None)
-        state.update(now)
-        state.setTimeoutDuration(rules.RATE_INTERVAL_MS)
-        yield out
-
-    held = T.StructType([T.StructField("tokens", T.DoubleType()), T.StructField("last_ms", T.DoubleType())])
-    return requests.groupBy("action", "user_id").applyInPandasWithState(run, DECISIONS, held, "append", "ProcessingTimeTimeout")
+        pdf = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        limit, held = rules.RATE_LIMITS.get(key[0]), state.get if state.exists else None
+        out = []
+        for now in (pdf["ts"].astype("datetime64[us]").astype("int64") / 1000).tolist():
+            held, *said = next_state(held, max(now, held[1]) if held else now, limit)
+            out.append(said)
+        state.update((float(held[0]), float(held[1])))
+        full = int(held[1]) + rules.RATE_INTERVAL_MS + 1
+        # a timer must lie behind the watermark
+        state.setTimeoutTimestamp(max(full, state.getCurrentWatermarkMs() + 1))
+        yield pdf[["event_id", "user_id", "action"]].assign(allowed=[ok for ok, _ in out], retry_after=pd.Series([w for _, w in out], pdf.index, "int32"))
+
+    state = T.StructType([T.StructField("tokens", T.DoubleType()), T.StructField("last_ms", T.DoubleType())])
+    return rows.groupBy("action", "user_id").applyInPandasWithState(run, DECISIONS, state, "append", "EventTimeTimeout")
 
 
 def latest_status(events: DataFrame) -> DataFrame:
