@@ -5,13 +5,13 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.norm import any_of, stripped
+from . import variants
 
 MOST_BYTES = 20 * 1024 * 1024
 #: Words of generated text that need a guard.
@@ -106,7 +106,7 @@ def coverage(payloads: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def changes(old, new, path: str = "") -> list[tuple[str, str | None, str | None]]:
-    """Paths at which two JSON values differ, with both; objects are entered, arrays compared whole."""
+    """Paths at which two JSON values differ, with both; objects are entered, arrays compared whole. For single values; tables go through ``corrections``."""
     if isinstance(old, dict) and isinstance(new, dict):
         keys = list(old) + [k for k in new if k not in old]
         return [c for k in keys for c in changes(old.get(k), new.get(k), f"{path}.{k}" if path else k)]
@@ -116,18 +116,9 @@ def changes(old, new, path: str = "") -> list[tuple[str, str | None, str | None]
     return [(path, shown(old), shown(new))]
 
 
-CHANGES = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("path", "from_value", "to_value")]))
-
-
-@F.pandas_udf(CHANGES)
-def payload_changes(old: pd.Series, new: pd.Series) -> pd.Series:
-    return pd.Series([[dict(zip(("path", "from_value", "to_value"), c, strict=True)) for c in changes(json.loads(a or "{}"), json.loads(b or "{}"))] for a, b in zip(old, new, strict=True)])
-
-
 def corrections(pairs: DataFrame) -> DataFrame:
-    """A row for each change between two payloads (``document_id``, ``old``, ``new``); equal ones are not read."""
-    changed = pairs.where(~F.col("old").eqNullSafe(F.col("new"))).withColumn("c", F.explode(payload_changes("old", "new")))
-    return changed.select("document_id", "c.path", "c.from_value", "c.to_value")
+    """A row for each change between two payloads (``document_id``, ``old``, ``new``): ``path``, ``from_value``, ``to_value``."""
+    return variants.changes(pairs.select("document_id", "old", "new"))
 
 
 def question_intents(questions: DataFrame, intents: dict[str, list[str]]) -> DataFrame:

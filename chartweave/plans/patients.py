@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import norm
 from ..functions.norm import canonical_sql, like_any
-from ..operators import briefs, facts, meds, payloads, retrieval, summaries, timeline
+from ..operators import briefs, facts, meds, payloads, retrieval, summaries, timeline, variants
 from .queries import ACTIVE, AS_OF, NUMBER, SURE, _history_sql, query
 
 _anti = "lower({}) IN (" + ", ".join(f"'{d}'" for d in rules.ANTIHYPERTENSIVES) + ")"
@@ -222,7 +222,7 @@ def payload_rows(p):
 @query("n2_source_texts", "full_payloads", r"""
 , t AS (SELECT document_id, unnest(list_distinct(list_filter(list_transform(regexp_extract_all(payload, '"sourceText": "([^"]*)"', 1), lambda x: lower(trim(x))), lambda x: x <> ''))) AS source_text FROM c_full_payloads WHERE json_valid(payload)) SELECT * FROM t""")
 def source_texts(p):
-    return p.select("document_id", F.explode(payloads.source_texts(F.from_json("payload", payloads.PAYLOAD), payloads.PAYLOAD)).alias("source_text"))
+    return variants.source_texts(p)
 
 
 @query("a17_event_summaries", "full_payloads", """

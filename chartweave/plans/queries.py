@@ -504,10 +504,22 @@ def coverage(p, c):
     return intake.coverage(p, c.select("document_id", F.col("chunk_text").alias("text")))
 
 
-@query("n3_corrections", "payloads")
+def _tree(name: str, column: str) -> str:
+    return f"{name} AS (SELECT document_id, substr(t.fullkey, 3) AS path, t.type AS type, t.value::VARCHAR AS value FROM fx, json_tree(fx.{column}) t WHERE t.fullkey <> '$' AND NOT contains(t.fullkey, '['))"
+
+
+@query("n3_corrections", "full_payloads", rf"""
+, fx AS (SELECT document_id, payload AS old, replace(replace(replace(payload, '"value": null', '"value": {{"day": 3}}'), '"Gout"', '"Gouty arthritis"'), '"procedures": []', '"notes": {{"by": "x", "seen": [1, 2.50]}}') AS new
+   FROM c_full_payloads WHERE json_valid(payload) AND json_extract_string(payload, '$.documentType') IS NOT NULL)
+, {_tree("a", "old")}, {_tree("b", "new")}
+, d AS (SELECT document_id, path, a.value AS v, b.value AS w FROM a FULL JOIN b USING (document_id, path) WHERE a.value IS DISTINCT FROM b.value AND NOT (coalesce(a.type, '') = 'OBJECT' AND coalesce(b.type, '') = 'OBJECT'))
+SELECT document_id, path, CASE WHEN v NOT LIKE '[%' THEN v END AS from_value, CASE WHEN w NOT LIKE '[%' THEN w END AS to_value, length(v) AS n_from, length(w) AS n_to FROM d
+  WHERE NOT EXISTS (SELECT 1 FROM d e WHERE e.document_id = d.document_id AND starts_with(d.path, e.path || '.'))""")
 def corrections(p):
-    fixed = F.regexp_replace(F.regexp_replace("payload", '"value": "1"', '"value": "2"'), "LAB_REPORT", F.when(F.col("document_id") % 3 == 0, "OTHER").otherwise("LAB_REPORT"))
-    return intake.corrections(p.where(F.get_json_object("payload", "$.documentType").isNotNull()).select("document_id", F.col("payload").alias("old"), fixed.alias("new")))
+    new = F.replace(F.replace(F.replace("payload", F.lit('"value": null'), F.lit('"value": {"day": 3}')), F.lit('"Gout"'), F.lit('"Gouty arthritis"')), F.lit('"procedures": []'), F.lit('"notes": {"by": "x", "seen": [1, 2.50]}'))
+    found = intake.corrections(p.where(F.get_json_object("payload", "$.documentType").isNotNull()).select("document_id", F.col("payload").alias("old"), new.alias("new")))
+    shown = lambda c: F.when(~F.col(c).startswith("["), F.col(c))  # noqa: E731  the order of keys within arrays is each engine's own
+    return found.select("document_id", "path", shown("from_value").alias("from_value"), shown("to_value").alias("to_value"), F.length("from_value").cast("long").alias("n_from"), F.length("to_value").cast("long").alias("n_to"))
 
 
 @query("q2_question_intents", "asked", "SELECT question_id, " + ", ".join(f"{like_any('lower(question)', ws)} AS is_{k}" for k, ws in rules.INTENTS.items()) + " FROM c_asked")
