@@ -206,3 +206,24 @@ def test_running_numbers_of_large_and_small_keys(spark):
     assert {r.i: r.place for r in got.collect()} == places and got.columns == ["k", "t", "i", "part__", "place"]
     assert {r.i: r.s for r in summed(df, "k", ["t", "i"], payloads.F.col("part__"), "s").collect()} == sums
     assert numbered(df.limit(0), "k", ["t"], "place").count() == 0
+
+
+def test_ranking_by_blocks_equals_scoring_everything(spark, monkeypatch):
+    monkeypatch.setattr(questions, "BLOCK", 16)
+    rng = random.Random(6)
+    words = [f"term{k}" for k in range(8)] + ["plain", "some"]
+    chunks = [(rng.choice("pq"), i, " ".join(rng.choices(words, k=rng.randint(0, 6)))) for i in range(400)]
+    asked = [(i, rng.choice("pqr"), " ".join(rng.choices(words, [1, 1, 2, 3, 5, 8, 9, 9, 9, 9], k=rng.randint(0, 5)))) for i in range(60)]
+    want = {}
+    for i, patient, question in asked:
+        terms = [t for t in question.split() if len(t) > 3]
+        scored = sorted((-sum(t in text for t in terms), d) for p, d, text in chunks if p == patient)[:5]
+        want |= {(i, k): (d, -s) for k, (s, d) in enumerate(scored, 1)}
+    q = spark.createDataFrame(asked, "question_id long, patient_id string, question string")
+    c = spark.createDataFrame(chunks, "patient_id string, document_id long, chunk_text string")
+    assert {(r.question_id, r.place): (r.document_id, r.score) for r in questions.ranked(q, c, 5).collect()} == want
+    # few rows are scored: not every block of every set
+    sets = questions.asked_sets(q).select("patient_id", "asked").distinct()
+    hits = questions.term_hits(sets.select("patient_id", payloads.F.explode("asked.term").alias("term")), c.selectExpr("patient_id", "document_id", "chunk_text text"))
+    every = sum(any(t in text for t in question.split() if len(t) > 3) for _, p, question in asked for r, _, text in chunks if p == r)
+    assert questions.scored_sets(sets, hits, 5).count() < every / 2
