@@ -42,14 +42,14 @@ BLOCK = frozenset(
 )
 NEVER = frozenset(
     "head script style textarea title xmp iframe noembed noframes noscript template svg math canvas audio video object embed applet"
-    " nav aside form button select option menu dialog footer input label".split()
+    " nav aside button select option menu dialog footer input label".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 #: Parts of class and id names of elements that are seldom the article.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice"
     " notices alert sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments disqus reply replies"
-    " respond social share sharing related recommended recommendations newsletter subscribe subscription signup login popup modal"
+    " discussion discussions respond social share sharing related recommended recommendations newsletter subscribe subscription signup login popup modal"
     " overlay widget toolbar pagination pager copyright disclaimer skip".split()
 )
 #: Parts of names that say where something is or what form it has.
@@ -68,8 +68,15 @@ SIBLINGS = {k: (a.split(), b.split()) for k, (a, b) in SIBLINGS.items()}
 ARTICLES = frozenset("article main".split())
 CONTAINERS = frozenset("section div body".split())
 LISTS = frozenset("ul ol dl dir table".split())
+#: Elements that may stand in a head; others, and text, end it.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+#: How short notices of copyright begin outside articles.
+COPYRIGHT = re.compile(r"(?:©|\(c\)|copyright\b)\s*(?:©|\(c\)|\d{4})|all rights reserved", re.I)
+NOTICE_WORDS = 25
 #: The share of the page's level that a path must reach.
 SHARE = 0.15
+#: A form around this share of a page's text, with an article or a block of so many words, is no form of its own but holds the page.
+FORM_SHARE, FORM_WORDS = 0.5, 25
 
 
 class Path:
@@ -96,6 +103,7 @@ class Path:
 @dataclass
 class Node:
     path: Path
+    form: int = 0
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -160,6 +168,10 @@ class Open:
     def path(self) -> Path:
         return self.stack[-1][3] if self.stack else self.root
 
+    @property
+    def innermost(self) -> str:
+        return self.stack[-1][0] if self.stack else ""
+
     @property
     def never(self) -> bool:
         return bool(self.stack) and self.stack[-1][1]
@@ -174,24 +186,28 @@ def nodes(page: str) -> list[Node]:
     out: list[Node] = []
     opened = Open(Path("", 1.0, None))
     now: Node | None = None
-    at, links = 0, 0
+    at, links, forms, form = 0, 0, 0, 0
 
     def say(text: str) -> None:
         nonlocal now
+        if text and opened.innermost == "head" and not text.isspace():
+            close(len(opened.stack) - 1)
         if not text or opened.never:
             return
         if now is None:
             if text.isspace():
                 return
-            now = Node(opened.path)
+            now = Node(opened.path, form)
             out.append(now)
         now.parts.append(text)
         if links:
             now.linked += len(text)
 
     def close(place: int) -> None:
-        nonlocal now, links
+        nonlocal now, links, form
         gone = opened.cut(place)
+        if "form" in gone:
+            form = 0
         if any(t in BLOCK for t in gone):
             now = None
         links -= gone.count("a")
@@ -200,7 +216,7 @@ def nodes(page: str) -> list[Node]:
         m = MARKUP.search(page, at)
         say(page[at : m.start()] if m else page[at:])
         if not m:
-            return out
+            return without_forms(out)
         at = m.end()
         tag, end, rest, shut = (m["tag"], m["end"], m["rest"], m["shut"]) if m["tag"] else (m["tag2"], m["end2"], m["rest2"], m["shut2"])
         tag = (tag or "").lower()
@@ -213,6 +229,8 @@ def nodes(page: str) -> list[Node]:
             elif tag in BLOCK:
                 now = None
             continue
+        if opened.innermost == "head" and tag not in HEAD or tag == "body" and opened.at["head"]:
+            close(opened.last("head"))
         if tag in P_ENDERS and (place := opened.last("p")) > opened.last(*P_BOUNDS):
             close(place)
         if tag in SIBLINGS:
@@ -230,12 +248,27 @@ def nodes(page: str) -> list[Node]:
         opened.push(tag, opened.never or never, opened.within or tag in ARTICLES, path)
         if tag == "a":
             links += 1
+        if tag == "form" and not form:
+            forms += 1
+            form = forms
         if tag in RAW:
             raw_end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = raw_end.end() if raw_end else len(page)
             close(len(opened.stack) - 1)
 
 
+def without_forms(found: list[Node]) -> list[Node]:
+    """The text nodes that lie in no form, or in one that holds the page."""
+    sizes, holds = defaultdict(int), set()
+    for n in found:
+        text = "".join(n.parts)
+        sizes[n.form] += len(text)
+        if n.path.article or len(text.split()) >= FORM_WORDS:
+            holds.add(n.form)
+    least = FORM_SHARE * sum(sizes.values())
+    return [n for n in found if not n.form or (n.form in holds and sizes[n.form] >= least)]
+
+
 def blocks(page: str | None) -> list[tuple[Path, str, float]]:
     """(path, text, share of it in links) of the text nodes with single spaces."""
     found = []
@@ -284,7 +317,8 @@ def main_text(page: str | None) -> str:
     """The article's blocks, each with single spaces, joined by empty lines. Blocks that are links only stay in an article or main element."""
     found = blocks(page)
     score, level = scores(found)
-    return "\n\n".join(text for path, text, linked in found if score[path] >= SHARE * level and level and (linked < 1 or path.article))
+    kept = [(path, text) for path, text, linked in found if score[path] >= SHARE * level and level and (linked < 1 or path.article)]
+    return "\n\n".join(text for path, text in kept if path.article or not COPYRIGHT.match(text) or len(text.split()) > NOTICE_WORDS)
 
 
 def main_texts(df: DataFrame, *, page: str = "html") -> DataFrame:
