@@ -72,7 +72,7 @@ def cells(point: np.ndarray, reach2: float, g: int) -> list[tuple[tuple[int, ...
     out = [(tuple(own.tolist()), True)]
     for k in range(1, g + 1):
         for some in itertools.combinations(range(g), k):
-            if gap2[list(some)].sum() <= reach2:
+            if gap2[list(some)].sum() <= reach2 + SLACK:
                 to = own.copy()
                 to[list(some)] += side[list(some)]
                 if tuple(to) > tuple(own):
@@ -189,8 +189,10 @@ def linked_vectors(df: DataFrame, *, vec_id: str = "vec_id", embedding: str = "e
     good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     good = F.coalesce(good & F.col("label").isNotNull() & F.col("id").isNotNull(), F.lit(False))
     rows = rows.withColumns({"good": good, "h": F.xxhash64("label", "embedding"), "i": F.xxhash64(F.lit(7), "embedding", "label"), "embedding": F.col("embedding").cast("array<float>") if df.schema[embedding].dataType == T.ArrayType(T.FloatType()) else F.col("embedding")})
-    same = rows.where("good").groupBy("label", "h", "i").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding"))
-    classes = cut(same.withColumn("dims", F.size("embedding")))
+    # a class of equal vectors is told by its hashes, as ids may stand in several labels
+    own = F.concat(F.hex("h"), F.hex("i")).alias("id")
+    same = rows.where("good").groupBy("label", "h", "i").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding"))
+    classes = cut(same.select("label", "h", "i", own, "first", "n", "embedding", F.size("embedding").alias("dims")))
     largest = classes.groupBy("label", "dims").count().agg(F.max("count")).first()[0] or 0
     out = dealt(classes, least, grid_dims(largest))
 
@@ -212,10 +214,10 @@ def linked_vectors(df: DataFrame, *, vec_id: str = "vec_id", embedding: str = "e
     found = cut(met.groupBy(*key, "x", "y").applyInArrow(lambda t: in_cell(t, least), schema))
     counts = found.groupBy("id").agg(F.sum("add").alias("links"))
     joined = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    known = classes.select("label", "h", "i", "id", "n").join(counts, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left")
-    known = known.select(
-        "label", "h", "i", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")
-    )
+    known = classes.select("label", "h", "i", "id", "first", "n").join(counts, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left")
+    known = cut(known.withColumn("component", F.coalesce("component", "id")))
+    smallest = known.groupBy("component").agg(F.min("first").alias("component_id"))
+    known = spread_join(known, smallest, "component", "id").select("label", "h", "i", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     # hashes of equal vectors are equal, and a common vector is dealt to several tasks
     one = F.struct("label", "h", "i").alias("same")
     done = spread_join(rows.where("good").select("id", one), known.select(one, "n_links", "component_id"), "same", "id").select("id", "n_links", "component_id")
