@@ -224,7 +224,7 @@ def pack(pieces: DataFrame, capacity: int, *, length: str = "length", identity:
     new_id, new_offset = fresh(pieces, "sequence_id", "offset")
     spark = pieces.sparkSession
     identity = identity or pieces.columns
-    salt, base, rank, lots, lot = fresh(pieces, "salt__", "base__", "rank__", "lots__", "lot__")
+    salt, base, rank, lots, lot, long, salts, n = fresh(pieces, "salt__", "base__", "rank__", "lots__", "lot__", "len__", "salts__", "n__")
     counts = {r[0]: r[1] for r in pieces.groupBy(length).count().collect()}  # at most `capacity` rows
     if counts and not (min(counts) >= 1 and max(counts) <= capacity):
         raise ValueError(f"lengths must be 1 to {capacity}")
@@ -233,22 +233,22 @@ def pack(pieces: DataFrame, capacity: int, *, length: str = "length", identity:
     lot_type = "array<struct<first:long,sequence:long,times:long,offset:long>>"
     # a row for each length, so at most `capacity` rows; their lots do not grow with the corpus
     table = spark.createDataFrame(
-        [(k, -(-counts[k] // enough), v) for k, v in placed], f"len__ long, salts__ long, {lots} {lot_type}"
+        [(k, -(-counts[k] // enough), v) for k, v in placed], f"`{long}` long, `{salts}` long, `{lots}` {lot_type}"
     )
-    cells = pieces.withColumn("len__", F.col(length).cast("long")).join(F.broadcast(table), "len__")
-    cells = cells.withColumn(salt, F.pmod(F.xxhash64(*identity), F.col("salts__")))
+    cells = pieces.withColumn(long, F.col(length).cast("long")).join(F.broadcast(table), long)
+    cells = cells.withColumn(salt, F.pmod(F.xxhash64(*identity), F.col(salts)))
     # at most 65,536 + `capacity` rows
-    sizes = cells.groupBy("len__", salt).agg(F.count(F.lit(1)).alias("n__"))
-    sizes = sizes.withColumn(base, F.coalesce(F.sum("n__").over(W.partitionBy("len__").orderBy(salt).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n__")
-    ranked = cells.withColumn(rank, F.row_number().over(W.partitionBy("len__", salt).orderBy(*identity)) - 1)
-    ranked = ranked.join(F.broadcast(sizes), ["len__", salt]).withColumn(rank, F.col(rank) + F.col(base))
+    sizes = cells.groupBy(long, salt).agg(F.count(F.lit(1)).alias(n))
+    sizes = sizes.withColumn(base, F.coalesce(F.sum(n).over(W.partitionBy(long).orderBy(salt).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop(n)
+    ranked = cells.withColumn(rank, F.row_number().over(W.partitionBy(long, salt).orderBy(*identity)) - 1)
+    ranked = ranked.join(F.broadcast(sizes), [long, salt]).withColumn(rank, F.col(rank) + F.col(base))
     ranked = ranked.withColumn(lot, F.element_at(F.filter(lots, lambda x: x["first"] <= F.col(rank)), -1))
     inside = F.col(rank) - F.col(lot)["first"]
     times = F.col(lot)["times"]
     return ranked.select(
         *pieces.columns,
         (F.col(lot)["sequence"] + F.floor(inside / times)).cast("long").alias(new_id),
-        (F.col(lot)["offset"] + F.pmod(inside, times) * F.col("len__")).cast("long").alias(new_offset),
+        (F.col(lot)["offset"] + F.pmod(inside, times) * F.col(long)).cast("long").alias(new_offset),
     )
 
 
