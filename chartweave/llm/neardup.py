@@ -281,12 +281,12 @@ def one_of_each(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id", le
 
     Rows with a null text or without words stay.
     """
-    node, turn = fresh(df, "node__", "turn__")
+    node, turn, node_, id_ = fresh(df, "node__", "turn__", "node_", "id_")
     words = F.coalesce(F.col(text).rlike(WORDS), F.lit(False))
     rows = df.where(words).withColumn(node, F.unhex(F.md5(text)))
     classes = near_classes(df, text=text, doc_id=doc_id, least=least)
-    stay = classes.where("node = class_node").select(F.col("node").alias("node_"), F.col("class_id").alias("id_"))
-    joined = rows.join(stay, (F.col(node) == F.col("node_")) & F.col(doc_id).eqNullSafe(F.col("id_"))).drop("node_", "id_")
+    stay = classes.where("node = class_node").select(F.col("node").alias(node_), F.col("class_id").alias(id_))
+    joined = rows.join(stay, (F.col(node) == F.col(node_)) & F.col(doc_id).eqNullSafe(F.col(id_))).drop(node_, id_)
     joined = joined.withColumn(turn, F.row_number().over(W.partitionBy(node, doc_id).orderBy(node))).where(F.col(turn) == 1)
     return joined.select(*df.columns).unionByName(df.where(~words))
 
