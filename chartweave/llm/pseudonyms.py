@@ -285,8 +285,10 @@ DEMONSTRATION_KEY = b"chartweave demonstration key"
 
 
 def session_key(spark: SparkSession) -> bytes:
-    """The key in hexadecimal digits from the session's ``spark.chartweave.pseudonymKey``; the demonstration key if that is unset."""
+    """The key in hexadecimal digits from the session's ``spark.chartweave.pseudonymKey``; only a local session without it gets the demonstration key."""
     said = spark.conf.get("spark.chartweave.pseudonymKey", None)
+    if not said and not (spark.sparkContext.master or "").startswith("local"):
+        raise RuntimeError("set spark.chartweave.pseudonymKey to a secret of hexadecimal digits")
     return bytes.fromhex(said) if said else DEMONSTRATION_KEY
 
 

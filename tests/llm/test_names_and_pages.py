@@ -18,6 +18,7 @@ from chartweave.llm.pieces import decode_ids, encode_texts, piece_digests
 from chartweave.llm.pseudonyms import Pseudonyms, pseudonym_stage, session_key, with_pseudonyms
 from chartweave.llm.quality import apply_rules
 from chartweave.llm.tokens import WholeTextEncoder, section_token_counts, with_ids
+from chartweave.llm.vectors import linked_vectors
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 SF = "/root/testdata/sf0.01"
@@ -308,3 +309,49 @@ def test_pipeline_stages(spark, tmp_path):
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     pipeline_input(spark, tmp_path, [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+LONG = "The committee met on Tuesday, and after a long debate it agreed, in the end, to publish the whole report with all of its tables and notes. "
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>T</title><meta charset=x><body><p>{LONG}</p><p>{LONG}</p></body></html>",
+        f"<html><head><title>T</title><div><p>{LONG}</p><p>{LONG}</p></div>",
+        f"<head><style>p {{}}</style></head><body><form action=/x><nav>Menu one</nav><input name=a><article><p>{LONG}</p><p>{LONG}</p></article><label>Your name</label><button>Send</button></form></body>",
+        f"<body><form id=page><div><p>{LONG}</p><p>{LONG}</p></div><select><option>One</select></form>",
+        f"<body><article><p>{LONG}</p><p>{LONG}</p></article><form><p>Subscribe to our letter, please.</p><input></form></body>",
+        f"<body><article><p>{LONG}</p><p>{LONG}</p></article><section class=discussion><p>Nice, thank you, I agree.</p></section><div>Copyright 2020 Some Company, all rights reserved.</div></body>",
+    ],
+)
+def test_pages_that_are_not_well_formed_keep_their_text(page):
+    assert main_text(page) == f"{LONG.strip()}\n\n{LONG.strip()}"
+
+
+def test_text_right_after_an_open_head():
+    assert main_text(f"<head><title>T</title>\n {LONG}<p>{LONG}") == f"{LONG.strip()}\n\n{LONG.strip()}"
+
+
+def test_own_names_of_columns_never_meet(spark):
+    rows = [(1, "a b c d e f g", 5, 2), (2, "a b c d e f g", 6, 3), (3, None, 7, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id_ long, node_ long")
+    assert sorted(map(tuple, one_of_each(df).collect()), key=repr) == [rows[0], rows[2]]
+    pieces = spark.createDataFrame([(9, 5, 1, 2), (7, 6, 1, 2)], "length long, len__ long, salts__ long, n__ long")
+    assert sorted((r["length"], r.len__, r.salts__, r.n__) for r in pack(pieces, 10).collect()) == [(7, 6, 1, 2), (9, 5, 1, 2)]
+
+
+def test_one_id_in_several_labels(spark):
+    near = [1.0, 0.01]
+    rows = [(1, 0, [1.0, 0.0]), (2, 0, near), (2, 1, near), (5, 1, [1.0, 0.0]), (2, 1, [0.0, 1.0]), (7, 1, [0.0, 2.0])]
+    out = linked_vectors(spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>"))
+    assert sorted(map(tuple, out.collect())) == sorted([(1, 1, 1, True), (2, 1, 1, False), (2, 1, 2, True), (5, 1, 2, False), (2, 1, 2, True), (7, 1, 2, False)])
+
+
+def test_a_cluster_needs_a_key_of_its_own():
+    from types import SimpleNamespace
+
+    session = lambda master, key: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: key), sparkContext=SimpleNamespace(master=master))
+    assert session_key(session("yarn", "00ff")) == b"\x00\xff" and session_key(session("local[2]", None))
+    with pytest.raises(RuntimeError):
+        session_key(session("yarn", None))
