@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.norm import any_of, leading_number, same_identity, stripped
+from .ranges import cut
 
 
 def flags(text: Column, words: dict[str, list[str]]) -> dict[str, Column]:
@@ -237,14 +238,14 @@ def final_status(documents: DataFrame, errors: DataFrame) -> DataFrame:
     return rows.select("document_id", F.when(good, "completed").otherwise("awaiting_review").alias("status"))
 
 
-def extracted(reports: DataFrame, types: DataFrame) -> DataFrame:
+def extracted(reports: DataFrame) -> DataFrame:
     """(``document_id``, ``kind``, ``name``, ``value``): facts by the rules of a document's subtype, by general ones where it has none.
 
-    ``reports``: ``document_id``, ``text``; ``types``: of ``reports.classified``.
+    ``reports``: ``document_id``, ``text``.
     """
     from . import reports as r
 
-    typed = reports.join(types.select("document_id", "document_type"), "document_id")
+    typed = cut(r.with_types(reports.select("document_id", "text")))
     own = ["CBC", "LFT", "KFT", "Lipid Profile", "HbA1c", "Prescription", "OP Bill", "Pharmacy Invoice"]
     other = typed.where(~F.col("document_type").isin(own))
     say = lambda df, kind, name, value: df.select("document_id", F.lit(kind).alias("kind"), name.alias("name"), value.alias("value"))

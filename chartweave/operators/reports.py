@@ -14,59 +14,57 @@ from pyspark.sql import Window as W
 from .. import rules
 from ..functions.norm import any_of
 from ..rules import DIAGNOSIS_PREFIXES, GROUPED_NUMBER, INVOICE_WORDS, NUMBER, VITALS
+from .lexicon import classification
 
 
+def with_types(reports: DataFrame) -> DataFrame:
+    """Reports with ``document_type``; text goes through the lexicon once, in place."""
+    return reports.withColumn("document_type", classification("text")["document_type"])
 
-def escaped(word: str) -> str:
-    return re.sub(r"([.^$*+?()\[\]{}|\\/])", r"\\\1", word)
 
+def classified(reports: DataFrame) -> DataFrame:
+    """(``document_id``, ``document_type``, ``confidence``, ``n_matched``, ``matched_evidence``, ``explanation``, ``reason``, ``patient_name``, ``hospital_name``, ``doctor_name``).
 
-def target(least: int, n: int) -> float:
-    return max(least, min(5, n * 0.4))
+    The best-scored subtype by ``lexicon.classify``, and the names that the text states. A null text is of type Other.
+    """
+    rows = reports.select("document_id", "text", classification("text").alias("c"))
+    return rows.select("document_id", "c.*", patient_name(F.col("text")).alias("patient_name"), hospital_name(F.col("text")).alias("hospital_name"), doctor_name(F.col("text")).alias("doctor_name"))
 
 
-def classified(reports: DataFrame) -> DataFrame:
-    """(``document_id``, ``document_type``, ``confidence``, ``n_matched``): the best-scored subtype, the earlier of equals.
+def first_group(text: Column, *patterns: str) -> Column:
+    """What the first pattern that the text meets has in its group; null if it meets none."""
+    return F.coalesce(*(F.when(F.regexp_like(F.trim(text), F.lit(p)), F.regexp_extract(F.trim(text), p, 1)) for p in patterns))
 
-    Two thirds of a score (0.65) are the share of mandatory words, the rest the keywords against a target. A
-    subtype competes with enough keywords; below 0.80 the type is Other.
-    """
-    words = lambda ws: F.array(*(F.lit(w) for w in ws)) if ws else F.array().cast("array<string>")
-    lexicon = []
-    for i, (name, (least, mandatory, listed)) in enumerate(rules.SUBTYPES.items()):
-        # words of up to four characters stand alone, longer ones anywhere
-        short = [w for w in listed if len(w) <= 4]
-        lexicon.append(F.struct(
-            F.lit(name).alias("name"), F.lit(-i).alias("order"), F.lit(least).alias("least"), F.lit(float(target(least, len(listed)))).alias("target"),
-            words([w for w in short if re.fullmatch(r"\w+", w)]).alias("alone"), words([rf"\b{escaped(w)}\b" for w in short if not re.fullmatch(r"\w+", w)]).alias("odd"),
-            words([w for w in listed if len(w) > 4]).alias("within"), F.array(*(words(m.split("|")) for m in mandatory)).alias("mandatory"),
-        ))
-    text, tokens = F.col("low"), F.col("tokens")
-
-    def scored(s: Column) -> Column:
-        n = F.size(F.array_intersect(tokens, s["alone"])) + F.size(F.filter(s["odd"], lambda w: F.regexp_like(text, w))) + F.size(F.filter(s["within"], lambda w: text.contains(w)))
-        must = F.size(F.filter(s["mandatory"], lambda m: F.exists(m, lambda w: text.contains(w))))
-        return F.struct(s["name"].alias("name"), s["order"].alias("order"), s["least"].alias("least"), s["target"].alias("target"), n.alias("n"), (must / F.size(s["mandatory"])).alias("must"))
-
-    def judged(c: Column) -> Column:
-        score = c["must"] * 0.65 + F.least(F.lit(1.0), c["n"] / c["target"]) * 0.35
-        return F.when((c["n"] >= c["least"]) & (score > 0), F.struct(score.alias("score"), c["order"].alias("order"), c["name"].alias("name"), c["n"].alias("n")))
-
-    low = reports.select("document_id", F.lower("text").alias("low"))
-    low = low.withColumn("tokens", F.array_distinct(F.split("low", r"\W+")))
-    best = low.select("document_id", F.array_max(F.transform(F.transform(F.array(*lexicon), scored), judged)).alias("b"))
-    confidence = F.round(F.coalesce("b.score", F.lit(0.0)), 3)
-    return best.select(
-        "document_id", F.when(confidence >= rules.CLASSIFIED_FROM, F.col("b.name")).otherwise("Other").alias("document_type"), confidence.alias("confidence"),
-        F.coalesce("b.n", F.lit(0)).alias("n_matched"),
-    )
 
+def before_other_fields(name: Column) -> Column:
+    return F.trim(F.get(F.split(F.trim(name), rules.NAME_ENDS), F.lit(0)))
 
-def patient_names(reports: DataFrame) -> DataFrame:
+
+def patient_name(text: Column) -> Column:
     """The name behind "patient name:", "patient:" or "name:", without what follows it and without a title."""
-    found = F.regexp_extract(F.trim("text"), r"(?i)(?:patient name|patient|name)\s*:\s*([^\n\r,;:\t]+)", 1)
-    first = F.trim(F.get(F.split(F.trim(found), r"(?i)\s{2,}|\b(?:age|gender|sex|dob|date|phone)\b"), F.lit(0)))
-    return reports.select("document_id", F.nullif(F.trim(F.regexp_replace(first, r"(?i)^(mr\.|ms\.|mrs\.)", "")), F.lit("")).alias("patient_name"))
+    found = F.regexp_extract(F.trim(text), r"(?i)(?:patient name|patient|name)\s*:\s*([^\n\r,;:\t]+)", 1)
+    return F.nullif(F.trim(F.regexp_replace(before_other_fields(found), r"(?i)^(mr\.|ms\.|mrs\.)", "")), F.lit(""))
+
+
+def hospital_name(text: Column) -> Column:
+    """The name behind a label such as "hospital:", else the first line up to such a word."""
+    return F.nullif(F.trim(first_group(text, "(?i)" + rules.HOSPITAL_LABEL, "(?im)" + rules.HOSPITAL_LINE)), F.lit(""))
+
+
+def doctor_name(text: Column) -> Column:
+    """The name behind a label such as "doctor:", else behind "Dr.", without what follows it."""
+    return F.nullif(before_other_fields(first_group(text, "(?i)" + rules.DOCTOR_LABEL, "(?i)" + rules.DOCTOR_NAME)), F.lit(""))
+
+
+def patient_names(reports: DataFrame) -> DataFrame:
+    """(``document_id``, ``patient_name``), the names by ``patient_name``."""
+    return reports.select("document_id", patient_name(F.col("text")).alias("patient_name"))
+
+
+def document_names(reports: DataFrame) -> DataFrame:
+    """(``document_id``, ``patient_name``, ``hospital_name``, ``doctor_name``) that the texts state."""
+    text = F.col("text")
+    return reports.select("document_id", patient_name(text).alias("patient_name"), hospital_name(text).alias("hospital_name"), doctor_name(text).alias("doctor_name"))
 
 
 def lines(reports: DataFrame) -> DataFrame:

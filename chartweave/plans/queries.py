@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.norm import canonical, canonical_sql, clean_unit, leading_number, like_any, safe_file_name
-from ..operators import facts, intake, labs, meds, questions, reports, retrieval, summaries, timeline
+from ..operators import facts, intake, labs, lexicon, meds, questions, reports, retrieval, summaries, timeline
 from ..sources.adapters import table, with_tables
 from ..streaming import admission
 
@@ -357,34 +359,48 @@ def latest_status(j):
     return admission.latest_status(j)
 
 
+def _escaped(word: str) -> str:
+    return re.sub(r"([.^$*+?()\[\]{}|\\/])", r"\\\1", word)
+
+
 def _classified_sql() -> str:
     parts = []
     for i, (name, (least, mandatory, words)) in enumerate(rules.SUBTYPES.items()):
-        n = " + ".join(f"(regexp_matches(t, '\\b{reports.escaped(w)}\\b'))::INT" if len(w) <= 4 else f"contains(t, '{w}')::INT" for w in words)
+        hit = lambda w: f"regexp_matches(t, '\\b{_escaped(w)}\\b')" if len(w) <= 4 else f"contains(t, '{w}')"
+        found = "list_filter([" + ", ".join(f"CASE WHEN {hit(w)} THEN '{w}' END" for w in words) + "], lambda x: x IS NOT NULL)"
         must = " + ".join("(" + " OR ".join(f"contains(t, '{v}')" for v in m.split("|")) + ")::INT" for m in mandatory)
-        parts.append(f"SELECT document_id, '{name}' AS name, {i} AS o, n, must * 0.65::DOUBLE + least(1.0::DOUBLE, n / {reports.target(least, len(words))}::DOUBLE) * 0.35::DOUBLE AS score FROM (SELECT document_id, {n} AS n, ({must}) / {len(mandatory)}::DOUBLE AS must FROM lo) WHERE n >= {least}")
-    return ", lo AS (SELECT document_id, lower(text) AS t FROM c_reports), sc AS (" + " UNION ALL ".join(parts) + """)
+        parts.append(f"SELECT document_id, '{name}' AS name, '{rules.SHOWN_TYPES.get(name, name)}' AS shown, {i} AS o, ev, len(ev)::INT AS n, must, must * 0.65::DOUBLE + least(1.0::DOUBLE, len(ev) / {lexicon.target(least, len(words))}::DOUBLE) * 0.35::DOUBLE AS score FROM (SELECT document_id, {found} AS ev, ({must}) / {len(mandatory)}::DOUBLE AS must FROM lo) WHERE len(ev) >= {least}")
+    says = lambda text, **x: "'" + text.format(**{k: f"' || {v} || '" for k, v in x.items()}) + "'"
+    whole = lambda x: f"floor({x} * 100 + 0.5)::INT"
+    sure, unsure = says(rules.SURE_TYPE, name="shown", percent=whole("confidence")), says(rules.UNSURE_TYPE, percent=whole("confidence"), least="80")
+    return ", lo AS (SELECT document_id, lower(text) AS t FROM c_reports), sc AS (" + " UNION ALL ".join(parts) + f""")
 , b AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, o) AS k FROM sc)
-, cl AS (SELECT l.document_id, CASE WHEN round(coalesce(score, 0), 3) >= 0.8 THEN name ELSE 'Other' END AS document_type, round(coalesce(score, 0), 3) AS confidence, coalesce(n, 0) AS n_matched FROM lo l LEFT JOIN (SELECT * FROM b WHERE k = 1) b ON l.document_id = b.document_id)"""
+, cb AS (SELECT l.document_id, name, shown, ev, n, must, round(coalesce(score, 0), 3) AS confidence FROM lo l LEFT JOIN (SELECT * FROM b WHERE k = 1) b ON l.document_id = b.document_id)
+, cl AS (SELECT document_id, CASE WHEN confidence >= 0.8 THEN name ELSE 'Other' END AS document_type, confidence, coalesce(n, 0) AS n_matched, coalesce(ev, []) AS matched_evidence,
+   CASE WHEN name IS NULL THEN '{rules.NO_TYPE}' ELSE {says(rules.TYPE_FOUND, n="n", name="shown", percent=whole("must"))} END AS explanation, CASE WHEN confidence >= 0.8 THEN {sure} ELSE {unsure} END AS reason FROM cb)"""
 
 
 CLASSIFIED = _classified_sql()
+_before_fields = lambda s: f"nullif(trim(string_split_regex(trim({s}), '{rules.NAME_ENDS}')[1]), '')"
+_group = lambda p, q, o: f"CASE WHEN regexp_matches(trim(text), '{p}', 'i') THEN regexp_extract(trim(text), '{p}', 1, 'i') WHEN regexp_matches(trim(text), '{q}', '{o}') THEN regexp_extract(trim(text), '{q}', 1, '{o}') END"
+NAMES = rf"""
+, nf AS (SELECT *, regexp_extract(trim(text), '(?:patient name|patient|name)\s*:\s*([^\n\r,;:\t]+)', 1, 'i') AS s FROM c_reports)
+, nm AS (SELECT document_id, nullif(trim(regexp_replace(trim(string_split_regex(trim(s), '{rules.NAME_ENDS}')[1]), '^(mr\.|ms\.|mrs\.)', '', 'i')), '') AS patient_name,
+   nullif(trim({_group(rules.HOSPITAL_LABEL, "(?m)" + rules.HOSPITAL_LINE, "i")}), '') AS hospital_name, {_before_fields(_group(rules.DOCTOR_LABEL, rules.DOCTOR_NAME, "i"))} AS doctor_name FROM nf)"""
 
 
-@query("c1_document_types", "reports", CLASSIFIED + " SELECT * FROM cl")
+@query("c1_document_types", "reports", CLASSIFIED + NAMES + " SELECT document_id, document_type, confidence, n_matched, to_json(matched_evidence)::VARCHAR AS matched_evidence, explanation, reason, patient_name, hospital_name, doctor_name FROM cl JOIN nm USING (document_id)")
 def document_types(r):
-    return reports.classified(r)
+    return reports.classified(r).withColumn("matched_evidence", F.to_json("matched_evidence"))
 
 
-@query("c4_patient_names", "reports", r"""
-, f AS (SELECT document_id, regexp_extract(trim(text), '(?:patient name|patient|name)\s*:\s*([^\n\r,;:\t]+)', 1, 'i') AS s FROM c_reports)
-SELECT document_id, nullif(trim(regexp_replace(trim(string_split_regex(trim(s), '(?i)\s{2,}|\b(?:age|gender|sex|dob|date|phone)\b')[1]), '^(mr\.|ms\.|mrs\.)', '', 'i')), '') AS patient_name FROM f""")
+@query("c4_patient_names", "reports", NAMES + " SELECT document_id, patient_name, hospital_name, doctor_name FROM nm")
 def patient_names(r):
-    return reports.patient_names(r)
+    return reports.document_names(r)
 
 
 def typed(r):
-    return r.join(reports.classified(r).select("document_id", "document_type"), "document_id")
+    return reports.with_types(r)
 
 
 LINES = CLASSIFIED + """

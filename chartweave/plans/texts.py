@@ -109,7 +109,7 @@ def plain_facts(l):
 
 @query("e14_extracted_facts", "reports")
 def extracted(r):
-    return letters.extracted(r, reports.classified(r))
+    return letters.extracted(r)
 
 
 GENERAL = HEADERS + PATTERN_TYPES.replace("lo AS", "lq AS").replace("FROM lo", "FROM lq") + rf"""
