@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.norm import canonical, canonical_sql, clean_unit, leading_number, like_any, safe_file_name
 from ..operators import facts, intake, labs, lexicon, meds, questions, reports, retrieval, summaries, timeline
+from ..sources import schemas
 from ..sources.adapters import table, with_tables
 from ..streaming import admission
 
@@ -506,9 +507,26 @@ def payload_facts(p):
     return intake.payload_facts(p)[0]
 
 
-@query("s4_payload_rejects", "payloads", "SELECT document_id FROM c_payloads WHERE CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.documentType') END IS NULL")
+@query("s4_payload_rejects", "payloads", "SELECT document_id, CASE WHEN NOT json_valid(payload) THEN 'malformed' ELSE 'documentType is missing' END AS reasons FROM c_payloads WHERE CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.documentType') END IS NULL")
 def payload_rejects(p):
-    return intake.payload_facts(p)[1]
+    return schemas.loaded(p, ["documentType", "labResults.testName", "labResults.value"])[1].select("document_id", F.array_join("reasons", "; ").alias("reasons"))
+
+
+def _reasons_sql() -> str:
+    def lacks(path: str) -> str:
+        array, _, field = path.rpartition(".")
+        return f"len(list_filter(from_json(json_extract(p, '$.{array}[*]'), '[\"JSON\"]'), lambda x: coalesce(json_extract_string(x, '$.{field}'), '') = '')) > 0" if array else f"json_extract(p, '$.{path}') IS NULL"
+
+    checks = ", ".join(f"CASE WHEN {lacks(r)} THEN '{r} is missing' END" for r in schemas.REQUIRED)
+    kinds = ", ".join(f"'{k}'" for k in schemas.DOCUMENT_TYPES)
+    return f"array_to_string(list_filter([{checks}, CASE WHEN json_extract_string(p, '$.documentType') NOT IN ({kinds}) THEN 'documentType is unknown' END], lambda r: r IS NOT NULL), '; ')"
+
+
+@query("s4_section_rejects", "full_payloads", f"""
+, ok AS (SELECT document_id, CASE WHEN json_valid(payload) THEN payload END AS p FROM c_full_payloads)
+SELECT document_id, reasons FROM (SELECT document_id, CASE WHEN p IS NULL THEN 'malformed' ELSE {_reasons_sql()} END AS reasons FROM ok) WHERE reasons <> ''""")
+def section_rejects(p):
+    return schemas.loaded(p)[1].select("document_id", F.array_join("reasons", "; ").alias("reasons"))
 
 
 @query("a8_coverage", "payloads chunks", """

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .schemas import conforming
+
 
 def pick(expr: str, words: list[str | None]) -> str:
     cases = " ".join(f"WHEN {i} THEN " + ("NULL" if w is None else f"'{w}'") for i, w in enumerate(words))
@@ -146,7 +148,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for t in needs(name):
         text = re.sub(rf"(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)
         frames[t] = spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    return spark.sql(text, **frames)
+    return conforming(spark.sql(text, **frames), name)
 
 
 def with_tables(names: str, sql: str) -> str:
