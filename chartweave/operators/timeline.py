@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -80,7 +80,7 @@ def journeys(diagnoses: DataFrame) -> DataFrame:
     )
 
 
-ENCOUNTERS = "document_id string, patient_id string, segment long, encounter int, title string, hospital string, doctor string"
+ENCOUNTERS = "document_id string, patient_id string, segment long, encounter int, title string, hospital string, doctor string, date date, place int, documents int"
 #: Days from an encounter's first document within which another may belong to it.
 ENCOUNTER_DAYS = 3
 
@@ -96,7 +96,7 @@ class Encounters:
         self.number, self.open = 0, []
 
     def told(self, e: dict) -> list[tuple]:
-        return [(i, *e["of"], e["number"], e["title"], e["hospital"], e["doctor"]) for i in e["docs"]]
+        return [(i, *e["of"], e["number"], e["title"], e["hospital"], e["doctor"], e["date"], k, len(e["docs"])) for k, i in enumerate(e["docs"])]
 
     def row(self, key, patient, segment, id_, date, hospital, doctor) -> list[tuple]:
         past = [e for e in self.open if (date - e["date"]).days > ENCOUNTER_DAYS]
@@ -119,7 +119,7 @@ class Encounters:
 
 
 def encounters(documents: DataFrame) -> DataFrame:
-    """The encounter of every document, numbered from 1 per patient.
+    """The encounter of every document, numbered from 1 per patient, with its first date, the document's ``place`` in it (from 0) and its number of ``documents``.
 
     No encounter outlives three days, so documents before and after a longer pause are told apart by themselves; running sums over
     the pauses then number a patient's encounters.
@@ -132,64 +132,114 @@ def encounters(documents: DataFrame) -> DataFrame:
     sizes = found.groupBy(*group).agg(F.max("encounter").cast("long").alias("n"))
     sizes = summed(sizes, "of", ["segment"], F.col("n"), "until").select("of", "segment", (F.col("until") - F.col("n")).cast("int").alias("earlier"))
     found = found.withColumn("of", group[0]).join(sizes, ["of", "segment"])
-    return found.select("document_id", "patient_id", (F.col("encounter") + F.col("earlier")).alias("encounter"), "title", "hospital", "doctor")
+    return found.select("document_id", "patient_id", (F.col("encounter") + F.col("earlier")).alias("encounter"), "title", "hospital", "doctor", "date", "place", "documents")
 
 
 def with_encounters(facts: DataFrame, found: DataFrame, date) -> DataFrame:
     """Facts with the title of their document's encounter (``encounter_title``), else one named by ``date``."""
-    titles = found.select(F.col("document_id").alias("source_document_id"), F.col("title").alias("met"))
+    titles = found.select(F.col("document_id").alias("source_document_id"), F.col("title").alias("own_title"))
     made = F.concat(F.lit("Encounter on "), F.date_format(date, "MMM d, yyyy"))
-    return facts.join(titles, "source_document_id", "left").withColumn("encounter_title", F.coalesce("met", made)).drop("met")
+    return facts.join(titles, "source_document_id", "left").withColumn("encounter_title", F.coalesce("own_title", made)).drop("own_title")
 
 
 def node_id(patient, kind, name):
     return F.sha2(F.concat_ws("|", patient, kind, name), 256)
 
 
+NODE_PROPERTIES = "map<string,string>"
+
+
+def properties(df: DataFrame | None = None, **values) -> Column:
+    """A map of texts in the order of keys: columns of ``df`` by name (null if it lacks them) or given columns."""
+    pairs = []
+    for key in sorted(values):
+        v = values[key]
+        if isinstance(v, str):
+            v = F.col(v) if df is None or v in df.columns else F.lit(None)
+        pairs += [F.lit(key), v.cast("string")]
+    return F.create_map(*pairs) if pairs else F.create_map().cast(NODE_PROPERTIES)
+
+
 def fact_nodes(diagnoses: DataFrame, medications: DataFrame, labs: DataFrame, procedures: DataFrame, found: DataFrame) -> DataFrame:
-    """(``patient_id``, ``id``, ``entity_type``, ``canonical_name``, ``encounter_title``) of all facts."""
+    """All facts as nodes: (``patient_id``, ``id``, ``entity_type``, ``canonical_name``, ``encounter_title``), with ``document_id``, ``date``, their place in
+    the order of building (``stage``, ``step``), their ``properties``, and those of the edges from the encounter and from the patient. A lab result is two nodes."""
     result = F.concat("test_name", F.lit(": "), "value", F.lit(" "), F.coalesce("unit", F.lit("")))
-    kinds = [
-        (diagnoses, "Diagnosis", canonical(F.col("name"), "diagnosis"), F.col("created_on")), (medications, "Medication", canonical(F.col("medicine_name"), "medication"), F.col("created_on")),
-        (labs, "Lab Test", F.col("test_name"), F.col("test_date")), (labs, "Lab Result", result, F.col("test_date")), (procedures, "Procedure", F.col("name"), F.col("done_on")),
-    ]
-    rows = [df.select("patient_id", "id", "source_document_id", F.lit(kind).alias("entity_type"), name.alias("canonical_name"), date.alias("date")) for df, kind, name, date in kinds]
-    every = reduce(DataFrame.unionByName, rows)
-    return with_encounters(every, found, F.col("date")).drop("source_document_id", "date")
+
+    def rows(df, stage, date, *nodes):
+        none = properties()
+        x = F.array(*(F.struct(
+            F.lit(step).alias("step"), F.lit(kind).alias("entity_type"), name.alias("canonical_name"), own.cast(NODE_PROPERTIES).alias("properties"),
+            (none if met is None else met).cast(NODE_PROPERTIES).alias("met"), (none if had is None else had).cast(NODE_PROPERTIES).alias("had"),
+        ) for step, (kind, name, own, met, had) in enumerate(nodes)))
+        return df.select("patient_id", "id", F.col("source_document_id"), F.lit(stage).alias("stage"), date.alias("date"), F.explode(x).alias("x")).select("patient_id", "id", "source_document_id", "stage", "date", "x.*")
+
+    d, m, l, p = diagnoses, medications, labs, procedures
+    every = reduce(DataFrame.unionByName, (
+        rows(d, 2, F.col("created_on"), (
+            "Diagnosis", canonical(F.col("name"), "diagnosis"), properties(d, is_chronic="is_chronic", notes="notes", confidence="confidence_score", verification_status="verification_status"),
+            properties(d, confidence="confidence_score", evidence_text="source_text"), properties(d, is_chronic="is_chronic"),
+        )),
+        rows(m, 3, F.col("created_on"), (
+            "Medication", canonical(F.col("medicine_name"), "medication"),
+            properties(m, **{k: k for k in "generic_name strength route frequency duration instructions start_date end_date reason verification_status".split()}, confidence="confidence_score"),
+            properties(m, dosage="dosage", duration="duration", instructions="instructions"), properties(m, start_date="start_date", end_date="end_date"),
+        )),
+        rows(l, 4, F.col("test_date"), ("Lab Test", F.col("test_name"), properties(l, unit="unit"), None, None), (
+            "Lab Result", result, properties(l, **{k: k for k in "value unit reference_range abnormal_flag test_date".split()}, confidence="confidence_score"), properties(l, date="test_date"), None,
+        )),
+        rows(p, 5, F.col("done_on"), ("Procedure", F.col("name"), properties(p, date="done_on", surgeon_name="surgeon_name", notes="notes", confidence="confidence_score"), properties(p, date="done_on"), None)),
+    ))
+    return with_encounters(every, found, F.col("date")).withColumnRenamed("source_document_id", "document_id")
 
 
 def graph_nodes(patients: DataFrame, found: DataFrame, facts: DataFrame) -> DataFrame:
-    """One node for each patient, entity type and name; the smallest id gives its source.
+    """One node for each patient, entity type and name, as the first that is built has it: ``first_id``, ``properties``, ``evidence_count``, ``source_documents``.
 
-    ``found``: of ``encounters``; ``facts``: of ``fact_nodes``.
+    The order of building is: the patient; encounters with their hospitals and doctors; diagnoses, medications, lab results, procedures by id, each before the encounter
+    that is made for it where its document has none. ``found``: of ``encounters``; ``facts``: of ``fact_nodes``.
     """
-    take = lambda df, id_, kind, name: df.select("patient_id", F.col(id_).alias("id"), F.lit(kind).alias("entity_type"), F.col(name).alias("canonical_name"))
-    people = patients.select(F.col("id").alias("patient_id"), "id", F.lit("Patient").alias("entity_type"), F.lit("Patient Profile").alias("canonical_name"))
-    rows = [people, take(found, "document_id", "Encounter", "title"), take(found, "document_id", "Hospital", "hospital"), take(found, "document_id", "Doctor", "doctor")]
-    rows += [facts.select("patient_id", "id", "entity_type", "canonical_name"), take(facts.where("entity_type <> 'Lab Test'"), "id", "Encounter", "encounter_title")]
-    every = reduce(DataFrame.unionByName, rows).where("canonical_name is not null")
-    out = every.groupBy("patient_id", "entity_type", "canonical_name").agg(F.min("id").alias("first_id"))
-    return out.withColumn("node_id", node_id(F.col("patient_id"), F.col("entity_type"), F.col("canonical_name")))
+    def node(kind, name, own, doc, *order):
+        at = F.struct(*(c.alias(n) for n, c in zip(("stage", "number", "id", "step"), order, strict=True)))
+        return F.struct(kind.alias("entity_type"), name.alias("canonical_name"), F.struct(at.alias("at"), own.cast(NODE_PROPERTIES).alias("properties"), doc.cast("string").alias("document_id"), F.col("first_id").alias("first_id")).alias("x"))
+
+    col, lit = F.col, F.lit
+    zero, no = lit(0), lit("")
+    people = patients.select(col("id").alias("patient_id"), col("id").alias("first_id")).withColumn("nodes", F.array(node(lit("Patient"), lit("Patient Profile"), properties(), lit(None), zero, zero, no, zero)))
+    met = properties(date="date", hospital_name="hospital", doctor_name="doctor", documents_count="documents")
+    at = lambda k: (lit(1), col("encounter"), no, col("place") * 3 + k)
+    visits = found.withColumn("first_id", col("document_id")).withColumn("nodes", F.array(
+        node(lit("Encounter"), col("title"), met, col("document_id"), *at(0)), node(lit("Hospital"), col("hospital"), properties(), col("document_id"), *at(1)), node(lit("Doctor"), col("doctor"), properties(), col("document_id"), *at(2)),
+    ))
+    own = node(col("entity_type"), col("canonical_name"), col("properties"), col("document_id"), col("stage"), zero, col("id"), col("step"))
+    made = node(lit("Encounter"), col("encounter_title"), properties(date="date"), col("document_id"), col("stage"), zero, col("id"), lit(9))
+    seen = facts.withColumn("first_id", col("id")).withColumn("nodes", F.array_compact(F.array(own, F.when(col("entity_type") != "Lab Test", made))))
+    every = reduce(DataFrame.unionByName, (df.select("patient_id", F.explode("nodes").alias("n")).select("patient_id", "n.*") for df in (people, visits, seen)))
+    out = every.where("canonical_name is not null").groupBy("patient_id", "entity_type", "canonical_name").agg(F.min_by("x", "x.at").alias("x"))
+    return out.select(
+        "patient_id", "entity_type", "canonical_name", "x.first_id", node_id(col("patient_id"), col("entity_type"), col("canonical_name")).alias("node_id"), "x.properties",
+        lit(1).alias("evidence_count"), F.array_compact(F.array("x.document_id")).alias("source_documents"),
+    )
 
 
 def graph_edges(found: DataFrame, facts: DataFrame) -> DataFrame:
-    """Edges (``patient_id``, ``source``, ``target``, ``relationship_type``) by node keys alone; repeated ones stay."""
+    """Edges (``patient_id``, ``source``, ``target``, ``relationship_type``, ``properties``) by node keys alone; repeated ones stay."""
     at = lambda kind, name: node_id(F.col("patient_id"), kind, name)
     end = lambda kind, name: at(F.lit(kind), F.col(name) if kind != "Patient" else F.lit("Patient Profile"))
-    edge = lambda source, target, relation: F.struct(source.alias("source"), target.alias("target"), relation.alias("relationship_type"))
+    edge = lambda source, target, relation, own: F.struct(source.alias("source"), target.alias("target"), relation.alias("relationship_type"), own.cast(NODE_PROPERTIES).alias("properties"))
+    dated = properties(date="date")
     met = F.array(
-        edge(end("Patient", ""), end("Encounter", "title"), F.lit("belongs_to_encounter")),
-        F.when(F.col("hospital").isNotNull(), edge(end("Encounter", "title"), end("Hospital", "hospital"), F.lit("performed_at"))),
-        F.when(F.col("doctor").isNotNull(), edge(end("Encounter", "title"), end("Doctor", "doctor"), F.lit("ordered_by"))),
+        edge(end("Patient", ""), end("Encounter", "title"), F.lit("belongs_to_encounter"), dated),
+        F.when(F.col("hospital").isNotNull(), edge(end("Encounter", "title"), end("Hospital", "hospital"), F.lit("performed_at"), dated)),
+        F.when(F.col("doctor").isNotNull(), edge(end("Encounter", "title"), end("Doctor", "doctor"), F.lit("ordered_by"), dated)),
     )
     own = at(F.col("entity_type"), F.col("canonical_name"))
     kind = F.col("entity_type")
     relation = F.when(kind == "Diagnosis", "diagnosed_with").when(kind == "Medication", "prescribed").when(kind == "Lab Result", "ordered_by").otherwise("belongs_to_encounter")
     seen = F.array(
-        F.when(kind != "Lab Test", edge(end("Encounter", "encounter_title"), own, relation)),
-        F.when(kind.isin("Diagnosis", "Medication"), edge(end("Patient", ""), own, relation)),
+        F.when(kind != "Lab Test", edge(end("Encounter", "encounter_title"), own, relation, F.col("met"))),
+        F.when(kind.isin("Diagnosis", "Medication"), edge(end("Patient", ""), own, relation, F.col("had"))),
         # a result's name starts with its test's
-        F.when(kind == "Lab Result", edge(at(F.lit("Lab Test"), F.expr("substring(canonical_name, 1, locate(': ', canonical_name) - 1)")), own, F.lit("caused"))),
+        F.when(kind == "Lab Result", edge(at(F.lit("Lab Test"), F.expr("substring(canonical_name, 1, locate(': ', canonical_name) - 1)")), own, F.lit("caused"), dated)),
     )
     rows = [df.select("patient_id", F.explode(F.array_compact(edges)).alias("e")).select("patient_id", "e.*") for df, edges in ((found, met), (facts, seen))]
     return rows[0].unionByName(rows[1])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import norm
 from ..functions.norm import canonical_sql, like_any
-from ..operators import briefs, facts, meds, payloads, retrieval, summaries, timeline, variants
+from ..operators import briefs, facts, meds, payloads, ranges, retrieval, summaries, timeline, variants
 from .queries import ACTIVE, AS_OF, NUMBER, SURE, _history_sql, query
 
 _anti = "lower({}) IN (" + ", ".join(f"'{d}'" for d in rules.ANTIHYPERTENSIVES) + ")"
@@ -50,7 +50,8 @@ ENCOUNTERS = f"""
     ELSE list_append(encs, struct_pack(day := day, h := h, d := d, title := CASE WHEN h IS NULL THEN 'Doctor Visit on ' || strftime(day, '%b %-d, %Y') ELSE 'Admission at ' || h END)) END, CASE WHEN hit > 0 THEN hit ELSE len(encs) + 1 END
   FROM (SELECT es.patient_id, dc.k, dc.id, es.encs, dc.day, dc.h, dc.d, coalesce(list_position(list_transform(es.encs, lambda e: {_fits}), true), 0) AS hit FROM es JOIN dc ON dc.patient_id = es.patient_id AND dc.k = es.k + 1))
 , el AS (SELECT patient_id, arg_max(encs, k) AS encs FROM es GROUP BY 1)
-, en AS (SELECT es.id AS document_id, es.patient_id, es.pos AS encounter, el.encs[es.pos].title AS title, el.encs[es.pos].h AS hospital, el.encs[es.pos].d AS doctor FROM es JOIN el ON el.patient_id = es.patient_id WHERE es.k > 0)"""
+, en AS (SELECT es.id AS document_id, es.patient_id, es.pos AS encounter, el.encs[es.pos].title AS title, el.encs[es.pos].h AS hospital, el.encs[es.pos].d AS doctor, el.encs[es.pos].day AS date,
+   (row_number() OVER (PARTITION BY es.patient_id, es.pos ORDER BY es.k) - 1)::INT AS place, (count(*) OVER (PARTITION BY es.patient_id, es.pos))::INT AS documents FROM es JOIN el ON el.patient_id = es.patient_id WHERE es.k > 0)"""
 
 
 @query("u2_encounters", "documents", ENCOUNTERS + " SELECT * FROM en")
@@ -58,40 +59,52 @@ def encounters(d):
     return timeline.encounters(d)
 
 
+def _json(**values: str) -> str:
+    return "json_object(" + ", ".join(f"'{k}', ({values[k]})::VARCHAR" for k in sorted(values)) + ")::VARCHAR" if values else "'{}'"
+
+
+_same = lambda names: {n: n for n in names.split()}
+_none = "NULL"
 FACTS = f"""
-, fb AS (SELECT patient_id, id, source_document_id, 'Diagnosis' AS entity_type, {canonical_sql("name", "diagnosis")} AS canonical_name, created_on AS day FROM c_diagnoses WHERE {SURE}
-  UNION ALL SELECT patient_id, id, source_document_id, 'Medication', {canonical_sql("medicine_name", "medication")}, created_on FROM c_medications WHERE {SURE} UNION ALL SELECT patient_id, id, source_document_id, 'Lab Test', test_name, test_date FROM c_labs WHERE {SURE}
-  UNION ALL SELECT patient_id, id, source_document_id, 'Lab Result', test_name || ': ' || value || ' ' || coalesce(unit, ''), test_date FROM c_labs WHERE {SURE} UNION ALL SELECT patient_id, id, source_document_id, 'Procedure', name, done_on FROM c_procedures WHERE {SURE})
-, fe AS (SELECT fb.patient_id, fb.id, entity_type, canonical_name, coalesce(en.title, 'Encounter on ' || strftime(day, '%b %-d, %Y')) AS encounter_title FROM fb LEFT JOIN en ON en.document_id = fb.source_document_id)"""
+, fb AS (SELECT patient_id, id, source_document_id, 2 AS stage, 0 AS step, 'Diagnosis' AS entity_type, {canonical_sql("name", "diagnosis")} AS canonical_name, created_on AS day,
+    {_json(**_same("is_chronic notes verification_status"), confidence=_none)} AS props, {_json(confidence=_none, evidence_text=_none)} AS met, {_json(is_chronic="is_chronic")} AS had FROM c_diagnoses WHERE {SURE}
+  UNION ALL SELECT patient_id, id, source_document_id, 3, 0, 'Medication', {canonical_sql("medicine_name", "medication")}, created_on,
+    {_json(**_same("strength frequency duration start_date end_date verification_status"), generic_name=_none, route=_none, instructions=_none, reason=_none, confidence=_none)}, {_json(**_same("dosage duration"), instructions=_none)}, {_json(**_same("start_date end_date"))} FROM c_medications WHERE {SURE}
+  UNION ALL SELECT patient_id, id, source_document_id, 4, 0, 'Lab Test', test_name, test_date, {_json(unit="unit")}, '{{}}', '{{}}' FROM c_labs WHERE {SURE}
+  UNION ALL SELECT patient_id, id, source_document_id, 4, 1, 'Lab Result', test_name || ': ' || value || ' ' || coalesce(unit, ''), test_date, {_json(**_same("value unit abnormal_flag test_date"), reference_range=_none, confidence=_none)}, {_json(date="test_date")}, '{{}}' FROM c_labs WHERE {SURE}
+  UNION ALL SELECT patient_id, id, source_document_id, 5, 0, 'Procedure', name, done_on, {_json(date="done_on", notes="notes", surgeon_name=_none, confidence=_none)}, {_json(date="done_on")}, '{{}}' FROM c_procedures WHERE {SURE})
+, fe AS (SELECT fb.*, coalesce(en.title, 'Encounter on ' || strftime(day, '%b %-d, %Y')) AS encounter_title FROM fb LEFT JOIN en ON en.document_id = fb.source_document_id)"""
 LIVE = ENCOUNTERS.replace("FROM c_documents)", "FROM c_documents WHERE NOT is_deleted)")
 _node = lambda kind, name: f"sha256(patient_id || '|{kind}|' || {name})"
 _own = "sha256(patient_id || '|' || entity_type || '|' || canonical_name)"
 GRAPH = LIVE + FACTS + f"""
-, nr AS (SELECT id AS patient_id, id, 'Patient' AS entity_type, 'Patient Profile' AS canonical_name FROM c_patients UNION ALL SELECT patient_id, document_id, 'Encounter', title FROM en UNION ALL SELECT patient_id, document_id, 'Hospital', hospital FROM en WHERE hospital IS NOT NULL
-  UNION ALL SELECT patient_id, document_id, 'Doctor', doctor FROM en WHERE doctor IS NOT NULL UNION ALL SELECT patient_id, id, entity_type, canonical_name FROM fe UNION ALL SELECT patient_id, id, 'Encounter', encounter_title FROM fe WHERE entity_type <> 'Lab Test')
-, nd AS (SELECT patient_id, entity_type, canonical_name, min(id) AS first_id, {_own} AS node_id FROM nr GROUP BY 1, 2, 3)
-, ed AS (SELECT patient_id, {_node("Patient", "'Patient Profile'")} AS source, {_node("Encounter", "title")} AS target, 'belongs_to_encounter' AS relationship_type FROM en UNION ALL SELECT patient_id, {_node("Encounter", "title")}, {_node("Hospital", "hospital")}, 'performed_at' FROM en WHERE hospital IS NOT NULL
-  UNION ALL SELECT patient_id, {_node("Encounter", "title")}, {_node("Doctor", "doctor")}, 'ordered_by' FROM en WHERE doctor IS NOT NULL
-  UNION ALL SELECT patient_id, {_node("Encounter", "encounter_title")}, {_own}, CASE entity_type WHEN 'Diagnosis' THEN 'diagnosed_with' WHEN 'Medication' THEN 'prescribed' WHEN 'Lab Result' THEN 'ordered_by' ELSE 'belongs_to_encounter' END FROM fe WHERE entity_type <> 'Lab Test'
-  UNION ALL SELECT patient_id, {_node("Patient", "'Patient Profile'")}, {_own}, CASE entity_type WHEN 'Diagnosis' THEN 'diagnosed_with' ELSE 'prescribed' END FROM fe WHERE entity_type IN ('Diagnosis', 'Medication')
-  UNION ALL SELECT patient_id, {_node("Lab Test", "split_part(canonical_name, ': ', 1)")}, {_own}, 'caused' FROM fe WHERE entity_type = 'Lab Result')"""
+, nr AS (SELECT id AS patient_id, id, 'Patient' AS entity_type, 'Patient Profile' AS canonical_name, 0 AS stage, 0 AS number, '' AS o, 0 AS step, '{{}}' AS props, NULL AS doc FROM c_patients
+  UNION ALL SELECT patient_id, document_id, 'Encounter', title, 1, encounter, '', 3 * place, {_json(date="date", hospital_name="hospital", doctor_name="doctor", documents_count="documents")}, document_id FROM en
+  UNION ALL SELECT patient_id, document_id, 'Hospital', hospital, 1, encounter, '', 3 * place + 1, '{{}}', document_id FROM en WHERE hospital IS NOT NULL UNION ALL SELECT patient_id, document_id, 'Doctor', doctor, 1, encounter, '', 3 * place + 2, '{{}}', document_id FROM en WHERE doctor IS NOT NULL
+  UNION ALL SELECT patient_id, id, entity_type, canonical_name, stage, 0, id, step, props, source_document_id FROM fe UNION ALL SELECT patient_id, id, 'Encounter', encounter_title, stage, 0, id, 9, {_json(date="day")}, source_document_id FROM fe WHERE entity_type <> 'Lab Test')
+, nd AS (SELECT patient_id, entity_type, canonical_name, id AS first_id, {_own} AS node_id, props AS properties, 1 AS evidence_count, coalesce(doc, '') AS source_documents FROM (SELECT *, row_number() OVER (PARTITION BY patient_id, entity_type, canonical_name ORDER BY stage, number, o, step) AS k FROM nr) WHERE k = 1)
+, ed AS (SELECT patient_id, {_node("Patient", "'Patient Profile'")} AS source, {_node("Encounter", "title")} AS target, 'belongs_to_encounter' AS relationship_type, {_json(date="date")} AS properties FROM en UNION ALL SELECT patient_id, {_node("Encounter", "title")}, {_node("Hospital", "hospital")}, 'performed_at', {_json(date="date")} FROM en WHERE hospital IS NOT NULL
+  UNION ALL SELECT patient_id, {_node("Encounter", "title")}, {_node("Doctor", "doctor")}, 'ordered_by', {_json(date="date")} FROM en WHERE doctor IS NOT NULL
+  UNION ALL SELECT patient_id, {_node("Encounter", "encounter_title")}, {_own}, CASE entity_type WHEN 'Diagnosis' THEN 'diagnosed_with' WHEN 'Medication' THEN 'prescribed' WHEN 'Lab Result' THEN 'ordered_by' ELSE 'belongs_to_encounter' END, met FROM fe WHERE entity_type <> 'Lab Test'
+  UNION ALL SELECT patient_id, {_node("Patient", "'Patient Profile'")}, {_own}, CASE entity_type WHEN 'Diagnosis' THEN 'diagnosed_with' ELSE 'prescribed' END, had FROM fe WHERE entity_type IN ('Diagnosis', 'Medication')
+  UNION ALL SELECT patient_id, {_node("Lab Test", "split_part(canonical_name, ': ', 1)")}, {_own}, 'caused', {_json(date="day")} FROM fe WHERE entity_type = 'Lab Result')"""
 GRAPH_TABLES = "patients documents diagnoses medications labs procedures"
 
 
 def graph(p, d, *kinds):
-    found = timeline.encounters(d.where("not is_deleted"))
+    found = ranges.cut(timeline.encounters(d.where("not is_deleted")))
     rows = timeline.fact_nodes(*(facts.verified(k) for k in kinds), found)
     return timeline.graph_nodes(p, found, rows), timeline.graph_edges(found, rows)
 
 
 @query("g3_graph_nodes", GRAPH_TABLES, GRAPH + " SELECT * FROM nd")
 def graph_nodes(*tables):
-    return graph(*tables)[0]
+    return graph(*tables)[0].withColumns({"properties": F.to_json("properties"), "source_documents": F.array_join("source_documents", ",")})
 
 
 @query("g4_graph_edges", GRAPH_TABLES, GRAPH + " SELECT * FROM ed")
 def graph_edges(*tables):
-    return graph(*tables)[1]
+    return graph(*tables)[1].withColumn("properties", F.to_json("properties"))
 
 
 @query("a5_graph_sizes", GRAPH_TABLES, GRAPH + " SELECT coalesce(a.patient_id, b.patient_id) AS patient_id, coalesce(n_nodes, 0) AS n_nodes, coalesce(n_edges, 0) AS n_edges FROM (SELECT patient_id, count(*) AS n_nodes FROM nd GROUP BY 1) a FULL JOIN (SELECT patient_id, count(*) AS n_edges FROM ed GROUP BY 1) b ON a.patient_id = b.patient_id")

@@ -73,6 +73,24 @@ def test_graph_of_one_patient(spark):
     assert len(edges) == 14
 
 
+def test_nodes_keep_what_is_built_first(spark):
+    people = spark.createDataFrame([("p", "Ann")], "id string, full_name string")
+    docs = spark.createDataFrame([("d2", "p", day("2026-07-01"), "City", None), ("d1", "p", day("2026-07-02"), "city", "Dr. A"), ("d0", "p", day("2026-08-09"), "City", None)], "id string, patient_id string, created_on date, hospital string, doctor string")
+    dx = spark.createDataFrame([("x2", "p", "d1", "gout", False, "b", day("2026-07-02")), ("x1", "p", None, "gout", True, "a", day("2026-09-01"))], "id string, patient_id string, source_document_id string, name string, is_chronic boolean, notes string, created_on date")
+    none = "id string, patient_id string, source_document_id string, {} string, created_on date, value string, unit string, test_date date, done_on date, name string"
+    rx, lab, op = (spark.createDataFrame([], none.format(c)) for c in ("medicine_name", "test_name", "x"))
+    found = timeline.encounters(docs)
+    rows = timeline.fact_nodes(dx, rx, lab, op, found)
+    got = {(r.entity_type, r.canonical_name): r for r in timeline.graph_nodes(people, found, rows).collect()}
+    visit = got["Encounter", "Admission at City"]
+    assert visit.properties == {"date": "2026-07-01", "doctor_name": "Dr. A", "documents_count": "2", "hospital_name": "City"} and visit.source_documents == ["d2"] and visit.first_id == "d2"
+    assert got["Diagnosis", "gout"].properties == {"confidence": None, "is_chronic": "true", "notes": "a", "verification_status": None} and got["Diagnosis", "gout"].source_documents == []
+    assert got["Encounter", "Encounter on Sep 1, 2026"].properties == {"date": "2026-09-01"} and got["Patient", "Patient Profile"].properties == {} and {r.evidence_count for r in got.values()} == {1}
+    edges = timeline.graph_edges(found, rows).collect()
+    assert sorted(r.properties["date"] for r in edges if r.relationship_type == "performed_at") == ["2026-07-01", "2026-07-01", "2026-08-09"]
+    assert sorted(r.properties["is_chronic"] for r in edges if "is_chronic" in r.properties) == ["false", "true"]
+
+
 def test_insight_with_two_citations(spark):
     lab = spark.createDataFrame([("1", "p", "d1", "HbA1c", "5.9", day("2026-01-10")), ("2", "p", "d2", "HbA1c", "6.7", day("2026-06-15"))], "id string, patient_id string, source_document_id string, test_name string, value string, test_date date")
     rx = spark.createDataFrame([], "id string, patient_id string, source_document_id string, medicine_name string, duration string, start_date date, created_on date")
