@@ -21,7 +21,7 @@ def panel_hits(labs: DataFrame) -> DataFrame:
 
 
 def panels(labs: DataFrame) -> DataFrame:
-    """Per patient, panel and marker: latest, highest, lowest, median, change a day, persistent abnormality, points.
+    """Per patient, panel and marker: latest, highest, lowest, median, change a day, persistent abnormality, and the points (date and value) in order.
 
     Highest, lowest and median are of numeric values; latest and earliest of all rows by date, then id.
     Markers without a numeric value have no row.
@@ -36,6 +36,7 @@ def panels(labs: DataFrame) -> DataFrame:
     out = hits.groupBy(*key).agg(
         F.max_by(row, order).alias("last"), F.min_by(row, order).alias("first"), F.max("x").alias("hi"), F.min("x").alias("lo"),
         F.median("x").alias("mid"), F.max("twice").alias("persistent_abnormality"), F.count(F.lit(1)).alias("n_points"),
+        F.sort_array(F.collect_list(F.struct("test_date", "id", "value"))).alias("all"),
     ).where(F.col("hi").isNotNull())
     days = F.abs(F.datediff("last.test_date", "first.test_date"))
     change = (F.col("last.x") - F.col("first.x")) / F.nullif(days, F.lit(0))
@@ -43,20 +44,29 @@ def panels(labs: DataFrame) -> DataFrame:
         "patient_id", "panel", F.upper("marker").alias("marker"), F.col("last.value").alias("latest"), F.coalesce("last.unit", F.lit("")).alias("unit"),
         F.col("hi").alias("highest"), F.col("lo").alias("lowest"), F.round("mid", 6).alias("median"),
         F.when((F.col("n_points") < 2) | (days == 0), 0.0).otherwise(F.round(change, 3) + 0.0).alias("change_per_day"), "persistent_abnormality", "n_points",
+        F.transform("all", lambda r: F.struct(r["test_date"].alias("date"), r["value"].alias("value"))).alias("points"),
     )
 
 
 def trends(labs: DataFrame, tests: list[str] = rules.TREND_TESTS) -> DataFrame:
-    """Per patient and asked test: latest, smallest and largest number, their count and the last direction."""
+    """Per patient and asked test: latest value and unit, smallest and largest number, their count, the last direction, and the points in order.
+
+    ``points``: date, value, unit, whether it is abnormal, reference range.
+    """
     asked = labs.sparkSession.createDataFrame([(t,) for t in tests], "asked string")
     name, want = F.lower(F.trim("test_name")), F.lower(F.trim("asked"))
     hits = labs.join(F.broadcast(asked), name.contains(want) | want.contains(name)).withColumn("x", digits_number(F.col("value")))
     hits = hits.where(F.col("x").isNotNull())
-    points = F.sort_array(F.collect_list(F.struct("test_date", "id", "x")))
-    out = hits.groupBy("patient_id", "asked").agg(points.alias("p"), F.min("x").alias("min_val"), F.max("x").alias("max_val"))
-    last, before = F.get("p", F.size("p") - 1)["x"], F.get("p", F.size("p") - 2)["x"]
-    direction = F.when(F.size("p") < 2, "NONE").when(last > before, "UPWARD").when(last < before, "DOWNWARD").otherwise("STABLE")
-    return out.select("patient_id", "asked", last.alias("latest_value"), direction.alias("trend_direction"), "min_val", "max_val", F.size("p").alias("n_points"))
+    have = lambda c, kind: F.col(c) if c in labs.columns else F.lit(None).cast(kind)
+    more = (F.coalesce(have("unit", "string"), F.lit("")).alias("unit"), F.coalesce(have("abnormal_flag", "boolean"), F.lit(False)).alias("abnormal"), have("reference_range", "string").alias("range"))
+    out = hits.groupBy("patient_id", "asked").agg(F.sort_array(F.collect_list(F.struct("test_date", "id", "x", *more))).alias("p"), F.min("x").alias("min_val"), F.max("x").alias("max_val"))
+    last, before = F.get("p", F.size("p") - 1), F.get("p", F.size("p") - 2)["x"]
+    direction = F.when(F.size("p") < 2, "NONE").when(last["x"] > before, "UPWARD").when(last["x"] < before, "DOWNWARD").otherwise("STABLE")
+    point = lambda r: F.struct(r["test_date"].alias("date"), r["x"].alias("value"), r["unit"].alias("unit"), r["abnormal"].alias("is_abnormal"), r["range"].alias("reference_range"))
+    return out.select(
+        "patient_id", "asked", last["x"].alias("latest_value"), last["unit"].alias("latest_unit"), direction.alias("trend_direction"), "min_val", "max_val", F.size("p").alias("n_points"),
+        F.transform("p", point).alias("points"),
+    )
 
 
 def progressions(labs: DataFrame) -> DataFrame:

@@ -50,11 +50,11 @@ def frequent_antibiotics(medications: DataFrame, least: int = 3) -> DataFrame:
     return hit.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
-SWITCHES = "patient_id string, seq int, type string, medicine string, from_value string, to_value string, date date, reason string"
+SWITCHES = "patient_id string, seq int, type string, medicine string, from_value string, to_value string, date date, reason string, evidence string, citations array<string>"
 
 
 class Switches:
-    """A patient's medications so far (``name``, ``strength``, ``dosage``), in the order in which they came; says what each new one changes."""
+    """A patient's medications so far (``name``: ``strength``, ``dosage``, document), in the order in which they came; says what each new one changes."""
 
     def __init__(self, patient: object):
         self.patient, self.seq, self.taken = patient, 0, {}
@@ -63,32 +63,36 @@ class Switches:
         self.seq += 1
         return (self.patient, self.seq, *event)
 
-    def row(self, patient, id_, name, strength, dosage, date, pressure) -> list[tuple]:
+    def row(self, patient, id_, name, strength, dosage, date, pressure, document) -> list[tuple]:
         out = []
         if name in self.taken:
-            old = self.taken[name]
-            if old != (strength, dosage):
-                out.append(self.said("Dose changed", name, old[0] or old[1] or "Previous Dose", strength or dosage or "New Dose", date, None))
-            self.taken[name] = (strength, dosage)
+            *old, before = self.taken[name]
+            if old != [strength, dosage]:
+                was, now = old[0] or old[1], strength or dosage
+                evidence = rules.DOSE_EVIDENCE.format(was="null" if was is None else was, now="null" if now is None else now)
+                out.append(self.said("Dose changed", name, was or "Previous Dose", now or "New Dose", date, None, evidence, [before, document]))
+            self.taken[name] = (strength, dosage, document)
             return out
         if name.lower() in rules.ANTIHYPERTENSIVES:
             other = next((k for k in self.taken if k.lower() in rules.ANTIHYPERTENSIVES), None)
             if other is not None:
-                out.append(self.said("Replacement", name, other, name, date, "Blood pressure uncontrolled" if pressure else "Treatment optimization"))
-                del self.taken[other]
-        self.taken[name] = (strength, dosage)
-        return [*out, self.said("Started", name, None, None, date, None)]
+                reason = rules.PRESSURE_REASON if pressure else rules.OTHER_REASON
+                out.append(self.said("Replacement", name, other, name, date, reason, rules.REPLACED_EVIDENCE.format(new=name, old=other, reason=reason), [self.taken.pop(other)[2], document]))
+        self.taken[name] = (strength, dosage, document)
+        return [*out, self.said("Started", name, None, None, date, None, rules.STARTED_EVIDENCE.format(new=name), [document])]
 
     def end(self) -> list[tuple]:
         return []
 
 
 def switches(medications: DataFrame, labs: DataFrame) -> DataFrame:
-    """Starts, dose changes and replacements of each patient, in order of start (else creation) date, then id."""
+    """Starts, dose changes and replacements of each patient, in order of start (else creation) date, then id, with evidence and the documents they stand in."""
     pressed = high_pressure(labs).withColumn("pressure", F.lit(True))
     date = F.coalesce("start_date", "created_on")
-    slim = medications.select("patient_id", "id", canonical(F.col("medicine_name"), "medication").alias("name"), "strength", "dosage", date.alias("date"))
+    document = F.col("source_document_id") if "source_document_id" in medications.columns else F.lit(None).cast("string")
+    slim = medications.select("patient_id", "id", canonical(F.col("medicine_name"), "medication").alias("name"), "strength", "dosage", date.alias("date"), document.alias("document"))
     slim = slim.join(pressed, "patient_id", "left").withColumn("pressure", F.coalesce("pressure", F.lit(False)))
+    slim = slim.select("patient_id", "id", "name", "strength", "dosage", "date", "pressure", "document")
     return folded(slim, "patient_id", ["date", "id"], Switches, SWITCHES)
 
 

@@ -69,15 +69,17 @@ def journey_status(status, is_chronic, notes):
 
 
 def journeys(diagnoses: DataFrame) -> DataFrame:
-    """Each patient's canonical diagnoses: the number of milestones, the last status, and all in order."""
+    """Each patient's canonical diagnoses: the number of milestones, the last status, all in order, and as ``timeline`` (date, status, notes, document)."""
+    document = F.col("source_document_id") if "source_document_id" in diagnoses.columns else F.lit(None).cast("string")
     step = diagnoses.select(
-        "patient_id", canonical(F.col("name"), "diagnosis").alias("canonical"), "created_on", "id",
+        "patient_id", canonical(F.col("name"), "diagnosis").alias("canonical"), "created_on", "id", or_empty("notes").alias("notes"), document.alias("document_id"),
         journey_status(F.col("verification_status"), F.col("is_chronic"), F.col("notes")).alias("status"),
     )
-    steps = F.sort_array(F.collect_list(F.struct("created_on", "id", "status")))
-    return step.groupBy("patient_id", "canonical").agg(
-        F.max_by("status", F.struct("created_on", "id")).alias("status"), F.count(F.lit(1)).alias("milestones"), F.array_join(steps["status"], " > ").alias("path")
-    )
+    steps = F.sort_array(F.collect_list(F.struct("created_on", "id", "status", "notes", "document_id")))
+    timeline = F.transform("steps", lambda s: F.struct(s["created_on"].alias("date"), s["status"].alias("status"), s["notes"].alias("notes"), s["document_id"].alias("document_id")))
+    rows = step.groupBy("patient_id", "canonical").agg(steps.alias("steps"))
+    last = F.get("steps", F.size("steps") - 1)["status"]
+    return rows.select("patient_id", "canonical", last.alias("status"), F.size("steps").alias("milestones"), F.array_join("steps.status", " > ").alias("path"), timeline.alias("timeline"))
 
 
 ENCOUNTERS = "document_id string, patient_id string, segment long, encounter int, title string, hospital string, doctor string, date date, place int, documents int"

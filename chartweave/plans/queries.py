@@ -34,6 +34,11 @@ def query(name: str, tables: str = "", sql: str = ""):
     return keep
 
 
+def shown_json(column: str):
+    """A column as JSON with all its fields, as SQL's to_json gives it."""
+    return F.to_json(column, {"ignoreNullFields": "false"})
+
+
 SURE = "verification_status IN ('verified', 'corrected')"
 NUMBER = r"TRY_CAST(regexp_extract(value, '^\s*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)', 1) AS DOUBLE)"
 DIGITS = r"TRY_CAST(regexp_extract(regexp_replace(value, '[^\d.]', '', 'g'), '^\s*((\d+\.?\d*|\.\d+))', 1) AS DOUBLE)"
@@ -46,15 +51,15 @@ PANEL_SQL = f"""
     row_number() OVER (PARTITION BY patient_id, panel, marker ORDER BY test_date DESC, id DESC) AS down FROM hits)
 , g AS (SELECT patient_id, panel, marker, max(CASE WHEN down = 1 THEN value END) AS latest, max(CASE WHEN down = 1 THEN unit END) AS unit,
     max(CASE WHEN down = 1 THEN x END) AS lx, max(CASE WHEN up = 1 THEN x END) AS fx, max(CASE WHEN down = 1 THEN test_date END) AS ld, max(CASE WHEN up = 1 THEN test_date END) AS fd,
-    max(x) AS highest, min(x) AS lowest, round(median(x), 6) AS median, bool_or(coalesce(abnormal_flag AND before, false)) AS persistent_abnormality, count(*) AS n_points
-    FROM flagged GROUP BY 1, 2, 3 HAVING max(x) IS NOT NULL)
+    max(x) AS highest, min(x) AS lowest, round(median(x), 6) AS median, bool_or(coalesce(abnormal_flag AND before, false)) AS persistent_abnormality, count(*) AS n_points,
+    to_json(list(struct_pack("date" := test_date, "value" := value) ORDER BY test_date, id))::VARCHAR AS points FROM flagged GROUP BY 1, 2, 3 HAVING max(x) IS NOT NULL)
 SELECT patient_id, panel, upper(marker) AS marker, latest, coalesce(unit, '') AS unit, highest, lowest, median,
-    CASE WHEN n_points < 2 OR ld = fd THEN 0.0 ELSE round((lx - fx) / abs(date_diff('day', fd, ld)), 3) + 0.0 END AS change_per_day, persistent_abnormality, n_points FROM g"""
+    CASE WHEN n_points < 2 OR ld = fd THEN 0.0 ELSE round((lx - fx) / abs(date_diff('day', fd, ld)), 3) + 0.0 END AS change_per_day, persistent_abnormality, n_points, points FROM g"""
 
 
 @query("a3_lab_panels", "labs", PANEL_SQL)
 def lab_panels(l):
-    return labs.panels(facts.verified(l))
+    return labs.panels(facts.verified(l)).withColumn("points", shown_json("points"))
 
 
 ASKED = ", ".join(f"('{t}')" for t in rules.TREND_TESTS)
@@ -63,10 +68,11 @@ ASKED = ", ".join(f"('{t}')" for t in rules.TREND_TESTS)
 @query("a4_lab_trends", "labs", f"""
 , hits AS (SELECT l.*, a.asked, {DIGITS} AS x FROM c_labs l JOIN (VALUES {ASKED}) a(asked) ON contains(lower(test_name), lower(asked)) OR contains(lower(asked), lower(test_name)) WHERE {SURE})
 , p AS (SELECT *, row_number() OVER (PARTITION BY patient_id, asked ORDER BY test_date DESC, id DESC) AS k FROM hits WHERE x IS NOT NULL)
-, g AS (SELECT patient_id, asked, max(CASE WHEN k = 1 THEN x END) AS latest_value, max(CASE WHEN k = 2 THEN x END) AS prev, min(x) AS min_val, max(x) AS max_val, count(*) AS n_points FROM p GROUP BY 1, 2)
-SELECT patient_id, asked, latest_value, CASE WHEN n_points < 2 THEN 'NONE' WHEN latest_value > prev THEN 'UPWARD' WHEN latest_value < prev THEN 'DOWNWARD' ELSE 'STABLE' END AS trend_direction, min_val, max_val, n_points FROM g""")
+, g AS (SELECT patient_id, asked, max(CASE WHEN k = 1 THEN x END) AS latest_value, max(CASE WHEN k = 1 THEN coalesce(unit, '') END) AS latest_unit, max(CASE WHEN k = 2 THEN x END) AS prev, min(x) AS min_val, max(x) AS max_val, count(*) AS n_points,
+    to_json(list(struct_pack("date" := test_date, "value" := x, unit := coalesce(unit, ''), is_abnormal := coalesce(abnormal_flag, false), reference_range := NULL::VARCHAR) ORDER BY test_date, id))::VARCHAR AS points FROM p GROUP BY 1, 2)
+SELECT patient_id, asked, latest_value, latest_unit, points, CASE WHEN n_points < 2 THEN 'NONE' WHEN latest_value > prev THEN 'UPWARD' WHEN latest_value < prev THEN 'DOWNWARD' ELSE 'STABLE' END AS trend_direction, min_val, max_val, n_points FROM g""")
 def lab_trends(l):
-    return labs.trends(facts.verified(l))
+    return labs.trends(facts.verified(l)).withColumn("points", shown_json("points"))
 
 
 @query("w1_progression_alerts", "labs", f"""
@@ -289,11 +295,12 @@ def place_search(r, d, *kinds):
 
 
 @query("w8_disease_journeys", "diagnoses", f"""
-, s AS (SELECT patient_id, id, created_on, {canonical_sql("name", "diagnosis")} AS canonical, CASE WHEN contains(lower(coalesce(notes, '')), 'worsening') OR contains(lower(coalesce(notes, '')), 'progression') THEN 'Progressing'
+, s AS (SELECT patient_id, id, created_on, coalesce(notes, '') AS notes, source_document_id, {canonical_sql("name", "diagnosis")} AS canonical, CASE WHEN contains(lower(coalesce(notes, '')), 'worsening') OR contains(lower(coalesce(notes, '')), 'progression') THEN 'Progressing'
   WHEN contains(lower(coalesce(notes, '')), 'improving') OR contains(lower(coalesce(notes, '')), 'resolved') THEN 'Resolved' WHEN is_chronic THEN 'Chronic (Stable)' WHEN verification_status = 'verified' THEN 'Confirmed' ELSE 'Confirmed (Corrected)' END AS status FROM c_diagnoses WHERE {SURE})
-SELECT patient_id, canonical, last(status ORDER BY created_on, id) AS status, count(*) AS milestones, string_agg(status, ' > ' ORDER BY created_on, id) AS path FROM s GROUP BY 1, 2""")
+SELECT patient_id, canonical, last(status ORDER BY created_on, id) AS status, count(*) AS milestones, string_agg(status, ' > ' ORDER BY created_on, id) AS path,
+  to_json(list(struct_pack("date" := created_on, status := status, notes := notes, document_id := source_document_id) ORDER BY created_on, id))::VARCHAR AS timeline FROM s GROUP BY 1, 2""")
 def disease_journeys(d):
-    return timeline.journeys(facts.verified(d))
+    return timeline.journeys(facts.verified(d)).withColumn("timeline", shown_json("timeline"))
 
 
 def _history_sql() -> str:
