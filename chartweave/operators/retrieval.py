@@ -22,30 +22,66 @@ def complaint_areas(sessions: DataFrame) -> DataFrame:
     return sessions.select("session_id", "patient_id", *(f.alias(f"is_{a}") for a, f in flags.items()))
 
 
-def relevant_history(sessions: DataFrame, diagnoses: DataFrame, medications: DataFrame, labs: DataFrame, procedures: DataFrame, as_of: str) -> DataFrame:
-    """Facts that bear on each complaint, with the first reason that holds, in the order of the areas."""
-    asked = complaint_areas(sessions)
+def relevant_history(sessions: DataFrame, diagnoses: DataFrame, medications: DataFrame, labs: DataFrame, procedures: DataFrame, as_of: str, records: DataFrame | None = None) -> DataFrame:
+    """Facts that bear on each complaint, with the first ``reason`` that holds, in the order of the areas.
 
-    def chosen(facts, kind, text, k, more=None):
-        joined = asked.join(facts, "patient_id")
+    With ``title``, ``date`` (the fact's own, else its record's of ``records``, else ``as_of``), ``details`` and where they stand: ``source_document_id``, ``source_page``, ``source_text``.
+    """
+    asked = complaint_areas(sessions)
+    days = None if records is None else records.select("record_id", F.col("event_date").alias("recorded"))
+
+    def shown(facts, kind, reason, title, own, details):
+        """``facts``: joined to sessions."""
+        facts = facts if days is None or "record_id" not in facts.columns else facts.join(days, "record_id", "left")
+        have = lambda c, t: F.col(c).cast(t) if c in facts.columns else F.lit(None).cast(t)
+        date = F.coalesce(have(own, "date"), have("recorded", "date"), F.lit(as_of).cast("date"))
+        return facts.withColumn("reason", reason).where("reason is not null").select(
+            "session_id", "patient_id", "id", F.lit(kind).alias("type"), "reason", title.alias("title"), date.alias("date"), details.alias("details"),
+            have("source_document_id", "string").alias("source_document_id"), have("source_page", "int").alias("source_page"), have("source_text", "string").alias("source_text"),
+        )
+
+    def by_area(kind, text, k, more=None):
         chain = F
         for area, words in rules.AREAS.items():
             hit = any_of(text, words[k])
             if more is not None and area == "accident":
                 hit = hit | more
             chain = chain.when(F.col(f"is_{area}") & hit, rules.RELEVANCE[kind, area])
-        return joined.withColumn("reason", chain).where("reason is not null").select("session_id", "patient_id", "id", F.lit(kind).alias("type"), "reason")
+        return chain
 
     noted = F.lower(F.concat_ws(" ", "name", F.coalesce("notes", F.lit(""))))
-    dx = chosen(diagnoses, "diagnosis", noted, 1, F.coalesce("is_chronic", F.lit(False)))
-    lab = chosen(labs, "lab_result", F.lower("test_name"), 2)
-    done = chosen(procedures, "procedure", noted, 3)
-    rx = asked.join(active(medications, as_of), "patient_id")
+    said = lambda c, text: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(text))
+    of = lambda facts: asked.join(facts, "patient_id")
+    dx = shown(of(diagnoses), "diagnosis", by_area("diagnosis", noted, 1, F.coalesce("is_chronic", F.lit(False))), F.col("name"), "event_date", said("notes", rules.NO_NOTES))
+    span = F.coalesce("reference_range", F.lit("N/A")) if "reference_range" in labs.columns else F.lit("N/A")
+    found = F.concat(F.lit("Reference Range: "), span, F.lit(". "), F.when(F.coalesce("abnormal_flag", F.lit(False)), "Flagged ABNORMAL.").otherwise(""))
+    result = F.concat("test_name", F.lit(": "), "value", F.lit(" "), F.coalesce("unit", F.lit("")))
+    lab = shown(of(labs), "lab_result", by_area("lab_result", F.lower("test_name"), 2), result, "test_date", found)
+    done = shown(of(procedures), "procedure", by_area("procedure", noted, 3), F.col("name"), "done_on", said("notes", rules.NO_PROCEDURE_NOTES))
     special = F.col("is_accident") & any_of(F.lower("medicine_name"), rules.ACCIDENT_DRUGS)
-    rx = rx.select("session_id", "patient_id", "id", F.lit("medication").alias("type"), F.when(special, rules.RELEVANCE["medication", "accident"]).otherwise(rules.RELEVANCE["medication", ""]).alias("reason"))
+    reason = F.when(special, rules.RELEVANCE["medication", "accident"]).otherwise(rules.RELEVANCE["medication", ""])
+    doses = F.concat(F.lit("Strength: "), said("strength", "N/A"), F.lit(", Dosage: "), said("dosage", "N/A"), F.lit(", Frequency: "), said("frequency", "N/A"))
+    rx = shown(of(active(medications, as_of)), "medication", reason, F.col("medicine_name"), "start_date", doses)
     return reduce(DataFrame.unionByName, (dx, rx, lab, done))
 
 
+def session_profiles(sessions: DataFrame, patients: DataFrame, labs: DataFrame) -> DataFrame:
+    """(``session_id``, ``patient_id``, ``allergies``, ``blood_group``, ``blood_group_provenance``): what stands beside each session's relevant history.
+
+    Allergies (names parted by bars) are the patient's own; a blood group is, too, unless a lab result of the patient names one.
+    """
+    named = F.lower("test_name").contains("blood group") | F.lower("test_name").contains("blood type")
+    tested = labs.where(named).select("patient_id").distinct().withColumn("tested", F.lit(True))
+    names = F.filter(F.transform(F.split(F.coalesce("allergies", F.lit("")), r"\|"), lambda a: F.trim(a)), lambda a: a != "")
+    people = patients.select(
+        F.col("id").alias("patient_id"), F.transform(names, lambda a: F.struct(a.alias("name"), F.lit("patient-entered").alias("provenance"))).alias("allergies"), F.nullif("blood_group", F.lit("")).alias("group")
+    )
+    rows = sessions.select("session_id", "patient_id").join(people, "patient_id", "left").join(tested, "patient_id", "left")
+    provenance = F.when(F.col("group").isNull(), "unknown").when(F.col("tested"), "verified").otherwise("patient-entered")
+    none = F.array().cast("array<struct<name:string,provenance:string>>")
+    return rows.select("session_id", "patient_id", F.coalesce("allergies", none).alias("allergies"), F.coalesce("group", F.lit("Unknown")).alias("blood_group"), provenance.alias("blood_group_provenance"))
+
+
 def packed_lines(text: str, most: int = 1000) -> list[str]:
     """Lines packed into chunks of at most ``most`` characters; a longer line is a chunk of its own."""
     out, now = [], ""

@@ -11,7 +11,7 @@ from .. import rules
 from ..functions import norm
 from ..functions.norm import canonical_sql, like_any
 from ..operators import briefs, facts, meds, payloads, ranges, retrieval, summaries, timeline, variants
-from .queries import ACTIVE, AS_OF, NUMBER, SURE, _history_sql, query
+from .queries import ACTIVE, AS_OF, NUMBER, SURE, _history_sql, query, shown_json
 
 _anti = "lower({}) IN (" + ", ".join(f"'{d}'" for d in rules.ANTIHYPERTENSIVES) + ")"
 _drug = "STRUCT(name VARCHAR, strength VARCHAR, dosage VARCHAR, doc VARCHAR)"
@@ -274,21 +274,23 @@ def unreadable(p):
 _flags, _found = _history_sql().split("FROM c_sessions) ", 1)
 
 
-@query("a16_doctor_briefs", "sessions triage diagnoses medications labs procedures patients", _flags + f"""FROM c_sessions)
+@query("a16_doctor_briefs", "sessions triage diagnoses medications labs procedures patients records", _flags + f"""FROM c_sessions)
 , hi AS ({_found})
 , t AS (SELECT 's' || session_id AS session_id, patient_id, reason_category, onset, severity, symptoms FROM c_triage WHERE coalesce(reason_category, '') <> '' AND coalesce(onset, '') <> '' AND coalesce(severity, '') <> '')
 , f AS (SELECT 'diagnosis' AS type, id, name FROM c_diagnoses WHERE {SURE} UNION ALL SELECT 'procedure', id, name FROM c_procedures WHERE {SURE} UNION ALL SELECT 'medication', id, medicine_name FROM c_medications WHERE {SURE} UNION ALL SELECT 'lab_result', id, test_name || ': ' || value || ' ' || coalesce(unit, '') FROM c_labs WHERE {SURE})
 , l AS (SELECT session_id, string_agg(name, '; ' ORDER BY type, id) FILTER (type IN ('diagnosis', 'procedure')) AS h, string_agg(name, '; ' ORDER BY id) FILTER (type = 'medication') AS m, string_agg(name, '; ' ORDER BY id) FILTER (type = 'lab_result') AS i FROM hi JOIN f USING (type, id) GROUP BY 1)
-SELECT session_id, 'Patient presents with self-reported ' || reason_category || ' starting ' || onset || ' (' || coalesce(replace(symptoms, '|', ', '), 'no associated symptoms selected') || ').' AS patient_summary, severity, coalesce(h, '') AS relevant_history, coalesce(m, '') AS current_medications,
-  coalesce(i, '') AS relevant_investigations, coalesce(p.allergies, '') AS allergies, '{rules.BRIEF_LIMITATIONS}' AS limitations FROM t LEFT JOIN l USING (session_id) LEFT JOIN c_patients p ON p.id = t.patient_id""")
-def doctor_briefs(s, t, d, m, l, p, people):
+, sn AS (SELECT session_id, to_json(list(struct_pack(type := type, id := id, title := title, "date" := "date", details := details, relevance := reason, document_id := source_document_id) ORDER BY type, id))::VARCHAR AS sources FROM hi GROUP BY 1)
+SELECT session_id, to_json(struct_pack(category := reason_category, onset := onset, severity := severity, symptoms := list_filter(string_split(coalesce(symptoms, ''), '|'), lambda x: x <> '')))::VARCHAR AS current_reason, coalesce(sources, '[]') AS sources, 'Patient presents with self-reported ' || reason_category || ' starting ' || onset || ' (' || coalesce(replace(symptoms, '|', ', '), 'no associated symptoms selected') || ').' AS patient_summary, severity, coalesce(h, '') AS relevant_history, coalesce(m, '') AS current_medications,
+  coalesce(i, '') AS relevant_investigations, coalesce(p.allergies, '') AS allergies, '{rules.BRIEF_LIMITATIONS}' AS limitations FROM t LEFT JOIN l USING (session_id) LEFT JOIN sn USING (session_id) LEFT JOIN c_patients p ON p.id = t.patient_id""")
+def doctor_briefs(s, t, d, m, l, p, people, records):
     d, m, l, p = (facts.verified(x) for x in (d, m, l, p))
     named = facts.fact_union(
         diagnosis=d.select("id", "name"), procedure=p.select("id", "name"), medication=m.select("id", F.col("medicine_name").alias("name")),
         lab_result=l.select("id", F.concat("test_name", F.lit(": "), "value", F.lit(" "), F.coalesce("unit", F.lit(""))).alias("name")),
     )
     context = t.withColumn("session_id", F.concat(F.lit("s"), F.col("session_id").cast("string")))
-    return briefs.doctor_briefs(context, retrieval.relevant_history(s, d, m, l, p, AS_OF), named, people)
+    out = briefs.doctor_briefs(context, retrieval.relevant_history(s, d, m, l, p, AS_OF, records), named, people)
+    return out.withColumns({c: shown_json(c) for c in ("current_reason", "sources")})
 
 
 def _memory_sql() -> str:

@@ -308,18 +308,35 @@ def _history_sql() -> str:
     flags = ", ".join(f"{like_any(text, w[0])}{' OR reason_category = $Accident / Injury$' if a == 'accident' else ''} AS is_{a}".replace("$", "'") for a, w in rules.AREAS.items())
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
 
-    def part(table, kind, expr, k, more=""):
+    source = "source_document_id, NULL::INT AS source_page, NULL::VARCHAR AS source_text"
+    records = "LEFT JOIN c_records r USING (record_id)"
+    said = lambda c, text: f"coalesce(nullif({c}, ''), '{text}')"
+
+    def part(table, kind, expr, k, title, own, details, more=""):
         cases = " ".join(f"WHEN is_{a} AND ({like_any(expr, w[k])}{more if a == 'accident' else ''}) THEN {quoted(rules.RELEVANCE[kind, a])}" for a, w in rules.AREAS.items())
-        return f"SELECT session_id, patient_id, id, '{kind}' AS type, reason FROM (SELECT a.session_id, a.patient_id, f.id, CASE {cases} END AS reason FROM asked a JOIN {table} f ON a.patient_id = f.patient_id WHERE {SURE}) WHERE reason IS NOT NULL"
+        return f"SELECT * FROM (SELECT a.session_id, a.patient_id, f.id, '{kind}' AS type, CASE {cases} END AS reason, {title} AS title, coalesce({own}, r.event_date, DATE '{AS_OF}') AS \"date\", {details} AS details, {source} FROM asked a JOIN {table} f ON a.patient_id = f.patient_id {records} WHERE {SURE}) WHERE reason IS NOT NULL"
 
     noted = "lower(name || ' ' || coalesce(notes, ''))"
-    drugs = f"SELECT a.session_id, a.patient_id, f.id, 'medication', CASE WHEN is_accident AND {like_any('lower(medicine_name)', rules.ACCIDENT_DRUGS)} THEN {quoted(rules.RELEVANCE['medication', 'accident'])} ELSE {quoted(rules.RELEVANCE['medication', ''])} END FROM asked a JOIN c_medications f ON a.patient_id = f.patient_id WHERE {SURE} AND {ACTIVE}"
-    return f", asked AS (SELECT session_id, patient_id, {flags} FROM c_sessions) " + " UNION ALL ".join([part("c_diagnoses", "diagnosis", noted, 1, " OR is_chronic"), drugs, part("c_labs", "lab_result", "lower(test_name)", 2), part("c_procedures", "procedure", noted, 3)])
-
-
-@query("j14_relevant_history", "sessions diagnoses medications labs procedures", _history_sql())
-def relevant_history(s, *kinds):
-    return retrieval.relevant_history(s, *(facts.verified(k) for k in kinds), AS_OF)
+    drugs = f"SELECT a.session_id, a.patient_id, f.id, 'medication', CASE WHEN is_accident AND {like_any('lower(medicine_name)', rules.ACCIDENT_DRUGS)} THEN {quoted(rules.RELEVANCE['medication', 'accident'])} ELSE {quoted(rules.RELEVANCE['medication', ''])} END, medicine_name, coalesce(start_date, r.event_date, DATE '{AS_OF}'), 'Strength: ' || {said('strength', 'N/A')} || ', Dosage: ' || {said('dosage', 'N/A')} || ', Frequency: ' || {said('frequency', 'N/A')}, {source} FROM asked a JOIN c_medications f ON a.patient_id = f.patient_id {records} WHERE {SURE} AND {ACTIVE}"
+    return f", asked AS (SELECT session_id, patient_id, {flags} FROM c_sessions) " + " UNION ALL ".join([
+        part("c_diagnoses", "diagnosis", noted, 1, "name", "NULL::DATE", said("notes", rules.NO_NOTES), " OR is_chronic"), drugs,
+        part("c_labs", "lab_result", "lower(test_name)", 2, "test_name || ': ' || value || ' ' || coalesce(unit, '')", "test_date", "'Reference Range: N/A. ' || CASE WHEN abnormal_flag THEN 'Flagged ABNORMAL.' ELSE '' END"),
+        part("c_procedures", "procedure", noted, 3, "name", "done_on", said("notes", rules.NO_PROCEDURE_NOTES)),
+    ])
+
+
+@query("j14_relevant_history", "sessions diagnoses medications labs procedures records", _history_sql())
+def relevant_history(s, d, m, l, p, r):
+    return retrieval.relevant_history(s, *(facts.verified(k) for k in (d, m, l, p)), AS_OF, r)
+
+
+@query("j14_session_profiles", "sessions patients labs", f"""
+, al AS (SELECT id, list_filter(list_transform(string_split(coalesce(allergies, ''), '|'), lambda a: trim(a)), lambda a: a <> '') AS a, nullif(blood_group, '') AS g FROM c_patients)
+, te AS (SELECT DISTINCT patient_id FROM c_labs WHERE {SURE} AND (contains(lower(test_name), 'blood group') OR contains(lower(test_name), 'blood type')))
+SELECT session_id, s.patient_id, coalesce(to_json(list_transform(a, lambda x: struct_pack(name := x, provenance := 'patient-entered')))::VARCHAR, '[]') AS allergies, coalesce(g, 'Unknown') AS blood_group,
+  CASE WHEN g IS NULL THEN 'unknown' WHEN te.patient_id IS NOT NULL THEN 'verified' ELSE 'patient-entered' END AS blood_group_provenance FROM c_sessions s LEFT JOIN al ON al.id = s.patient_id LEFT JOIN te ON te.patient_id = s.patient_id""")
+def session_profiles(s, p, l):
+    return retrieval.session_profiles(s, p, facts.verified(l)).withColumn("allergies", shown_json("allergies"))
 
 
 @query("t3_ranked_chunks", "questions chunks", r"""
