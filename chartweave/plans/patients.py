@@ -17,7 +17,7 @@ _anti = "lower({}) IN (" + ", ".join(f"'{d}'" for d in rules.ANTIHYPERTENSIVES)
 _drug = "STRUCT(name VARCHAR, strength VARCHAR, dosage VARCHAR, doc VARCHAR)"
 
 
-@query("u1_medication_switches", "medications labs", f"""
+SWITCH_SQL = f"""
 , hp AS (SELECT DISTINCT patient_id FROM c_labs WHERE (contains(lower(test_name), 'bp') OR contains(lower(test_name), 'blood pressure')) AND {NUMBER} > 140)
 , md AS (SELECT patient_id, {canonical_sql("medicine_name", "medication")} AS name, strength, dosage, source_document_id AS doc, coalesce(start_date, created_on) AS date, patient_id IN (SELECT patient_id FROM hp) AS pressure,
     row_number() OVER (PARTITION BY patient_id ORDER BY coalesce(start_date, created_on), id) AS k FROM c_medications WHERE {SURE})
@@ -28,7 +28,10 @@ _drug = "STRUCT(name VARCHAR, strength VARCHAR, dosage VARCHAR, doc VARCHAR)"
     CASE WHEN {_anti.format("md.name")} AND len(list_filter(st.taken, lambda t: t.name = md.name)) = 0 THEN list_filter(st.taken, lambda t: {_anti.format("t.name")})[1] END AS gone FROM st JOIN md ON md.patient_id = st.patient_id AND md.k = st.k + 1))
 , ev AS (SELECT patient_id, k, 1 AS o, 'Dose changed' AS type, name AS medicine, coalesce(nullif(old.strength, ''), nullif(old.dosage, ''), 'Previous Dose') AS from_value, coalesce(nullif(strength, ''), nullif(dosage, ''), 'New Dose') AS to_value, date, NULL AS reason, 'Dosing altered from ' || coalesce(nullif(old.strength, ''), old.dosage, 'null') || ' to ' || coalesce(nullif(strength, ''), dosage, 'null') AS evidence, [old.doc, doc] AS citations FROM st WHERE old IS NOT NULL AND (old.strength IS DISTINCT FROM strength OR old.dosage IS DISTINCT FROM dosage)
   UNION ALL SELECT patient_id, k, 1, 'Replacement', name, gone, name, date, CASE WHEN pressure THEN 'Blood pressure uncontrolled' ELSE 'Treatment optimization' END, name || ' substituted for ' || gone || '. Reason: ' || CASE WHEN pressure THEN 'Blood pressure uncontrolled' ELSE 'Treatment optimization' END || '.', [gone_doc, doc] FROM st WHERE gone IS NOT NULL UNION ALL SELECT patient_id, k, 2, 'Started', name, NULL, NULL, date, NULL, name || ' initiated daily.', [doc] FROM st WHERE k > 0 AND old IS NULL)
-SELECT patient_id, row_number() OVER (PARTITION BY patient_id ORDER BY k, o) AS seq, type, medicine, from_value, to_value, date, reason, evidence, to_json(citations)::VARCHAR AS citations FROM ev""")
+SELECT patient_id, row_number() OVER (PARTITION BY patient_id ORDER BY k, o) AS seq, type, medicine, from_value, to_value, date, reason, evidence, to_json(citations)::VARCHAR AS citations FROM ev"""
+
+
+@query("u1_medication_switches", "medications labs", SWITCH_SQL)
 def medication_switches(m, l):
     return meds.switches(facts.verified(m), l).withColumn("citations", F.to_json("citations"))
 

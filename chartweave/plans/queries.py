@@ -294,11 +294,14 @@ def place_search(r, d, *kinds):
     return timeline.search(timeline.events(r, d, *kinds).join(places, "source_document_id"), "Lake").select("id", "hospital")
 
 
-@query("w8_disease_journeys", "diagnoses", f"""
+JOURNEY_SQL = f"""
 , s AS (SELECT patient_id, id, created_on, coalesce(notes, '') AS notes, source_document_id, {canonical_sql("name", "diagnosis")} AS canonical, CASE WHEN contains(lower(coalesce(notes, '')), 'worsening') OR contains(lower(coalesce(notes, '')), 'progression') THEN 'Progressing'
   WHEN contains(lower(coalesce(notes, '')), 'improving') OR contains(lower(coalesce(notes, '')), 'resolved') THEN 'Resolved' WHEN is_chronic THEN 'Chronic (Stable)' WHEN verification_status = 'verified' THEN 'Confirmed' ELSE 'Confirmed (Corrected)' END AS status FROM c_diagnoses WHERE {SURE})
 SELECT patient_id, canonical, last(status ORDER BY created_on, id) AS status, count(*) AS milestones, string_agg(status, ' > ' ORDER BY created_on, id) AS path,
-  to_json(list(struct_pack("date" := created_on, status := status, notes := notes, document_id := source_document_id) ORDER BY created_on, id))::VARCHAR AS timeline FROM s GROUP BY 1, 2""")
+  to_json(list(struct_pack("date" := created_on, status := status, notes := notes, document_id := source_document_id) ORDER BY created_on, id))::VARCHAR AS timeline FROM s GROUP BY 1, 2"""
+
+
+@query("w8_disease_journeys", "diagnoses", JOURNEY_SQL)
 def disease_journeys(d):
     return timeline.journeys(facts.verified(d)).withColumn("timeline", shown_json("timeline"))
 
