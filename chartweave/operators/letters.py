@@ -201,33 +201,64 @@ def ambiguous_dosages(medications: DataFrame) -> DataFrame:
 
 
 def type_errors(typed: DataFrame, labs: DataFrame, medications: DataFrame, stays: DataFrame) -> DataFrame:
-    """(``document_id``, ``field``, ``severity``): what a document of its subtype must hold and lacks.
+    """(``document_id``, ``field``, ``error``, ``severity``): what a document of its subtype must hold and lacks, and medicine names that can't be.
 
     ``typed``: ``document_id``, ``document_type``, ``patient_name``; ``labs``: ``document_id``, ``test_name``, ``value``;
     ``medications``: ``document_id``, ``medicine_name``; ``stays``: ``document_id`` of documents with both dates.
     """
     name = F.lower("test_name")
     number = leading_number(F.col("value"))
-    # by document: whether markers are there, the first HbA1c value
+    # by document: whether markers are there, and the smallest HbA1c value that can't be
     has = labs.groupBy("document_id").agg(
         F.bool_or(name.rlike("haemoglobin|hemoglobin|hb")).alias("hb"), F.bool_or(name.rlike("wbc|white blood")).alias("wbc"), F.bool_or(name.contains("platelet")).alias("plt"),
         F.bool_or(name.contains("cholesterol")).alias("chol"), F.bool_or(name.contains("trig")).alias("trig"), F.bool_or(name.contains("hba1c")).alias("sugar"),
-        F.bool_or(name.contains("hba1c") & (number.isNull() | (number < 2) | (number > 25))).alias("odd"),
+        F.min(F.when(name.contains("hba1c") & (number.isNull() | (number < 2) | (number > 25)), F.coalesce("value", F.lit("null")))).alias("odd"),
     )
-    drug = F.coalesce(stripped(F.col("medicine_name")), F.lit(""))
-    meds = medications.groupBy("document_id").agg(F.bool_or(F.length(drug) < 3).alias("short"), F.bool_or(F.length("medicine_name") > 100).alias("long"), F.lit(True).alias("drugs"))
-    rows = typed.join(has, "document_id", "left").join(meds, "document_id", "left").join(stays.select("document_id", F.lit(True).alias("dated")), "document_id", "left")
+    drugs = medications.select("document_id").distinct().withColumn("drugs", F.lit(True))
+    rows = typed.join(has, "document_id", "left").join(drugs, "document_id", "left").join(stays.select("document_id", F.lit(True).alias("dated")), "document_id", "left")
     is_ = lambda kind: F.col("document_type") == kind
     lacks = lambda c: ~F.coalesce(c, F.lit(False))
-    yes = lambda c: F.coalesce(c, F.lit(False))
+
+    def told(field: str, severity: str, hit: Column, text: Column | None = None) -> Column:
+        return F.when(hit, F.struct(F.lit(field).alias("field"), (F.lit(rules.TYPE_ERRORS[field]) if text is None else text).alias("error"), F.lit(severity).alias("severity")))
+
     errors = F.array_compact(F.array(
-        error("labResults.hemoglobin", "error", is_("CBC") & lacks("hb")), error("labResults.wbc", "error", is_("CBC") & lacks("wbc")), error("labResults.platelets", "error", is_("CBC") & lacks("plt")),
-        error("medications", "error", is_("Prescription") & lacks("drugs")), error("medications.short", "error", is_("Prescription") & yes("short")), error("medications.long", "error", is_("Prescription") & yes("long")),
-        error("patientName", "warning", is_("Discharge Summary") & (F.coalesce("patient_name", F.lit("")) == "")), error("dates", "warning", is_("Discharge Summary") & lacks("dated")),
-        error("labResults.cholesterol", "error", is_("Lipid Profile") & lacks("chol")), error("labResults.triglycerides", "error", is_("Lipid Profile") & lacks("trig")),
-        error("labResults.hba1c", "error", is_("HbA1c") & lacks("sugar")), error("labResults.hba1c.value", "error", is_("HbA1c") & yes("odd")),
+        told("labResults.hemoglobin", "error", is_("CBC") & lacks("hb")), told("labResults.wbc", "error", is_("CBC") & lacks("wbc")), told("labResults.platelets", "error", is_("CBC") & lacks("plt")),
+        told("medications", "error", is_("Prescription") & lacks("drugs")),
+        told("patientName", "warning", is_("Discharge Summary") & (F.coalesce("patient_name", F.lit("")) == "")), told("dates", "warning", is_("Discharge Summary") & lacks("dated")),
+        told("labResults.cholesterol", "error", is_("Lipid Profile") & lacks("chol")), told("labResults.triglycerides", "error", is_("Lipid Profile") & lacks("trig")),
+        told("labResults.hba1c", "error", is_("HbA1c") & lacks("sugar")),
+        told("labResults.hba1c.value", "error", is_("HbA1c") & F.col("odd").isNotNull(), F.format_string(rules.ODD_SUGAR, "odd")),
+    ))
+    found = rows.select("document_id", F.explode(errors).alias("e")).select("document_id", "e.*")
+    # each medicine of a prescription by itself
+    given = F.nullif("medicine_name", F.lit(""))
+    taken = medications.join(typed.where(is_("Prescription")).select("document_id"), "document_id", "left_semi")
+    short = F.length(F.coalesce(stripped(given), F.lit(""))) < 3
+    each = F.array_compact(F.array(
+        F.when(short, F.struct(F.concat(F.lit("medications."), F.coalesce(given, F.lit("item"))).alias("field"), F.lit(rules.SHORT_NAME).alias("error"))),
+        F.when(F.length(given) > MOST_NAME, F.struct(F.concat(F.lit("medications."), F.substring(given, 1, 20)).alias("field"), F.lit(rules.LONG_NAME).alias("error"))),
     ))
-    return rows.select("document_id", F.explode(errors).alias("e")).select("document_id", "e.field", "e.severity")
+    named = taken.select("document_id", F.explode(each).alias("e")).select("document_id", "e.field", "e.error", F.lit("error").alias("severity"))
+    return found.unionByName(named)
+
+
+#: The longest name of a medicine; a longer one is likely a stretch of the text.
+MOST_NAME = 100
+
+
+def valid_names(medications: DataFrame) -> DataFrame:
+    """Medications with over-long names replaced, as they are stored."""
+    name = F.col("medicine_name")
+    return medications.withColumn("medicine_name", F.when(F.length(name) > MOST_NAME, rules.REPLACED_NAME).otherwise(name))
+
+
+def validity(typed: DataFrame, errors: DataFrame) -> DataFrame:
+    """(``document_id``, ``is_valid``, ``n_errors``, ``n_warnings``) of all documents."""
+    count = lambda kind: F.count_if(F.col("severity") == kind)
+    per = errors.groupBy("document_id").agg(count("error").alias("e"), count("warning").alias("w"))
+    rows = typed.select("document_id").join(per, "document_id", "left").select("document_id", *(F.coalesce(c, F.lit(0)).alias(n) for c, n in (("e", "n_errors"), ("w", "n_warnings"))))
+    return rows.withColumn("is_valid", F.col("n_errors") == 0)
 
 
 def final_status(documents: DataFrame, errors: DataFrame) -> DataFrame:

@@ -134,26 +134,41 @@ def final_states(l, p):
     return letters.final_status(letters.pattern_types(l), letters.general_errors(general(l, p), AS_OF))
 
 
-@query("d1_type_errors", "reports", VALUES + SUGAR + PRESCRIBED + r"""
+TYPE_ERRORS = VALUES + SUGAR + PRESCRIBED + r"""
 , lb AS (SELECT document_id, lower(marker) AS n, value FROM va UNION ALL SELECT document_id, 'hba1c', value FROM su)
 , hs AS (SELECT document_id, bool_or(regexp_matches(n, 'haemoglobin|hemoglobin|hb')) AS hb, bool_or(regexp_matches(n, 'wbc|white blood')) AS wbc, bool_or(contains(n, 'platelet')) AS plt, bool_or(contains(n, 'cholesterol')) AS chol, bool_or(contains(n, 'trig')) AS trig,
-   bool_or(contains(n, 'hba1c')) AS sugar, bool_or(contains(n, 'hba1c') AND NOT value::DOUBLE BETWEEN 2 AND 25) AS odd FROM lb GROUP BY 1)
-, md AS (SELECT document_id, bool_or(length(medicine_name) < 3) AS short, bool_or(length(medicine_name) > 100) AS long FROM pr GROUP BY 1)
+   bool_or(contains(n, 'hba1c')) AS sugar, min(CASE WHEN contains(n, 'hba1c') AND NOT value::DOUBLE BETWEEN 2 AND 25 THEN value END) AS odd FROM lb GROUP BY 1)
+, md AS (SELECT DISTINCT document_id FROM pr)
 , pn AS (SELECT document_id, regexp_matches(text, '(?:patient name|patient|name)\s*:\s*[^\n\r,;:\t]+', 'i') AS named, len(regexp_extract_all(text, '\b\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}\b')) >= 2 AS dated FROM c_reports)
-, al AS (SELECT cl.document_id, document_type AS t, coalesce(hb, false) AS hb, coalesce(wbc, false) AS wbc, coalesce(plt, false) AS plt, coalesce(chol, false) AS chol, coalesce(trig, false) AS trig, coalesce(sugar, false) AS sugar, coalesce(odd, false) AS odd,
-   md.document_id IS NOT NULL AS drugs, coalesce(short, false) AS short, coalesce(long, false) AS long, named, dated FROM cl JOIN pn USING (document_id) LEFT JOIN hs USING (document_id) LEFT JOIN md USING (document_id))
-""" + " UNION ALL ".join(f"SELECT document_id, '{field}' AS field, '{severity}' AS severity FROM al WHERE t = '{kind}' AND {test}" for kind, field, severity, test in [
-    ("CBC", "labResults.hemoglobin", "error", "NOT hb"), ("CBC", "labResults.wbc", "error", "NOT wbc"), ("CBC", "labResults.platelets", "error", "NOT plt"),
-    ("Prescription", "medications", "error", "NOT drugs"), ("Prescription", "medications.short", "error", "short"), ("Prescription", "medications.long", "error", "long"),
-    ("Discharge Summary", "patientName", "warning", "NOT named"), ("Discharge Summary", "dates", "warning", "NOT dated"),
-    ("Lipid Profile", "labResults.cholesterol", "error", "NOT chol"), ("Lipid Profile", "labResults.triglycerides", "error", "NOT trig"),
-    ("HbA1c", "labResults.hba1c", "error", "NOT sugar"), ("HbA1c", "labResults.hba1c.value", "error", "odd"),
-]))
-def type_errors(r):
+, al AS (SELECT cl.document_id, document_type AS t, coalesce(hb, false) AS hb, coalesce(wbc, false) AS wbc, coalesce(plt, false) AS plt, coalesce(chol, false) AS chol, coalesce(trig, false) AS trig, coalesce(sugar, false) AS sugar, odd,
+   md.document_id IS NOT NULL AS drugs, named, dated FROM cl JOIN pn USING (document_id) LEFT JOIN hs USING (document_id) LEFT JOIN md USING (document_id))
+, er AS (""" + " UNION ALL ".join(f"SELECT document_id, '{field}' AS field, {text} AS error, '{severity}' AS severity FROM al WHERE t = '{kind}' AND {test}" for kind, field, severity, test, text in [
+    *((kind, field, severity, test, f"'{rules.TYPE_ERRORS[field]}'") for kind, field, severity, test in [
+        ("CBC", "labResults.hemoglobin", "error", "NOT hb"), ("CBC", "labResults.wbc", "error", "NOT wbc"), ("CBC", "labResults.platelets", "error", "NOT plt"),
+        ("Prescription", "medications", "error", "NOT drugs"), ("Discharge Summary", "patientName", "warning", "NOT named"), ("Discharge Summary", "dates", "warning", "NOT dated"),
+        ("Lipid Profile", "labResults.cholesterol", "error", "NOT chol"), ("Lipid Profile", "labResults.triglycerides", "error", "NOT trig"), ("HbA1c", "labResults.hba1c", "error", "NOT sugar"),
+    ]),
+    ("HbA1c", "labResults.hba1c.value", "error", "odd IS NOT NULL", "'" + rules.ODD_SUGAR.replace("%s%%", "' || odd || '%'")),
+]) + f"""
+  UNION ALL SELECT document_id, 'medications.' || coalesce(nullif(medicine_name, ''), 'item'), '{rules.SHORT_NAME}', 'error' FROM pr WHERE length(trim(medicine_name)) < 3
+  UNION ALL SELECT document_id, 'medications.' || medicine_name[1:20], '{rules.LONG_NAME}', 'error' FROM pr WHERE length(medicine_name) > 100)"""
+
+
+def checked(r):
     t = typed(r)
     labs = reports.marker_values(t).select("document_id", F.col("marker").alias("test_name"), "value").unionByName(reports.long_term_sugar(t).select("document_id", F.lit("HbA1c").alias("test_name"), "value"))
     dated = r.where(F.size(F.regexp_extract_all("text", F.lit(f"({rules.PLAIN_DATE})"), F.lit(1))) >= 2)
-    return letters.type_errors(t.join(reports.patient_names(r), "document_id"), labs, reports.prescribed(t), dated)
+    return t, letters.type_errors(t.join(reports.patient_names(r), "document_id"), labs, reports.prescribed(t), dated)
+
+
+@query("d1_type_errors", "reports", TYPE_ERRORS + " SELECT * FROM er")
+def type_errors(r):
+    return checked(r)[1]
+
+
+@query("d1_valid_documents", "reports", TYPE_ERRORS + " SELECT cl.document_id, count(*) FILTER (severity = 'error') = 0 AS is_valid, count(*) FILTER (severity = 'error') AS n_errors, count(*) FILTER (severity = 'warning') AS n_warnings FROM cl LEFT JOIN er USING (document_id) GROUP BY 1")
+def valid_documents(r):
+    return letters.validity(*checked(r))
 
 
 @query("d3_lab_sanity", "labs", r"""
