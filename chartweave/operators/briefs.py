@@ -50,6 +50,38 @@ def emergency_medications(manual: DataFrame, medications: DataFrame) -> DataFram
     return manual.select("patient_id", "name", F.lit("patient-entered").alias("provenance")).unionByName(more.select("patient_id", "name", F.lit("document-verified").alias("provenance")))
 
 
+def emergency_profiles(patients: DataFrame, config: DataFrame, groups: DataFrame, conditions: DataFrame, medications: DataFrame) -> DataFrame:
+    """One row for each patient, as far as its configuration shows it: name, blood group, allergies, conditions and medications, each with where it comes from.
+
+    ``config``: ``patient_id`` and flags ``show_<part>`` (a missing one shows); ``groups``: of ``facts.blood_groups``; ``conditions``, ``medications``:
+    ``patient_id``, ``name``, ``provenance``. What patients entered comes first, then by name.
+    """
+    def shows(part: str) -> Column:
+        return F.coalesce(F.col(f"show_{part}"), F.lit(True)) if f"show_{part}" in config.columns else F.lit(True)
+
+    entry = "array<struct<value:string,provenance:string>>"
+
+    def gathered(rows: DataFrame, name: str) -> DataFrame:
+        order = F.struct((F.col("provenance") != "patient-entered").alias("later"), F.col("name"), F.struct(F.col("name").alias("value"), "provenance").alias("x"))
+        return rows.groupBy("patient_id").agg(F.sort_array(F.collect_list(order))["x"].cast(entry).alias(name))
+
+    rows = patients.withColumnRenamed("id", "patient_id").drop("blood_group").join(config, "patient_id", "left").join(groups, "patient_id", "left")
+    rows = rows.join(gathered(conditions, "conditions"), "patient_id", "left").join(gathered(medications, "medications"), "patient_id", "left")
+    both = F.format_string("%s (Manual) / %s (Lab)", "blood_group", "lab_value")
+    value = F.when(F.col("provenance") == "conflict", both).otherwise(F.coalesce("lab_value", "blood_group", F.lit("Unknown")))
+    message = F.when(F.col("provenance") == "conflict", rules.GROUP_CONFLICT)
+    group = lambda v, p, m: F.struct(v.alias("value"), p.alias("provenance"), m.alias("message"))
+    hidden = F.lit(rules.HIDDEN)
+    allergies = F.filter(F.transform(F.split(F.coalesce("allergies", F.lit("")), r"\|"), stripped), lambda a: a != "")
+    own = F.transform(allergies, lambda a: F.struct(a.alias("value"), F.lit("patient-entered").alias("provenance")))
+    part = lambda c, name: F.when(shows(name), F.coalesce(c, F.array().cast(entry))).otherwise(F.array().cast(entry))
+    return rows.select(
+        "patient_id", F.when(shows("full_name"), F.col("full_name")).otherwise(hidden).alias("full_name"),
+        F.when(shows("blood_group"), group(value, F.col("provenance"), message)).otherwise(group(hidden, F.lit("redacted"), F.lit(None).cast("string"))).alias("blood_group"),
+        part(own, "allergies").alias("allergies"), part(F.col("conditions"), "conditions").alias("conditions"), part(F.col("medications"), "medications").alias("medications"),
+    )
+
+
 def memories(patients: DataFrame, diagnoses: DataFrame, medications: DataFrame) -> DataFrame:
     """A compact text for each patient: chronic and resolved conditions, long-term medications with strength, allergies."""
     name = canonical(F.col("name"), "diagnosis")

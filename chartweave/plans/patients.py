@@ -11,7 +11,7 @@ from .. import rules
 from ..functions import norm
 from ..functions.norm import canonical_sql, like_any
 from ..operators import briefs, facts, meds, payloads, ranges, retrieval, summaries, timeline, variants
-from .queries import ACTIVE, AS_OF, NUMBER, SURE, _history_sql, query, shown_json
+from .queries import ACTIVE, AS_OF, BLOOD_GROUP_SQL, EMERGENCY_CONDITIONS, NUMBER, SURE, _history_sql, query, shown_json
 
 _anti = "lower({}) IN (" + ", ".join(f"'{d}'" for d in rules.ANTIHYPERTENSIVES) + ")"
 _drug = "STRUCT(name VARCHAR, strength VARCHAR, dosage VARCHAR, doc VARCHAR)"
@@ -216,15 +216,36 @@ def account_cascade(p, *tables):
     return reduce(DataFrame.unionByName, (df.agg(F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("n")) for t, df in left))
 
 
-@query("j12_emergency_medications", "patients medications", f"""
+EMERGENCY_MEDICATIONS = f"""
 , a AS (SELECT DISTINCT patient_id, medicine_name, strength FROM c_medications WHERE verification_status = 'verified' AND {ACTIVE})
 SELECT id AS patient_id, 'Metformin 500mg' AS name, 'patient-entered' AS provenance FROM c_patients WHERE manual_condition IS NOT NULL UNION ALL
-SELECT a.patient_id, a.medicine_name || CASE WHEN strength IS NULL THEN '' ELSE ' ' || strength END, 'document-verified' FROM a WHERE NOT EXISTS (SELECT 1 FROM c_patients p WHERE p.id = a.patient_id AND p.manual_condition IS NOT NULL AND lower('Metformin 500mg') IN (lower(a.medicine_name), lower(a.medicine_name || ' ' || coalesce(strength, ''))))""")
+SELECT a.patient_id, a.medicine_name || CASE WHEN strength IS NULL THEN '' ELSE ' ' || strength END, 'document-verified' FROM a WHERE NOT EXISTS (SELECT 1 FROM c_patients p WHERE p.id = a.patient_id AND p.manual_condition IS NOT NULL AND lower('Metformin 500mg') IN (lower(a.medicine_name), lower(a.medicine_name || ' ' || coalesce(strength, ''))))"""
+
+
+@query("j12_emergency_medications", "patients medications", EMERGENCY_MEDICATIONS)
 def emergency_medications(p, m):
     manual = p.where("manual_condition is not null").select(F.col("id").alias("patient_id"), F.lit("Metformin 500mg").alias("name"))
     return briefs.emergency_medications(manual, facts.active(m.where("verification_status = 'verified'"), AS_OF))
 
 
+_items = lambda name, table: f"{name} AS (SELECT patient_id, list(struct_pack(value := name, provenance := provenance) ORDER BY provenance <> 'patient-entered', name) AS x FROM {table} GROUP BY 1)"
+_list = lambda x: f"to_json(coalesce({x}, []))::VARCHAR"
+
+
+@query("j12_emergency_profiles", "patients config labs diagnoses medications", f"""
+, gr AS (WITH {BLOOD_GROUP_SQL[3:]}), e1 AS ({EMERGENCY_CONDITIONS}), e2 AS (WITH {EMERGENCY_MEDICATIONS[3:]})
+, {_items("co", "e1")}, {_items("me", "e2")}
+SELECT p.id AS patient_id, CASE WHEN coalesce(show_full_name, true) THEN full_name ELSE '{rules.HIDDEN}' END AS full_name,
+  to_json(CASE WHEN NOT coalesce(show_blood_group, true) THEN struct_pack(value := '{rules.HIDDEN}', provenance := 'redacted', message := NULL::VARCHAR)
+    WHEN gr.provenance = 'conflict' THEN struct_pack(value := gr.blood_group || ' (Manual) / ' || lab_value || ' (Lab)', provenance := gr.provenance, message := '{rules.GROUP_CONFLICT}')
+    ELSE struct_pack(value := coalesce(lab_value, gr.blood_group, 'Unknown'), provenance := gr.provenance, message := NULL::VARCHAR) END)::VARCHAR AS blood_group,
+  {_list("list_transform(list_filter(list_transform(string_split(coalesce(allergies, ''), '|'), lambda a: trim(a)), lambda a: a <> ''), lambda a: struct_pack(value := a, provenance := 'patient-entered'))")} AS allergies, {_list("co.x")} AS conditions, {_list("me.x")} AS medications
+FROM c_patients p LEFT JOIN c_config c ON c.patient_id = p.id LEFT JOIN gr ON gr.patient_id = p.id LEFT JOIN co ON co.patient_id = p.id LEFT JOIN me ON me.patient_id = p.id""")
+def emergency_profiles(p, c, l, d, m):
+    out = briefs.emergency_profiles(p, c, facts.blood_groups(p, l), summaries.emergency_conditions(p, d), emergency_medications(p, m))
+    return out.withColumns({n: shown_json(n) for n in ("blood_group", "allergies", "conditions", "medications")})
+
+
 @query("n1_payload_rows", "full_payloads", """
 , ok AS (SELECT document_id, patient_id, CASE WHEN json_valid(payload) THEN payload END AS p FROM c_full_payloads)
 , g AS (SELECT * FROM ok WHERE json_extract_string(p, '$.documentType') IS NOT NULL)

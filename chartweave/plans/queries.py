@@ -251,9 +251,12 @@ def profile_sync(p, d, m):
     return out.select("patient_id", *(F.array_join(c, ";").alias(c) for c in ("conditions", "medications", "allergies")))
 
 
-@query("j13_blood_groups", "patients labs", """
+BLOOD_GROUP_SQL = """
 , s AS (SELECT patient_id, arg_min(value, id) AS lab_value FROM c_labs WHERE verification_status = 'verified' AND (contains(lower(test_name), 'blood type') OR contains(lower(test_name), 'abo') OR contains(lower(test_name), 'blood group')) GROUP BY 1)
-SELECT p.id AS patient_id, blood_group, lab_value, CASE WHEN lab_value IS NOT NULL AND blood_group IS NOT NULL AND lower(trim(blood_group)) <> lower(trim(lab_value)) THEN 'conflict' WHEN lab_value IS NOT NULL THEN 'document-verified' WHEN blood_group IS NOT NULL THEN 'patient-entered' ELSE 'unknown' END AS provenance FROM c_patients p LEFT JOIN s ON p.id = s.patient_id""")
+SELECT p.id AS patient_id, blood_group, lab_value, CASE WHEN lab_value IS NOT NULL AND blood_group IS NOT NULL AND lower(trim(blood_group)) <> lower(trim(lab_value)) THEN 'conflict' WHEN lab_value IS NOT NULL THEN 'document-verified' WHEN blood_group IS NOT NULL THEN 'patient-entered' ELSE 'unknown' END AS provenance FROM c_patients p LEFT JOIN s ON p.id = s.patient_id"""
+
+
+@query("j13_blood_groups", "patients labs", BLOOD_GROUP_SQL)
 def blood_groups(p, l):
     return facts.blood_groups(p, l)
 
@@ -628,9 +631,12 @@ def memory_texts(p, d, m):
     return summaries.memories(p, facts.verified(d), facts.verified(m))
 
 
-@query("j12_emergency_conditions", "patients diagnoses", """
+EMERGENCY_CONDITIONS = """
 SELECT id AS patient_id, manual_condition AS name, 'patient-entered' AS provenance FROM c_patients WHERE manual_condition IS NOT NULL UNION ALL
-SELECT patient_id, name, 'document-verified' FROM (SELECT DISTINCT patient_id, name FROM c_diagnoses WHERE is_chronic AND verification_status = 'verified') x WHERE NOT EXISTS (SELECT 1 FROM c_patients p WHERE p.id = x.patient_id AND lower(p.manual_condition) = lower(x.name))""")
+SELECT patient_id, name, 'document-verified' FROM (SELECT DISTINCT patient_id, name FROM c_diagnoses WHERE is_chronic AND verification_status = 'verified') x WHERE NOT EXISTS (SELECT 1 FROM c_patients p WHERE p.id = x.patient_id AND lower(p.manual_condition) = lower(x.name))"""
+
+
+@query("j12_emergency_conditions", "patients diagnoses", EMERGENCY_CONDITIONS)
 def emergency_conditions(p, d):
     return summaries.emergency_conditions(p, d)
 

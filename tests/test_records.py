@@ -125,6 +125,21 @@ def test_kidney_values_and_type_errors(spark):
     assert got == {("2", "labResults.hba1c.value"), ("3", "labResults.hemoglobin"), ("3", "labResults.platelets")}
 
 
+def test_texts_of_type_errors_and_replaced_names(spark):
+    long = "Paracetamol" * 15
+    df = spark.createDataFrame([("1", "Prescription", None), ("2", "Prescription", None), ("3", "HbA1c", None)], "document_id string, document_type string, patient_name string")
+    drugs = spark.createDataFrame([("1", long), ("1", "ab"), ("1", None), ("1", "Metformin"), ("3", "x")], "document_id string, medicine_name string")
+    values = spark.createDataFrame([("3", "HbA1c", "31")], "document_id string, test_name string, value string")
+    errors = letters.type_errors(df, values, drugs, df.limit(0))
+    got = {(r.document_id, r.field): r.error for r in errors.collect()}
+    assert got == {
+        ("1", f"medications.{long[:20]}"): letters.rules.LONG_NAME, ("1", "medications.ab"): "Invalid medicine name", ("1", "medications.item"): "Invalid medicine name",
+        ("2", "medications"): "Prescription must contain at least one medication entry", ("3", "labResults.hba1c.value"): "Unreasonable HbA1c value: 31%",
+    }
+    assert {r.medicine_name for r in letters.valid_names(drugs).collect()} == {"Invalid Medicine", "ab", None, "Metformin", "x"}
+    assert {r.document_id: (r.is_valid, r.n_errors) for r in letters.validity(df, errors).collect()} == {"1": (False, 3), "2": (False, 1), "3": (False, 1)}
+
+
 def test_payload_source_texts_and_raw_entries(spark):
     p = '{"documentType": "PRESCRIPTION", "documentDate": {"value": "2021-05-06", "sourceText": " Dated X"}, "medications": [{"medicineName": "Pan 40", "batch": "B1", "sourceText": "dated x"}, {"medicineName": "Pan 40 tab", "batch": "B2"}], "labResults": null}'
     df = spark.createDataFrame([("1", "p", p), ("2", "p", "{"), ("3", "p", None)], "document_id string, patient_id string, payload string")
