@@ -21,6 +21,13 @@ def owned(rows: DataFrame, patients: DataFrame, user_id: str) -> DataFrame:
     return rows.join(patients.where(F.col("user_id") == user_id).select(F.col("id").alias("patient_id")), "patient_id", "left_semi")
 
 
+def owned_paths(files: DataFrame, patients: DataFrame, user_id: str, path: str = "storage_path") -> DataFrame:
+    """Files that lie in the folder of a patient that the user owns: the path's first segment is "patients", its second such a patient's id."""
+    parts = F.split(path, "/")
+    mine = patients.where(F.col("user_id") == user_id).select(F.col("id").alias("owner__"))
+    return files.join(mine, (F.get(parts, F.lit(0)) == "patients") & (F.get(parts, F.lit(1)) == F.col("owner__")), "left_semi")
+
+
 def active(medications: DataFrame, as_of: str) -> DataFrame:
     """Without an end, or ending at ``as_of`` (midnight of a day counts as its start) or later."""
     return medications.where(F.col("end_date").isNull() | (F.col("end_date").cast("timestamp") >= F.lit(as_of).cast("timestamp")))

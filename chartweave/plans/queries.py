@@ -177,6 +177,14 @@ def owned_documents(d, p):
     return facts.owned(d, p, "u3").select("id", "patient_id")
 
 
+_place = "CASE WHEN is_deleted THEN 'trash/' ELSE 'patients/' END || patient_id || '/documents/' || id || '/' || file_name"
+
+
+@query("f2_owned_files", "documents patients", f"SELECT id, storage_path FROM (SELECT *, {_place} AS storage_path FROM c_documents) WHERE split_part(storage_path, '/', 1) = 'patients' AND split_part(storage_path, '/', 2) IN (SELECT id FROM c_patients WHERE user_id = 'u3')")
+def owned_files(d, p):
+    return facts.owned_paths(d.withColumn("storage_path", F.expr(_place)), p, "u3").select("id", "storage_path")
+
+
 @query("s3_safe_file_names", "documents", "SELECT id, regexp_replace(file_name, '[^a-zA-Z0-9._-]', '_', 'g') AS safe_name FROM c_documents WHERE NOT is_deleted")
 def safe_names(d):
     return d.where("not is_deleted").select("id", safe_file_name(F.col("file_name")).alias("safe_name"))
