@@ -119,14 +119,27 @@ def mean_confidence(documents: DataFrame, facts: DataFrame) -> DataFrame:
     return joined.select(documents.id, "mean", confidence_tier(F.col("mean")).alias("tier"))
 
 
-def profiles(patients: DataFrame, diagnoses: DataFrame, medications: DataFrame) -> DataFrame:
-    """Each patient's distinct chronic conditions, long-term medications and allergies, sorted."""
+def payload_allergies(payloads: DataFrame) -> DataFrame:
+    """(``patient_id``, ``allergy``): distinct trimmed allergies of payloads (``patient_id``, ``payload``), texts or objects with a ``value``; others and blank ones are none."""
+    rows = payloads.select("patient_id", F.explode(F.try_variant_get(F.try_parse_json("payload"), "$.allergies", "array<variant>")).alias("x"))
+    is_text = lambda v: F.schema_of_variant(v).eqNullSafe("STRING")
+    value = F.try_variant_get("x", "$.value", "variant")
+    text = F.when(is_text(F.col("x")), F.try_variant_get("x", "$", "string")).when(is_text(value), F.try_variant_get("x", "$.value", "string"))
+    return rows.select("patient_id", stripped(text).alias("allergy")).where("allergy <> ''").distinct()
+
+
+def profiles(patients: DataFrame, diagnoses: DataFrame, medications: DataFrame, payloads: DataFrame | None = None) -> DataFrame:
+    """Each patient's distinct chronic conditions, long-term medications and allergies (own ones and those of ``payloads``), sorted."""
     dx = diagnoses.where(chronic(F.col("name"), F.col("is_chronic"))).groupBy("patient_id").agg(F.sort_array(F.collect_set(stripped(F.col("name")))).alias("conditions"))
     rx = medications.where(long_term(F.col("medicine_name"), F.col("duration"))).groupBy("patient_id").agg(F.sort_array(F.collect_set(stripped(F.col("medicine_name")))).alias("medications"))
     none = F.array().cast("array<string>")
     out = patients.withColumnRenamed("id", "patient_id").join(dx, "patient_id", "left").join(rx, "patient_id", "left")
-    mine = F.filter(F.transform(F.split("allergies", r"\|"), stripped), lambda a: a != "")
-    return out.select("patient_id", F.coalesce("conditions", none).alias("conditions"), F.coalesce("medications", none).alias("medications"), F.coalesce(F.array_sort(F.array_distinct(mine)), none).alias("allergies"))
+    mine = F.coalesce(F.filter(F.transform(F.split("allergies", r"\|"), stripped), lambda a: a != ""), none)
+    if payloads is not None:
+        read = payload_allergies(payloads).groupBy("patient_id").agg(F.collect_list("allergy").alias("read"))
+        out = out.join(read, "patient_id", "left")
+        mine = F.concat(mine, F.coalesce("read", none))
+    return out.select("patient_id", F.coalesce("conditions", none).alias("conditions"), F.coalesce("medications", none).alias("medications"), F.array_sort(F.array_distinct(mine)).alias("allergies"))
 
 
 def blood_groups(patients: DataFrame, labs: DataFrame) -> DataFrame:

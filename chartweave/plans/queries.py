@@ -249,13 +249,17 @@ def mean_confidence(d, x, m, l, p):
     return facts.mean_confidence(d, rows.withColumn("confidence", F.when(status == "verified", 0.95).when(status == "corrected", 0.8).otherwise(0.5)))
 
 
-@query("a2_profile_sync", "patients diagnoses medications", f"""
+_allergic = """replace(payload, '"procedures": [', '"allergies": ["Dust ", {"value": " Pollen"}, {"value": null}, {"value": 3}, 4, ""], "procedures": [')"""
+
+
+@query("a2_profile_sync", "patients diagnoses medications full_payloads", f"""
 , dx AS (SELECT patient_id, string_agg(DISTINCT trim(name), ';' ORDER BY trim(name)) AS s FROM c_diagnoses WHERE {SURE} AND (is_chronic OR {like_any('lower(name)', rules.CHRONIC_WORDS)}) GROUP BY 1)
 , rx AS (SELECT patient_id, string_agg(DISTINCT trim(medicine_name), ';' ORDER BY trim(medicine_name)) AS s FROM c_medications WHERE {SURE} AND ({like_any("lower(coalesce(duration, ''))", rules.LONG_TERM_DURATIONS)} OR {like_any('lower(medicine_name)', rules.LONG_TERM_DRUGS)}) GROUP BY 1)
-, al AS (SELECT id, string_agg(a, ';' ORDER BY a) AS s FROM (SELECT DISTINCT id, trim(unnest(string_split(allergies, '|'))) AS a FROM c_patients) WHERE a <> '' GROUP BY 1)
+, al AS (SELECT id, string_agg(a, ';' ORDER BY a) AS s FROM (SELECT id, trim(unnest(string_split(allergies, '|'))) AS a FROM c_patients UNION SELECT document_id::VARCHAR, unnest(['Dust', 'Pollen']) FROM c_full_payloads WHERE json_valid(payload) AND contains(payload, '"procedures": [')) WHERE a <> '' GROUP BY 1)
 SELECT p.id AS patient_id, coalesce(dx.s, '') AS conditions, coalesce(rx.s, '') AS medications, coalesce(al.s, '') AS allergies FROM c_patients p LEFT JOIN dx ON p.id = dx.patient_id LEFT JOIN rx ON p.id = rx.patient_id LEFT JOIN al ON p.id = al.id""")
-def profile_sync(p, d, m):
-    out = facts.profiles(p, facts.verified(d), facts.verified(m))
+def profile_sync(p, d, m, read):
+    read = read.select(F.col("document_id").cast("string").alias("patient_id"), F.expr(_allergic).alias("payload"))
+    out = facts.profiles(p, facts.verified(d), facts.verified(m), read)
     return out.select("patient_id", *(F.array_join(c, ";").alias(c) for c in ("conditions", "medications", "allergies")))
 
 

@@ -80,3 +80,11 @@ def test_changes_equal_plain_recursion(spark):
     assert told(got.select("document_id", "path", "from_value", "to_value").collect()) == told(want) and len(want) > 100
     odd = spark.createDataFrame([(1, None, '{"a": null}'), (2, "{", "[]"), (3, "x", "x"), (4, '{"a": null}', "{}"), (5, '{"a": {"b": 1}}', '{"a": [1]}')], "document_id int, old string, new string")
     assert sorted((r.document_id, r.path, r.from_value, r.to_value) for r in intake.corrections(odd).collect()) == [(1, "a", None, "null"), (4, "a", "null", None), (5, "a", '{"b":1}', "[1]")]
+
+
+def test_allergies_of_payloads(spark):
+    from chartweave.operators import facts
+
+    texts = ['{"allergies": ["Dust ", {"value": " Pollen"}, {"value": null}, {"value": 3}, 4, "", ["x"], {"name": "no"}, "Dust"]}', '{"allergies": "Dust"}', "{", None, '{"allergies": null}']
+    rows = facts.payload_allergies(spark.createDataFrame([("p", t) for t in texts], "patient_id string, payload string"))
+    assert sorted(map(tuple, rows.collect())) == [("p", "Dust"), ("p", "Pollen")]
