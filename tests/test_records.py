@@ -3,7 +3,7 @@
 import datetime as dt
 import random
 
-from chartweave.operators import briefs, facts, labs, letters, meds, payloads, questions, reports, timeline
+from chartweave.operators import briefs, facts, folds, labs, letters, meds, payloads, questions, reports, timeline
 
 
 def day(text):
@@ -260,3 +260,31 @@ def test_ranking_by_blocks_equals_scoring_everything(spark, monkeypatch):
     hits = questions.term_hits(sets.select("patient_id", payloads.F.explode("asked.term").alias("term")), c.selectExpr("patient_id", "document_id", "chunk_text text"))
     every = sum(any(t in text for t in question.split() if len(t) > 3) for _, p, question in asked for r, _, text in chunks if p == r)
     assert questions.scored_sets(sets, hits, 5).count() < every / 2
+
+
+def test_folds_hold_a_key_whole_behind_a_join_that_becomes_a_broadcast(spark):
+    class Counted:
+        """Says how many rows a key had."""
+
+        def __init__(self, key):
+            self.key, self.n = key, 0
+
+        def row(self, *values):
+            self.n += 1
+            return []
+
+        def end(self):
+            return [(self.key, self.n)]
+
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = spark.range(0, 4000, 1, 4).selectExpr("cast(id % 10 as string) as k", "id")
+        joined = rows.join(spark.createDataFrame([("1", True)], "k string, x boolean"), "k", "left").select("k", "id")
+        got = folds.folded(joined, "k", ["id"], Counted, "k string, n int").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert sorted(map(tuple, got)) == [(str(k), 400) for k in range(10)]
