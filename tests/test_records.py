@@ -288,3 +288,33 @@ def test_folds_hold_a_key_whole_behind_a_join_that_becomes_a_broadcast(spark):
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     assert sorted(map(tuple, got)) == [(str(k), 400) for k in range(10)]
+
+
+def test_every_block_of_texts_meets_every_part_of_sets(spark, monkeypatch):
+    monkeypatch.setattr(questions, "BLOCK", 16)
+    monkeypatch.setattr(questions, "SETS", 4)
+    rng = random.Random(7)
+    words = [f"term{k}" for k in range(12)] + ["xterm1y", "longerterm11", "some"]
+    chunks = [("p", f"d{i}", " ".join(rng.choices(words, k=rng.randint(0, 6)))) for i in range(100)]
+    asked = [(i, "p", " ".join(rng.choices(words, k=rng.randint(0, 5)))) for i in range(40)]
+    want, first = {}, {}
+    for i, _, question in asked:
+        terms = [t for t in question.split() if len(t) > 3]
+        scored = sorted((-sum(t in text for t in terms), d) for _, d, text in chunks)
+        want |= {(i, k): (d, -s) for k, (s, d) in enumerate(scored[:7], 1)}
+        first |= {i: min(d for s, d in scored if s) for _ in "x" if scored[0][0]}
+    q = spark.createDataFrame(asked, "question_id long, patient_id string, question string")
+    c = spark.createDataFrame(chunks, "patient_id string, document_id string, chunk_text string")
+    assert {(r.question_id, r.place): (r.document_id, r.score) for r in questions.ranked(q, c, 7).collect()} == want
+    assert dict(map(tuple, questions.first_mentions(q, c).collect())) == first
+
+
+def test_a_source_is_one_patient_of_ranked_texts(spark):
+    from chartweave.plans.queries import ORACLE_SQL
+    from chartweave.sources.adapters import table
+
+    sf = "/root/testdata/sf0.001"
+    texts, asked = table(spark, sf, "chunks"), table(spark, sf, "questions")
+    assert {r.patient_id for r in texts.select("patient_id").distinct().collect()} == {r.source for r in spark.read.parquet(f"{sf}/documents.parquet").select("source").distinct().collect()}
+    assert asked.join(texts.select("patient_id").distinct(), "patient_id", "left_anti").count() == 0
+    assert all("source AS patient_id FROM documents" in ORACLE_SQL[n] for n in ("t3_ranked_chunks", "t5_first_mentions"))
