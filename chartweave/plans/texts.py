@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.norm import like_any
 from ..operators import letters, reports
-from .queries import LINES, PRESCRIBED, SUGAR, VALUES, query, typed
+from .queries import LINES, PRESCRIBED, SUGAR, VALUES, query
 
 AS_OF = "2025-01-01"
 
@@ -155,10 +155,9 @@ TYPE_ERRORS = VALUES + SUGAR + PRESCRIBED + r"""
 
 
 def checked(r):
-    t = typed(r)
+    t = reports.checked_types(r)
     labs = reports.marker_values(t).select("document_id", F.col("marker").alias("test_name"), "value").unionByName(reports.long_term_sugar(t).select("document_id", F.lit("HbA1c").alias("test_name"), "value"))
-    dated = r.where(F.size(F.regexp_extract_all("text", F.lit(f"({rules.PLAIN_DATE})"), F.lit(1))) >= 2)
-    return t, letters.type_errors(t.join(reports.patient_names(r), "document_id"), labs, reports.prescribed(t), dated)
+    return t, letters.type_errors(t.drop("dated"), labs, reports.prescribed(t), t.where("dated"))
 
 
 @query("d1_type_errors", "reports", TYPE_ERRORS + " SELECT * FROM er")

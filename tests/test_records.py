@@ -318,3 +318,11 @@ def test_a_source_is_one_patient_of_ranked_texts(spark):
     assert {r.patient_id for r in texts.select("patient_id").distinct().collect()} == {r.source for r in spark.read.parquet(f"{sf}/documents.parquet").select("source").distinct().collect()}
     assert asked.join(texts.select("patient_id").distinct(), "patient_id", "left_anti").count() == 0
     assert all("source AS patient_id FROM documents" in ORACLE_SQL[n] for n in ("t3_ranked_chunks", "t5_first_mentions"))
+
+
+def test_reports_are_classified_once(spark):
+    import __spark_entry__
+
+    for name in ("d1_missing_markers", "d1_type_errors", "d1_valid_documents"):
+        plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "classification(" not in plan  # it stands behind a checkpoint
