@@ -326,3 +326,22 @@ def test_reports_are_classified_once(spark):
     for name in ("d1_missing_markers", "d1_type_errors", "d1_valid_documents"):
         plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "classification(" not in plan  # it stands behind a checkpoint
+
+
+def test_counts_of_a_graph_are_those_of_its_nodes_and_edges(spark):
+    from chartweave.plans import patients
+    from chartweave.sources.adapters import table
+
+    p, *rest = (table(spark, "/root/testdata/sf0.001", n) for n in patients.GRAPH_TABLES.split())
+    found, rows = patients.graph_rows(*rest)
+    want = timeline.graph_sizes(timeline.graph_nodes(p, found, rows), timeline.graph_edges(found, rows))
+    assert sorted(map(tuple, timeline.graph_counts(p, found, rows).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_answers_meet_pages_by_no_null_key(spark):
+    from chartweave.plans import answers
+    from chartweave.sources.adapters import table
+
+    names = f"asked pages {answers.RECORD_TABLES}".split()
+    plan = answers.answers(*(table(spark, "/root/testdata/sf0.001", n) for n in names))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join LeftOuter" in line and "cited_id" in line]
