@@ -345,3 +345,24 @@ def test_answers_meet_pages_by_no_null_key(spark):
     names = f"asked pages {answers.RECORD_TABLES}".split()
     plan = answers.answers(*(table(spark, "/root/testdata/sf0.001", n) for n in names))._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Join LeftOuter" in line and "cited_id" in line]
+
+
+def test_encounters_of_a_busy_patient_are_those_of_one_fold(spark):
+    rng = random.Random(8)
+    rows = [(f"d{i}", None if i % 9 == 0 else str(i % 5 // 3), day("2024-01-01") + dt.timedelta(days=rng.randint(0, 60)), rng.choice([None, "", "City", "Lake"]), rng.choice([None, "Dr. A"])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "id string, patient_id string, created_on date, hospital string, doctor string")
+    want = sorted(map(str, timeline.encounters(docs).collect()))
+    assert len(want) == 120 and sorted(map(str, timeline.encounters(docs, busy=30).collect())) == want
+
+
+def test_nodes_are_grouped_without_maps_and_without_encounters_that_stand_already(spark):
+    from chartweave.plans import patients
+    from chartweave.sources.adapters import table
+
+    p, *rest = (table(spark, "/root/testdata/sf0.001", n) for n in patients.GRAPH_TABLES.split())
+    found, rows = patients.graph_rows(*rest)
+    assert not [f.name for f in rows.schema if f.dataType.typeName() == "map"]
+    plan = timeline.graph_nodes(p, found, rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "map" not in plan[plan.index("Aggregate") :]
+    own = rows.where("is_own").join(found.select("document_id", "patient_id", "title"), ["document_id", "patient_id"])
+    assert own.count() == rows.where("is_own").count() > 0 and own.where("title <> encounter_title").count() == 0
