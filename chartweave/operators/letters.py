@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.norm import any_of, leading_number, same_identity, stripped
-from .ranges import cut
+from .ranges import cut, free
 
 
 def flags(text: Column, words: dict[str, list[str]]) -> dict[str, Column]:
@@ -21,9 +21,16 @@ def flags(text: Column, words: dict[str, list[str]]) -> dict[str, Column]:
     return {k: any_of(low, ws) for k, ws in words.items()}
 
 
-def pattern_types(letters: DataFrame) -> DataFrame:
-    """(``document_id``, ``document_type``, ``confidence``): discharge, invoice, bill, prescription, laboratory, else for review."""
-    has, text, low = flags(F.col("text"), rules.PATTERN_WORDS), F.col("text"), F.lower("text")
+def spread(letters: DataFrame) -> DataFrame:
+    """Letters dealt by their ids: rules cost far more than reading, so a file of few row groups would be few tasks' work."""
+    return letters.repartition("document_id")
+
+
+def with_pattern_types(letters: DataFrame) -> DataFrame:
+    """Letters with ``document_type``: discharge, invoice, bill, prescription, laboratory, else for review."""
+    (lower,) = free(letters, "low__")
+    text, low = F.col("text"), F.col(lower)
+    has = {k: any_of(low, ws) for k, ws in rules.PATTERN_WORDS.items()}
     discharge = has["discharge"] | (low.contains("date of admission") & low.contains("date of discharge"))
     laboratory = text.rlike(rules.LAB_NAMES) | (has["ranges"] & has["units"])
     kind = (
@@ -31,8 +38,14 @@ def pattern_types(letters: DataFrame) -> DataFrame:
         .when(has["billing"] & has["totals"] & has["outpatient"], "OP_BILL_RECEIPT").when(text.rlike(rules.PRESCRIBED) & ~has["billing"] & ~has["totals"], "PRESCRIPTION")
         .when(laboratory & ~has["totals"], "LAB_REPORT").otherwise("NEEDS_REVIEW")
     )
+    return letters.withColumn(lower, F.lower("text")).withColumn("document_type", kind).drop(lower)
+
+
+def pattern_types(letters: DataFrame) -> DataFrame:
+    """(``document_id``, ``document_type``, ``confidence``) of ``with_pattern_types``."""
+    kind = F.col("document_type")
     sure = F.when(kind == "NEEDS_REVIEW", 0.5).when(kind.isin("OP_BILL_RECEIPT", "PRESCRIPTION"), 0.9).otherwise(0.95)
-    return letters.select("document_id", kind.alias("document_type"), sure.alias("confidence"))
+    return with_pattern_types(letters).select("document_id", "document_type", sure.alias("confidence"))
 
 
 def rule_types(letters: DataFrame) -> DataFrame:
@@ -69,9 +82,11 @@ def after_colon(line: Column) -> Column:
     return stripped(F.get(F.split(line, ":"), F.lit(1)))
 
 
-def headers(letters: DataFrame) -> DataFrame:
-    """Title, first date, patient name, age, gender and record number of each letter; the last line counts but for title and date."""
-    lines = line_array(F.col("text"))
+def headers(letters: DataFrame, *kept: str) -> DataFrame:
+    """Title, first date, patient name, age, gender and record number of each letter, with the columns ``kept``; the last line counts but for title and date."""
+    (own,) = free(letters, "lines__")
+    # a column, not an expression: each field would split the text anew
+    letters, lines = letters.withColumn(own, line_array(F.col("text"))), F.col(own)
     low = F.lower
     titled = F.filter(lines, lambda x: (low(x).startswith("report title:") | low(x).startswith("title:")) & (F.coalesce(F.get(F.split(x, ":"), F.lit(1)), F.lit("")) != ""))
     name = last_of(lines, lambda x: F.when(low(x).startswith("patient name:") | low(x).startswith("name:"), after_colon(x)))
@@ -91,7 +106,7 @@ def headers(letters: DataFrame) -> DataFrame:
 
     return letters.select(
         "document_id", after_colon(F.get(titled, F.lit(0))).alias("title"), F.nullif(F.regexp_extract("text", f"({rules.ANY_DATE})", 1), F.lit("")).alias("document_date"),
-        name.alias("patient_name"), last_of(lines, age).alias("age"), last_of(lines, gender).alias("gender"), last_of(lines, number).alias("record_number"),
+        name.alias("patient_name"), last_of(lines, age).alias("age"), last_of(lines, gender).alias("gender"), last_of(lines, number).alias("record_number"), *kept,
     )
 
 
@@ -125,17 +140,19 @@ def medication_lines(letters: DataFrame) -> DataFrame:
     return out.where(F.length("medicine_name") > 2).select("document_id", "line_no", "medicine_name", F.nullif("strength", F.lit("")).alias("strength"))
 
 
-def plain_facts(letters: DataFrame, types: DataFrame) -> DataFrame:
-    """(``document_id``, ``kind``, ``position``, ``name``, ``value``, ``unit``) by the plain rules of a document's type.
+def plain_facts(letters: DataFrame, types: DataFrame | None = None) -> DataFrame:
+    """(``document_id``, ``kind``, ``position``, ``name``, ``value``, ``unit``) by the plain rules of a document's type: that of ``types``, else of ``pattern_types``.
 
     At most 15 results of laboratory reports and 10 medicines of a document count; of discharge summaries the first
     two dates, if there are two.
     """
-    typed = letters.join(types.select("document_id", "document_type"), "document_id")
+    typed = with_pattern_types(letters) if types is None else letters.join(types.select("document_id", "document_type"), "document_id")
     every = lambda text, pattern, group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     fact = lambda name, value, unit: F.struct(name.alias("name"), value.alias("value"), unit.alias("unit"))
     none, text = F.lit(None).cast("string"), F.col("text")
-    labs = F.transform(F.arrays_zip(every(text, rules.PLAIN_LAB, 1).alias("n"), every(text, rules.PLAIN_LAB, 2).alias("v"), every(text, rules.PLAIN_LAB, 3).alias("u")), lambda m: fact(stripped(m["n"]), m["v"], m["u"]))
+    # the text is searched once, its matches are parted by themselves
+    part = lambda m, group: F.regexp_extract(m, rules.PLAIN_LAB, group)
+    labs = F.transform(every(text, rules.PLAIN_LAB, 0), lambda m: fact(stripped(part(m, 1)), part(m, 2), part(m, 3)))
     labs = F.slice(F.filter(labs, lambda f: (F.length(f["name"]) > 5) & (F.length(f["name"]) < 40) & ~any_of(F.lower(f["name"]), rules.NOT_LABS)), 1, 15)
     sold = F.filter(F.transform(every(text, rules.PLAIN_SOLD, 1), stripped), lambda n: (F.length(n) > 5) & (F.length(n) < 50))
     sold = F.slice(F.transform(sold, lambda n: fact(n, none, none)), 1, 10)

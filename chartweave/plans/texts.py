@@ -104,7 +104,7 @@ _nth = "row_number() OVER (PARTITION BY document_id ORDER BY k) - 1"
 , da AS (SELECT document_id, 'date' AS kind, k - 1 AS position, CASE k WHEN 1 THEN 'admission' ELSE 'discharge' END AS name, g1 AS value, NULL AS unit FROM (SELECT *, count(*) OVER (PARTITION BY document_id) AS n FROM ({_listed("DISCHARGE_SUMMARY", "(" + rules.PLAIN_DATE + ")", [1])})) WHERE n >= 2 AND k <= 2)
 SELECT * FROM la WHERE position < 15 UNION ALL SELECT * FROM so WHERE position < 10 UNION ALL SELECT * FROM dr WHERE position < 10 UNION ALL SELECT * FROM da""")
 def plain_facts(l):
-    return letters.plain_facts(l, letters.pattern_types(l))
+    return letters.plain_facts(letters.spread(l))
 
 
 @query("e14_extracted_facts", "reports")
@@ -120,8 +120,8 @@ GENERAL = HEADERS + PATTERN_TYPES.replace("lo AS", "lq AS").replace("FROM lo", "
 
 
 def general(l, p):
-    found = letters.headers(l).join(l.select("document_id", "patient_id"), "document_id").join(p.select(F.col("id").alias("patient_id"), "full_name"), "patient_id")
-    return found.join(letters.pattern_types(l), "document_id")
+    found = letters.headers(letters.with_pattern_types(letters.spread(l)), "patient_id", "document_type")
+    return found.join(p.select(F.col("id").alias("patient_id"), "full_name"), "patient_id")
 
 
 @query("d2_d3_general_errors", "letters patients", GENERAL + " SELECT * FROM ge")

@@ -366,3 +366,27 @@ def test_nodes_are_grouped_without_maps_and_without_encounters_that_stand_alread
     assert "map" not in plan[plan.index("Aggregate") :]
     own = rows.where("is_own").join(found.select("document_id", "patient_id", "title"), ["document_id", "patient_id"])
     assert own.count() == rows.where("is_own").count() > 0 and own.where("title <> encounter_title").count() == 0
+
+
+def scans(frame):
+    """How many files a plan reads."""
+    return sum(1 for line in frame._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Relation [" in line)
+
+
+def test_letters_are_read_once(spark):
+    import __spark_entry__
+    from chartweave import rules
+    from pyspark.sql import functions as F
+
+    queries = __spark_entry__.queries()
+    # letters alone, and letters with patients
+    assert scans(queries["e13_plain_facts"](spark, "/root/testdata/sf0.001")) == 1
+    assert scans(queries["d2_d3_general_errors"](spark, "/root/testdata/sf0.001")) == 2
+    # a match parted by itself has the groups that it has in its text
+    rng = random.Random(5)
+    bits = ["ref", "refs", "normal", "to", " ", " ", "\n", "12", "3.5", ".", "-", "/", "%", "g/dl", "mg", "_", ":", "Serum Urea", "WBC (total)", "x", "9^3/uL"]
+    texts = spark.createDataFrame([("".join(rng.choice(bits) for _ in range(rng.randint(1, 25))),) for _ in range(1500)], "text string")
+    every = lambda group: F.regexp_extract_all("text", F.lit(rules.PLAIN_LAB), F.lit(group))
+    for group in (1, 2, 3):
+        parted = F.transform(every(0), lambda m: F.regexp_extract(m, rules.PLAIN_LAB, group))
+        assert texts.where(parted != every(group)).count() == 0
