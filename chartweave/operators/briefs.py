@@ -100,21 +100,25 @@ def memories(patients: DataFrame, diagnoses: DataFrame, medications: DataFrame)
     return out.select("patient_id", F.concat_ws("\n", *(F.lit(x) if isinstance(x, str) else x for x in parts)).alias("memory"))
 
 
-def doctor_briefs(sessions: DataFrame, history: DataFrame, named: DataFrame, patients: DataFrame) -> DataFrame:
+def doctor_briefs(sessions: DataFrame, history: DataFrame, named: DataFrame | None, patients: DataFrame) -> DataFrame:
     """A brief for each valid session: summary, reason, history, medications, investigations, allergies, limits, and a snapshot of the facts it rests on.
 
-    ``history``: of ``retrieval.relevant_history``; ``named``: ``id``, ``kind``, ``name`` of facts.
+    ``history``: of ``retrieval.relevant_history``; ``named``: ``id``, ``kind``, ``name`` of facts, else the history's titles are their names.
     """
     fact = F.struct("type", "id", "title", "date", "details", F.col("reason").alias("relevance"), F.col("source_document_id").alias("document_id"))
-    sources = history.groupBy("session_id").agg(F.sort_array(F.collect_list(fact)).alias("sources"))
-    titles = history.join(named.select("id", F.col("kind").alias("type"), "name"), ["id", "type"])
     of = lambda *kinds: F.array_join(F.sort_array(F.collect_list(F.when(F.col("type").isin(*kinds), F.struct("type", "id", "name"))))["name"], "; ")
-    lists = titles.groupBy("session_id").agg(of("diagnosis", "procedure").alias("relevant_history"), of("medication").alias("current_medications"), of("lab_result").alias("relevant_investigations"))
-    rows = triage_rows(sessions).where("is_valid").join(lists, "session_id", "left").join(sources, "session_id", "left").join(patients.select(F.col("id").alias("patient_id"), "allergies"), "patient_id", "left")
+    lists = (of("diagnosis", "procedure").alias("relevant_history"), of("medication").alias("current_medications"), of("lab_result").alias("relevant_investigations"))
+    sources = F.sort_array(F.collect_list(fact)).alias("sources")
+    if named is None:
+        found = history.withColumn("name", F.col("title")).groupBy("session_id").agg(sources, *lists)
+    else:
+        titles = history.join(named.select("id", F.col("kind").alias("type"), "name"), ["id", "type"])
+        found = history.groupBy("session_id").agg(sources).join(titles.groupBy("session_id").agg(*lists), "session_id", "left")
+    rows = triage_rows(sessions).where("is_valid").join(found, "session_id", "left").join(patients.select(F.col("id").alias("patient_id"), "allergies"), "patient_id", "left")
     symptoms = F.coalesce(F.nullif(F.replace("symptoms", F.lit("|"), F.lit(", ")), F.lit("")), F.lit("no associated symptoms selected"))
     summary = F.format_string("Patient presents with self-reported %s starting %s (%s).", "reason_category", "onset", symptoms)
     empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
     chosen = F.filter(F.split(F.coalesce("symptoms", F.lit("")), r"\|"), lambda x: x != "")
     reason = F.struct(F.col("reason_category").alias("category"), "onset", "severity", chosen.alias("symptoms"))
-    none = F.array().cast(sources.schema["sources"].dataType)
+    none = F.array().cast(found.schema["sources"].dataType)
     return rows.select("session_id", summary.alias("patient_summary"), reason.alias("current_reason"), F.coalesce("sources", none).alias("sources"), "severity", *map(empty, ("relevant_history", "current_medications", "relevant_investigations", "allergies")), F.lit(rules.BRIEF_LIMITATIONS).alias("limitations"))

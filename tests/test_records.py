@@ -390,3 +390,10 @@ def test_letters_are_read_once(spark):
     for group in (1, 2, 3):
         parted = F.transform(every(0), lambda m: F.regexp_extract(m, rules.PLAIN_LAB, group))
         assert texts.where(parted != every(group)).count() == 0
+
+
+def test_briefs_read_facts_once(spark):
+    import __spark_entry__
+
+    # triage and patients, and each of four kinds of facts once: lines, orders, sessions and records
+    assert scans(__spark_entry__.queries()["a16_doctor_briefs"](spark, "/root/testdata/sf0.001")) == 18
