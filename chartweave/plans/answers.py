@@ -121,6 +121,10 @@ def cited_records(p, d, *kinds):
 SELECT question_id, coalesce(chunk_context, '') AS chunk_context, coalesce(record_context, '') AS record_context, coalesce(memory, '') AS memory, coalesce(panels, '[]') AS panels, coalesce(switches, '[]') AS switches, coalesce(journeys, '[]') AS journeys
   FROM c_asked LEFT JOIN cc USING (question_id) LEFT JOIN rl USING (patient_id) LEFT JOIN mm USING (patient_id) LEFT JOIN pnl USING (patient_id) LEFT JOIN swt USING (patient_id) LEFT JOIN jrn USING (patient_id)""")
 def context_bundles(q, p, people, d, m, l, o):
+    # nothing is made for patients who have no question
+    asked = q.select("patient_id").distinct()
+    p, d, m, l, o = (x.join(asked, "patient_id", "left_semi") for x in (p, d, m, l, o))
+    people = people.join(asked.withColumnRenamed("patient_id", "id"), "id", "left_semi")
     every = l
     d, m, l, o = (facts.verified(x) for x in (d, m, l, o))
     panels = labs.panels(l).select("patient_id", "panel", "marker", "latest", "unit", "persistent_abnormality", F.col("n_points").cast("long").alias("n_points"), shown_json("points").alias("points"))

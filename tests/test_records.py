@@ -397,3 +397,14 @@ def test_briefs_read_facts_once(spark):
 
     # triage and patients, and each of four kinds of facts once: lines, orders, sessions and records
     assert scans(__spark_entry__.queries()["a16_doctor_briefs"](spark, "/root/testdata/sf0.001")) == 18
+
+
+def test_bundles_are_made_for_patients_with_questions_only(spark, monkeypatch):
+    from chartweave.plans import answers
+    from chartweave.sources.adapters import table
+
+    given = {}
+    monkeypatch.setattr(answers.questions, "context_bundles", lambda q, records, chunks, memories, more: given.update(q=q, records=records, chunks=chunks, memories=memories))
+    q, *rest = (table(spark, "/root/testdata/sf0.001", n) for n in f"asked pages patients {answers.RECORD_TABLES}".split())
+    answers.context_bundles(q.where("patient_id = '7'"), *rest)
+    assert {r.patient_id for n in ("records", "chunks", "memories") for r in given[n].select("patient_id").distinct().collect()} <= {"7"}
