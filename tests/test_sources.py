@@ -64,3 +64,24 @@ def test_folder_of_uploads(spark, tmp_path):
     assert {r.file_name for r in uploads.uploaded_files(spark, str(tmp_path), "*.jpg").collect()} == {"y.jpg"}
     plan = uploads.uploaded_files(spark, str(tmp_path), most=100)._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(length,100)" in plan and "GreaterThan(length,100)" in plan
+
+
+def test_facts_are_dealt_by_document_to_as_many_tasks_as_their_rows_need(spark, monkeypatch, capsys):
+    from chartweave.plans.queries import QUERIES
+
+    path, names = "/root/testdata/sf0.01", ["labs", "medications", "diagnoses", "procedures"]
+    plain = {t: adapters.table(spark, path, t) for t in names}
+    means = QUERIES["a7_mean_confidence"](spark, path)
+    n = spark.read.parquet(f"{path}/lineitem.parquet").count()
+    monkeypatch.setattr(adapters, "DEALT", n // 10)
+    for t in names:
+        dealt = adapters.table(spark, path, t)
+        assert dealt.rdd.getNumPartitions() == 10 and dealt.columns == plain[t].columns
+        assert dealt.exceptAll(plain[t]).isEmpty() and plain[t].exceptAll(dealt).isEmpty()
+    dealt = QUERIES["a7_mean_confidence"](spark, path)
+    assert dealt.exceptAll(means).isEmpty() and means.exceptAll(dealt).isEmpty()
+    capsys.readouterr()
+    dealt.explain()
+    assert "hashpartitioning(source_document_id" not in capsys.readouterr().out  # facts are grouped where they were joined
+    monkeypatch.setattr(adapters, "DEALT", n // 3)
+    assert "REPARTITION_BY_NUM" not in (adapters.table(spark, path, "labs").explain() or capsys.readouterr().out)
