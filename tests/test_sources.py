@@ -85,3 +85,29 @@ def test_facts_are_dealt_by_document_to_as_many_tasks_as_their_rows_need(spark,
     assert "hashpartitioning(source_document_id" not in capsys.readouterr().out  # facts are grouped where they were joined
     monkeypatch.setattr(adapters, "DEALT", n // 3)
     assert "REPARTITION_BY_NUM" not in (adapters.table(spark, path, "labs").explain() or capsys.readouterr().out)
+
+
+def test_bills_are_joined_once_and_facts_meet_them_where_they_are(spark, monkeypatch, capsys):
+    from chartweave.operators.facts import not_billing
+    from chartweave.plans.queries import QUERIES
+
+    path, threshold = "/root/testdata/sf0.01", "spark.sql.autoBroadcastJoinThreshold"
+    plain = QUERIES["g1_timeline_events"](spark, path)
+    before = spark.conf.get(threshold)
+    monkeypatch.setattr(adapters, "DEALT", 10_000)
+    spark.conf.set(threshold, "-1")
+    try:
+        dealt = QUERIES["g1_timeline_events"](spark, path)
+        capsys.readouterr()
+        dealt.explain()
+        plan = capsys.readouterr().out
+        assert plan.count("hashpartitioning(source_document_id") == 1  # that of the bills
+        assert plan.count("SortMergeJoin [source_document_id") == 1
+        assert dealt.count() == plain.count() and dealt.exceptAll(plain).isEmpty() and plain.exceptAll(dealt).isEmpty()
+    finally:
+        spark.conf.set(threshold, before)
+    kinds = [("a", "PHARMACY_INVOICE", None), ("a", "OP_BILL_RECEIPT", None), ("b", None, "op_bill_receipt"), ("c", "LAB_REPORT", "op_bill_receipt"), ("c", "LAB_REPORT", None), ("d", None, None), (None, "PHARMACY_INVOICE", None)]
+    documents = spark.createDataFrame(kinds, "id string, document_type string, category string")
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (3, "c"), (4, "d"), (5, None), (6, "unknown")], "id int, source_document_id string")
+    left = not_billing(rows, documents)
+    assert sorted(left.columns) == ["id", "source_document_id"] and sorted(r.id for r in left.collect()) == [3, 3, 4, 5, 6]
