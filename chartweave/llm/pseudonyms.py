@@ -13,6 +13,8 @@ import hashlib
 import hmac
 import ipaddress
 import re
+import secrets
+import warnings
 from functools import lru_cache
 
 import pyarrow as pa
@@ -48,9 +50,15 @@ IBAN_LENGTHS = {
 KINDS = list(FORMS)
 FOUND = re.compile("|".join(f"(?P<{k}>{v})" for k, v in FORMS.items()))
 MAYBE = re.compile(r"[0-9@]|[0-9a-fA-F]{32}")
+#: Python writes no longer number than 4300 digits in decimal form.
+LONGEST = 10**4300
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
+def written(n: int) -> str:
+    return str(n) if n < LONGEST else f"x{n:x}"
+
+
 class Feistel:
     """A keyed permutation of 0 .. n-1 for any n, by cycle walking over an even number of bits."""
 
@@ -58,7 +66,7 @@ class Feistel:
         self.key = key
 
     def mixed(self, kind: str, n: int, i: int, half: int, bits: int) -> int:
-        raw = hmac.new(self.key, f"{kind}|{n}|{i}|{half}".encode(), hashlib.sha256).digest()
+        raw = hmac.new(self.key, f"{kind}|{written(n)}|{i}|{written(half)}".encode(), hashlib.sha256).digest()
         return int.from_bytes(raw, "big") & ((1 << bits) - 1) if bits <= 256 else int.from_bytes(hashlib.shake_256(raw).digest((bits + 7) // 8), "big") & ((1 << bits) - 1)
 
     def walk(self, kind: str, n: int, x: int, rounds: range, back: bool) -> int:
@@ -284,20 +292,43 @@ def with_pseudonyms(df: DataFrame, key: bytes, *, text: str = "text", back: bool
 DEMONSTRATION_KEY = b"chartweave demonstration key"
 
 
+def named_key(spark: SparkSession) -> bytes | None:
+    said = spark.conf.get("spark.chartweave.pseudonymKey", None)
+    local = (spark.sparkContext.master or "").startswith("local")
+    return bytes.fromhex(said) if said else DEMONSTRATION_KEY if local else None
+
+
 def session_key(spark: SparkSession) -> bytes:
     """The key in hexadecimal digits from the session's ``spark.chartweave.pseudonymKey``; only a local session without it gets the demonstration key."""
-    said = spark.conf.get("spark.chartweave.pseudonymKey", None)
-    if not said and not (spark.sparkContext.master or "").startswith("local"):
+    key = named_key(spark)
+    if key is None:
         raise RuntimeError("set spark.chartweave.pseudonymKey to a secret of hexadecimal digits")
-    return bytes.fromhex(said) if said else DEMONSTRATION_KEY
+    return key
+
+
+@lru_cache(None)
+def random_key(application: str) -> bytes:
+    return secrets.token_bytes(32)
+
+
+def run_key(spark: SparkSession) -> bytes:
+    """``session_key``; on a cluster without the setting a random key, which all queries of the application share and which is stored nowhere.
+
+    Nobody can turn pseudonyms of a random key back or link them to those of another application: who wants that sets a key.
+    """
+    key = named_key(spark)
+    if key is None:
+        warnings.warn("spark.chartweave.pseudonymKey is not set: pseudonyms of this application can't be turned back", stacklevel=2)
+        key = random_key(spark.sparkContext.applicationId)
+    return key
 
 
 def pseudonym_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, key: bytes | None = None) -> DataFrame:
     """Documents with pseudonyms in the place of private values; ``n_chars``, if there, follows. No row goes.
 
-    Null, empty, repeated and very long texts as in ``with_pseudonyms``. ``key``: ``session_key`` by default.
+    Null, empty, repeated and very long texts as in ``with_pseudonyms``. ``key``: ``run_key`` by default.
     """
-    out = with_pseudonyms(docs, key or session_key(spark))
+    out = with_pseudonyms(docs, key or run_key(spark))
     if "n_chars" in docs.columns:
         changed = sum((F.col(n) for n in count_names(docs)), F.lit(0)) > 0
         out = out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
@@ -305,7 +336,7 @@ def pseudonym_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, key: byte
 
 
 def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str, key: bytes | None = None) -> DataFrame:
-    """Every document's text with pseudonyms, and what was found."""
+    """Every document's text with pseudonyms, and what was found; ``key``: ``run_key`` by default."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = with_pseudonyms(docs, key or session_key(spark))
+    out = with_pseudonyms(docs, key or run_key(spark))
     return out.withColumn("n_found", sum((F.col(n) for n in count_names(docs)), F.lit(0)))

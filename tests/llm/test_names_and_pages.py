@@ -15,7 +15,7 @@ from chartweave.llm.neardup import one_of_each, op1_bag_minhash
 from chartweave.llm.packing import pack, packed_sequences, token_pieces
 from chartweave.llm.passages import passage_stage, repeated_passages
 from chartweave.llm.pieces import decode_ids, encode_texts, piece_digests
-from chartweave.llm.pseudonyms import Pseudonyms, pseudonym_stage, session_key, with_pseudonyms
+from chartweave.llm.pseudonyms import DEMONSTRATION_KEY, Pseudonyms, op10_feistel_pseudonyms, pseudonym_stage, run_key, session_key, with_pseudonyms
 from chartweave.llm.quality import apply_rules
 from chartweave.llm.tokens import WholeTextEncoder, section_token_counts, with_ids
 from chartweave.llm.vectors import linked_vectors
@@ -355,3 +355,24 @@ def test_a_cluster_needs_a_key_of_its_own():
     assert session_key(session("yarn", "00ff")) == b"\x00\xff" and session_key(session("local[2]", None))
     with pytest.raises(RuntimeError):
         session_key(session("yarn", None))
+
+
+def test_a_cluster_without_a_key_gets_a_random_one(spark, monkeypatch):
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://cluster:7077")
+    docs = spark.createDataFrame([(1, "write to ann.lee@mail.example.com"), (2, "nothing")], "doc_id long, text string")
+    with pytest.warns(UserWarning, match="pseudonymKey"):
+        key = run_key(spark)
+        told = sorted(map(tuple, pseudonym_stage(spark, docs, SF).collect()))
+        rows = op10_feistel_pseudonyms(spark, SF).count()
+    assert len(key) == 32 and key != DEMONSTRATION_KEY
+    assert told[0][1] != "write to ann.lee@mail.example.com" and told[1] == (2, "nothing")
+    assert Pseudonyms(key).text(told[0][1], back=True)[0] == "write to ann.lee@mail.example.com"  # all queries share the key
+    assert rows == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_addresses_of_thousands_of_letters_come_back():
+    p = Pseudonyms(b"key")
+    for n in (3000, 3100, 9000):
+        text = f"to {'abcdefghij' * (n // 10)}@mail.example.com"
+        new, counts = p.text(text)
+        assert sum(counts) == 1 and new != text and p.text(new, back=True)[0] == text
