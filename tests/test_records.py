@@ -408,3 +408,15 @@ def test_bundles_are_made_for_patients_with_questions_only(spark, monkeypatch):
     q, *rest = (table(spark, "/root/testdata/sf0.001", n) for n in f"asked pages patients {answers.RECORD_TABLES}".split())
     answers.context_bundles(q.where("patient_id = '7'"), *rest)
     assert {r.patient_id for n in ("records", "chunks", "memories") for r in given[n].select("patient_id").distinct().collect()} <= {"7"}
+
+
+def test_texts_carry_numbers_of_terms(spark, monkeypatch):
+    seen, blocks = {}, questions.block_bests
+    monkeypatch.setattr(questions, "block_bests", lambda sets, texts, *more: seen.update(sets=sets, texts=texts) or blocks(sets, texts, *more))
+    asked = spark.createDataFrame([(i, "p", "alpha beta beta") for i in range(3)] + [(9, "p", "it is")], "question_id long, patient_id string, question string")
+    chunks = spark.createDataFrame([("p", 1, "nothing"), ("p", 2, "alphabeta"), ("p", 3, "beta"), ("q", 4, "alpha")], "patient_id string, document_id long, chunk_text string")
+    got = sorted(map(tuple, questions.ranked(asked, chunks, 3).collect()))
+    assert got == sorted([(i, d, s, k) for i in range(3) for k, (d, s) in enumerate([(2, 3), (3, 2), (1, 0)], 1)] + [(9, k, 0, k) for k in (1, 2, 3)])
+    assert seen["texts"].schema["terms"].dataType.simpleString() == "array<int>" and "string" not in seen["sets"].schema["asked"].simpleString()
+    words = spark.range(0, 1000, 1, 7).selectExpr("'t' || (id % 300) as term")
+    assert sorted(r.code for r in questions.term_codes(words).collect()) == list(range(300))
