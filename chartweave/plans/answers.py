@@ -122,7 +122,7 @@ SELECT question_id, coalesce(chunk_context, '') AS chunk_context, coalesce(recor
   FROM c_asked LEFT JOIN cc USING (question_id) LEFT JOIN rl USING (patient_id) LEFT JOIN mm USING (patient_id) LEFT JOIN pnl USING (patient_id) LEFT JOIN swt USING (patient_id) LEFT JOIN jrn USING (patient_id)""")
 def context_bundles(q, p, people, d, m, l, o):
     # nothing is made for patients who have no question
-    asked = q.select("patient_id").distinct()
+    asked = questions.asking(q)
     p, d, m, l, o = (x.join(asked, "patient_id", "left_semi") for x in (p, d, m, l, o))
     people = people.join(asked.withColumnRenamed("patient_id", "id"), "id", "left_semi")
     every = l

@@ -420,3 +420,27 @@ def test_texts_carry_numbers_of_terms(spark, monkeypatch):
     assert seen["texts"].schema["terms"].dataType.simpleString() == "array<int>" and "string" not in seen["sets"].schema["asked"].simpleString()
     words = spark.range(0, 1000, 1, 7).selectExpr("'t' || (id % 300) as term")
     assert sorted(r.code for r in questions.term_codes(words).collect()) == list(range(300))
+
+
+def test_contexts_are_put_together_once_for_equal_questions(spark, monkeypatch):
+    seen, ranks = {}, questions.ranked_sets
+    monkeypatch.setattr(questions, "ranked_sets", lambda *a: seen.setdefault("x", ranks(*a)))
+    asked = spark.createDataFrame([(i, "p", "Alpha beta?") for i in range(50)] + [(50, "q", "alpha"), (51, None, "alpha"), (52, "p", None)], "question_id long, patient_id string, question string")
+    chunks = spark.createDataFrame([("p", "d1", "none"), ("p", "d2", "alpha"), ("p", "d3", "beta alpha")], "patient_id string, document_id string, chunk_text string")
+    records = spark.createDataFrame([("p", 0, "x1", "line")], "patient_id string, kind_no int, id string, found_line string")
+    memories = spark.createDataFrame([("q", "well")], "patient_id string, memory string")
+    rows = {r.question_id: r for r in questions.context_bundles(asked, records, chunks, memories, 2).collect()}
+    assert len(rows) == 53 and seen["x"][1].count() == 4  # two texts for each of the two sets of p
+    text = lambda k, d, t: f'[Document Citation ID: {k}]\nTitle: {d}\nText Snippet:\n"""\n{t}\n"""'
+    assert {rows[i].chunk_context for i in range(50)} == {text(0, "d3", "beta alpha") + "\n\n" + text(1, "d2", "alpha")}
+    assert tuple(rows[50])[1:] == ("", "", "well") and tuple(rows[51])[1:] == ("", "", "")
+    assert rows[52].chunk_context == text(0, "d1", "none") + "\n\n" + text(1, "d2", "alpha") and rows[52].record_context == "line"
+
+
+def test_patients_with_questions_are_sent_to_all_tasks_while_they_are_few(spark, monkeypatch):
+    asked = spark.createDataFrame([(1, "p"), (2, "p"), (3, "q")], "question_id long, patient_id string")
+    rows = spark.createDataFrame([("p", 1), ("r", 2)], "patient_id string, x int")
+    plan = lambda: rows.hint("merge").join(questions.asking(asked), "patient_id", "left_semi")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan()
+    monkeypatch.setattr(questions, "FEW", 1)
+    assert "broadcast" not in plan() and questions.asking(asked).count() == 2
