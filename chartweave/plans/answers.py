@@ -91,6 +91,9 @@ SELECT question_id, al.patient_id, route, CASE route WHEN 'absent' THEN {_quote(
   to_json(coalesce(CASE WHEN route = 'records' THEN ncs WHEN route IN ('absent') THEN NULL WHEN route IN ('facility', 'text') THEN CASE WHEN pg.document_id IS NOT NULL THEN [struct_pack(document_id := pg.document_id, document_title := coalesce(title, 'Medical Document'), page_number := page::INT, "date" := '', snippet := CASE route WHEN 'text' THEN snippet ELSE 'Encounter metadata headers' END)] END ELSE lcs END, []))::VARCHAR AS cited
   FROM al LEFT JOIN pg ON pg.document_id = CASE WHEN route = 'facility' AND placed IS NOT NULL THEN first_document WHEN route = 'text' THEN text_document END""")
 def answers(q, p, *kinds):
+    # records and pages of a document have one patient, so those of patients without a question are in no answer
+    asked = questions.asking(q)
+    p, *kinds = (x.join(asked, "patient_id", "left_semi") for x in (p, *kinds))
     return questions.answers(q, recorded(*kinds), page_chunks(p)).withColumn("cited", shown_json("cited"))
 
 

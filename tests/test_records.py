@@ -444,3 +444,28 @@ def test_patients_with_questions_are_sent_to_all_tasks_while_they_are_few(spark,
     assert "broadcast" in plan()
     monkeypatch.setattr(questions, "FEW", 1)
     assert "broadcast" not in plan() and questions.asking(asked).count() == 2
+
+
+def test_equal_questions_are_answered_once(spark, monkeypatch):
+    seen, one = {}, questions.answered
+    monkeypatch.setattr(questions, "answered", lambda q, *more: seen.update(q=q) or one(q, *more))
+    asked = spark.createDataFrame([(i, "p", "Is the gout better") for i in range(40)] + [(40, None, "zebra"), (41, "p", None), (42, "q", "Is the gout better")], "question_id long, patient_id string, question string")
+    fact = "source_document_id string, verification_status string, patient_id string, id string"
+    dx = spark.createDataFrame([("d1", "verified", "p", "x1", "Gout", True, None)], f"{fact}, name string, is_chronic boolean, notes string")
+    none = spark.createDataFrame([], f"{fact}, name string, notes string, done_on date, medicine_name string, strength string, test_name string, value string, unit string")
+    chunks = spark.createDataFrame([("p", "d1", "the gout is better")], "patient_id string, document_id string, chunk_text string")
+    rows = {r.question_id: r for r in questions.answers(asked, questions.record_lines(dx, none, none, none), chunks).collect()}
+    assert len(rows) == 43 and seen["q"].count() == 4
+    assert {(rows[i].route, rows[i].citations, rows[i].patient_id) for i in range(40)} == {("records", "d1: Gout", "p")}
+    assert rows[42].route == "absent" and rows[40].patient_id is None and rows[41].patient_id == "p"
+
+
+def test_answers_read_records_of_patients_with_questions_only(spark, monkeypatch):
+    from chartweave.plans import answers
+    from chartweave.sources.adapters import table
+
+    given = {}
+    monkeypatch.setattr(answers.questions, "answers", lambda q, records, chunks: given.update(records=records, chunks=chunks) or q.withColumn("cited", payloads.F.array("question")))
+    q, *rest = (table(spark, "/root/testdata/sf0.001", n) for n in f"asked pages {answers.RECORD_TABLES}".split())
+    answers.answers(q.where("patient_id = '7'"), *rest)
+    assert {r.patient_id for x in given.values() for r in x.select("patient_id").distinct().collect()} == {"7"}
